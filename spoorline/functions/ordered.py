@@ -137,3 +137,25 @@ def running(
         else:
             merged[n] = (F.greatest if f.kind == "max" else F.least)(here, carry)
     return out.withColumns(merged).drop("_seg", *[f"_carry_{n}" for n in folds])
+
+
+def medians(
+    df: DataFrame, group: Sequence[str], column: str, out: str, seg_rows: int = SEG_ROWS
+) -> DataFrame:
+    """Exact interpolated median per group, from counts of distinct values in order."""
+    per = df.where(F.col(column).isNotNull()).groupBy(*group, F.col(column).alias("_v")).count()
+    placed, largest = number_rows(per, group, ["_v"], "_at", seg_rows)
+    before = {"_before": Fold("sum", F.col("count"))}
+    placed = running(placed, group, "_at", before, largest, seg_rows)
+    total = per.groupBy(*group).agg(F.sum("count").alias("_n"))
+    low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
+    upto = F.col("_before") + F.col("count")
+    return (
+        placed.join(total, list(group))
+        .groupBy(*group)
+        .agg(
+            F.max(F.when((F.col("_before") <= low) & (low < upto), F.col("_v"))).alias("_lo"),
+            F.max(F.when((F.col("_before") <= high) & (high < upto), F.col("_v"))).alias("_hi"),
+        )
+        .select(*group, ((F.col("_lo") + F.col("_hi")) / 2).alias(out))
+    )
