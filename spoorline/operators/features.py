@@ -75,10 +75,11 @@ def node_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     bucket = F.transform(
         words(F.col("text")), lambda w: F.instr(F.lit(HEX), F.substring(F.md5(w), 1, 1)) - 1
     )
-    counts = {
-        f"h{i}": F.size(F.filter("_buckets", lambda b, i=i: b == i)).cast("double")
-        for i in range(BUCKETS)
-    }
+
+    def in_bucket(i):
+        return F.size(F.filter("_buckets", lambda b: b == i)).cast("double")
+
+    counts = {f"h{i}": in_bucket(i) for i in range(BUCKETS)}
     return (
         nodes.withColumn("_buckets", bucket)
         .withColumns(counts)

@@ -185,7 +185,8 @@ def graph_file_facts(name: Column) -> dict[str, Column]:
 
 def class_from_name(name: Column, y: Column, detailed: Column) -> Column:
     """Class of a graph: its detailed label, else the file name's tail, else by the binary label."""
-    tail = F.regexp_extract(name, r"^(?:enriched_session_)?[^_]*_(.*?)(?:\.graphml)?$", 1)
+    stem = F.regexp_replace(name, r"^enriched_session_|\.graphml$", "")
+    tail = F.regexp_extract(stem, r"^[^_]*_(.*)$", 1)
     return F.coalesce(
         detailed,
         F.nullif(F.regexp_replace(tail, "_", " "), F.lit("")),
