@@ -56,19 +56,19 @@ def number_rows(
     by_range = materialize(
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_pos", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_pos", 33)),
+        .withColumn("__pos", F.monotonically_increasing_id())
+        .withColumn("__part", F.shiftright("__pos", 33)),
         "numbered",
     )
-    heads = by_range.groupBy(*group, "_part").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")
+    heads = by_range.groupBy(*group, "__part").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first")
     )
-    w = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    numbered = by_range.join(heads, [*group, "_part"]).withColumn(
-        out, F.col("_pos") - F.col("_first") + F.col("_before")
+    w = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    numbered = by_range.join(heads, [*group, "__part"]).withColumn(
+        out, F.col("__pos") - F.col("__first") + F.col("__before")
     )
-    return numbered.drop("_pos", "_part", "_n", "_first", "_before"), biggest
+    return numbered.drop("__pos", "__part", "__n", "__first", "__before"), biggest
 
 
 def _over(fold: Fold, window) -> Column:
@@ -102,8 +102,8 @@ def running(
     if bound is not None and bound <= seg_rows:
         return df.withColumns({n: _over(f, frame(group, f)) for n, f in folds.items()})
 
-    cut = df.withColumn("_seg", F.expr(f"`{seq}` div {seg_rows}"))
-    keys = [*group, "_seg"]
+    cut = df.withColumn("__seg", F.expr(f"`{seq}` div {seg_rows}"))
+    keys = [*group, "__seg"]
     totals = []
     for name, f in folds.items():
         if f.kind == "last":
@@ -112,7 +112,7 @@ def running(
             totals.append(pick(f.expr, at).alias(name))
         else:
             totals.append(getattr(F, f.kind)(f.expr).alias(name))
-    seg_order = F.desc("_seg") if reverse else F.asc("_seg")
+    seg_order = F.desc("__seg") if reverse else F.asc("__seg")
     before = Window.partitionBy(*group).orderBy(seg_order).rowsBetween(first, -1)
     carried = (
         cut.groupBy(*keys)
@@ -136,7 +136,7 @@ def running(
             merged[n] = F.coalesce(here, carry)
         else:
             merged[n] = (F.greatest if f.kind == "max" else F.least)(here, carry)
-    return out.withColumns(merged).drop("_seg", *[f"_carry_{n}" for n in folds])
+    return out.withColumns(merged).drop("__seg", *[f"_carry_{n}" for n in folds])
 
 
 def medians(

@@ -91,6 +91,18 @@ def _kind(bare: Column) -> Column:
     return out
 
 
+def _parse_error(cut: Column, bare: Column) -> Column:
+    """Set if a text starts with no statement word, or quotes or parentheses do not match."""
+    word = F.lower(_extract(bare, r"^\s*\(*\s*(\w*)"))
+    opened = F.length(F.regexp_replace(bare, r"[^(]", ""))
+    closed = F.length(F.regexp_replace(bare, r"[^)]", ""))
+    wrong = ~word.isin(STATEMENT_WORDS) | (F.size(cut) % 2 == 0) | (opened != closed)
+    return F.when(
+        bare.isNotNull() & (F.trim(bare) != "") & wrong,
+        F.concat(F.lit('syntax error at or near "'), word, F.lit('"')),
+    )
+
+
 def _select_table(flat: Column) -> Column:
     common = _extract(flat, rf"{FOLDED}\s*(?:INSERT\s+INTO|UPDATE(?:\s+ONLY)?|DELETE\s+FROM(?:\s+ONLY)?)\s+{QUALIFIED}")
     name = _extract(flat, rf"\bFROM\s+(?:ONLY\s+)?{QUALIFIED}")
@@ -112,7 +124,9 @@ def with_statement_facts(df: DataFrame, text: str = "query") -> DataFrame:
     df = df.withColumn("_cut", F.when(F.trim(F.col(text)) != "", whole))
     df = df.withColumn("_text", emptied(F.col("_cut")))
     df = df.withColumn("_bare", F.element_at(F.split(F.col("_text"), ";"), 1))
-    df = df.withColumn("_kind", _kind(F.col("_bare")))
+    df = df.withColumn("parse_error", _parse_error(F.col("_cut"), F.col("_bare")))
+    known = F.col("parse_error").isNull()
+    df = df.withColumn("_kind", F.when(known, _kind(F.col("_bare"))))
     df = df.withColumn("_flat", F.when(F.col("_kind") == "select", _folded(F.col("_bare"))))
     cut, bare, kind = F.col("_cut"), F.col("_bare"), F.col("_kind")
 
@@ -160,10 +174,6 @@ def with_statement_facts(df: DataFrame, text: str = "query") -> DataFrame:
         ),
     )
     grants = role_rest.rlike(r"(?is)\bSUPERUSER\b")
-    word = F.lower(_extract(bare, r"^\s*\(*\s*(\w*)"))
-    balanced = (F.size(cut) % 2 == 1) & (
-        F.length(F.regexp_replace(bare, r"[^(]", "")) == F.length(F.regexp_replace(bare, r"[^)]", ""))
-    )
     facts = {
         "table_name": table,
         "is_program": F.when(on("copy"), program != ""),
@@ -183,11 +193,5 @@ def with_statement_facts(df: DataFrame, text: str = "query") -> DataFrame:
         ),
         "setting_value": F.when(on("alter_system"), literal_after(cut, setting)),
         "is_system_config": F.when(on("alter_system"), yes),
-        "parse_error": F.when(
-            bare.isNotNull() & (F.trim(bare) != "") & (~word.isin(STATEMENT_WORDS) | ~balanced),
-            F.concat(F.lit('syntax error at or near "'), word, F.lit('"')),
-        ),
     }
-    ok = facts["parse_error"].isNull()
-    facts = {n: e if n == "parse_error" else F.when(ok, e) for n, e in facts.items()}
     return df.withColumns(facts).drop("_cut", "_text", "_bare", "_kind", "_flat")

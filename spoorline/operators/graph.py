@@ -193,18 +193,20 @@ def edge_mentions(events: DataFrame) -> DataFrame:
     ).select(*SESSION, "_e.*", "seq", "timestamp_unix", "event_id")
 
 
-def merge_nodes(mentions: DataFrame) -> DataFrame:
-    """One row per node: attributes of its first event, time of its last repeat."""
+def merge_nodes(mentions: DataFrame, events: DataFrame) -> DataFrame:
+    """One row per node: attributes of its first event, time of its last repeat.
+
+    Only keys and numbers are aggregated; the attributes are fetched once per
+    node from the event at the node's first position.
+    """
     repeat = (F.count(F.lit(1)) > 1) & (F.col("node_type") != "Session")
-    return (
-        mentions.groupBy(*NODE)
-        .agg(
-            F.min_by(F.struct("timestamp_unix", *ATTRS, *FACTS), "seq").alias("_first"),
-            F.when(repeat, F.max("timestamp_unix")).alias("last_seen"),
-            F.count(F.lit(1)).alias("mentions"),
-        )
-        .select(*NODE, "_first.*", "last_seen", "mentions")
+    first = mentions.groupBy(*NODE).agg(
+        F.min("seq").alias("seq"),
+        F.when(repeat, F.max("timestamp_unix")).alias("last_seen"),
+        F.count(F.lit(1)).alias("mentions"),
     )
+    attributes = events.select(*SESSION, "seq", "timestamp_unix", *ATTRS, *FACTS)
+    return first.join(attributes, [*SESSION, "seq"]).drop("seq")
 
 
 def merge_edges(links: DataFrame) -> DataFrame:
@@ -249,7 +251,7 @@ def build_graphs(
 ) -> SessionGraphs:
     events = materialize(prepared_events(log, spawn_window, bound, seg_rows), "session_events")
     mentions, links = node_mentions(events), edge_mentions(events)
-    return SessionGraphs(events, mentions, links, merge_nodes(mentions), merge_edges(links))
+    return SessionGraphs(events, mentions, links, merge_nodes(mentions, events), merge_edges(links))
 
 
 def session_manifest(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:

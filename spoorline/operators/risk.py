@@ -64,7 +64,7 @@ def chain_scores(
             F.struct(
                 F.lit(i).alias("chain_order"),
                 F.lit(c.scenario).alias("scenario"),
-                F.round(F.lit(float(c.weight)) * F.col(f"_conf{i}"), 4).alias("rule_score"),
+                (F.lit(float(c.weight)) * F.col(f"_conf{i}")).alias("rule_score"),
             ),
         )
     return (

@@ -46,9 +46,11 @@ def provenance(
 
 
 def session_behaviors(
-    graphs: SessionGraphs, rules=RULES, min_confidence: float = 0.0, seg_rows: int = SEG_ROWS
+    prov: Provenance, rules=RULES, min_confidence: float = 0.0, seg_rows: int = SEG_ROWS
 ) -> Behaviors:
-    return behaviors(graphs.nodes, graphs.edges, rules, min_confidence, None, seg_rows)
+    """An event touches at most two edges, and a rule matches an edge at most once."""
+    bound = 2 * len(rules) * prov.largest_session
+    return behaviors(prov.graphs.nodes, prov.graphs.edges, rules, min_confidence, bound, seg_rows)
 
 
 def session_activity(events: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def assessments(
     seg_rows: int = SEG_ROWS,
 ) -> DataFrame:
     """One verdict per session. ``model_scores`` has (run_id, session_key, gat_score)."""
-    found = session_behaviors(prov.graphs, seg_rows=seg_rows)
+    found = session_behaviors(prov, seg_rows=seg_rows)
     rules = best_chain(chain_scores(found.found, chains, found.largest, seg_rows))
     return assess(session_activity(prov.graphs.events), rules, model_scores, theta)
 

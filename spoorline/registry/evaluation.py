@@ -188,10 +188,11 @@ def _runs(spark, d):
     return cm.join(E.ranking(rows, ["fold", "seed"], digits=4), ["fold", "seed"], "left")
 
 
-_RUNS = f"""runs AS ({_with_rates(_cm('fold, seed'), 'fold, seed')})"""
+_EXACT = _with_rates(_cm("fold, seed"), "fold, seed").replace(", 6) AS", ", 15) AS")
+_RUNS = f"runs AS ({_EXACT})"
 _ms = (
-    "round(round_even(avg({0}), 4), 3) AS {0}_mean, "
-    "round(round_even(CASE WHEN count({0}) > 0 THEN COALESCE(stddev_samp({0}), 0) END, 4), 3) AS {0}_std"
+    "round_even(avg({0}), 4) AS {0}_mean, "
+    "round_even(CASE WHEN count({0}) > 0 THEN COALESCE(stddev_samp({0}), 0) END, 4) AS {0}_std"
 )
 _KEYS = ("recall", "fpr", "f1")
 
@@ -205,17 +206,13 @@ def _runs_query(name, sql):
     return add
 
 
-def _short(df):
-    return _rounded(df, *[f"{k}_{m}" for k in _KEYS for m in ("mean", "std")], digits=3)
-
-
 @_runs_query(
     "a15_fold_summary",
     f"SELECT fold, count(*) AS seeds, {', '.join(_ms.format(k) for k in _KEYS)} FROM runs GROUP BY 1",
 )
 def a15(spark, d):
     runs = E.confusion(_verdicts(spark, d), THETA, ["fold", "seed"])
-    return _short(E.fold_summary(runs, _KEYS))
+    return E.fold_summary(runs, _KEYS)
 
 
 @_runs_query(
@@ -225,7 +222,7 @@ def a15(spark, d):
 )
 def a15_macro(spark, d):
     runs = E.confusion(_verdicts(spark, d), THETA, ["fold", "seed"])
-    return _short(E.macro_summary(runs, _KEYS))
+    return E.macro_summary(runs, _KEYS)
 
 
 @_runs_query(
@@ -238,14 +235,14 @@ def a15_pooled(spark, d):
 
 @_runs_query(
     "a16_config_summary",
-    "SELECT fold, metric, count(*) AS seeds, round(round_even(avg(value), 4), 3) AS mean, round(round_even(COALESCE(stddev_samp(value), 0), 4), 3) AS std, "
+    "SELECT fold, metric, count(*) AS seeds, round_even(avg(value), 4) AS mean, round_even(COALESCE(stddev_samp(value), 0), 4) AS std, "
     "round(min(value), 6) AS min, round(max(value), 6) AS max FROM (SELECT fold, 'recall' AS metric, recall AS value FROM runs UNION ALL "
     "SELECT fold, 'fpr', fpr FROM runs UNION ALL SELECT fold, 'f1', f1 FROM runs) GROUP BY 1, 2",
 )
 def a16(spark, d):
     runs = E.confusion(_verdicts(spark, d), THETA, ["fold", "seed"])
     out = E.config_summary(runs, "fold", _KEYS)
-    return _rounded(_rounded(out, "mean", "std", digits=3), "min", "max")
+    return _rounded(out, "min", "max")
 
 
 @query(

@@ -194,7 +194,7 @@ def _chain_parts() -> str:
             prev = f"b{j}"
         parts.append(
             f"SELECT {i} AS chain_order, '{c.scenario}' AS scenario, f.run_id, f.session_key, "
-            f"round({float(c.weight)}::DOUBLE * avg(f.confidence), 4) AS rule_score FROM found f "
+            f"{float(c.weight)}::DOUBLE * avg(f.confidence) AS rule_score FROM found f "
             f"WHERE f.behavior IN ({names}) AND EXISTS (SELECT 1 FROM found b0 {' '.join(joins)} "
             f"WHERE b0.behavior = '{c.labels[0]}' AND b0.run_id = f.run_id AND b0.session_key = f.session_key) "
             "GROUP BY f.run_id, f.session_key"

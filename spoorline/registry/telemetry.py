@@ -43,7 +43,7 @@ def _audit_facts(spark, d):
 
 
 def _found(spark, d):
-    return session_graphs.session_behaviors(_prov(spark, d).graphs)
+    return session_graphs.session_behaviors(_prov(spark, d))
 
 
 def _labels(spark, d):
@@ -709,11 +709,11 @@ def b04(spark, d):
     )
 
 
-@query("b05_chain_rules", "SELECT run_id, session_key, scenario, round(rule_score, 3) AS rule_score FROM best")
+@query("b05_chain_rules", "SELECT run_id, session_key, scenario, round(rule_score, 9) AS rule_score FROM best")
 def b05(spark, d):
     found = _found(spark, d)
     best = risk.best_chain(risk.chain_scores(found.found, bound=found.largest))
-    return best.withColumn("rule_score", F.round("rule_score", 3))
+    return best.withColumn("rule_score", F.round("rule_score", 9))
 
 
 _MODEL = "CASE WHEN session_key % 5 < 2 THEN 0.9 ELSE 0.1 END"
@@ -736,20 +736,20 @@ _ASSESSED = f"""SELECT s.run_id, s.session_key, s.n_events, COALESCE(b.rule_scor
 
 @query(
     "b06_b07_assessments",
-    "SELECT run_id, session_key, n_events, scenario, round(rule_score, 3) AS rule_score, gat_score, round(risk, 3) AS risk, "
+    "SELECT run_id, session_key, n_events, scenario, round(rule_score, 9) AS rule_score, gat_score, round(risk, 9) AS risk, "
     f"CASE WHEN risk >= 0.55 THEN 'alert' ELSE 'benign' END AS status FROM ({_ASSESSED})",
 )
 def b06(spark, d):
     return _assessed(spark, d).select(
-        *SESSION, "n_events", "scenario", F.round("rule_score", 3).alias("rule_score"), "gat_score",
-        F.round("risk", 3).alias("risk"), "status",
+        *SESSION, "n_events", "scenario", F.round("rule_score", 9).alias("rule_score"), "gat_score",
+        F.round("risk", 9).alias("risk"), "status",
     )
 
 
 _BUCKETS = ", ".join(
     f"len(list_filter(hs, lambda h: h = {i}))::DOUBLE AS h{i}" for i in range(features.BUCKETS)
 )
-_FEATURES = f"""all_nodes AS (SELECT run_id, session_key, node_type, node_key, text, timestamp_unix, 0.0 AS confidence, 0.0 AS s_sem FROM texts
+_FEATURES = f"""all_nodes AS (SELECT run_id, session_key, node_type, node_key, text, timestamp_unix, 0.0::DOUBLE AS confidence, 0.0::DOUBLE AS s_sem FROM texts
  UNION ALL SELECT run_id, session_key, 'Behavior', chain_no::VARCHAR, label, timestamp_unix, confidence, s_sem FROM found),
 evidence AS (SELECT run_id, session_key, src_type, src_key, chain_no FROM found
  UNION SELECT run_id, session_key, dst_type, dst_key, chain_no FROM found),
@@ -781,8 +781,8 @@ def b08(spark, d):
 
 
 def _feature_tables(spark, d):
-    g = _prov(spark, d).graphs
-    found = session_graphs.session_behaviors(g)
+    prov = _prov(spark, d)
+    g, found = prov.graphs, session_graphs.session_behaviors(prov)
     nodes = features.all_nodes(g.nodes, found.found)
     edges = features.all_edges(g.edges, B.evidence_edges(found.found), found.chain)
     return nodes, edges

@@ -1,0 +1,365 @@
+"""Live attribution and scoring of two growing logs.
+
+Every micro-batch is processed with the batch operators. What a batch needs to
+know of the past is itself a small event table: the current parent link of each
+process, the first audit event of each open session, the kernel events that
+still wait for a session, and the audit events of the retry window. Attribution
+of that table together with the new events gives what a full replay gives.
+State and output are written per batch number, so a repeated batch overwrites
+its own results and nothing is counted twice.
+"""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spoorline import schemas
+from spoorline.functions.ordered import Fold, number_rows, running
+from spoorline.operators import behaviors as B
+from spoorline.operators import graph, risk
+from spoorline.operators.attribution import (
+    D_MAX, RETRY_WINDOW_S, SESSION, attribute, parent_links, session_of_audit,
+)
+from spoorline.schemas import AUDIT_FIELDS, KERNEL_FIELDS
+from spoorline.sources.logs import folder_of_file
+
+EVENT_FIELDS = ["run_id", "source", "timestamp_unix", "pid"] + [
+    f for f in KERNEL_FIELDS + AUDIT_FIELDS if f != "pid"
+]
+OPEN = [*SESSION, "opened_in"]
+LATE_S = 5.0
+
+
+def raw_stream(spark: SparkSession, kernel_path: str, audit_path: str, **options) -> DataFrame:
+    """Both logs as one stream of raw rows; malformed lines keep their text."""
+
+    def side(path, schema, source):
+        reader = (
+            spark.readStream.schema(schema)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt_record")
+            .options(**options)
+        )
+        return reader.json(path).select(
+            folder_of_file().alias("run_id"),
+            F.lit(source).alias("source"),
+            F.col("_metadata.file_name").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            *[
+                F.col(c).cast("string").alias(c) if c == "timestamp" else F.col(c)
+                for c in schema.fieldNames()
+            ],
+        )
+
+    kernel = side(kernel_path, schemas.KERNEL_RAW, "kernel")
+    audit = side(audit_path, schemas.AUDIT_RAW, "postgres")
+    return kernel.unionByName(audit, allowMissingColumns=True)
+
+
+@dataclass
+class LiveEngine:
+    """``model_scores`` maps (nodes, edges, behaviors) to (run_id, session_key, gat_score)."""
+
+    spark: SparkSession
+    root: str
+    theta: float = risk.THETA
+    reorder_s: float = 1.0
+    idle_s: float = 60.0
+    settle_s: float = 1.5
+    retry_window: float = RETRY_WINDOW_S
+    d_max: int = D_MAX
+    keep_ended_s: float = 3600.0
+    model_scores: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None
+
+    # -- tables per batch
+
+    def _path(self, name: str, batch: int) -> str:
+        return f"{self.root}/{name}/batch={batch}"
+
+    def _state(self, name: str, batch: int) -> DataFrame | None:
+        if batch <= 0:
+            return None
+        return self.spark.read.parquet(self._path(f"state/{name}", batch - 1))
+
+    def _save(self, df: DataFrame, name: str, batch: int) -> DataFrame:
+        path = self._path(name, batch)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def table(self, name: str) -> DataFrame:
+        """All rows of an output table: attributed, scores, alerts, timings, late or malformed."""
+        return self.spark.read.option("basePath", f"{self.root}/{name}").parquet(
+            f"{self.root}/{name}/batch=*"
+        )
+
+    # -- one batch
+
+    def start(self, stream: DataFrame, checkpoint: str, **trigger):
+        """Run over a stream of raw rows, e.g. ``availableNow=True`` or ``processingTime="2 seconds"``."""
+        return (
+            stream.writeStream.foreachBatch(self.process)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**trigger)
+            .start()
+        )
+
+    def process(self, raw: DataFrame, batch: int, drain: bool = False) -> None:
+        began = time.time()
+        raw = self._save(raw.withColumn("row", F.monotonically_increasing_id()), "raw", batch)
+        self._save(
+            raw.where("_corrupt_record IS NOT NULL").select("run_id", "source", "_corrupt_record"),
+            "malformed",
+            batch,
+        )
+        rows = raw.where("_corrupt_record IS NULL")
+        arrived = self._calibrated(rows, batch)
+        events, watermark = self._released(arrived, batch, drain)
+        resolved, fresh_ends = self._attributed(events, rows, watermark, batch)
+        sessions = self._sessions(resolved, fresh_ends, watermark, batch, drain)
+        self._score(sessions, batch, began)
+
+    def finish(self, batch: int) -> None:
+        """Drain: release what is held back and give every open session its final score."""
+        empty = self.spark.read.parquet(self._path("raw", batch - 1)).drop("row").limit(0)
+        self.process(empty, batch, drain=True)
+
+    def _calibrated(self, rows: DataFrame, batch: int) -> DataFrame:
+        """New events on the wall clock. Each LOGGING_START re-anchors the kernel clock."""
+        kernel = rows.where("source = 'kernel'")
+        placed, bound = number_rows(kernel, ["run_id"], ["file", "block", "row"], "_at")
+        is_start = F.coalesce(F.col("marker") == "LOGGING_START", F.lit(False))
+        fold = {"_anchor": Fold("sum", is_start.cast("long"), inclusive=True)}
+        placed = running(placed, ["run_id"], "_at", fold, bound)
+        event = F.col("marker").isNull()
+        found = placed.groupBy("run_id", "_anchor").agg(
+            F.max(F.when(is_start, F.col("timestamp").cast("double"))).alias("start_s"),
+            F.min_by(F.when(event, F.col("timestamp").cast("long")), F.when(event, F.col("_at"))).alias(
+                "first_ns"
+            ),
+        )
+        known = self._state("anchors", batch)
+        if known is None:
+            known = self.spark.createDataFrame([], "run_id string, start_s double, first_ns long")
+        known = known.select(
+            "run_id",
+            F.lit(0).cast("long").alias("_anchor"),
+            F.col("start_s").alias("k_start"),
+            F.col("first_ns").alias("k_ns"),
+        )
+        anchors = found.join(known, ["run_id", "_anchor"], "full_outer").select(
+            "run_id",
+            "_anchor",
+            F.coalesce("start_s", "k_start").alias("start_s"),
+            F.coalesce("k_ns", "first_ns").alias("first_ns"),
+        )
+        anchors = self._save(anchors, "anchors", batch)
+        last = anchors.where("start_s IS NOT NULL").groupBy("run_id").agg(
+            F.max_by(F.struct("start_s", "first_ns"), "_anchor").alias("_l")
+        )
+        self._save(last.select("run_id", "_l.*"), "state/anchors", batch)
+        offset = F.col("start_s") - F.col("first_ns") / F.lit(1e9)
+        clocked = (
+            placed.where(event)
+            .join(anchors.select("run_id", "_anchor", offset.alias("_offset")), ["run_id", "_anchor"])
+            .where("_offset IS NOT NULL")
+            .withColumn(
+                "timestamp_unix", F.col("timestamp").cast("long") / F.lit(1e9) + F.col("_offset")
+            )
+        )
+        audit = rows.where("source = 'postgres' AND marker IS NULL").withColumns(
+            {"timestamp_unix": F.col("timestamp").cast("double"), "pid": F.col("backend_pid")}
+        )
+        order = [F.struct("file", "block", "row").alias("pos")]
+        return clocked.select(*EVENT_FIELDS, *order).unionByName(audit.select(*EVENT_FIELDS, *order))
+
+    def _released(self, arrived: DataFrame, batch: int, drain: bool):
+        """Events past the reorder delay, numbered on from the batches before."""
+        held = self._state("held", batch)
+        waiting = arrived if held is None else held.unionByName(arrived)
+        waiting = self._save(waiting, "waiting", batch)
+        clock = self._state("clock", batch)
+        seen = waiting.agg(F.max("timestamp_unix").alias("watermark"))
+        if clock is not None:
+            seen = seen.unionByName(clock).agg(F.max("watermark").alias("watermark"))
+        seen = self._save(seen, "state/clock", batch)
+        newest = seen.first()[0] or 0.0
+        watermark = newest if drain else newest - self.reorder_s
+        late = F.col("timestamp_unix") > watermark
+        self._save(waiting.where(late), "state/held", batch)
+        ready = waiting.where(~late).withColumn(
+            "source_rank", (F.col("source") == "postgres").cast("int")
+        )
+        numbered, _ = number_rows(ready, ["run_id"], ["timestamp_unix", "source_rank", "pos"], "_no")
+        counts = self._state("counts", batch)
+        if counts is None:
+            counts = self.spark.createDataFrame([], "run_id string, next_id long")
+        numbered = numbered.join(counts, "run_id", "left").withColumn(
+            "event_id", F.coalesce("next_id", F.lit(0)) + F.col("_no")
+        )
+        events = self._save(numbered.drop("_no", "next_id", "pos", "source_rank"), "events", batch)
+        fresh = events.groupBy("run_id").agg((F.max("event_id") + 1).alias("next_id"))
+        grown = counts.unionByName(fresh).groupBy("run_id").agg(F.max("next_id").alias("next_id"))
+        self._save(grown, "state/counts", batch)
+        return events, watermark
+
+    def _attributed(self, events: DataFrame, rows: DataFrame, watermark: float, batch: int):
+        past = self._state("past", batch)
+        now = events.withColumn("kind", F.lit("new"))
+        known = now if past is None else past.unionByName(now)
+        known = self._save(known, "known", batch)
+        pairs = attribute(known, self.d_max, self.retry_window)
+        open_rows = known.where(F.col("kind").isin("new", "pending"))
+        resolved = self._save(
+            open_rows.join(pairs, ["run_id", "event_id"]).drop("kind"), "resolved", batch
+        )
+
+        ends = rows.where("marker = 'SESSION_END'").select(
+            "run_id",
+            F.col("backend_pid").alias("session_key"),
+            F.col("timestamp").cast("double").alias("end_ts"),
+        )
+        earlier = self._state("ends", batch)
+        ends = ends if earlier is None else earlier.unionByName(ends)
+        ends = self._save(
+            ends.groupBy(*SESSION).agg(F.max("end_ts").alias("end_ts")).where(
+                F.col("end_ts") > watermark - self.keep_ended_s
+            ),
+            "state/ends",
+            batch,
+        )
+        closing = ends.where(F.col("end_ts") + self.settle_s <= watermark)
+
+        links = parent_links(known).groupBy("run_id", "pid").agg(F.max("since").alias("event_id"))
+        current = known.join(links.drop("pid"), ["run_id", "event_id"], "left_semi")
+        audits = known.where("source = 'postgres'").withColumn("session_key", session_of_audit())
+        alive = audits.join(
+            closing.select(*SESSION, "end_ts"), SESSION, "left"
+        ).where(F.col("end_ts").isNull() | (F.col("timestamp_unix") > F.col("end_ts") + self.settle_s))
+        first = alive.groupBy(*SESSION).agg(F.min("event_id").alias("event_id"))
+        opened = alive.join(first.drop("session_key"), ["run_id", "event_id"], "left_semi")
+        recent = alive.where(F.col("timestamp_unix") >= watermark - self.retry_window)
+        columns = [c for c in known.columns if c != "kind"]
+        kept = (
+            current.select(*columns)
+            .unionByName(opened.select(*columns))
+            .unionByName(recent.select(*columns))
+            .dropDuplicates(["run_id", "event_id"])
+        )
+        pending = (
+            open_rows.where("source = 'kernel'")
+            .join(resolved, ["run_id", "event_id"], "left_anti")
+            .where(F.col("timestamp_unix") >= watermark - self.retry_window)
+            .withColumn("kind", F.lit("pending"))
+        )
+        kept = kept.join(pending, ["run_id", "event_id"], "left_anti").withColumn("kind", F.lit("kept"))
+        self._save(kept.unionByName(pending), "state/past", batch)
+        return resolved, ends
+
+    def _sessions(self, resolved, ends, watermark: float, batch: int, drain: bool) -> DataFrame:
+        """Open sessions with what is new, and whether this batch closes them."""
+        before = self._state("sessions", batch)
+        if before is None:
+            before = self.spark.createDataFrame(
+                [],
+                "run_id string, session_key long, opened_in int, last_ts double, alerted boolean",
+            )
+        ended = self._state("ended", batch)
+        if ended is None:
+            ended = self.spark.createDataFrame([], "run_id string, session_key long, end_ts double")
+        late = resolved.join(ended, SESSION).where(F.col("timestamp_unix") <= F.col("end_ts") + LATE_S)
+        self._save(late.select(*SESSION, "event_id", "timestamp_unix", "end_ts"), "late", batch)
+
+        fresh = resolved.groupBy(*SESSION).agg(F.max("timestamp_unix").alias("new_ts"))
+        merged = before.join(fresh, SESSION, "full_outer").select(
+            *SESSION,
+            F.coalesce("opened_in", F.lit(batch)).alias("opened_in"),
+            F.greatest("last_ts", "new_ts").alias("last_ts"),
+            F.coalesce("alerted", F.lit(False)).alias("alerted"),
+            F.col("new_ts").isNotNull().alias("dirty"),
+        )
+        over = F.lit(drain) | (F.col("last_ts") <= watermark - self.idle_s)
+        closes = ends.where(F.col("end_ts") + self.settle_s <= watermark)
+        sessions = (
+            merged.join(closes, SESSION, "left")
+            .withColumn("final", over | F.coalesce(F.col("end_ts") >= F.col("last_ts") - LATE_S, F.lit(False)))
+        )
+        sessions = self._save(sessions, "sessions", batch)
+        numbered = resolved.join(sessions.select(*OPEN), SESSION)
+        self._save(numbered, "attributed", batch)
+        gone = sessions.where("final AND end_ts IS NOT NULL").select(*SESSION, "end_ts")
+        self._save(
+            ended.unionByName(gone)
+            .groupBy(*SESSION).agg(F.max("end_ts").alias("end_ts"))
+            .where(F.col("end_ts") > watermark - self.keep_ended_s),
+            "state/ended",
+            batch,
+        )
+        return sessions
+
+    def _score(self, sessions: DataFrame, batch: int, began: float) -> None:
+        """Rebuild the graphs of changed and closing sessions and write their verdicts."""
+        due = sessions.where("dirty OR final")
+        oldest = due.agg(F.min("opened_in")).first()[0]
+        if oldest is None:
+            oldest = batch
+        events = (
+            self.table("attributed")
+            .where(F.col("batch").between(oldest, batch))
+            .join(due.select(*OPEN), OPEN, "left_semi")
+            # a pid that is used again is another session
+            .withColumn("run_id", F.concat_ws("@", "run_id", "opened_in"))
+            .withColumn("waited", F.col("resolved_at") != F.col("event_id"))
+        )
+        order = ["timestamp_unix", "resolved_at", "waited", "event_id"]
+        log, largest = number_rows(events, SESSION, order, "seq")
+        graphs = graph.build_graphs(log, bound=largest)
+        found = B.behaviors(
+            graphs.nodes, graphs.edges, bound=2 * len(B.RULES) * largest
+        )
+        rules = risk.best_chain(risk.chain_scores(found.found, bound=found.largest))
+        activity = graphs.events.groupBy(*SESSION).agg(
+            F.count(F.lit(1)).alias("n_events"), F.max("timestamp_unix").alias("last_event_ts")
+        )
+        if self.model_scores:
+            model = self.model_scores(graphs.nodes, graphs.edges, found.found)
+        else:
+            model = activity.select(*SESSION, F.lit(0.0).alias("gat_score"))
+        kinds = found.found.groupBy(*SESSION).agg(
+            F.array_sort(F.collect_set("behavior")).alias("behaviors")  # at most one per rule
+        )
+        sizes = graphs.nodes.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("n_nodes"))
+        scored = risk.assess(activity, rules, model, self.theta)
+        for extra in (kinds, sizes):
+            scored = scored.join(extra, SESSION, "left")
+        opened = F.element_at(F.split("run_id", "@"), -1).cast("int")
+        scored = (
+            scored.withColumns(
+                {"opened_in": opened, "run_id": F.regexp_replace("run_id", "@[^@]*$", "")}
+            )
+            .join(due.select(*OPEN, "alerted", "final"), OPEN)
+            .withColumn("scored_at", F.unix_micros(F.current_timestamp()) / 1e6)
+        )
+        scored = self._save(scored, "scored", batch)
+        first = scored.where("status <> 'benign' AND NOT alerted").withColumn(
+            "detection_latency_s", F.col("scored_at") - F.col("last_event_ts")
+        )
+        self._save(first.drop("alerted"), "alerts", batch)
+        self._save(scored.where("final").drop("alerted"), "scores", batch)
+        now_alerted = scored.where("status <> 'benign'").select(*OPEN, F.lit(True).alias("_a"))
+        rest = sessions.where("NOT final").join(now_alerted, OPEN, "left")
+        self._save(
+            rest.select(*OPEN, "last_ts", F.coalesce("_a", "alerted").alias("alerted")),
+            "state/sessions",
+            batch,
+        )
+        spent = (time.time() - began) * 1e3
+        self._save(
+            scored.select(*OPEN, "final", "n_events", "n_nodes", F.lit(spent).alias("total_ms")),
+            "timings",
+            batch,
+        )
