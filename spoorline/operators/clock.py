@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.functions.ordered import SEG_ROWS, number_rows
+from spoorline.functions.ordered import SEG_ROWS, largest_group, number_rows
 from spoorline.schemas import AUDIT_FIELDS, KERNEL_FIELDS
 from spoorline.session import materialize
 
@@ -70,7 +70,9 @@ def master_log(cap, seg_rows: int = SEG_ROWS) -> tuple[DataFrame, int]:
     """Calibrated, merged and numbered log of all runs, with the size of the largest run."""
     offsets = clock_offsets(cap.kernel, cap.control, cap.time_sync)
     merged = union_logs(calibrate(cap.kernel, offsets), cap.audit)
+    rows = cap.kernel.select("run_id").union(cap.audit.select("run_id"))
+    bound = largest_group(rows, ["run_id"])
     numbered, largest = number_rows(
-        merged, ["run_id"], ["timestamp_unix", "source_rank", "pos"], "event_id", seg_rows
+        merged, ["run_id"], ["timestamp_unix", "source_rank", "pos"], "event_id", seg_rows, bound
     )
     return materialize(numbered, "events"), largest

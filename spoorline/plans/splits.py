@@ -27,20 +27,16 @@ def family_disjoint(
 ) -> DataFrame:
     """Families of dev without those of test, each in train or validation.
 
-    Fails while running if fewer than two families remain.
+    Fails if fewer than two families remain.
     """
     rest = dev.select("family").distinct().join(test.select("family"), "family", "left_anti")
     ranked = rest.select("family", F.lit(1).alias("_g"), seeded(F.col("family"), seed=seed).alias("_h"))
-    placed, _ = number_rows(ranked, ["_g"], ["_h", "family"], "_at", seg_rows)
-    total = rest.agg(F.count(F.lit(1)).alias("_n"))
-    n_train = F.greatest(
-        F.lit(1), F.least(F.floor(F.col("_n") * ratio), F.col("_n") - 1)
-    )
-    enough = F.when(F.col("_n") < 2, F.raise_error(F.lit("fewer than two families remain")))
+    placed, n = number_rows(ranked, ["_g"], ["_h", "family"], "_at", seg_rows)
+    if n < 2:
+        raise ValueError("fewer than two families remain")
+    n_train = max(1, min(int(n * ratio), n - 1))
     part = F.when(F.col("_at") < n_train, F.lit("train")).otherwise(F.lit("val"))
-    return placed.join(F.broadcast(total)).select(  # one row
-        "family", F.coalesce(enough.cast("string"), part).alias("split")
-    )
+    return placed.select("family", part.alias("split"))
 
 
 def with_split(rows: DataFrame, families: DataFrame) -> DataFrame:
@@ -83,22 +79,21 @@ def rotated_folds(templates: DataFrame) -> DataFrame:
     per template; their number is that of scenario kinds, not of sessions.
     """
     by_class = Window.partitionBy("y").orderBy("template")
-    all_of = Window.partitionBy("y")
+    everything = Window.partitionBy(F.lit(0))
     placed = templates.select(
         "template",
         "y",
         (F.row_number().over(by_class) - 1).alias("at"),
-        F.count(F.lit(1)).over(all_of).alias("n"),
+        F.count(F.lit(1)).over(Window.partitionBy("y")).alias("n"),
+        F.count_if(F.col("y") == 1).over(everything).alias("folds"),
     )
     folds = placed.where("y = 1").select(F.col("template").alias("fold"), F.col("at").alias("i"))
     is_test = F.col("at") == F.col("i") % F.col("n")
     is_val = F.col("at") == (F.col("i") + 1) % F.col("n")
     part = F.when(is_test, "test").when(is_val, "val").otherwise("train")
-    number = F.sequence(F.lit(0), F.max("i"))
-    # every fold holds every template once: the fold numbers are unrolled per template
-    per_template = placed.join(F.broadcast(folds.agg(number.alias("_all")))).select(
-        "template", "y", "at", "n", F.explode("_all").alias("i")
-    )
+    # every fold lists every template: the fold numbers are unrolled per template
+    numbers = F.explode(F.sequence(F.lit(0), F.col("folds").cast("int") - 1)).alias("i")
+    per_template = placed.where("folds > 0").select("template", "y", "at", "n", numbers)
     return per_template.join(folds, "i").select("fold", "template", "y", part.alias("part"))
 
 

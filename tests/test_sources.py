@@ -124,3 +124,26 @@ def test_stored_graphs(spark):
     ours = beh.select("file", F.col("id").alias("src"), F.lead("id").over(w).alias("dst")).where("dst IS NOT NULL")
     stored = edges.where(at["rel"] == "precedes").select("file", "src", "dst")
     assert stored.count() > 0 and ours.exceptAll(stored).count() == 0 and stored.exceptAll(ours).count() == 0
+
+
+@pytest.mark.skipif(not GRAPHML, reason="SPOORLINE_GRAPHML names no folder of graph files")
+def test_stored_behaviors(spark):
+    """The rules find the behaviors that stored graphs contain, no more and no fewer."""
+    from spoorline.operators.behaviors import match_behaviors
+
+    graphs = logs.read_graphml(spark, GRAPHML).cache()
+    at = F.col("attrs")
+    raw = logs.graphml_nodes(graphs).select(
+        F.col("file").alias("run_id"), F.lit(0).cast("long").alias("session_key"), "id", at["type"].alias("node_type"),
+        F.when(at["type"] == "Table", at["table_name"]).otherwise(F.col("id")).alias("node_key"),
+        *[at[c].alias(c) for c in ("query", "comm", "arg", "dest_ip", "behavior_label")],
+        at["timestamp_unix"].cast("double").alias("timestamp_unix"), at["s_temp"].cast("double").alias("s_temp"),
+    ).cache()
+    end = lambda s: raw.select("run_id", F.col("id").alias(s), F.col("node_type").alias(f"{s}_type"), F.col("node_key").alias(f"{s}_key"))
+    edges = logs.graphml_edges(graphs).select(F.col("file").alias("run_id"), "src", "dst", at["rel"].alias("rel"))
+    edges = edges.join(end("src"), ["run_id", "src"]).join(end("dst"), ["run_id", "dst"]).withColumn("session_key", F.lit(0).cast("long"))
+    found = match_behaviors(raw, edges)
+    ours = found.select("run_id", "behavior", F.col("s_temp").cast("string"))
+    stored = raw.where("node_type = 'Behavior'").select("run_id", F.col("behavior_label").alias("behavior"), F.col("s_temp").cast("string"))
+    assert stored.count() > 0
+    assert ours.exceptAll(stored).count() == 0 and stored.exceptAll(ours).count() == 0
