@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NESTING = 16  # depth of parentheses that is folded away in a SELECT
 FOLDED = "§"
 
 FACTS = [
@@ -68,9 +67,16 @@ def _extract(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _folded(bare: Column) -> Column:
-    for _ in range(NESTING):
-        bare = F.regexp_replace(bare, r"\([^()]*\)", f" {FOLDED} ")
-    return bare
+    """Parentheses and their contents replaced by a mark, innermost first, until none is left."""
+    opened = F.length(bare) - F.length(F.replace(bare, F.lit("("), F.lit("")))
+
+    def fold(text, _):
+        inner = F.regexp_replace(text, r"\([^()]*\)", f" {FOLDED} ")
+        return F.when(F.instr(text, "(") == 0, text).otherwise(inner)
+
+    return F.when(opened == 0, bare).otherwise(
+        F.aggregate(F.sequence(F.lit(1), F.greatest(opened, F.lit(1))), bare, fold)
+    )
 
 
 def _kind(bare: Column) -> Column:
@@ -94,8 +100,7 @@ def _kind(bare: Column) -> Column:
 def _parse_error(cut: Column, bare: Column) -> Column:
     """Set if a text starts with no statement word, or quotes or parentheses do not match."""
     word = F.lower(_extract(bare, r"^\s*\(*\s*(\w*)"))
-    opened = F.length(F.regexp_replace(bare, r"[^(]", ""))
-    closed = F.length(F.regexp_replace(bare, r"[^)]", ""))
+    opened, closed = (F.length(F.replace(bare, F.lit(c), F.lit(""))) for c in "()")
     wrong = ~word.isin(STATEMENT_WORDS) | (F.size(cut) % 2 == 0) | (opened != closed)
     return F.when(
         bare.isNotNull() & (F.trim(bare) != "") & wrong,

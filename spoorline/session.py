@@ -19,6 +19,8 @@ def build_session(app: str = "spoorline", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # statement parsing is work per row, so small shuffles keep all cores busy as well
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # call sites per column expression cost more than building the plans
         "spark.python.sql.dataFrameDebugging.enabled": "false",
