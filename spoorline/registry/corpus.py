@@ -9,7 +9,6 @@ from spoorline.operators.attribution import SESSION
 from spoorline.plans import leakage, live, prefixes, quality, session_graphs, splits
 from spoorline.registry.oracle import with_ctes
 from spoorline.registry.telemetry import _MASK, _graph_files, _prov, _statements
-from spoorline.session import fresh_path
 from spoorline.sources import logs, tables
 
 QUERIES, ORACLE = {}, {}

@@ -51,8 +51,6 @@ _TABLE = f"""CASE kind WHEN 'copy' THEN {_ident(_rx('bare', r'^\s*COPY\s+' + _QU
    ELSE {_ident(_rx('flat', _FROM + _QUAL))} END END"""
 _SHELL = _rx("query", r"^\s*COPY\b.*\b(?:TO|FROM)\s+PROGRAM\s+'((?:[^']|'')*)'")
 
-FACTS_SQL = f"""kind = 'copy' AND {_is('bare', r"PROGRAM\s+'")}"""
-
 CTES = {
     "offsets": """SELECT k.run_id, COALESCE(c."timestamp" - k.first_ns / 1e9, t.server_boot_unix_time) AS clock_offset
  FROM (SELECT run_id, arg_min("timestamp", pos) AS first_ns FROM kernel GROUP BY 1) k

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.functions.ordered import SEG_ROWS
 from spoorline.functions.sqlfacts import STATEMENT_WORDS, with_statement_facts
 from spoorline.functions.text import copied_query, hostnames, mask_literals, sequence_fingerprint
 from spoorline.operators import behaviors as B
@@ -496,7 +495,7 @@ def a04(spark, d):
     return graph.session_manifest(g.nodes, g.edges, _labels(spark, d))
 
 
-def _edges_of(name, where, columns=("first_seen",)):
+def _edges_of(name, where):
     @query(
         name,
         "SELECT run_id, session_key, src_type, src_key, dst_type, dst_key, \"count\", round(first_seen, 6) AS first_seen "
