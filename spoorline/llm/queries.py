@@ -22,8 +22,28 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm.chat import format_turns, read_back, with_conflict
+
+    return read_back(format_turns(with_conflict(table(spark, sf_dir, "conversations"))))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spoorline.llm.bpe import encode_digests
+
+    return encode_digests(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op7_secret_scans": op7_secret_scans,
+    "op8_chat_formatting": op8_chat_formatting,
 }
 
 ORACLE: dict[str, str] = {}
