@@ -40,10 +40,23 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spoorline.llm.packing import pack, tiktoken_ids
+
+    # the same vocabulary as byte_bpe_50k.json, in the form that the faster library reads
+    encoder = tiktoken_ids(
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return pack(table(spark, sf_dir, "documents"), encoder)
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op7_secret_scans": op7_secret_scans,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {}
