@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.llm.common import SLICE
+from spoorline.llm.common import SLICE, slices
 
 JOINER = "⁠"
 MARKS = {
@@ -93,8 +93,7 @@ def _stream(df: DataFrame, step, schema: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, SLICE):
                 yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,14 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that become Python objects at a time; texts may be long.
+#: Rows and bytes that become Python objects at a time; a single longer text goes alone.
 SLICE = 256
+SLICE_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows and about ``SLICE_BYTES`` bytes."""
+    if batch.num_rows > rows or batch.num_rows > 1 and batch.nbytes > SLICE_BYTES:
+        half = min(rows, batch.num_rows // 2)
+        yield from slices(batch.slice(0, half), rows)
+        yield from slices(batch.slice(half), rows)
+    elif batch.num_rows:
+        yield batch
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[list[tuple]], dict[str, list]]],
@@ -39,8 +50,7 @@ def map_rows(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows):
                 work = work or make()
                 out = work(list(zip(*(c.to_pylist() for c in part.columns), strict=True)))
                 yield pa.RecordBatch.from_arrays(

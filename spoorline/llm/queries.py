@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from spoorline.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spoorline.llm.langid import fold, pieces_of_model, predict, train
+
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", (fold("doc_id", 4) == 2).alias("held_out")
+    )
+    pieces = pieces_of_model(public_tokenizers.path("piece_bpe_32k.model"))
+    trained = train(docs.where(~F.col("held_out")), pieces)
+    return predict(docs, trained).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoorline.llm.secrets import find_secrets
 
@@ -53,6 +68,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_secret_scans": op7_secret_scans,
     "op8_chat_formatting": op8_chat_formatting,
