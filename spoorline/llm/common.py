@@ -20,11 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     """Parts of at most ``rows`` rows and about ``SLICE_BYTES`` bytes."""
-    if batch.num_rows > rows or batch.num_rows > 1 and batch.nbytes > SLICE_BYTES:
-        half = min(rows, batch.num_rows // 2)
-        yield from slices(batch.slice(0, half), rows)
-        yield from slices(batch.slice(half), rows)
-    elif batch.num_rows:
+    for at in range(0, batch.num_rows, rows):
+        yield from _halves(batch.slice(at, rows))
+
+
+def _halves(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows > 1 and batch.nbytes > SLICE_BYTES:
+        half = batch.num_rows // 2
+        yield from _halves(batch.slice(0, half))
+        yield from _halves(batch.slice(half))
+    else:
         yield batch
 
 
