@@ -43,6 +43,21 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(with_conflict(table(spark, sf_dir, "conversations"))))
 
 
+def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm.langid import fold
+    from spoorline.llm.quality_knn import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 3) == 1
+    model = train(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    return score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +84,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_quality_votes": op2_quality_votes,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_secret_scans": op7_secret_scans,
     "op8_chat_formatting": op8_chat_formatting,
