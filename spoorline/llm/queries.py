@@ -23,6 +23,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm.quality_rules import judge
+
+    labels = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge(docs, labels.where("quality = 1").select("doc_id")).select(
+        "_doc.doc_id",
+        *[f"_rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        F.col("_failed").alias("base_failed"),
+        F.col("_kept").alias("kept"),
+        F.round("_rules.score", 6).alias("score"),
+    )
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoorline.llm.secrets import find_secrets
 
@@ -86,6 +100,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_votes": op2_quality_votes,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
