@@ -23,6 +23,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoorline.llm.quality_rules import judge
 
@@ -100,6 +106,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_votes": op2_quality_votes,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_ngram_join": op5_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
     "op8_chat_formatting": op8_chat_formatting,
