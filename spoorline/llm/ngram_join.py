@@ -196,23 +196,18 @@ class JaccardJoin:
         self.links, self.roots = self._join()
 
     def _join(self) -> tuple[DataFrame, DataFrame]:
-        percent = self.percent
         firsts = self.classes.select("node")
         nodes = self.rows.join(firsts, F.col("row") == F.col("node")).select("node", "n", "prefix")
         entries = nodes.select("node", "n", F.explode("prefix").alias("shingle"))
         groups = (
             entries.groupBy("shingle")
-            .agg(
-                F.min(F.struct("node", "n")).alias("hub"),
-                F.max("node").alias("last"),
-                F.count(F.lit(1)).alias("members"),
-            )
-            .where(F.col("hub.node") != F.col("last"))
-            .select("shingle", F.expr("hub.node AS hub"), F.expr("hub.n AS hub_n"), "members")
+            .agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members"))
+            .where("hub < last")
+            .select("shingle", "hub", "members")
         )
-        shared = materialize(entries.join(groups, "shingle"), "shared")
+        shared = materialize(entries.join(materialize(groups, "groups"), "shingle"), "shared")
         pairs = (
-            shared.where((F.col("node") != F.col("hub")) & _may_link(F.col("n"), F.col("hub_n"), percent))
+            shared.where(F.col("node") != F.col("hub"))
             .groupBy(F.col("hub").alias("a"), F.col("node").alias("b"))
             .agg(F.count(F.lit(1)).alias("seen"))
         )
@@ -237,6 +232,7 @@ class JaccardJoin:
         left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
         right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
         both = pairs.join(right, "b").join(left, "a")
+        both = both.where(_may_link(F.col("na"), F.col("nb"), self.percent))
         most = F.size(F.array_intersect("pa", "pb")) + F.greatest(
             F.col("na") - F.size("pa"), F.col("nb") - F.size("pb")
         )

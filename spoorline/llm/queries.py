@@ -102,6 +102,19 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), encoder)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm.line_dedup import dedup_lines, lines_of
+
+    kept = F.coalesce("_kept", F.lit(""))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "_doc.doc_id",
+        F.size(lines_of(F.coalesce("_doc.text", F.lit("")))).cast("long").alias("n_lines"),
+        F.size(lines_of(kept)).cast("long").alias("n_kept"),
+        F.length(kept).cast("long").alias("kept_chars"),
+        F.md5(kept.cast("binary")).alias("kept_md5"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_votes": op2_quality_votes,
@@ -111,6 +124,49 @@ QUERIES = {
     "op7_secret_scans": op7_secret_scans,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+OP10_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?] |\n)', '\1' || chr(1), 'g'), chr(1)) AS parts
+    FROM documents
+), all_lines AS (
+    SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS line FROM docs
+), lines AS (
+    SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM all_lines
+), full_lines AS (
+    SELECT doc_id, line, t, len(regexp_split_to_array(t, '[\x20\x09-\x0D]+')) AS words,
+        lead(t) OVER w AS next_t, lead(line) OVER w AS next_line
+    FROM lines WHERE t <> ''
+    WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+), windows AS (
+    SELECT *, row_number() OVER (PARTITION BY t, next_t ORDER BY doc_id, line) > 1 AS again
+    FROM full_lines WHERE next_t IS NOT NULL
+), starts AS (
+    SELECT *, coalesce(lag(next_line) OVER (PARTITION BY doc_id ORDER BY line) <> line, true) AS new
+    FROM windows WHERE again
+), numbered AS (
+    SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY line) AS run FROM starts
+), ends AS (
+    SELECT doc_id, run, min(line) AS a, max(next_line) AS b FROM numbered GROUP BY ALL
+), runs AS (
+    SELECT e.doc_id, a, b FROM ends e JOIN full_lines l ON e.doc_id = l.doc_id AND l.line BETWEEN a AND b
+    GROUP BY ALL HAVING sum(l.words) >= 25
+), singles AS (
+    SELECT doc_id, line FROM full_lines WHERE words >= 25
+    QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, line) > 1
+), gone AS (
+    SELECT l.doc_id, l.line FROM lines l JOIN runs r ON l.doc_id = r.doc_id AND l.line BETWEEN a AND b
+    UNION SELECT doc_id, line FROM singles
+)
+SELECT l.doc_id,
+    count(*) FILTER (t <> '') AS n_lines,
+    count(*) FILTER (t <> '' AND g.line IS NULL) AS n_kept,
+    length(coalesce(string_agg(raw, '' ORDER BY l.line) FILTER (g.line IS NULL), '')) AS kept_chars,
+    md5(coalesce(string_agg(raw, '' ORDER BY l.line) FILTER (g.line IS NULL), '')) AS kept_md5
+FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line
+GROUP BY l.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op10_line_dedup": OP10_SQL}
