@@ -23,6 +23,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every row whose id is divisible by 100, against all rows."""
+    from spoorline.llm.bm25 import search
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "text")
+    return search(docs, queries).select(
+        F.col("query").alias("query_id"), "rank", "doc_id", F.round("score", 6).alias("score")
+    )
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoorline.llm.ngram_join import near_duplicates
 
@@ -119,6 +130,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_votes": op2_quality_votes,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_exact_search": op4_exact_search,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
