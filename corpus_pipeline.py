@@ -50,7 +50,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .select(F.col("doc_id").alias("_stays"))
         .distinct()
     )
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_stays"]), "left_semi")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
