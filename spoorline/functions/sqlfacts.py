@@ -1,7 +1,8 @@
 """Facts of SQL statements, as column expressions.
 
-Only the first statement of a text counts. Literals are emptied before any
-keyword is looked for; their contents are fetched by position afterwards.
+Only the first statement of a text counts. Comments go and all kinds of literals
+become plain ones before anything else; then literals are emptied before any
+keyword is looked for, and their contents are fetched by position afterwards.
 """
 
 from __future__ import annotations
@@ -26,9 +27,56 @@ STATEMENT_WORDS = (
 ).split()
 
 NAME = r'("[^"]+"|\w+)'
+
+# Lexical pieces of a statement: E-strings, strings, quoted names, comments (one level nested),
+# dollar strings, words, and any other character.
+_COMMENT = r"(?:[^*/]|\*(?!/)|/(?!\*)"
+TOKENS = (
+    r"(?s)[eE]'(?:[^'\\]|\\.|'')*+'|'(?:[^']|'')*+'|\"(?:[^\"]|\"\")*+\"|--[^\n]*"
+    rf"|/\*{_COMMENT}|/\*{_COMMENT})*+\*/)*+\*/"
+    r"|\$((?:[A-Za-z_]\w*)?)\$.*?\$\1\$|\w[\w$]*|."
+)
+#: Only texts with one of these have anything to make plain.
+UNCOMMON = r"""--|/\*|\$|"|[eE]'"""
+# characters of quoted names that would be taken for quotes, ends or parentheses, and their stand-ins
+_INSIDE, _STAND_INS = "';()", "\uE001\uE002\uE003\uE004"
+_BACKSLASH = "\uE005"
+#: Objects whose names a DROP lists as plain names.
+DROPPED = (
+    r"(?:TABLE|VIEW|INDEX|SEQUENCE|MATERIALIZED\s+VIEW|FOREIGN\s+TABLE|COLLATION|CONVERSION|STATISTICS"
+    r"|TEXT\s+SEARCH\s+(?:PARSER|DICTIONARY|TEMPLATE|CONFIGURATION))"
+)
 QUALIFIED = rf'(?:(?:"[^"]+"|\w+)\.)*{NAME}'
 
 
+def _plain_token(token: Column) -> Column:
+    body = F.regexp_extract(token, r"(?s)^\$(\w*)\$(.*)\$\1\$$", 2)
+    escaped = F.regexp_extract(token, r"(?s)^[eE]'(.*)'$", 1)
+    for pattern, to in (
+        (r"\\\\", _BACKSLASH), (r"\\'", "''"), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r"),
+        (r"\\(.)", "$1"), (_BACKSLASH, r"\\"),
+    ):
+        escaped = F.regexp_replace(escaped, pattern, to)
+    quote = F.lit("'")
+    return (
+        F.when(token.startswith("--") | token.startswith("/*"), F.lit(" "))
+        .when(
+            token.rlike(r"(?s)^\$.*\$$") & (F.length(token) > 1),
+            F.concat(quote, F.replace(body, quote, F.lit("''")), quote),
+        )
+        .when(token.rlike("^[eE]'"), F.concat(quote, escaped, quote))
+        .when(token.startswith('"'), F.translate(token, _INSIDE, _STAND_INS))
+        .otherwise(token)
+    )
+
+
+def plain_text(text: Column) -> Column:
+    """The text without comments; dollar strings and E-strings become plain literals."""
+    tokens = F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
+    plain = F.array_join(F.transform(tokens, _plain_token), "")
+    return F.when(text.rlike(UNCOMMON), plain).otherwise(text)
+
+
 def pieces(text: Column) -> Column:
     """The text cut at its quotes; odd pieces are inside literals."""
     return F.split(text, "'", -1)
@@ -58,7 +106,8 @@ def literal_after(cut: Column, head: Column) -> Column:
 
 def identifier(raw: Column) -> Column:
     """Quoted names keep their case, bare ones are folded to lower case."""
-    name = F.when(raw.startswith('"'), F.regexp_replace(raw, '"', "")).otherwise(F.lower(raw))
+    quoted = F.translate(F.regexp_replace(raw, '"', ""), _STAND_INS, _INSIDE)
+    name = F.when(raw.startswith('"'), quoted).otherwise(F.lower(raw))
     return F.when(raw != "", name)
 
 
@@ -85,11 +134,17 @@ def _kind(bare: Column) -> Column:
         ("truncate", r"^\s*TRUNCATE\b"),
         ("create_role", r"^\s*CREATE\s+(?:ROLE|USER|GROUP)\s+(?!MAPPING\b)"),
         ("alter_system", r"^\s*ALTER\s+SYSTEM\b"),
-        ("alter_role", r"^\s*ALTER\s+(?:ROLE|USER)\s+(?!MAPPING\b)"),
-        ("set_role", r"^\s*SET\s+(?:SESSION\s+|LOCAL\s+)?ROLE\b"),
-        ("drop", r"^\s*DROP\s+(?:TABLE|VIEW|INDEX|SEQUENCE|MATERIALIZED\s+VIEW)\b"),
+        # settings and renames of a role are other statements
+        (
+            "other",
+            rf"^\s*ALTER\s+(?:ROLE|USER|GROUP)\s+(?:MAPPING\b|{NAME}\s+(?:IN\s+DATABASE\s+{NAME}\s+)?(?:SET|RESET|RENAME)\b)",
+        ),
+        ("alter_role", r"^\s*ALTER\s+(?:ROLE|USER|GROUP)\s"),
+        ("set_role", r"^\s*(?:SET\s+(?:SESSION\s+|LOCAL\s+)?|RESET\s+)ROLE\b"),
+        ("drop", rf"^\s*DROP\s+{DROPPED}\s"),
         ("dml", r"^\s*(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM)\b"),
-        ("select", r"^\s*(?:SELECT|WITH)\b"),
+        ("select", r"^[\s(]*(?:SELECT|WITH)\b"),
+        ("table", r"^[\s(]*TABLE\s"),
     ]
     out = F.lit(None).cast("string")
     for name, pattern in reversed(patterns):
@@ -125,14 +180,15 @@ def _select_table(flat: Column) -> Column:
 
 def with_statement_facts(df: DataFrame, text: str = "query") -> DataFrame:
     """Add the fact columns of the statement in column ``text``; null means "not stated"."""
-    whole = pieces(F.col(text))
-    df = df.withColumn("_cut", F.when(F.trim(F.col(text)) != "", whole))
+    df = df.withColumn("_plain", plain_text(F.col(text)))
+    df = df.withColumn("_cut", F.when(F.trim("_plain") != "", pieces(F.col("_plain"))))
     df = df.withColumn("_text", emptied(F.col("_cut")))
     df = df.withColumn("_bare", F.element_at(F.split(F.col("_text"), ";"), 1))
     df = df.withColumn("parse_error", _parse_error(F.col("_cut"), F.col("_bare")))
     known = F.col("parse_error").isNull()
     df = df.withColumn("_kind", F.when(known, _kind(F.col("_bare"))))
-    df = df.withColumn("_flat", F.when(F.col("_kind") == "select", _folded(F.col("_bare"))))
+    unwrapped = F.regexp_replace(F.col("_bare"), r"^[\s(]+", "")
+    df = df.withColumn("_flat", F.when(F.col("_kind").isin("select", "table"), _folded(unwrapped)))
     cut, bare, kind = F.col("_cut"), F.col("_bare"), F.col("_kind")
 
     def on(*kinds):
@@ -151,7 +207,7 @@ def with_statement_facts(df: DataFrame, text: str = "query") -> DataFrame:
             identifier(
                 _extract(
                     bare,
-                    r"^\s*DROP\s+(?:TABLE|VIEW|INDEX|SEQUENCE|MATERIALIZED\s+VIEW)\s+(?:CONCURRENTLY\s+)?"
+                    rf"^\s*DROP\s+{DROPPED}\s+(?:CONCURRENTLY\s+)?"
                     rf"(?:IF\s+EXISTS\s+)?{QUALIFIED}",
                 )
             ),
@@ -167,17 +223,24 @@ def with_statement_facts(df: DataFrame, text: str = "query") -> DataFrame:
             ),
         )
         .when(on("select"), _select_table(F.col("_flat")))
+        .when(
+            on("table") & ~F.col("_flat").rlike(r"(?is)\b(?:UNION|INTERSECT|EXCEPT)\b"),
+            identifier(_extract(F.col("_flat"), rf"^TABLE\s+(?:ONLY\s+)?{QUALIFIED}")),
+        )
     )
+    to_role = r"^\s*SET\s+(?:SESSION\s+|LOCAL\s+)?ROLE\s*(?:=|\bTO\b)?\s*"
+    role_set = _extract(bare, to_role + NAME)
     role_name = F.when(
         on("create_role", "alter_role"),
         identifier(_extract(bare, rf"^\s*(?:CREATE|ALTER)\s+{role}")),
     ).when(
         on("set_role"),
         F.coalesce(
-            identifier(_extract(bare, rf"^\s*SET\s+(?:SESSION\s+|LOCAL\s+)?ROLE\s+{NAME}")),
-            literal_after(cut, _extract(bare, r"^(\s*SET\s+(?:SESSION\s+|LOCAL\s+)?ROLE\s+)'")),
+            identifier(F.when(F.lower(role_set) != "default", role_set).otherwise("")),
+            literal_after(cut, _extract(bare, f"({to_role})'")),
         ),
     )
+    word = F.lower(_extract(bare, r"^\s*ALTER\s+SYSTEM\s+SET\s+[\w.]+\s*(?:=|\bTO\b)\s*([A-Za-z_]\w*)"))
     grants = role_rest.rlike(r"(?is)\bSUPERUSER\b")
     facts = {
         "table_name": table,
@@ -196,7 +259,10 @@ def with_statement_facts(df: DataFrame, text: str = "query") -> DataFrame:
             on("alter_system"),
             F.lower(_extract(bare, r"^\s*ALTER\s+SYSTEM\s+(?:SET|RESET)\s+([\w.]+)")),
         ),
-        "setting_value": F.when(on("alter_system"), literal_after(cut, setting)),
+        "setting_value": F.when(
+            on("alter_system"),
+            F.coalesce(literal_after(cut, setting), F.when(~word.isin("", "default"), word)),
+        ),
         "is_system_config": F.when(on("alter_system"), yes),
     }
-    return df.withColumns(facts).drop("_cut", "_text", "_bare", "_kind", "_flat")
+    return df.withColumns(facts).drop("_plain", "_cut", "_text", "_bare", "_kind", "_flat")

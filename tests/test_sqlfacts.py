@@ -35,6 +35,37 @@ CASES = {
     "DELETE FROM x": {"table_name": "x"},
     "GRANT SELECT ON t TO r": {},
     "SELECT ';' FROM t; DROP TABLE z": {"table_name": "t"},
+    "/* app */ SELECT * FROM customers": {"table_name": "customers"},
+    "-- note; it's\nSELECT * FROM customers": {"table_name": "customers"},
+    "SELECT /* a /* nested ' */ b */ * FROM customers -- '": {"table_name": "customers"},
+    "-- only a comment": {},
+    "SELECT $$it's; (here$$ FROM customers": {"table_name": "customers"},
+    "SELECT $a$ $$ ' $a$, $1 FROM customers": {"table_name": "customers"},
+    r"SELECT E'a\'b; (' FROM customers": {"table_name": "customers"},
+    r"COPY c TO PROGRAM E'echo \'x\' \\ y'": {"table_name": "c", "is_program": True, "shell_cmd": r"echo 'x' \ y"},
+    "COPY c TO PROGRAM $$cat 'f'$$": {"table_name": "c", "is_program": True, "shell_cmd": "cat 'f'"},
+    "ALTER SYSTEM SET logging_collector TO off":
+        {"setting_name": "logging_collector", "setting_value": "off", "is_system_config": True},
+    "ALTER SYSTEM SET log_statement = NONE":
+        {"setting_name": "log_statement", "setting_value": "none", "is_system_config": True},
+    "ALTER SYSTEM SET log_statement TO DEFAULT": {"setting_name": "log_statement", "is_system_config": True},
+    "ALTER SYSTEM RESET work_mem": {"setting_name": "work_mem", "is_system_config": True},
+    "ALTER ROLE bob SET search_path TO x": {},
+    "ALTER ROLE bob IN DATABASE d RESET ALL": {},
+    "ALTER USER bob RENAME TO eve": {},
+    "ALTER GROUP staff ADD USER bob":
+        {"role_name": "staff", "is_role_change": True, "is_superuser": False, "is_privilege_escalation": False},
+    "SET role TO auditor": {"role_name": "auditor", "is_role_change": True},
+    "SET LOCAL role = 'auditor'": {"role_name": "auditor", "is_role_change": True},
+    "SET role TO DEFAULT": {"is_role_change": True},
+    "RESET ROLE": {"is_role_change": True},
+    "(SELECT * FROM customers)": {"table_name": "customers"},
+    "((SELECT * FROM customers) UNION (SELECT 1))": {},
+    "TABLE customers": {"table_name": "customers"},
+    "TABLE a UNION TABLE b": {},
+    "DROP FOREIGN TABLE ft": {"table_name": "ft", "is_drop": True},
+    'SELECT * FROM "a;b"': {"table_name": "a;b"},
+    """SELECT * FROM s."it's (x" WHERE a = 'q'""": {"table_name": "it's (x"},
     "": {},
     "foo bar": {"parse_error": 'syntax error at or near "foo"'},
     "SELECT (1": {"parse_error": 'syntax error at or near "select"'},
