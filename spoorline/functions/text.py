@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from spoorline.functions.ordered import SEG_ROWS, number_rows
 
-FAN = 4096
-
 
 def mask_literals(text: Column) -> Column:
     """Lower-case statement with quoted literals as 'S' and numbers as N."""
@@ -35,29 +33,23 @@ def sequence_fingerprint(
     group: Sequence[str],
     order: Sequence[str],
     texts: dict[str, Column],
-    fan: int = FAN,
     seg_rows: int = SEG_ROWS,
+    bound: int | None = None,
 ) -> DataFrame:
-    """One md5 per group over its texts in order.
+    """One fingerprint per group over its texts in order, the same at every size.
 
-    Texts are hashed before they move. At most ``fan`` hashes are joined at a
-    time; longer groups are hashed in levels, so that no row grows with a group.
+    Each row adds two 60-bit numbers, halves of the md5 of its place and text; a fingerprint
+    is the number of rows and both sums. Sums merge in any way, so no row grows with a group.
     """
     hashed = df.select(*group, *order, *[F.md5(e).alias(n) for n, e in texts.items()])
-    level, size = number_rows(hashed, group, order, "_no", seg_rows)
-    names, deeper = list(texts), False
-
-    def joined(name: str) -> Column:
-        whole = F.md5(F.array_join(F.transform("_l", lambda x: x[name]), "\n"))
-        if deeper:  # a group that already is one hash keeps it
-            whole = F.when(F.size("_l") == 1, F.element_at("_l", 1)[name]).otherwise(whole)
-        return whole.alias(name)
-
-    while not deeper or size > 1:
-        level = (
-            level.groupBy(*group, F.expr(f"_no div {fan}").alias("_page"))
-            .agg(F.array_sort(F.collect_list(F.struct("_no", *names))).alias("_l"))
-            .select(*group, F.col("_page").alias("_no"), *[joined(n) for n in names])
-        )
-        size, deeper = -(-size // fan), True
-    return level.drop("_no")
+    placed, _ = number_rows(hashed, group, order, "_no", seg_rows, bound)
+
+    def part(digest: Column, start: int) -> Column:
+        return F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)")
+
+    def total(name: str) -> Column:
+        own = F.md5(F.concat_ws(":", F.col("_no").cast("string"), name))
+        sums = [F.sum(part(own, at)).cast("string") for at in (1, 16)]
+        return F.concat_ws("-", F.count(F.lit(1)).cast("string"), *sums).alias(name)
+
+    return placed.groupBy(*group).agg(*[total(n) for n in texts])

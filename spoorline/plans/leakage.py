@@ -11,6 +11,13 @@ from spoorline.functions.text import mask_literals, sequence_fingerprint
 from spoorline.operators.attribution import SESSION
 
 
+def query_statements(nodes: DataFrame) -> DataFrame:
+    """The statements of session graphs: one per Query node, so start and end count once."""
+    return nodes.where("node_type = 'Query' AND query <> ''").select(
+        *SESSION, "timestamp_unix", "event_id", "query"
+    )
+
+
 def session_fingerprints(statements: DataFrame, order: Sequence[str]) -> DataFrame:
     """Per session: fingerprint of its statements, exact and with literals masked."""
     texts = {"sql": F.col("query"), "sql_norm": mask_literals(F.col("query"))}

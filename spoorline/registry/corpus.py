@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spoorline.functions.text import mask_literals
 from spoorline.operators.attribution import SESSION
 from spoorline.plans import leakage, live, prefixes, quality, session_graphs, splits
 from spoorline.registry.oracle import with_ctes
-from spoorline.registry.telemetry import _MASK, _graph_files, _prov, _statements
+from spoorline.registry.telemetry import _MASK, _PLACED, _graph_files, _prov, _statements, fingerprint_sql
 from spoorline.sources import logs, tables
 
 QUERIES, ORACLE = {}, {}
@@ -32,8 +33,9 @@ _SESSIONS = f"""sess AS (SELECT run_id, session_id AS session_key, template, CAS
  {_SPLIT} AS split FROM labels_of_sessions),
 stmts AS (SELECT s.*, a.query, a."timestamp" AS ts, a.pos, {_MASK} AS masked FROM sess s
  JOIN audit a ON a.run_id = s.run_id AND a.session_id = s.session_key AND a.query <> ''),
-fps AS (SELECT run_id, session_key, any_value(template) AS template, any_value(y) AS y, any_value(split) AS split,
- md5(string_agg(md5(query), chr(10) ORDER BY ts, pos)) AS sql, md5(string_agg(md5(masked), chr(10) ORDER BY ts, pos)) AS sql_norm FROM stmts GROUP BY 1, 2)"""
+fps AS (SELECT p.run_id, p.session_key, any_value(template) AS template, any_value(y) AS y, any_value(split) AS split,
+ {fingerprint_sql("query")} AS sql, {fingerprint_sql(_MASK)} AS sql_norm FROM ({_PLACED}) p
+ JOIN sess s ON s.run_id = p.run_id AND s.session_key = p.session_key GROUP BY 1, 2)"""
 
 
 def _sessions(spark, d):
@@ -60,17 +62,37 @@ _J18 = " UNION ALL ".join(
 )
 
 
+def _fingerprints(spark, d):
+    nodes = leakage.query_statements(_prov(spark, d).graphs.nodes)
+    fps = leakage.session_fingerprints(nodes, ["timestamp_unix", "event_id"])
+    return fps.join(_sessions(spark, d), SESSION)
+
+
+_KEYS, _POOLS = ("sql", "sql_norm"), {"train": ["train"], "train_val": ["train", "val"]}
+
+
 @query(
     "j18_sequence_leakage",
-    _J18.replace("first_stmt", "fps").replace("masked", "sql_norm").replace("malicious_sql_norm", "malicious_matched"),
+    " UNION ALL ".join(
+        f"SELECT '{k}' AS key, '{p}' AS pool, * FROM ("
+        + _J18.replace("first_stmt", "fps").replace("masked", k).replace(f"malicious_{k}", "malicious_matched")
+        .replace("count(p.lo) AS " + k, "count(p.lo) AS matched").replace("split = 'train'", f"split IN {tuple(v + [v[0]])}")
+        + ")"
+        for k in _KEYS
+        for p, v in _POOLS.items()
+    ),
     _SESSIONS,
 )
 def j18(spark, d):
-    """Sessions whose whole masked statement sequence occurs in training."""
-    stmts = _statements(spark, d)
-    fps = leakage.session_fingerprints(stmts, ["timestamp", "pos"]).join(_sessions(spark, d), SESSION)
-    test, train = (fps.where(F.col("split") == s) for s in ("test", "train"))
-    return leakage.match_counts(test, train, "sql_norm")
+    """Test sessions whose whole statement sequence occurs in training, or in training or validation."""
+    fps = _fingerprints(spark, d)
+    test, out = fps.where("split = 'test'"), None
+    for key in _KEYS:
+        for name, parts in _POOLS.items():
+            found = leakage.match_counts(test, fps.where(F.col("split").isin(parts)), key)
+            found = found.select(F.lit(key).alias("key"), F.lit(name).alias("pool"), *found.columns)
+            out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query(
@@ -153,14 +175,42 @@ def a18(spark, d):
     return leakage.templates_per_split(_sessions(spark, d), ["train", "val", "test"])
 
 
+_RUN = "CAST(regexp_extract(run_id, '([0-9]+)', 1) AS BIGINT)"
+
+
 @query(
     "u03_only_in_test",
-    "SELECT DISTINCT template FROM sess WHERE split = 'test' AND template NOT IN (SELECT template FROM sess WHERE split = 'val' AND session_key % 29 = 0)",
+    f"SELECT DISTINCT item FROM (SELECT template || ' ' || ({_RUN} % 4) AS item, split FROM sess) WHERE split = 'test' "
+    f"EXCEPT SELECT template || ' ' || ({_RUN} % 4) FROM sess WHERE split = 'val'",
     _SESSIONS,
 )
 def u03_only(spark, d):
-    s = _sessions(spark, d).where("split <> 'val' OR session_key % 29 = 0")
-    return leakage.only_in(s, "test", "val")
+    """Template and quarter of runs that test sessions have and validation sessions lack."""
+    item = F.concat_ws(" ", "template", F.expr(f"{_RUN} % 4").cast("string"))
+    s = _sessions(spark, d).withColumn("template", item)
+    return leakage.only_in(s, "test", "val").withColumnRenamed("template", "item")
+
+
+@query(
+    "j20_class_exclusive_node_types",
+    "SELECT value, malicious, benign, CASE WHEN benign = 0 THEN 'malicious_only' ELSE 'benign_only' END AS exclusive FROM "
+    "(SELECT value, count(*) FILTER (y = 1) AS malicious, count(*) FILTER (y = 0) AS benign FROM (SELECT DISTINCT n.run_id, n.session_key, y, "
+    "n.node_type || CASE WHEN n.node_type = 'Process' THEN ' ' || n.comm ELSE '' END || ' x' || count(*) OVER (PARTITION BY n.run_id, n.session_key, n.node_type) AS value "
+    "FROM nodes n JOIN sess s ON s.run_id = n.run_id AND s.session_key = n.session_key) GROUP BY 1) WHERE benign = 0 OR malicious = 0",
+    _SESSIONS,
+)
+def j20_types(spark, d):
+    """Node types, with the command and how many of the type, of sessions of one class only."""
+    per_type = Window.partitionBy(*SESSION, "node_type")  # node types of one session
+    name = F.concat(
+        "node_type",
+        F.when(F.col("node_type") == "Process", F.concat(F.lit(" "), "comm")).otherwise(""),
+        F.lit(" x"),
+        F.count(F.lit(1)).over(per_type).cast("string"),
+    )
+    nodes = _prov(spark, d).graphs.nodes
+    values = nodes.join(_sessions(spark, d), SESSION).select(*SESSION, "y", name.alias("value"))
+    return leakage.class_exclusive(values.distinct())
 
 
 @query(

@@ -10,7 +10,7 @@ from spoorline.functions.text import copied_query, hostnames, mask_literals, seq
 from spoorline.operators import behaviors as B
 from spoorline.operators import clock, features, graph, risk
 from spoorline.operators.attribution import SESSION, attribution_report, parent_links
-from spoorline.plans import live, quality, session_graphs, splits
+from spoorline.plans import leakage, live, quality, session_graphs, splits
 from spoorline.registry.oracle import with_ctes
 from spoorline.session import fresh_path
 from spoorline.sources import logs, tables
@@ -379,14 +379,39 @@ def _statements(spark, d):
     return audit.select("run_id", F.col("session_id").alias("session_key"), "timestamp", "pos", "query")
 
 
+def fingerprint_sql(text: str) -> str:
+    """A fingerprint over rows numbered ``no``, as SQL."""
+    own = f"md5(no || ':' || md5({text}))"
+    sums = [f"sum(('0x' || substr({own}, {at}, 15))::BIGINT::HUGEINT)" for at in (1, 16)]
+    return f"count(*) || '-' || {sums[0]} || '-' || {sums[1]}"
+
+
+_PLACED = (
+    "SELECT run_id, session_key, query, row_number() OVER (PARTITION BY run_id, session_key ORDER BY timestamp_unix, event_id) - 1 AS no "
+    "FROM nodes WHERE node_type = 'Query' AND query <> ''"
+)
+
+
 @query(
     "p07_session_fingerprints",
-    f"SELECT run_id, session_id AS session_key, md5(string_agg(md5(query), chr(10) ORDER BY \"timestamp\", pos)) AS sql, "
-    f"md5(string_agg(md5({_MASK}), chr(10) ORDER BY \"timestamp\", pos)) AS sql_norm FROM audit WHERE query <> '' GROUP BY 1, 2",
+    f"SELECT run_id, session_key, {fingerprint_sql('query')} AS sql, {fingerprint_sql(_MASK)} AS sql_norm FROM ({_PLACED}) GROUP BY 1, 2",
 )
 def p07(spark, d):
-    texts = {"sql": F.col("query"), "sql_norm": mask_literals(F.col("query"))}
-    return sequence_fingerprint(_statements(spark, d), SESSION, ["timestamp", "pos"], texts)
+    nodes = leakage.query_statements(_prov(spark, d).graphs.nodes)
+    return leakage.session_fingerprints(nodes, ["timestamp_unix", "event_id"])
+
+
+@query(
+    "p07_long_sequences",
+    "SELECT role, "
+    + fingerprint_sql("coalesce(text, '')")
+    + " AS text_fp FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS no FROM conversations) GROUP BY 1",
+)
+def p07_long(spark, d):
+    """Fingerprints of few long groups, numbered over all tasks and in several segments."""
+    turns = tables.table(spark, d, "conversations")
+    texts = {"text_fp": F.coalesce("text", F.lit(""))}
+    return sequence_fingerprint(turns, ["role"], ["conv_id", "turn"], texts, seg_rows=64)
 
 
 @query(
