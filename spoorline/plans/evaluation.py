@@ -321,13 +321,12 @@ def config_summary(runs: DataFrame, config: str, metrics: Sequence[str]) -> Data
 
 
 def timing_summary(timings: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
-    """Mean, median, approximate 95th percentile and maximum of every stage time."""
+    """Mean, median and maximum of every stage time."""
     long = timings.select(*group, *columns).unpivot(list(group), list(columns), "stage", "ms")
     keys = [*group, "stage"]
     out = long.where(F.col("ms").isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("ms").alias("mean_ms"),
-        F.percentile_approx("ms", 0.95, 10000).alias("p95_ms"),
         F.max("ms").alias("max_ms"),
     )
     return out.join(medians(long, keys, "ms", "median_ms"), keys)

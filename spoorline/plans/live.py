@@ -46,12 +46,30 @@ def _pick(records: DataFrame, key: str, by, position: str) -> DataFrame:
     return records.groupBy(key).agg(by(row, position).alias("_r")).select(key, "_r.*")
 
 
-def live_verdicts(scores: DataFrame, labels: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Scores ⋈ labels ⟕ plan on the label's key."""
+def last_rows(records: DataFrame, key: str, position: str) -> DataFrame:
+    """One row per key: the last by ``position``; without that column, the greatest row."""
+    if position in records.columns:
+        return last_per_session(records, key, position)
+    row = F.struct(*[c for c in records.columns if c != key])
+    return records.groupBy(key).agg(F.max(row).alias("_r")).select(key, "_r.*")
+
+
+def live_verdicts(
+    scores: DataFrame, labels: DataFrame, manifest: DataFrame, position: str = "pos"
+) -> DataFrame:
+    """Scores ⋈ labels ⟕ plan on the label's key.
+
+    Repeated rows of a session or key give one verdict: the last by ``position`` stands. Keys
+    that no plan has do not take part in the join, so that a frequent one does not gather.
+    """
     cls, key = split_label(F.col("label"))
+    scores, labels = (last_rows(t, "session_id", position) for t in (scores, labels))
     named = labels.select("session_id", cls.alias("cls"), key.alias("key"))
-    plan = manifest.withColumn("_planned", F.lit(True))
-    joined = scores.join(named, "session_id").join(plan, "key", "left")
+    plan = last_rows(manifest, "key", position).withColumnRenamed("key", "_key")
+    plan = plan.withColumn("_planned", F.lit(True)).drop(position)
+    plannable = F.when(~F.col("key").isin("pgbench", ""), F.col("key"))
+    joined = scores.drop(position).join(named, "session_id")
+    joined = joined.join(plan, plannable == F.col("_key"), "left").drop("_key")
     planned = F.col("_planned").isNotNull()
     return joined.withColumns(
         {

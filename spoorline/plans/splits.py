@@ -75,39 +75,41 @@ def template_classes(rows: DataFrame) -> DataFrame:
 def rotated_folds(templates: DataFrame) -> DataFrame:
     """Fold i tests malicious template i and benign i mod n, and validates on the next two.
 
-    One row per fold and template with its part. Input: (template, y), one row
-    per template; their number is that of scenario kinds, not of sessions.
+    One row per fold and template that it tests or validates on; a fold trains on all others.
+    Input: (template, y), one row per template; their number is that of scenario kinds, not
+    of sessions.
     """
     by_class = Window.partitionBy("y").orderBy("template")
-    everything = Window.partitionBy(F.lit(0))
-    placed = templates.select(
-        "template",
-        "y",
-        (F.row_number().over(by_class) - 1).alias("at"),
-        F.count(F.lit(1)).over(Window.partitionBy("y")).alias("n"),
-        F.count_if(F.col("y") == 1).over(everything).alias("folds"),
-    )
+    placed = templates.select("template", "y", (F.row_number().over(by_class) - 1).alias("at"))
+    sizes = templates.groupBy("y").agg(F.count(F.lit(1)).cast("int").alias("n"))
     folds = placed.where("y = 1").select(F.col("template").alias("fold"), F.col("at").alias("i"))
-    is_test = F.col("at") == F.col("i") % F.col("n")
-    is_val = F.col("at") == (F.col("i") + 1) % F.col("n")
-    part = F.when(is_test, "test").when(is_val, "val").otherwise("train")
-    # every fold lists every template: the fold numbers are unrolled per template
-    numbers = F.explode(F.sequence(F.lit(0), F.col("folds").cast("int") - 1)).alias("i")
-    per_template = placed.where("folds > 0").select("template", "y", "at", "n", numbers)
-    return per_template.join(folds, "i").select("fold", "template", "y", part.alias("part"))
+    steps = [F.struct(F.lit(p).alias("part"), F.lit(s).alias("step")) for p, s in (("test", 0), ("val", 1))]
+    parts = F.explode(F.array(*steps))
+    wanted = folds.select("fold", "i", parts.alias("p")).select("fold", "i", "p.*")
+    # each fold takes one place of either class, modulo the class's size
+    at = F.pmod(F.col("i") + F.col("step"), F.col("n"))
+    wanted = wanted.withColumn("y", F.explode(F.array(F.lit(0), F.lit(1)))).join(sizes, "y")
+    wanted = wanted.select("fold", "y", at.alias("at"), "part")
+    return wanted.join(placed, ["y", "at"]).select("fold", "template", "y", "part").groupBy(
+        "fold", "template", "y"
+    ).agg(F.min("part").alias("part"))  # a class of one template is tested
 
 
 def fold_counts(folds: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows and malicious rows per fold and part."""
+    """Rows and malicious rows per fold and part; training rows are those of no other part."""
     per = rows.groupBy("template").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col("y") == 1).alias("_m")
     )
-    return (
-        folds.select("fold", "template", "part")
-        .join(per, "template")
-        .groupBy("fold", "part")
-        .agg(F.sum("_n").alias("graphs"), F.sum("_m").alias("malicious"))
+    own = folds.join(per, "template").groupBy("fold", "part").agg(
+        F.sum("_n").alias("graphs"), F.sum("_m").alias("malicious")
+    )
+    whole = per.agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m"), F.lit(1).alias("_one"))
+    used = own.groupBy("fold").agg(F.sum("graphs").alias("_g"), F.sum("malicious").alias("_u"))
+    train = used.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").select(  # one row of totals
+        "fold", F.lit("train").alias("part"), (F.col("_n") - F.col("_g")).alias("graphs"),
+        (F.col("_m") - F.col("_u")).alias("malicious"),
     )
+    return own.unionByName(train.where("graphs > 0"))
 
 
 def keyword_holdout(rows: DataFrame, name: str, keyword: str) -> DataFrame:
@@ -178,15 +180,17 @@ def graph_file_facts(name: Column) -> dict[str, Column]:
     }
 
 
-def class_from_name(name: Column, y: Column, detailed: Column) -> Column:
-    """Class of a graph: its detailed label, else the file name's tail, else by the binary label."""
+def class_from_name(name: Column, y: Column, detailed: Column | None = None) -> Column:
+    """Class of a graph: its detailed label, else by the binary label.
+
+    ``detailed`` is None where no detailed labels are given at all; then the file name's tail
+    comes before the binary label.
+    """
     stem = F.regexp_replace(name, r"^enriched_session_|\.graphml$", "")
     tail = F.regexp_extract(stem, r"^[^_]*_(.*)$", 1)
-    return F.coalesce(
-        detailed,
-        F.nullif(F.regexp_replace(tail, "_", " "), F.lit("")),
-        F.when(y == 0, F.lit("Normal")).otherwise(F.lit("Malicious")),
-    )
+    by_file = F.nullif(F.regexp_replace(tail, "_", " "), F.lit(""))
+    binary = F.when(y == 0, F.lit("Normal")).otherwise(F.lit("Malicious"))
+    return F.coalesce(by_file if detailed is None else detailed, binary)
 
 
 def by_count(rows: DataFrame, column: str) -> DataFrame:

@@ -247,7 +247,7 @@ folds AS (SELECT f.template AS fold, p.template, p.y, CASE WHEN p.at = f.at % p.
  FROM placed f, placed p WHERE f.y = 1)"""
 
 
-@query("w09_fold_rotation", "SELECT fold, template, y, part FROM folds", f"{_SESSIONS},\n{_FOLDS}")
+@query("w09_fold_rotation", "SELECT fold, template, y, part FROM folds WHERE part <> 'train'", f"{_SESSIONS},\n{_FOLDS}")
 def w09(spark, d):
     return splits.rotated_folds(splits.template_classes(_sessions(spark, d)).select("template", "y"))
 

@@ -32,7 +32,9 @@ TWINS = """SELECT 'dev' AS dataset, lang AS run, doc_id AS synthetic_backend_pid
  ((n_chars + 40) % 1000) / CAST(1000 AS DOUBLE) AS risk FROM {documents} WHERE doc_id % 2 = 1"""
 ALERTS = """SELECT event_id AS pos, event_id % 900 AS session_id, value / CAST(600 AS DOUBLE) AS risk, event_id % 31 AS n_events
  FROM {events} WHERE event_type = 'error'"""
-TIMINGS = """SELECT event_type, value AS alg2_ms, value * 2 AS alg3_ms, CAST(event_id % 100 AS DOUBLE) AS alg4_ms FROM {events}"""
+TIMINGS = """SELECT event_type, value AS alg2_ms, value * 2 AS alg3_ms, CAST(event_id % 100 AS DOUBLE) AS alg4_ms,
+ CAST(event_id % 7 AS DOUBLE) / 2 AS graphml_ms, value * 3 + CAST(event_id % 100 AS DOUBLE) + CAST(event_id % 7 AS DOUBLE) / 2 AS total_ms,
+ CASE WHEN event_id % 3 = 0 THEN value * 50 END AS detection_latency_ms FROM {events}"""
 
 _PARTS = {
     "verdicts": VERDICTS, "scores": SCORES, "live_labels": LIVE_LABELS, "plan": PLAN, "twins": TWINS,
@@ -184,17 +186,24 @@ def a14_fpr(spark, d):
 def _runs(spark, d):
     """Reports per fold and seed, as `read_reports` gives them."""
     rows = _verdicts(spark, d)
-    cm = E.confusion(rows, THETA, ["fold", "seed"], digits=4)
-    return cm.join(E.ranking(rows, ["fold", "seed"], digits=4), ["fold", "seed"], "left")
+    cm = E.confusion(rows, THETA, ["fold", "seed"])
+    return cm.join(E.ranking(rows, ["fold", "seed"]), ["fold", "seed"], "left")
 
 
+# ranking metrics per fold and seed
+_RANK_SEED = (
+    _RANK.replace("fold", "fold, seed").replace("GROUP BY 1, 2)", "GROUP BY 1, 2, 3)").replace(", 6) AS", ", 15) AS")
+)
 _EXACT = _with_rates(_cm("fold, seed"), "fold, seed").replace(", 6) AS", ", 15) AS")
-_RUNS = f"runs AS ({_EXACT})"
+_RUNS = (
+    f"runs AS (SELECT c.*, r.roc_auc, r.pr_auc FROM ({_EXACT}) c LEFT JOIN ({_RANK_SEED}) r "
+    "ON r.fold = c.fold AND r.seed = c.seed)"
+)
 _ms = (
     "round_even(avg({0}), 4) AS {0}_mean, "
     "round_even(CASE WHEN count({0}) > 0 THEN COALESCE(stddev_samp({0}), 0) END, 4) AS {0}_std"
 )
-_KEYS = ("recall", "fpr", "f1")
+_KEYS = E.SUMMARY_KEYS
 
 
 def _runs_query(name, sql):
@@ -211,18 +220,16 @@ def _runs_query(name, sql):
     f"SELECT fold, count(*) AS seeds, {', '.join(_ms.format(k) for k in _KEYS)} FROM runs GROUP BY 1",
 )
 def a15(spark, d):
-    runs = E.confusion(_verdicts(spark, d), THETA, ["fold", "seed"])
-    return E.fold_summary(runs, _KEYS)
+    return E.fold_summary(_runs(spark, d), _KEYS)
 
 
 @_runs_query(
     "a15_macro_summary",
-    f"SELECT count(*) AS seeds, {', '.join(_ms.format(k) for k in _KEYS)} FROM (SELECT seed, avg(recall) AS recall, avg(fpr) AS fpr, avg(f1) AS f1 "
+    f"SELECT count(*) AS seeds, {', '.join(_ms.format(k) for k in _KEYS)} FROM (SELECT seed, {', '.join(f'avg({k}) AS {k}' for k in _KEYS)} "
     "FROM runs GROUP BY 1 HAVING count(DISTINCT fold) = (SELECT count(DISTINCT fold) FROM runs))",
 )
 def a15_macro(spark, d):
-    runs = E.confusion(_verdicts(spark, d), THETA, ["fold", "seed"])
-    return E.macro_summary(runs, _KEYS)
+    return E.macro_summary(_runs(spark, d), _KEYS)
 
 
 @_runs_query(
@@ -236,25 +243,27 @@ def a15_pooled(spark, d):
 @_runs_query(
     "a16_config_summary",
     "SELECT fold, metric, count(*) AS seeds, round_even(avg(value), 4) AS mean, round_even(COALESCE(stddev_samp(value), 0), 4) AS std, "
-    "round(min(value), 6) AS min, round(max(value), 6) AS max FROM (SELECT fold, 'recall' AS metric, recall AS value FROM runs UNION ALL "
-    "SELECT fold, 'fpr', fpr FROM runs UNION ALL SELECT fold, 'f1', f1 FROM runs) GROUP BY 1, 2",
+    "round(min(value), 6) AS min, round(max(value), 6) AS max FROM ("
+    + " UNION ALL ".join(f"SELECT fold, '{k}' AS metric, {k} AS value FROM runs" for k in _KEYS)
+    + ") WHERE value IS NOT NULL GROUP BY 1, 2",
 )
 def a16(spark, d):
-    runs = E.confusion(_verdicts(spark, d), THETA, ["fold", "seed"])
-    out = E.config_summary(runs, "fold", _KEYS)
+    out = E.config_summary(_runs(spark, d), "fold", _KEYS)
     return _rounded(out, "min", "max")
 
 
+_STAGES = ("alg2_ms", "alg3_ms", "graphml_ms", "alg4_ms", "total_ms", "detection_latency_ms")
+
+
 @query(
     "a20_timing_summary",
-    "SELECT event_type, stage, count(*) AS n, round(avg(ms), 6) AS mean_ms, round(median(ms), 6) AS median_ms, max(ms) AS max_ms FROM "
-    "(SELECT event_type, 'alg2_ms' AS stage, alg2_ms AS ms FROM timings UNION ALL SELECT event_type, 'alg3_ms', alg3_ms FROM timings "
-    "UNION ALL SELECT event_type, 'alg4_ms', alg4_ms FROM timings) GROUP BY 1, 2",
+    "SELECT event_type, stage, count(*) AS n, round(avg(ms), 6) AS mean_ms, round(median(ms), 6) AS median_ms, max(ms) AS max_ms FROM ("
+    + " UNION ALL ".join(f"SELECT event_type, '{s}' AS stage, {s} AS ms FROM timings" for s in _STAGES)
+    + ") WHERE ms IS NOT NULL GROUP BY 1, 2",
 )
 def a20(spark, d):
-    stages = ["alg2_ms", "alg3_ms", "alg4_ms"]
-    out = E.timing_summary(_read(spark, d, TIMINGS), stages, ["event_type"])
-    return _rounded(out, "mean_ms", "median_ms").drop("p95_ms")
+    out = E.timing_summary(_read(spark, d, TIMINGS), _STAGES, ["event_type"])
+    return _rounded(out, "mean_ms", "median_ms")
 
 
 @query(
@@ -322,11 +331,12 @@ def t04(spark, d):
 
 @query(
     "u02_pooled_splits",
-    "SELECT seed, count(*) AS n, sum(y)::BIGINT AS malicious FROM (SELECT * FROM verdicts WHERE seed = 0 UNION ALL SELECT * FROM verdicts WHERE seed = 1) GROUP BY 1",
+    "SELECT seed, count(*) AS n, sum(y)::BIGINT AS malicious FROM verdicts GROUP BY 1",
 )
 def u02(spark, d):
+    """The parts of all seeds, put together again."""
     rows = _verdicts(spark, d)
-    pooled = rows.where("seed = 0").unionByName(rows.where("seed = 1"))
+    pooled = rows.where("seed = 0").unionByName(rows.where("seed = 1")).unionByName(rows.where("seed = 2"))
     return pooled.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("malicious"))
 
 
@@ -412,10 +422,12 @@ def j17(spark, d):
 
 @query(
     "p13_class_labels",
-    "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Detailed ' || lang WHEN doc_id % 4 = 1 THEN replace(source, '_', ' ') || ' Exfil' "
-    "WHEN quality = 0 THEN 'Normal' ELSE 'Malicious' END AS class FROM documents JOIN labels USING (doc_id)",
+    "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Detailed ' || lang WHEN quality = 0 THEN 'Normal' ELSE 'Malicious' END AS class, "
+    "CASE WHEN doc_id % 4 = 1 THEN replace(source, '_', ' ') || ' Exfil' WHEN quality = 0 THEN 'Normal' ELSE 'Malicious' END AS by_name "
+    "FROM documents JOIN labels USING (doc_id)",
 )
 def p13(spark, d):
+    """The class with detailed labels at hand, and from the file name where there are none."""
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     number = F.col("doc_id").cast("string")
     name = F.when(
@@ -423,7 +435,11 @@ def p13(spark, d):
         F.concat(F.lit("enriched_session_"), number, F.lit("_"), "source", F.lit("_Exfil.graphml")),
     ).otherwise(F.concat(F.lit("enriched_session_"), number, F.lit(".graphml")))
     detailed = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Detailed "), "lang"))
-    return rows.select("doc_id", splits.class_from_name(name, F.col("quality"), detailed).alias("class"))
+    return rows.select(
+        "doc_id",
+        splits.class_from_name(name, F.col("quality"), detailed).alias("class"),
+        splits.class_from_name(name, F.col("quality")).alias("by_name"),
+    )
 
 
 @query(

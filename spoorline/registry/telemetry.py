@@ -128,18 +128,20 @@ def s12(spark, d):
     return graph.orphans(_prov(spark, d).graphs.events)
 
 
+_WORDS = ", ".join(f"'{w}'" for w in STATEMENT_WORDS)
+
+
 @query(
     "s12_parse_errors",
-    "SELECT conv_id, turn, 'syntax error at or near \"' || w || '\"' AS error FROM (SELECT conv_id, turn, text, "
-    "lower(regexp_extract(split_part(regexp_replace(text, '''[^'']*''', '''''', 'g'), ';', 1), '^\\s*\\(*\\s*(\\w*)', 1)) AS w "
-    "FROM conversations WHERE role = 'user') WHERE trim(text) <> '' AND w NOT IN ("
-    + ", ".join(f"'{w}'" for w in STATEMENT_WORDS)
-    + ")",
+    "SELECT conv_id, turn, 'syntax error at or near \"' || w || '\"' AS error FROM (SELECT *, "
+    "lower(regexp_extract(bare, '^\\s*\\(*\\s*(\\w*)', 1)) AS w FROM (SELECT conv_id, turn, text, "
+    "split_part(regexp_replace(text, '''[^'']*''', '''''', 'g'), ';', 1) AS bare FROM conversations)) "
+    f"WHERE trim(bare) <> '' AND (w NOT IN ({_WORDS}) OR (len(text) - len(replace(text, '''', ''))) % 2 = 1 "
+    "OR len(replace(bare, '(', '')) <> len(replace(bare, ')', '')))",
 )
 def s12_errors(spark, d):
-    """Texts that are no statements: the user turns of conversations, with plain ASCII starts."""
-    turns = tables.table(spark, d, "conversations").where("role = 'user'")
-    facts = with_statement_facts(turns, "text")
+    """Texts that are no statements: all turns of all conversations."""
+    facts = with_statement_facts(tables.table(spark, d, "conversations"), "text")
     return facts.where("parse_error IS NOT NULL").select(
         "conv_id", "turn", F.col("parse_error").alias("error")
     )

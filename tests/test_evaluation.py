@@ -99,3 +99,11 @@ def test_splits_fail_on_bad_input(spark):
     labels = spark.createDataFrame([(1,)], "pid long")
     with pytest.raises(Exception, match="no family for 1"):
         splits.with_family(labels, spark.createDataFrame([], "pid long, family string"), ["pid"]).collect()
+
+
+def test_repeated_rows_give_one_verdict(spark):
+    scores = spark.createDataFrame([(1, 0.2, 0), (1, 0.9, 5)], "session_id long, risk double, pos long")
+    labels = spark.createDataFrame([(1, "Malicious:k1"), (1, "Malicious:k1")], "session_id long, label string")
+    plan = spark.createDataFrame([("k1", "bank_x_7"), ("k1", "bank_x_7")], "key string, scenario_id string")
+    got = [(r.session_id, r.y, r.family, r.risk) for r in live.live_verdicts(scores, labels, plan).collect()]
+    assert got == [(1, 1, "bank_x", 0.9)]
