@@ -63,3 +63,15 @@ def map_rows(
                 )
 
     return narrow.mapInArrow(task, target)
+
+
+#: Rows of ids that may be broadcast; a larger side is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized_broadcast(ids: DataFrame) -> DataFrame:
+    """``ids`` (a few numbers a row) with a broadcast hint if a count proves that it is small."""
+    from pyspark.sql import functions as F
+
+    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(ids) if small else ids

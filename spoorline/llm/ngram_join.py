@@ -8,13 +8,16 @@ sizes must be within t of each other. The order puts frequent shingles last, so
 many documents hardly make candidates; it only affects speed.
 
 1. Documents with equal sets become one node.
-2. Per prefix shingle, every node is paired with the group's smallest node. Overlap counts of
-   prefixes discard pairs below the bound that the sizes leave; the rest is decided on
-   whole sets.
+2. Nodes and their prefix shingles are sorted by shingle in blocks of the matrix; each node is
+   paired with its group's smallest node. Groups of frequent shingles are split by a salt,
+   and the smallest nodes of their parts are paired once more. Per node, the partner that shares
+   most is decided on the whole texts; the other pairs only count where they join different
+   components, and only if the overlap of their prefixes leaves room for the threshold.
 3. Groups that still hold several components are multiplied out between components, with the
    same bound on the accumulated counts. Pairs within a component need no count.
 
-So copies are never expanded into all pairs, and no link between components is lost.
+So copies are never expanded into all pairs, and no link between components is lost. Keys of groups
+are cut to 48 bits: that can only add candidates, which are decided like all others.
 
 Texts are lower-cased in A-Z only. A text with fewer words than a shingle has one shingle; one
 without words has none and links with nothing, null texts likewise. Repeated rows get equal
@@ -25,13 +28,15 @@ the smallest id of a component is taken. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.llm.common import map_rows
+from spoorline.llm.common import map_rows, sized_broadcast
 from spoorline.llm.components import components
 from spoorline.session import materialize
 
@@ -41,6 +46,9 @@ PERCENT = 75
 #: Most frequent shingles that go last in the order of shingles.
 FREQUENT = 65_536
 KEEP_WORDS = 1_000_000
+#: Parts of the group of a frequent shingle; bits of a shingle's hash that make its group's key.
+SALTS = 16
+KEY_BITS = np.uint64((1 << 48) - 1)
 
 words_of = re.compile(rb"[^\x20\x09-\x0D]+").findall
 #: Odd multipliers for the words of a shingle by place, without a pattern among them.
@@ -112,53 +120,64 @@ def frequent(docs: DataFrame, words: int, text: str = "text") -> np.ndarray:
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
-def incidence(
-    docs: DataFrame, last: np.ndarray, words: int, percent: int, key: str, text: str
-) -> DataFrame:
-    """Per document: key, set size, set signature and the prefix of its shingles."""
+def incidence(docs: DataFrame, last: np.ndarray, words: int, percent: int, key: str) -> DataFrame:
+    """Per document: key, _sum, set size, set signature and the prefix of its shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def make():
         shingle, hot = Shingler(words), shared.value
 
         def work(rows):
-            out = {key: [], "n": [], "sig1": [], "sig2": [], "prefix": []}
-            for id_, body in rows:
+            out = {key: [], "_sum": [], "n": [], "sig1": [], "sig2": [], "prefix": [], "hot": []}
+            for id_, body, number in rows:
                 s = shingle(body)
                 size = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
+                cold = s
                 if len(hot) and len(s):
-                    at = np.searchsorted(hot, s)
-                    is_hot = hot[np.minimum(at, len(hot) - 1)] == s
-                    prefix = np.concatenate([s[~is_hot][:size], s[is_hot]])[:size]
+                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+                    is_hot = hot[at] == s
+                    cold = s[~is_hot]
+                    s_ordered = np.concatenate([cold[:size], s[is_hot]])[:size]
                 else:
-                    prefix = s[:size]
-                sig = signature(s)
-                for name, value in zip(out, (id_, len(s), *sig, prefix.view(np.int64)), strict=True):
+                    s_ordered = s[:size]
+                keys = (s_ordered & KEY_BITS).view(np.int64)
+                values = (id_, number, len(s), *signature(s), keys, max(0, size - len(cold)))
+                for name, value in zip(out, values, strict=True):
                     out[name].append(value)
             return out
 
         return work
 
-    schema = f"{key} bigint, n bigint, sig1 bigint, sig2 bigint, prefix array<bigint>"
-    return map_rows(docs, make, schema, [key, text])
+    schema = f"{key} bigint, _sum bigint, n bigint, sig1 bigint, sig2 bigint, prefix array<bigint>, hot int"
+    return map_rows(docs, make, schema, [key, "text", "_sum"])
 
 
-def whole_sets(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    def make():
-        shingle = Shingler(words)
-
-        def work(rows):
-            sets = [shingle(t) for _, t in rows]
-            sigs = [signature(s) for s in sets]
-            return {
-                "sig1": [s[0] for s in sigs],
-                "sig2": [s[1] for s in sigs],
-                "shingles": [s.view(np.int64) for s in sets],
-            }
-
-        return work
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add to rows sorted by (shingle, salt, node) the first node of their group.
 
-    return map_rows(docs, make, "sig1 bigint, sig2 bigint, shingles array<bigint>", [key, text])
+    A group of one node is left out, but for the parts of a split one (their salt is not negative).
+    """
+    group, hub, single = None, None, False
+    names = ["shingle", "salt", "node", "hub"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shingle, salt, node = (c.to_numpy() for c in batch.columns)
+        new = np.ones(len(node), bool)
+        new[1:] = (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])
+        new[0] = group != (shingle[0], salt[0])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
+        hubs = np.where(start >= 0, node[start], hub if hub is not None else 0)
+        follows = ~new
+        # the first node of a group is written once its second one is seen
+        leads = np.append(new[:-1] & follows[1:], False)
+        out = follows | leads | (salt >= 0)
+        columns = [c[out] for c in (shingle, salt, node, hubs)]
+        if follows[0] and single:
+            columns = [np.append(v, c) for v, c in zip((*group, hub, hub), columns, strict=True)]
+        group, hub = (shingle[-1], salt[-1]), hubs[-1]
+        single = bool(new[-1]) and salt[-1] < 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def _may_link(n1, n2, percent: int):
@@ -171,7 +190,7 @@ def _needed(n1, n2, percent: int):
 
 
 class JaccardJoin:
-    """Near duplicates of a table; ``nodes``, ``links`` and ``members`` are the whole result."""
+    """Near duplicates of a table; ``links``, ``roots`` and `members` are the whole result."""
 
     def __init__(
         self,
@@ -181,10 +200,11 @@ class JaccardJoin:
         key: str = "doc_id",
         text: str = "text",
     ):
-        self.docs, self.key, self.text = docs.select(key, text), key, text
+        texts = docs.select(key, F.col(text).alias("text"))
+        self.docs, self.key = texts.withColumn("_sum", F.xxhash64("text")), key
         self.words, self.percent = words, percent
-        last = frequent(self.docs, words, text)
-        rows = incidence(self.docs, last, words, percent, key, text)
+        last = frequent(self.docs, words, "text")
+        rows = incidence(self.docs, last, words, percent, key)
         self.rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "incidence")
         # a class is the node of its first row
         classes = (
@@ -196,72 +216,96 @@ class JaccardJoin:
         self.links, self.roots = self._join()
 
     def _join(self) -> tuple[DataFrame, DataFrame]:
-        firsts = self.classes.select("node")
-        nodes = self.rows.join(firsts, F.col("row") == F.col("node")).select("node", "n", "prefix")
-        entries = nodes.select("node", "n", F.explode("prefix").alias("shingle"))
-        groups = (
-            entries.groupBy("shingle")
-            .agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members"))
-            .where("hub < last")
-            .select("shingle", "hub", "members")
-        )
-        shared = materialize(entries.join(materialize(groups, "groups"), "shingle"), "shared")
+        shared = materialize(self._groups(), "shared")
+        parts = shared.where("node = hub").groupBy("shingle").agg(F.min("hub").alias("a"), F.max("hub").alias("b"))
+        split = parts.where("a < b").select("shingle", "a")
+        halves = shared.where("node = hub").join(split, "shingle").where("node <> a")
+        found = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         pairs = (
-            shared.where(F.col("node") != F.col("hub"))
-            .groupBy(F.col("hub").alias("a"), F.col("node").alias("b"))
+            found.unionByName(halves.select("a", F.col("node").alias("b")))
+            .groupBy("a", "b")
             .agg(F.count(F.lit(1)).alias("seen"))
         )
-        pairs = materialize(self._bounded(pairs, nodes), "pairs")
-        # the hub that shares most decides most members; others are left where they still matter
-        first = pairs.groupBy("b").agg(F.max_by("a", F.struct("seen", F.negative("a"))).alias("a"))
-        links = materialize(self._verified(first.select("a", "b")), "links")
+        pairs = materialize(pairs, "pairs")
+        # the partner that shares most decides most nodes; others are left where they still matter
+        first = pairs.groupBy("b").agg(F.max_by("a", F.col("seen") * 2 - F.col("a") / F.lit(2.0**63)).alias("a"))
+        first = materialize(first.select("a", "b"), "first")
+        links = self._verified(first)
         roots = components(links)
-        rest = self._across(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), roots)
-        more = materialize(self._verified(rest), "links")
+        rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
+        more = self._verified(self._bounded(self._across(rest, roots)))
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = components(links)
-        last = materialize(self._verified(self._residual(shared, pairs, roots)), "links")
+        last = self._verified(self._residual(shared, pairs, roots))
         if last.limit(1).count():
             links = links.unionByName(last)
             roots = components(links)
         return links, roots
 
-    def _bounded(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs whose prefix overlap leaves room for the needed overlap."""
-        left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-        right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    def _nodes(self) -> DataFrame:
+        """The first row of each class."""
+        firsts = sized_broadcast(self.classes.select("node"))
+        return self.rows.join(firsts, self.rows["row"] == firsts["node"]).drop("row")
+
+    def _groups(self) -> DataFrame:
+        """shingle, salt, node, hub: every prefix shingle that several nodes have."""
+        at = F.posexplode("prefix").alias("at", "shingle")
+        entries = self._nodes().select("node", "hot", F.size("prefix").alias("size"), at)
+        is_hot = F.col("at") >= F.col("size") - F.col("hot")
+        salt = F.when(is_hot, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1).cast("bigint")
+        dealt = entries.select("shingle", salt.alias("salt"), "node").repartition("shingle", "salt")
+        in_order = dealt.sortWithinPartitions("shingle", "salt", "node")
+        return in_order.mapInArrow(_first_of_each, "shingle bigint, salt bigint, node bigint, hub bigint")
+
+    def _bounded(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes and prefix overlap leave room for the needed overlap."""
+        pairs = materialize(pairs, "pairs")
+        wanted = sized_broadcast(_ends(pairs))
+        rows = self.rows.join(wanted, self.rows["row"] == wanted["node"]).select("node", "n", "prefix")
+        rows = materialize(rows, "prefixes")
+        left = rows.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+        right = rows.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
         both = pairs.join(right, "b").join(left, "a")
-        both = both.where(_may_link(F.col("na"), F.col("nb"), self.percent))
-        most = F.size(F.array_intersect("pa", "pb")) + F.greatest(
-            F.col("na") - F.size("pa"), F.col("nb") - F.size("pb")
-        )
-        return both.where(most >= _needed(F.col("na"), F.col("nb"), self.percent)).select("a", "b", "seen")
+        na, nb = F.col("na"), F.col("nb")
+        most = F.size(F.array_intersect("pa", "pb")) + F.greatest(na - F.size("pa"), nb - F.size("pb"))
+        room = _may_link(na, nb, self.percent) & (most >= _needed(na, nb, self.percent))
+        return both.where(room).select("a", "b")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that reach the threshold on whole sets, with their overlap."""
+        """The pairs that reach the threshold on whole texts, with their overlap."""
         pairs = materialize(pairs.select("a", "b"), "candidates")
-        sides = [pairs.select(F.col(side).alias("node")) for side in ("a", "b")]
-        wanted = sides[0].unionByName(sides[1]).distinct()
-        chosen = self.classes.join(wanted, "node", "left_semi")
-        ids = chosen.select(F.col("rep").alias("_rep")).distinct()
-        texts = self.docs.join(ids, F.col(self.key).eqNullSafe(F.col("_rep")), "left_semi")
-        sets = (
-            whole_sets(texts, self.words, self.key, self.text)
-            .join(chosen.select("sig1", "sig2", "node"), ["sig1", "sig2"])
-            .dropDuplicates(["node"])
-            .select("node", "shingles")
-        )
-        sets = materialize(sets, "sets")
-        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        counted = pairs.join(right, "b").join(left, "a").select(
-            "a",
-            "b",
-            F.size(F.array_intersect("sa", "sb")).alias("overlap"),
-            (F.size("sa") + F.size("sb")).alias("sizes"),
-        )
-        return counted.where(100 * F.col("overlap") >= self.percent * (F.col("sizes") - F.col("overlap")))
+        wanted = sized_broadcast(_ends(pairs))
+        chosen = self.rows.join(wanted, self.rows["row"] == wanted["node"])
+        chosen = chosen.select("node", F.col(self.key).alias("_id"), F.col("_sum").alias("_of"))
+        chosen = sized_broadcast(materialize(chosen, "chosen"))
+        same = self.docs[self.key].eqNullSafe(chosen["_id"]) & (self.docs["_sum"] == chosen["_of"])
+        texts = materialize(self.docs.join(chosen, same).select("node", "text"), "texts")
+        left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+        right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+        both = pairs.join(right, "b").join(left, "a")
+        words, percent = self.words, self.percent
+
+        def make():
+            shingle, held = Shingler(words), {}
+
+            def work(rows):
+                out = {"a": [], "b": [], "overlap": []}
+                for a, b, ta, tb in rows:
+                    if a not in held:  # rows of one node lie together
+                        held.clear()
+                        held[a] = shingle(ta)
+                    sa, sb = held[a], shingle(tb)
+                    overlap = len(np.intersect1d(sa, sb, assume_unique=True))
+                    if 100 * overlap >= percent * (len(sa) + len(sb) - overlap):
+                        for name, value in zip(out, (a, b, overlap), strict=True):
+                            out[name].append(value)
+                return out
+
+            return work
+
+        links = map_rows(both, make, "a bigint, b bigint, overlap bigint", ["a", "b", "ta", "tb"])
+        return materialize(links, "links")
 
     @staticmethod
     def _with_root(df: DataFrame, column: str, roots: DataFrame, name: str) -> DataFrame:
@@ -274,32 +318,33 @@ class JaccardJoin:
         return marked.where(F.col("_ra") != F.col("_rb")).select("a", "b")
 
     def _residual(self, shared: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs without a hub, between components, with enough shared prefix shingles.
+        """Pairs not decided yet, between components, with enough shared prefix shingles.
 
-        In all their common groups neither is the hub, so the counts are complete.
+        A group that both are in holds two components, so no common shingle is left out and
+        the counts are complete.
         """
-        members = shared.where((F.col("members") > 2) & (F.col("node") != F.col("hub"))).select("shingle", "node", "n")
-        rooted = self._with_root(members, "node", roots, "root")
+        rooted = self._with_root(shared.select("shingle", "node"), "node", roots, "root")
         mixed = (
             rooted.groupBy("shingle")
-            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-            .where("lo != hi")
+            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
+            .where("lo <> hi AND members > 2")
             .select("shingle")
         )
-        kept = materialize(rooted.join(mixed, "shingle").distinct(), "mixed")
+        kept = rooted.join(materialize(mixed, "mixed"), "shingle")
+        sizes = self.classes.select("node", "n")
+        kept = materialize(kept.join(sizes, "node"), "kept")
         x = kept.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
         y = kept.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+        na, nb = F.col("na"), F.col("nb")
         crossed = x.join(y, "shingle").where(
-            (F.col("a") < F.col("b"))
-            & (F.col("ra") != F.col("rb"))
-            & _may_link(F.col("na"), F.col("nb"), self.percent)
+            (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(na, nb, self.percent)
         )
         counted = crossed.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("seen"))
 
         def prefix(n):
             return n - F.floor((n * self.percent + 99) / 100) + 1
 
-        na, nb = F.col("na"), F.col("nb")
+        # groups of two nodes are not multiplied out: their pair is decided
         most = F.col("seen") + F.greatest(na - prefix(na), nb - prefix(nb))
         enough = counted.where(most >= _needed(na, nb, self.percent)).select("a", "b")
         return enough.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
@@ -309,16 +354,20 @@ class JaccardJoin:
         named = self._with_root(self.classes, "node", self.roots, "root")
         least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
         placed = named.join(least, "root").select("sig1", "sig2", F.col("n").alias("_n"), "component_id")
-        return self.rows.join(
-            placed,
-            (self.rows.sig1 == placed.sig1) & (self.rows.sig2 == placed.sig2) & (self.rows.n == F.col("_n")),
-            "left",
-        ).select(
+        rows = self.rows.select(self.key, "n", "sig1", "sig2")
+        same = (rows.sig1 == placed.sig1) & (rows.sig2 == placed.sig2) & (rows.n == placed["_n"])
+        return rows.join(placed, same, "left").select(
             self.key,
             F.col("n").alias("n_shingles"),
             F.coalesce("component_id", self.key).alias("component_id"),
         )
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs."""
+    sides = [pairs.select(F.col(side).alias("node")) for side in ("a", "b")]
+    return sides[0].unionByName(sides[1]).distinct()
+
+
 def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     return JaccardJoin(docs, **parameters).members()
