@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions.ordered import SEG_ROWS, Fold, running
+from spoorline.functions.text import mask_literals
 
 # The closed vocabularies of the spec format.
 DIMENSIONS = [
@@ -88,42 +89,98 @@ def spec_violations(specs: DataFrame) -> DataFrame:
     )
 
 
+def with_dimensions(sessions: DataFrame) -> DataFrame:
+    """What a session shows in each matched dimension, one column per dimension.
+
+    Processes are compared by command and parent command, events by their system call, and
+    statements by their texts in order (``_masked`` has their literals taken out).
+    """
+    e = F.col("events")
+    commands = F.filter(e, lambda x: x["process"].isNotNull())
+
+    def parent(x):
+        return F.get(F.filter(commands, lambda y: y["step_id"] == x["process"]["parent"]), F.lit(0))["process"]["comm"]
+
+    shape = F.array_sort(
+        F.transform(
+            commands, lambda x: F.concat(x["process"]["comm"], F.lit("<"), F.coalesce(parent(x), F.lit("")))
+        )
+    )
+    calls = F.array_compact(
+        F.transform(
+            e,
+            lambda x: F.when(x["process"].isNotNull(), F.lit("execve"))
+            .when(x["file"].isNotNull(), x["file"]["syscall"])
+            .when(x["connect"].isNotNull(), F.lit("connect")),
+        )
+    )
+    ends = F.array_compact(
+        F.transform(
+            e,
+            lambda x: F.coalesce(
+                F.concat(x["connect"]["ip"], F.lit(":"), x["connect"]["port"].cast("string")),
+                F.concat(x["connects_to"]["ip"], F.lit(":"), x["connects_to"]["port"].cast("string")),
+            ),
+        )
+    )
+    statements = F.transform(e, lambda x: F.coalesce(x["sql"], F.lit("")))
+    return sessions.withColumns(
+        {
+            "process_tree_shape": F.array_join(shape, " "),
+            "syscall_sequence": F.array_join(calls, " "),
+            "timing_pattern": F.col("tempo"),
+            "sql_content": F.array_join(statements, "\n"),
+            "connects_to_destination": F.array_join(ends, " "),
+            "_masked": F.array_join(F.transform(statements, mask_literals), "\n"),
+        }
+    )
+
+
 def pair_checks(specs: DataFrame) -> DataFrame:
-    """Per matched pair of a run: one sibling of each class, and role and timing agreement."""
-    s = spec_sessions(specs).where(F.col("matched_pair_id").isNotNull())
-    scenario = F.struct("scenario_id", "role", "tempo", F.col("gaps"))
+    """Per session of a matched pair: one sibling of each class, and what its dimensions ask for.
+
+    A fixed dimension must agree and a varied one differ; statements that differ in literals
+    only do not count as different.
+    """
+    s = with_dimensions(spec_sessions(specs)).where(F.col("matched_pair_id").isNotNull())
+    side = F.struct("scenario_id", *DIMENSIONS, "gaps", "_masked")
     keys = ["run_id", "matched_pair_id", "session_no"]
     per = s.groupBy(*keys).agg(
         F.count_if(F.col("class") == "benign").alias("benign"),
         F.count_if(F.col("class") == "malicious").alias("malicious"),
-        F.min(F.when(F.col("class") == "benign", scenario)).alias("b"),
-        F.min(F.when(F.col("class") == "malicious", scenario)).alias("m"),
-        F.max(F.array_contains("matched_dimensions.fixed", "role")).alias("role_fixed"),
-        F.max(F.array_contains("matched_dimensions.varied", "role")).alias("role_varied"),
+        F.min(F.when(F.col("class") == "benign", side)).alias("b"),
+        F.min(F.when(F.col("class") == "malicious", side)).alias("m"),
+        *[
+            F.max(F.coalesce(F.array_contains(f"matched_dimensions.{kind}", dim), F.lit(False))).alias(f"{kind}_{dim}")
+            for kind in ("fixed", "varied")
+            for dim in DIMENSIONS
+        ],
     )
     near = F.forall(
         F.arrays_zip(F.col("b.gaps").alias("x"), F.col("m.gaps").alias("y")),
         lambda g: F.abs(g["x"] - g["y"]) <= 0.2 * F.greatest(g["x"], g["y"]),
     )
     one_each = (F.col("benign") == 1) & (F.col("malicious") == 1)
-    same_role = F.col("b.role") == F.col("m.role")
+    same = {dim: F.col(f"b.{dim}") == F.col(f"m.{dim}") for dim in DIMENSIONS}
+    same["timing_pattern"] = same["timing_pattern"] & near
+    differs = {dim: ~c for dim, c in same.items()} | {"sql_content": F.col("b._masked") != F.col("m._masked")}
+    valid = one_each
+    for dim in DIMENSIONS:
+        valid = valid & (~F.col(f"fixed_{dim}") | same[dim]) & (~F.col(f"varied_{dim}") | differs[dim])
     return per.select(
         *keys,
         one_each.alias("one_of_each"),
-        same_role.alias("same_role"),
-        ((F.col("b.tempo") == F.col("m.tempo")) & near).alias("same_timing"),
-        (
-            one_each
-            & (~F.coalesce("role_fixed", F.lit(False)) | same_role)
-            & (~F.coalesce("role_varied", F.lit(False)) | ~same_role)
-        ).alias("valid"),
+        *[F.when(one_each, c).alias(f"same_{dim}") for dim, c in same.items()],
+        F.coalesce(valid, F.lit(False)).alias("valid"),
     )
 
 
-def dimension_table(sessions: DataFrame, dimension: str) -> DataFrame:
-    """Values of a dimension × class; a value of one class only predicts the class."""
+def dimension_tables(sessions: DataFrame) -> DataFrame:
+    """Dimension × value × class over all dimensions; a value of one class only predicts the class."""
+    shown = F.array(*[F.struct(F.lit(x).alias("dimension"), F.col(x).alias("value")) for x in DIMENSIONS])
+    long = sessions.select("class", F.inline(shown))
     return (
-        sessions.groupBy(dimension)
+        long.groupBy("dimension", "value")
         .agg(
             F.count_if(F.col("class") == "benign").alias("benign"),
             F.count_if(F.col("class") == "malicious").alias("malicious"),

@@ -437,60 +437,99 @@ def w04(spark, d):
     return out.select(*SESSION, "k", "statements", "events", "prefix_label")
 
 
-# --- scenario specs, one per order
+# --- scenario specs, one per order; siblings of a pair are in one run
 
-_SPEC_BASE = """spec AS (SELECT o_orderkey AS k, 'run_' || (o_orderkey % 40) AS run_id, 'scn_' || o_orderkey AS scenario_id,
+_SPEC_BASE = """spec AS (SELECT o_orderkey AS k, o_custkey AS c, 'run_' || ((o_orderkey // 8) % 40) AS run_id, 'scn_' || o_orderkey AS scenario_id,
  CASE WHEN o_orderkey % 5 = 0 THEN 'bursty' WHEN o_orderkey % 5 = 1 THEN 'steady' WHEN o_orderkey % 5 = 2 THEN 'off_hours' WHEN o_orderkey % 5 = 3 THEN 'scheduled' ELSE 'hasty' END AS tempo,
- CASE WHEN o_orderkey % 3 = 0 THEN 'benign' ELSE 'malicious' END AS class, 'role_' || (o_custkey % 9) AS role, o_orderkey % 24 AS hour,
- [0.5::DOUBLE, 0.5 + (o_custkey % 4) * 0.25] AS gaps, CASE WHEN o_orderkey % 8 < 2 THEN 'pair_' || (o_orderkey // 8) END AS pair,
- o_orderkey % 2 = 0 AS with_process, CASE WHEN o_orderkey % 6 = 0 THEN 'benign_false_positive' WHEN o_orderkey % 6 = 1 THEN 'malicious_false_negative' ELSE 'agrees' END AS rel FROM orders)"""
-
-
-def _spec_texts(spark, d):
-    """Spec documents in YAML's JSON form, two sessions each."""
+ CASE WHEN o_orderkey % 3 = 0 THEN 'benign' ELSE 'malicious' END AS class, 'role_' || (o_custkey % 3) AS role, o_orderkey % 24 AS hour,
+ [0.5::DOUBLE, 0.5 + (o_custkey % 4) * 0.75] AS gaps, CASE WHEN o_orderkey % 8 < 2 THEN 'pair_' || (o_orderkey // 8) END AS pair, (o_orderkey // 8) % 4 AS kind,
+ CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'gzip' ELSE 'curl' END END AS comm,
+ CASE WHEN o_custkey % 3 = 0 THEN '203.0.113.' || (o_custkey % 2) || ':443' END AS dest, o_orderkey % 4 = 1 AS with_file,
+ CASE WHEN o_orderkey % 7 = 0 THEN 'SELECT b FROM t1' ELSE 'SELECT a FROM t0 WHERE b = ' || (o_custkey % 5) END AS first_sql,
+ o_orderkey % 11 = 0 AS odd_dimension, CASE WHEN o_orderkey % 13 = 0 THEN 'maybe' ELSE 'db' END AS anchor, o_orderkey % 10 = 0 AS beside,
+ CASE WHEN o_orderkey % 6 = 0 THEN 'benign_false_positive' WHEN o_orderkey % 6 = 1 THEN 'malicious_false_negative' WHEN o_orderkey % 17 = 2 THEN 'sometimes' ELSE 'agrees' END AS rel FROM orders)"""
+_FIXED = {
+    0: (["timing_pattern"], ["role"]),
+    1: (["process_tree_shape", "syscall_sequence"], ["sql_content"]),
+    2: (["sql_content"], ["connects_to_destination"]),
+    3: (["connects_to_destination", "role"], ["timing_pattern"]),
+}
+
+
+def _spec_struct():
+    """Spec documents of the orders, two sessions each."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     tempo = (
         F.when(k % 5 == 0, "bursty").when(k % 5 == 1, "steady").when(k % 5 == 2, "off_hours")
         .when(k % 5 == 3, "scheduled").otherwise("hasty")
     )
-    gaps = F.array(F.lit(0.5), F.lit(0.5) + (c % 4) * F.lit(0.25))
-    two = F.array(
-        F.struct(F.lit("s0").alias("step_id"), F.lit("SELECT 1").alias("sql"), F.lit(None).cast("struct<comm:string,parent:string>").alias("process")),
-        F.struct(
-            F.lit("s1").alias("step_id"),
-            F.when(k % 2 == 1, "SELECT 2").alias("sql"),
-            F.when(k % 2 == 0, F.struct(F.lit("gzip").alias("comm"), F.lit("s0").alias("parent"))).alias("process"),
-        ),
+    gaps = F.array(F.lit(0.5), F.lit(0.5) + (c % 4) * F.lit(0.75))
+
+    def event(step, sql=None, process=None, file=None, connect=None):
+        none = {"process": "struct<comm:string,parent:string>", "file": "struct<path:string,syscall:string,parent:string>",
+                "connect": "struct<ip:string,port:bigint,parent:string>"}
+        given = {"process": process, "file": file, "connect": connect}
+        typed = [(F.lit(None) if v is None else v).cast(none[n]).alias(n) for n, v in given.items()]
+        return F.struct(F.lit(step).alias("step_id"), (F.lit(None) if sql is None else sql).cast("string").alias("sql"), *typed)
+
+    first_sql = F.when(k % 7 == 0, F.lit("SELECT b FROM t1")).otherwise(
+        F.concat(F.lit("SELECT a FROM t0 WHERE b = "), (c % 5).cast("string"))
+    )
+    comm = F.when(c % 2 == 0, "gzip").otherwise("curl")
+    events = F.array_compact(
+        F.array(
+            event("s0", sql=first_sql),
+            F.when(k % 2 == 0, event("s1", process=F.struct(comm.alias("comm"), F.lit("s0").alias("parent")))).otherwise(
+                event("s1", sql=F.lit("SELECT 2"))
+            ),
+            F.when(
+                c % 3 == 0,
+                event("s2", connect=F.struct(F.concat(F.lit("203.0.113."), (c % 2).cast("string")).alias("ip"), F.lit(443).cast("bigint").alias("port"), F.lit("s1").alias("parent"))),
+            ),
+            F.when(k % 4 == 1, event("s3", file=F.struct(F.lit("/tmp/x").alias("path"), F.lit("unlink").alias("syscall"), F.lit("s1").alias("parent")))),
+        )
     )
-    one = F.array(F.struct(F.lit("t0").alias("step_id"), F.lit("SELECT 3").alias("sql"), F.lit(None).cast("struct<comm:string,parent:string>").alias("process")))
     timing = F.struct(tempo.alias("tempo"), gaps.alias("step_gaps_seconds"))
-    role = F.concat(F.lit("role_"), (c % 9).cast("string"))
+    role = F.concat(F.lit("role_"), (c % 3).cast("string"))
     cls = F.when(k % 3 == 0, "benign").otherwise("malicious")
+    anchor = F.when(k % 13 == 0, "maybe").otherwise("db")
 
-    def session(label, delay, events):
+    def session(label, delay, events, beside):
         return F.struct(
-            F.lit(label).alias("session_label"), cls.alias("class"), role.alias("role"),
-            F.lit(delay).alias("delay_after_previous_seconds"), timing.alias("timing"), events.alias("events"),
+            F.lit(label).alias("session_label"), cls.alias("class"), role.alias("role"), anchor.alias("anchor"),
+            beside.alias("concurrent_with"), F.lit(delay).alias("delay_after_previous_seconds"),
+            timing.alias("timing"), events.alias("events"),
         )
 
-    fixed = F.struct(F.array(F.lit("timing_pattern")).alias("fixed"), F.array(F.lit("role")).alias("varied"))
-    spec = F.struct(
+    dims = F.lit(None).cast("struct<fixed:array<string>,varied:array<string>>")
+    for kind, (fixed, varied) in _FIXED.items():
+        odd = F.when(k % 11 == 0, F.array(*map(F.lit, [*varied, "weather"]))).otherwise(F.array(*map(F.lit, varied)))
+        own = F.struct(F.array(*map(F.lit, fixed)).alias("fixed"), odd.alias("varied"))
+        dims = F.when(F.floor(k / 8) % 4 == kind, own).otherwise(dims)
+    nobody = F.lit(None).cast("string")
+    return F.struct(
         F.concat(F.lit("scn_"), k.cast("string")).alias("scenario_id"),
         F.lit("fam").alias("family_id"),
         F.when(k % 8 < 2, F.concat(F.lit("pair_"), F.floor(k / 8).cast("string"))).alias("matched_pair_id"),
-        F.when(k % 8 < 2, fixed).alias("matched_dimensions"),
+        F.when(k % 8 < 2, dims).alias("matched_dimensions"),
         F.concat(F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":30")).alias("time_of_day"),
-        F.when(k % 6 == 0, "benign_false_positive").when(k % 6 == 1, "malicious_false_negative").otherwise("agrees").alias("rule_engine_relationship"),
-        F.array(session("main", 0.0, two), session("next", 4.0, one)).alias("sessions"),
-    )
-    orders = tables.table(spark, d, "orders")
-    return orders.select(
-        F.concat(F.lit("run_"), (k % 40).cast("string")).alias("run_id"), F.to_json(spec).alias("text")
+        F.when(k % 6 == 0, "benign_false_positive").when(k % 6 == 1, "malicious_false_negative")
+        .when(k % 17 == 2, "sometimes").otherwise("agrees").alias("rule_engine_relationship"),
+        F.array(
+            session("main", 0.0, events, nobody),
+            session("next", 4.0, F.array(event("t0", sql=F.lit("SELECT 3"))), F.when(k % 10 == 0, "main").otherwise(nobody)),
+        ).alias("sessions"),
     )
 
 
 def _specs(spark, d):
-    return logs.parse_specs(_spec_texts(spark, d))
+    """The specs as typed rows, read from their JSON."""
+    k = F.col("o_orderkey")
+    texts = tables.table(spark, d, "orders").select(
+        F.concat(F.lit("run_"), (F.floor(k / 8) % 40).cast("string")).alias("run_id"),
+        F.to_json(_spec_struct()).alias("text"),
+    )
+    return logs.json_specs(texts)
 
 
 @query(
@@ -499,11 +538,24 @@ def _specs(spark, d):
     plain=True,
 )
 def s09(spark, d):
-    first = F.element_at("sessions", 1)
-    return _specs(spark, d).select(
+    """Specs in YAML, times of day unquoted."""
+    first = F.element_at("s.sessions", 1)
+    k = F.col("o_orderkey")
+    spec = tables.table(spark, d, "orders").select(
+        F.concat(F.lit("run_"), (F.floor(k / 8) % 40).cast("string")).alias("run_id"), _spec_struct().alias("s")
+    )
+    text = F.format_string(
+        "# spec\nscenario_id: %s\nfamily_id: fam\ntime_of_day: %s\nsessions:\n- session_label: main\n  role: %s\n"
+        "  timing:\n    tempo: %s\n    step_gaps_seconds: [%s]\n  events:\n  - step_id: s0\n    sql: >-\n      SELECT\n      1\n"
+        "- session_label: next\n  role: &r x\n",
+        "s.scenario_id", "s.time_of_day", first["role"], first["timing"]["tempo"],
+        F.array_join(first["timing"]["step_gaps_seconds"].cast("array<string>"), ", "),
+    )
+    main = F.element_at("sessions", 1)
+    return logs.parse_specs(spec.select("run_id", text.alias("text"))).select(
         "run_id", "scenario_id", "time_of_day", F.size("sessions").alias("sessions"),
-        first["timing"]["tempo"].alias("tempo"), first["role"].alias("role"),
-        F.element_at(first["timing"]["step_gaps_seconds"], 2).alias("second_gap"),
+        main["timing"]["tempo"].alias("tempo"), main["role"].alias("role"),
+        F.element_at(main["timing"]["step_gaps_seconds"], 2).alias("second_gap"),
     )
 
 
@@ -511,6 +563,9 @@ def s09(spark, d):
     "d07_spec_violations",
     f"""WITH {_SPEC_BASE}, s AS (SELECT *, unnest(['main', 'next']) AS session_label, (gaps[1] + gaps[2]) / 2 AS mean FROM spec)
  SELECT run_id, scenario_id, session_label, 'tempo' AS rule FROM s WHERE tempo = 'hasty'
+ UNION ALL SELECT run_id, scenario_id, session_label, 'anchor' FROM s WHERE anchor = 'maybe'
+ UNION ALL SELECT run_id, scenario_id, session_label, 'relationship' FROM s WHERE rel = 'sometimes'
+ UNION ALL SELECT run_id, scenario_id, session_label, 'dimension' FROM s WHERE pair IS NOT NULL AND odd_dimension
  UNION ALL SELECT run_id, scenario_id, session_label, 'steady_gap' FROM s WHERE tempo = 'steady' AND (greatest(gaps[1], gaps[2]) > mean * 1.2::DOUBLE OR least(gaps[1], gaps[2]) < mean * 0.8::DOUBLE)
  UNION ALL SELECT run_id, scenario_id, session_label, 'bursty_gap' FROM s WHERE tempo = 'bursty' AND greatest(gaps[1], gaps[2]) >= 2
  UNION ALL SELECT run_id, scenario_id, session_label, 'off_hours' FROM s WHERE tempo = 'off_hours' AND hour BETWEEN 8 AND 17""",
@@ -520,33 +575,59 @@ def d07(spark, d):
     return quality.spec_violations(_specs(spark, d))
 
 
+_SAME = {
+    "role": "b.role = m.role",
+    "timing_pattern": "b.tempo = m.tempo AND abs(b.gaps[2] - m.gaps[2]) <= 0.2::DOUBLE * greatest(b.gaps[2], m.gaps[2])",
+    "process_tree_shape": "no = 1 OR b.comm IS NOT DISTINCT FROM m.comm",
+    "syscall_sequence": "no = 1 OR ((b.comm IS NULL) = (m.comm IS NULL) AND (b.dest IS NULL) = (m.dest IS NULL) AND b.with_file = m.with_file)",
+    "sql_content": "no = 1 OR (b.first_sql = m.first_sql AND (b.comm IS NULL) = (m.comm IS NULL))",
+    "connects_to_destination": "no = 1 OR b.dest IS NOT DISTINCT FROM m.dest",
+}
+_DIFFERENT = {n: f"NOT ({c})" for n, c in _SAME.items()} | {
+    "sql_content": "no = 0 AND ((b.first_sql LIKE '%t1') <> (m.first_sql LIKE '%t1') OR (b.comm IS NULL) <> (m.comm IS NULL))"
+}
+_KIND_OK = " ".join(
+    f"WHEN {kind} THEN " + " AND ".join([f"({_SAME[x]})" for x in fixed] + [f"({_DIFFERENT[x]})" for x in varied])
+    for kind, (fixed, varied) in _FIXED.items()
+)
+
+
 @query(
     "d08_matched_pairs",
-    f"""WITH {_SPEC_BASE}, p AS (SELECT run_id, pair, count(*) FILTER (class = 'benign') AS b, count(*) FILTER (class = 'malicious') AS m,
- min(role) FILTER (class = 'benign') = min(role) FILTER (class = 'malicious') AS same_role FROM spec WHERE pair IS NOT NULL GROUP BY 1, 2)
- SELECT run_id, pair AS matched_pair_id, unnest([0, 1]) AS session_no, b = 1 AND m = 1 AS one_of_each, same_role, b = 1 AND m = 1 AND NOT same_role AS valid FROM p""",
+    f"""WITH {_SPEC_BASE}, two AS (SELECT *, unnest([0, 1]) AS no FROM spec WHERE pair IS NOT NULL),
+ n AS (SELECT run_id, pair, no, count(*) FILTER (class = 'benign') AS nb, count(*) FILTER (class = 'malicious') AS nm,
+  min(scenario_id) FILTER (class = 'benign') AS bid, min(scenario_id) FILTER (class = 'malicious') AS mid FROM two GROUP BY 1, 2, 3)
+ SELECT n.run_id, n.pair AS matched_pair_id, n.no AS session_no, nb = 1 AND nm = 1 AS one_of_each, {", ".join(f"CASE WHEN nb = 1 AND nm = 1 THEN {c.replace('no =', 'n.no =')} END AS same_{x}" for x, c in _SAME.items() if x in ("role", "timing_pattern", "sql_content"))},
+ nb = 1 AND nm = 1 AND COALESCE(CASE b.kind {_KIND_OK.replace("no =", "n.no =")} END, false) AS valid
+ FROM n LEFT JOIN spec b ON b.scenario_id = n.bid LEFT JOIN spec m ON m.scenario_id = n.mid""",
     plain=True,
 )
 def d08(spark, d):
     return quality.pair_checks(_specs(spark, d)).select(
-        "run_id", "matched_pair_id", "session_no", "one_of_each", "same_role",
-        "valid",
+        "run_id", "matched_pair_id", "session_no", "one_of_each", "same_role", "same_timing_pattern", "same_sql_content", "valid",
     )
 
 
 @query(
-    "d09_role_predicts_class",
-    f"WITH {_SPEC_BASE} SELECT role, 2 * count(*) FILTER (class = 'benign') AS benign, 2 * count(*) FILTER (class = 'malicious') AS malicious, "
-    "count(DISTINCT class) = 1 AS predicts FROM spec GROUP BY 1",
+    "d09_dimension_predicts_class",
+    f"""WITH {_SPEC_BASE}, v AS (SELECT 'role' AS dimension, role AS "value", class, 2 AS n FROM spec UNION ALL SELECT 'timing_pattern', tempo, class, 2 FROM spec
+ UNION ALL SELECT 'process_tree_shape', COALESCE(comm || '<', ''), class, 1 FROM spec UNION ALL SELECT 'process_tree_shape', '', class, 1 FROM spec
+ UNION ALL SELECT 'connects_to_destination', COALESCE(dest, ''), class, 1 FROM spec UNION ALL SELECT 'connects_to_destination', '', class, 1 FROM spec
+ UNION ALL SELECT 'syscall_sequence', array_to_string(list_filter([CASE WHEN comm IS NOT NULL THEN 'execve' END, CASE WHEN dest IS NOT NULL THEN 'connect' END, CASE WHEN with_file THEN 'unlink' END], lambda x: x IS NOT NULL), ' '), class, 1 FROM spec
+ UNION ALL SELECT 'syscall_sequence', '', class, 1 FROM spec)
+ SELECT dimension, "value", COALESCE(sum(n) FILTER (class = 'benign'), 0)::BIGINT AS benign, COALESCE(sum(n) FILTER (class = 'malicious'), 0)::BIGINT AS malicious,
+ count(DISTINCT class) = 1 AS predicts FROM v GROUP BY 1, 2""",
     plain=True,
 )
 def d09(spark, d):
-    return quality.dimension_table(quality.spec_sessions(_specs(spark, d)), "role")
+    sessions = quality.with_dimensions(quality.spec_sessions(_specs(spark, d)))
+    out = quality.dimension_tables(sessions)
+    return out.where("dimension <> 'sql_content'")
 
 
 @query(
     "d09_os_activity",
-    f"WITH {_SPEC_BASE} SELECT run_id, scenario_id, with_process AS has_os_activity, 2 AS sessions FROM spec",
+    f"WITH {_SPEC_BASE} SELECT run_id, scenario_id, comm IS NOT NULL OR dest IS NOT NULL OR with_file AS has_os_activity, 2 AS sessions FROM spec",
     plain=True,
 )
 def d09_os(spark, d):
@@ -564,10 +645,10 @@ def d09_rel(spark, d):
 
 @query(
     "d10_event_schedule",
-    f"""WITH {_SPEC_BASE}, t AS (SELECT *, hour * 3600 + 1800.0::DOUBLE AS t0 FROM spec)
- SELECT run_id, scenario_id, 0 AS session_no, 0 AS step_no, t0 AS at_s FROM t
- UNION ALL SELECT run_id, scenario_id, 0, 1, t0 + gaps[1] FROM t
- UNION ALL SELECT run_id, scenario_id, 1, 0, t0 + gaps[1] + 4 FROM t""",
+    f"""WITH {_SPEC_BASE}, t AS (SELECT *, hour * 3600 + 1800.0::DOUBLE AS t0, 2 + (dest IS NOT NULL)::INT + with_file::INT AS n FROM spec),
+ o AS (SELECT *, [0.0, gaps[1], gaps[1] + gaps[2], gaps[1] * 2 + gaps[2]] AS ats FROM t)
+ SELECT run_id, scenario_id, 0 AS session_no, i::INT AS step_no, t0 + ats[i + 1] AS at_s FROM o, (SELECT unnest(range(4)) AS i) WHERE i < n
+ UNION ALL SELECT run_id, scenario_id, 1, 0, CASE WHEN beside THEN t0 + ats[n] / 2 ELSE t0 + ats[n] + 4 END FROM o""",
     plain=True,
 )
 def d10(spark, d):

@@ -248,10 +248,6 @@ def read_specs(spark: SparkSession, path) -> DataFrame:
 
 def parse_specs(texts: DataFrame) -> DataFrame:
     """Scenario specs (run_id, text) as typed rows; `error` is set if a text is no valid spec."""
-    out = T.StructType(
-        [T.StructField("run_id", T.StringType()), *schemas.SPEC.fields, T.StructField("error", T.StringType())]
-    )
-
     def parse(batches):
         import json
         import re
@@ -279,11 +275,6 @@ def parse_specs(texts: DataFrame) -> DataFrame:
         )
 
         def one(text):
-            if text.lstrip().startswith("{"):  # JSON is YAML, and quicker to read as such
-                try:
-                    return json.dumps(json.loads(text)), None
-                except ValueError:
-                    pass
             try:
                 data = yaml.load(text, Loader=Loader)  # a SafeLoader
                 return json.dumps(data, default=str), None
@@ -303,11 +294,19 @@ def parse_specs(texts: DataFrame) -> DataFrame:
     parsed = texts.select("run_id", "text").mapInPandas(
         parse, "run_id string, _json string, error string"
     )
+    return _typed_specs(parsed)
+
+
+def json_specs(texts: DataFrame) -> DataFrame:
+    """Specs (run_id, text) in JSON as typed rows; no Python runs."""
+    none = F.lit(None).cast("string")
+    return _typed_specs(texts.select("run_id", F.col("text").alias("_json"), none.alias("error")))
+
+
+def _typed_specs(parsed: DataFrame) -> DataFrame:
     typed = parsed.select("run_id", F.from_json("_json", schemas.SPEC).alias("_s"), "error")
     no_spec = F.when(F.col("_s.scenario_id").isNull(), F.lit("no scenario_id"))
-    return typed.select("run_id", "_s.*", F.coalesce("error", no_spec).alias("error")).select(
-        *out.fieldNames()
-    )
+    return typed.select("run_id", "_s.*", F.coalesce("error", no_spec).alias("error"))
 
 
 def write_tables(tables: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
