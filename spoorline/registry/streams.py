@@ -44,11 +44,15 @@ _ANCHORED = "CAST(regexp_extract(run_id, '([0-9]+)', 1) AS BIGINT) % 7 <> 3"
 
 @query(
     "r01_r05_stream_attribution",
-    f"SELECT run_id, session_key, source, count(*) AS events, round(max(timestamp_unix), 6) AS last_ts FROM slog WHERE {_ANCHORED} GROUP BY 1, 2, 3",
+    f"SELECT run_id, session_key, source, count(*) AS events, round(max(timestamp_unix), 6) AS last_ts FROM slog "
+    f"WHERE {_ANCHORED} OR source = 'postgres' GROUP BY 1, 2, 3",
 )
 def r05(spark, d):
-    """Followed logs give the attribution of a full replay (runs whose clock is anchored)."""
-    rows = _live(spark, d).table("attributed").where(_ANCHORED)
+    """Followed logs give the attribution of a full replay.
+
+    Runs without a start mark have no kernel clock while they run: their audit events count.
+    """
+    rows = _live(spark, d).table("attributed")
     return rows.groupBy(*SESSION, "source").agg(
         F.count(F.lit(1)).alias("events"), F.round(F.max("timestamp_unix"), 6).alias("last_ts")
     )
@@ -76,20 +80,28 @@ def r11(spark, d):
 
 @query(
     "r02_malformed_lines",
-    "SELECT 'run_0' AS run_id, count(*) FILTER (role = 'user') AS malformed, count(*) FILTER (role <> 'user') AS events FROM conversations",
+    "SELECT 'run_' || conv_id % 3 AS run_id, count(*) FILTER (role = 'user') AS malformed, count(*) FILTER (role <> 'user') AS events "
+    "FROM conversations GROUP BY 1",
     plain=True,
 )
 def r02(spark, d):
-    """Lines that are no JSON are kept aside with their text: here the user turns of conversations."""
+    """A followed log with lines that are no JSON: the stream sets them aside, here the user turns."""
     root = fresh_path(spark, "lines")
     turns = tables.table(spark, d, "conversations")
-    line = F.when(F.col("role") == "user", F.regexp_replace("text", r"\s+", " ")).otherwise(
+    line = F.when(F.col("role") == "user", F.concat(F.lit("! "), F.regexp_replace("text", r"\s+", " "))).otherwise(
         F.to_json(F.struct((F.col("conv_id") + 1).alias("pid"), F.col("turn").alias("ppid")))
     )
-    turns.select(F.lit("run_0").alias("run"), line.alias("value")).write.partitionBy("run").text(root)
-    raw = logs.read_kernel_log(spark, f"{root}/*")
-    return raw.groupBy("run_id").agg(
-        F.count("_corrupt_record").alias("malformed"), F.count("pid").alias("events")
+    run = F.concat(F.lit("run_"), (F.col("conv_id") % 3).cast("string"))
+    lines = turns.select(run.alias("run"), line.alias("value"))
+    lines.write.partitionBy("run").text(f"{root}/kernel")
+    lines.limit(0).select("value").write.text(f"{root}/audit/none")
+    stream = raw_stream(spark, f"{root}/kernel/*", f"{root}/audit/*")
+    followed = stream.select("run_id", "_corrupt_record", "pid", "backend_pid", "timestamp")
+    windows.run_to_table(followed, f"{root}/out", f"{root}/checkpoint")
+    out = spark.read.schema("run_id string, _corrupt_record string, pid long").parquet(f"{root}/out")
+    return out.groupBy("run_id").agg(
+        F.count("_corrupt_record").alias("malformed"),
+        F.count_if(F.col("_corrupt_record").isNull()).alias("events"),
     )
 
 
@@ -98,37 +110,47 @@ _IDLE = """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION
  SELECT user_id, epoch_us(min(ts))::BIGINT AS first_us, epoch_us(max(ts))::BIGINT AS last_us, count(*) AS n_events FROM n GROUP BY user_id, no"""
 
 
+def _event_times(spark, d):
+    return tables.table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+
+
 @query("r08_idle_sessions", _IDLE, plain=True)
 def r08(spark, d):
-    """Idle close at 12 hours over the event stream; the sessions still open are closed at the end."""
+    """Idle close at 12 hours over the event stream; an event of nobody a day later closes the last."""
     root = fresh_path(spark, "idle")
-    as_time = F.col("ts").cast("timestamp")
-    stream = windows.table_stream(spark, d, "events").select("user_id", as_time.alias("ts"))
-    closed = windows.idle_sessions(stream.withWatermark("ts", "1 second"), "user_id", "ts", "12 hours")
-    windows.run_to_table(closed, f"{root}/out", f"{root}/checkpoint")
+    events = _event_times(spark, d).select("user_id", "ts")
+    last = events.agg(F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    for part in (events, last):  # the second run moves the watermark past every session
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = windows.folder_stream(spark, f"{root}/in").withWatermark("ts", "1 second")
+        closed = windows.idle_sessions(stream, "user_id", "ts", "12 hours")
+        windows.run_to_table(closed, f"{root}/out", f"{root}/checkpoint")
     done = spark.read.schema("user_id long, first_ts timestamp, last_ts timestamp, n_events long").parquet(
         f"{root}/out"
     )
-    events = tables.table(spark, d, "events").select("user_id", as_time.alias("ts"))
-    every = windows.close_open_sessions(events, done, "user_id", "ts", "12 hours")
-    return every.select(
+    return done.where("user_id <> -1").select(
         "user_id", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"),
         "n_events",
     )
 
 
-@query("r11_first_per_user", "SELECT user_id, 1::BIGINT AS records FROM events GROUP BY 1", plain=True)
+@query(
+    "r11_first_per_user",
+    "SELECT user_id, min(epoch_us(ts) // 864000000000)::BIGINT AS slice, 1::BIGINT AS records FROM events GROUP BY 1",
+    plain=True,
+)
 def r11_first(spark, d):
-    """One record per user however many arrive while the state is kept."""
+    """Slices of ten days arrive one after another; each user's first record stands, of the first slice."""
     root = fresh_path(spark, "first")
-    stream = windows.table_stream(spark, d, "events").select(
-        "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")
-    )
-    windows.run_to_table(
-        windows.first_per_key(stream, ["user_id"], "ts", "60 days"), f"{root}/out", f"{root}/checkpoint"
-    )
-    first = spark.read.schema("user_id long, event_id long, ts timestamp").parquet(f"{root}/out")
-    return first.groupBy("user_id").agg(F.count(F.lit(1)).alias("records"))
+    events = _event_times(spark, d).withColumn("slice", F.expr("unix_micros(ts) div 864000000000"))
+    low, high = events.agg(F.min("slice"), F.max("slice")).first()
+    for number in range(low or 0, (high or 0) + 1):
+        events.where(F.col("slice") == number).write.mode("append").parquet(f"{root}/in")
+        stream = windows.folder_stream(spark, f"{root}/in")
+        first = windows.first_per_key(stream, ["user_id"], "ts", "60 days")
+        windows.run_to_table(first, f"{root}/out", f"{root}/checkpoint")
+    out = spark.read.schema("user_id long, event_id long, ts timestamp, slice long").parquet(f"{root}/out")
+    return out.groupBy("user_id").agg(F.min("slice").alias("slice"), F.count(F.lit(1)).alias("records"))
 
 
 @query(

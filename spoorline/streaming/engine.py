@@ -6,7 +6,13 @@ process, the first audit event of each open session, the kernel events that
 still wait for a session, and the audit events of the retry window. Attribution
 of that table together with the new events gives what a full replay gives.
 State and output are written per batch number, so a repeated batch overwrites
-its own results and nothing is counted twice.
+its own results and nothing is counted twice; tables that only the next batch
+reads are removed once it is done.
+
+Every run (a host) has its own clock: reorder delay, retry window, settling and
+idle time follow the newest event of that run, so a host that lags waits for
+nobody and nobody waits for it. A SESSION_END is kept until it has closed its
+session; of an ended session three numbers are kept, to report late events.
 """
 
 from __future__ import annotations
@@ -33,6 +39,11 @@ EVENT_FIELDS = ["run_id", "source", "timestamp_unix", "pid"] + [
 ]
 OPEN = [*SESSION, "opened_in"]
 LATE_S = 5.0
+#: Tables of a batch that only this batch and the next one read.
+INTERNAL = [
+    "raw", "waiting", "anchors", "events", "known", "resolved", "ends", "sessions", "scored",
+    *[f"state/{n}" for n in ("anchors", "held", "clock", "counts", "past", "ends", "sessions", "ended")],
+]
 
 
 def raw_stream(spark: SparkSession, kernel_path: str, audit_path: str, **options) -> DataFrame:
@@ -73,18 +84,21 @@ class LiveEngine:
     settle_s: float = 1.5
     retry_window: float = RETRY_WINDOW_S
     d_max: int = D_MAX
-    keep_ended_s: float = 3600.0
     model_scores: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None
 
     # -- tables per batch
 
+    def __post_init__(self):
+        self._draining, self._drained = False, None
+
     def _path(self, name: str, batch: int) -> str:
-        return f"{self.root}/{name}/batch={batch}"
+        # what a drain writes is apart from the stream's own batches, which a restart goes on with
+        return f"{self.root}/{'drain/' if self._draining else ''}{name}/batch={batch}"
 
     def _state(self, name: str, batch: int) -> DataFrame | None:
         if batch <= 0:
             return None
-        return self.spark.read.parquet(self._path(f"state/{name}", batch - 1))
+        return self.spark.read.parquet(f"{self.root}/state/{name}/batch={batch - 1}")
 
     def _save(self, df: DataFrame, name: str, batch: int) -> DataFrame:
         path = self._path(name, batch)
@@ -92,10 +106,26 @@ class LiveEngine:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def table(self, name: str) -> DataFrame:
-        """All rows of an output table: attributed, scores, alerts, timings, late or malformed."""
-        return self.spark.read.option("basePath", f"{self.root}/{name}").parquet(
-            f"{self.root}/{name}/batch=*"
-        )
+        """All rows of an output table: attributed, scores, alerts, timings, late or malformed.
+
+        After `finish`, those of its drain are among them.
+        """
+
+        def rows(folder):
+            return self.spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
+
+        own = rows(f"{self.root}/{name}")
+        if self._drained is None:
+            return own
+        return own.unionByName(rows(f"{self.root}/drain/{name}").where(F.col("batch") == self._drained))
+
+    def _forget(self, batch: int) -> None:
+        """Remove what only batches up to ``batch`` needed."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in INTERNAL:
+            path = hadoop(f"{self.root}/{name}/batch={batch}")
+            path.getFileSystem(conf).delete(path, True)
 
     # -- one batch
 
@@ -118,15 +148,21 @@ class LiveEngine:
         )
         rows = raw.where("_corrupt_record IS NULL")
         arrived = self._calibrated(rows, batch)
-        events, watermark = self._released(arrived, batch, drain)
-        resolved, fresh_ends = self._attributed(events, rows, watermark, batch)
-        sessions = self._sessions(resolved, fresh_ends, watermark, batch, drain)
+        events, clock = self._released(arrived, batch, drain)
+        resolved, ends = self._attributed(events, rows, clock, batch)
+        sessions = self._sessions(resolved, ends, clock, batch, drain)
         self._score(sessions, batch, began)
+        if batch > 1 and not drain:
+            self._forget(batch - 2)
 
     def finish(self, batch: int) -> None:
         """Drain: release what is held back and give every open session its final score."""
         empty = self.spark.read.parquet(self._path("raw", batch - 1)).drop("row").limit(0)
-        self.process(empty, batch, drain=True)
+        self._draining, self._drained = True, batch
+        try:
+            self.process(empty, batch, drain=True)
+        finally:
+            self._draining = False
 
     def _calibrated(self, rows: DataFrame, batch: int) -> DataFrame:
         """New events on the wall clock. Each LOGGING_START re-anchors the kernel clock."""
@@ -182,16 +218,17 @@ class LiveEngine:
         held = self._state("held", batch)
         waiting = arrived if held is None else held.unionByName(arrived)
         waiting = self._save(waiting, "waiting", batch)
-        clock = self._state("clock", batch)
-        seen = waiting.agg(F.max("timestamp_unix").alias("watermark"))
-        if clock is not None:
-            seen = seen.unionByName(clock).agg(F.max("watermark").alias("watermark"))
+        before = self._state("clock", batch)
+        seen = waiting.groupBy("run_id").agg(F.max("timestamp_unix").alias("newest"))
+        if before is not None:
+            seen = seen.unionByName(before).groupBy("run_id").agg(F.max("newest").alias("newest"))
         seen = self._save(seen, "state/clock", batch)
-        newest = seen.first()[0] or 0.0
-        watermark = newest if drain else newest - self.reorder_s
-        late = F.col("timestamp_unix") > watermark
-        self._save(waiting.where(late), "state/held", batch)
-        ready = waiting.where(~late).withColumn(
+        behind = 0.0 if drain else self.reorder_s
+        clock = seen.select("run_id", (F.col("newest") - behind).alias("now_ts"))  # one row a run
+        waiting = waiting.join(clock, "run_id")
+        late = F.col("timestamp_unix") > F.col("now_ts")
+        self._save(waiting.where(late).drop("now_ts"), "state/held", batch)
+        ready = waiting.where(~late).drop("now_ts").withColumn(
             "source_rank", (F.col("source") == "postgres").cast("int")
         )
         numbered, _ = number_rows(ready, ["run_id"], ["timestamp_unix", "source_rank", "pos"], "_no")
@@ -205,9 +242,9 @@ class LiveEngine:
         fresh = events.groupBy("run_id").agg((F.max("event_id") + 1).alias("next_id"))
         grown = counts.unionByName(fresh).groupBy("run_id").agg(F.max("next_id").alias("next_id"))
         self._save(grown, "state/counts", batch)
-        return events, watermark
+        return events, clock
 
-    def _attributed(self, events: DataFrame, rows: DataFrame, watermark: float, batch: int):
+    def _attributed(self, events: DataFrame, rows: DataFrame, clock: DataFrame, batch: int):
         past = self._state("past", batch)
         now = events.withColumn("kind", F.lit("new"))
         known = now if past is None else past.unionByName(now)
@@ -225,14 +262,9 @@ class LiveEngine:
         )
         earlier = self._state("ends", batch)
         ends = ends if earlier is None else earlier.unionByName(ends)
-        ends = self._save(
-            ends.groupBy(*SESSION).agg(F.max("end_ts").alias("end_ts")).where(
-                F.col("end_ts") > watermark - self.keep_ended_s
-            ),
-            "state/ends",
-            batch,
-        )
-        closing = ends.where(F.col("end_ts") + self.settle_s <= watermark)
+        ends = self._save(ends.groupBy(*SESSION).agg(F.max("end_ts").alias("end_ts")), "ends", batch)
+        due = F.col("end_ts") + self.settle_s <= F.col("now_ts")
+        closing = ends.join(clock, "run_id").where(due).drop("now_ts")
 
         links = parent_links(known).groupBy("run_id", "pid").agg(F.max("since").alias("event_id"))
         current = known.join(links.drop("pid"), ["run_id", "event_id"], "left_semi")
@@ -242,7 +274,8 @@ class LiveEngine:
         ).where(F.col("end_ts").isNull() | (F.col("timestamp_unix") > F.col("end_ts") + self.settle_s))
         first = alive.groupBy(*SESSION).agg(F.min("event_id").alias("event_id"))
         opened = alive.join(first.drop("session_key"), ["run_id", "event_id"], "left_semi")
-        recent = alive.where(F.col("timestamp_unix") >= watermark - self.retry_window)
+        in_retry = F.col("timestamp_unix") >= F.col("now_ts") - self.retry_window
+        recent = alive.join(clock, "run_id").where(in_retry)
         columns = [c for c in known.columns if c != "kind"]
         kept = (
             current.select(*columns)
@@ -253,14 +286,16 @@ class LiveEngine:
         pending = (
             open_rows.where("source = 'kernel'")
             .join(resolved, ["run_id", "event_id"], "left_anti")
-            .where(F.col("timestamp_unix") >= watermark - self.retry_window)
+            .join(clock, "run_id")
+            .where(in_retry)
+            .drop("now_ts")
             .withColumn("kind", F.lit("pending"))
         )
         kept = kept.join(pending, ["run_id", "event_id"], "left_anti").withColumn("kind", F.lit("kept"))
         self._save(kept.unionByName(pending), "state/past", batch)
         return resolved, ends
 
-    def _sessions(self, resolved, ends, watermark: float, batch: int, drain: bool) -> DataFrame:
+    def _sessions(self, resolved, ends, clock: DataFrame, batch: int, drain: bool) -> DataFrame:
         """Open sessions with what is new, and whether this batch closes them."""
         before = self._state("sessions", batch)
         if before is None:
@@ -282,23 +317,23 @@ class LiveEngine:
             F.coalesce("alerted", F.lit(False)).alias("alerted"),
             F.col("new_ts").isNotNull().alias("dirty"),
         )
-        over = F.lit(drain) | (F.col("last_ts") <= watermark - self.idle_s)
-        closes = ends.where(F.col("end_ts") + self.settle_s <= watermark)
+        idle = F.coalesce(F.col("last_ts") <= F.col("now_ts") - self.idle_s, F.lit(False))
+        due = F.col("end_ts") + self.settle_s <= F.col("now_ts")
+        closes = ends.join(clock, "run_id").where(due).drop("now_ts")
+        ended_now = F.coalesce(F.col("end_ts") >= F.col("last_ts") - LATE_S, F.lit(False))
         sessions = (
-            merged.join(closes, SESSION, "left")
-            .withColumn("final", over | F.coalesce(F.col("end_ts") >= F.col("last_ts") - LATE_S, F.lit(False)))
+            merged.join(clock, "run_id", "left")
+            .join(closes, SESSION, "left")
+            .withColumn("final", F.lit(drain) | idle | ended_now)
+            .drop("now_ts")
         )
         sessions = self._save(sessions, "sessions", batch)
         numbered = resolved.join(sessions.select(*OPEN), SESSION)
         self._save(numbered, "attributed", batch)
         gone = sessions.where("final AND end_ts IS NOT NULL").select(*SESSION, "end_ts")
-        self._save(
-            ended.unionByName(gone)
-            .groupBy(*SESSION).agg(F.max("end_ts").alias("end_ts"))
-            .where(F.col("end_ts") > watermark - self.keep_ended_s),
-            "state/ended",
-            batch,
-        )
+        ended = ended.unionByName(gone).groupBy(*SESSION).agg(F.max("end_ts").alias("end_ts"))
+        self._save(ended, "state/ended", batch)
+        self._save(ends.join(gone, [*SESSION, "end_ts"], "left_anti"), "state/ends", batch)
         return sessions
 
     def _score(self, sessions: DataFrame, batch: int, began: float) -> None:

@@ -19,13 +19,6 @@ def idle_sessions(events: DataFrame, key: str, ts: str, idle: str) -> DataFrame:
     )
 
 
-def close_open_sessions(events: DataFrame, closed: DataFrame, key: str, ts: str, idle: str) -> DataFrame:
-    """The closed sessions of a stream, and those that were open when it stopped."""
-    done = closed.groupBy(key).agg(F.max("last_ts").alias("_done"))
-    rest = events.join(done, key, "left").where(F.col("_done").isNull() | (F.col(ts) > F.col("_done")))
-    return closed.unionByName(idle_sessions(rest, key, ts, idle))
-
-
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process all available input and stop."""
     query = (
@@ -38,12 +31,10 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     query.awaitTermination()
 
 
-def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stream over one table of a folder, as closed files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
-    )
+def folder_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream over the Parquet files of a folder, each run taking those that are new."""
+    schema = spark.read.parquet(folder).schema
+    return spark.readStream.schema(schema).parquet(folder)
 
 
 def first_per_key(stream: DataFrame, key: Sequence[str], ts: str, within: str) -> DataFrame:

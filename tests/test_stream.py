@@ -71,3 +71,30 @@ def test_final_scores_and_alerts(engine):
     alerts = [(r.session_key, r.opened_in) for r in eng.table("alerts").collect()]
     assert len(alerts) == len(set(alerts))
     assert eng.table("timings").where("total_ms > 0").count() > 0
+
+
+def test_hosts_keep_their_own_time(spark, tmp_path):
+    """A host whose clock is hours behind another one's: nothing is released, expired or closed early."""
+    eng = LiveEngine(spark, str(tmp_path / "out"), theta=0.3, idle_s=60.0)
+    start = {"marker": "LOGGING_START", "timestamp": 100.0}
+    slices = [
+        {"run_1": ([], [_audit(10_000.0, 7), _audit(10_001.0, 7)]), "run_2": ([start, _kernel(0, 900, 1), _kernel(1, 60, 50)], [_audit(100.5, 50)])},
+        {"run_1": ([], [_audit(10_030.0, 7)]), "run_2": ([_kernel(2, 61, 60)], [_audit(101.5, 50), _audit(103.5, 50)])},
+        {"run_1": ([], [_audit(10_100.0, 8)]), "run_2": ([], [_audit(104.0, 50)])},
+    ]
+    for i, slice_ in enumerate(slices):
+        for run, (kernel, audit) in slice_.items():
+            _lines(tmp_path / "in" / "kernel" / run / f"{i}.json", kernel)
+            _lines(tmp_path / "in" / "audit" / run / f"{i}.json", audit)
+        stream = raw_stream(spark, f"{tmp_path}/in/kernel/*", f"{tmp_path}/in/audit/*")
+        run = eng.start(stream, str(tmp_path / "ck"), availableNow=True)
+        run.awaitTermination()
+    early = [(r.run_id, r.session_key) for r in eng.table("scores").collect()]
+    assert early == [("run_1", 7)]  # idle by its own host's clock
+    eng.finish(run.lastProgress["batchId"] + 1)
+    finals = sorted((r.run_id, r.session_key, r.n_events) for r in eng.table("scores").collect())
+    assert finals == [("run_1", 7, 3), ("run_1", 8, 1), ("run_2", 50, 6)]
+    # a restarted engine goes on without the drain
+    again = LiveEngine(spark, str(tmp_path / "out"), theta=0.3)
+    assert [(r.run_id, r.session_key) for r in again.table("scores").collect()] == early
+    assert not (tmp_path / "out" / "raw" / "batch=0").exists()
