@@ -315,3 +315,13 @@ def subsecond_share(audit: DataFrame) -> DataFrame:
     return audit.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("records"), F.count_if(ts != F.floor(ts)).alias("subsecond")
     )
+
+
+def log_starts(kernel: DataFrame, control: DataFrame, known: Sequence[str]) -> DataFrame:
+    """Per run: whether a start mark comes before every event, and events of unknown system calls."""
+    events = kernel.groupBy("run_id").agg(
+        F.min("pos").alias("_first"), F.count_if(~F.col("syscall").isin(*known)).alias("unknown")
+    )
+    marks = control.where("marker = 'LOGGING_START'").groupBy("run_id").agg(F.min("pos").alias("_mark"))
+    starts = F.coalesce(F.col("_mark") < F.col("_first"), F.lit(False))
+    return events.join(marks, "run_id", "left").select("run_id", starts.alias("starts_with_marker"), "unknown")

@@ -284,6 +284,55 @@ def s07(spark, d):
     )
 
 
+@query(
+    "s07_graphml_edges",
+    "SELECT run_id || '_' || session_key || '.graphml' AS graph, src_type, src_key, rel, dst_type, dst_key, \"count\", round(first_seen, 3) AS first_seen FROM edges",
+)
+def s07_edges(spark, d):
+    """Graph documents with two nodes and the edge between them, each read back whole."""
+    edges = _prov(spark, d).graphs.edges
+    root = fresh_path(spark, "graphml")
+
+    def coded(column):
+        return F.base64(F.encode(column, "utf-8"))
+
+    def data(key, value):
+        return F.concat(F.lit(f'<data key="{key}">'), value, F.lit("</data>"))
+
+    def node(side):
+        return F.concat(
+            F.lit(f'<node id="{side}">'), data("d0", F.col(f"{side}_type")), data("d1", coded(f"{side}_key")), F.lit("</node>")
+        )
+
+    edge = F.concat(
+        F.lit('<edge source="src" target="dst" id="e">'), data("d2", F.col("rel")), data("d3", F.col("count").cast("string")),
+        data("d4", F.format_string("%.3f", F.round("first_seen", 3))), data("d5", F.concat_ws("_", *SESSION)), F.lit("</edge>"),
+    )
+    names = ["type", "key", "rel", "count", "first_seen", "session"]
+    keys = "".join(f'<key id="d{i}" for="all" attr.name="{n}" attr.type="string"/>' for i, n in enumerate(names))
+    document = F.concat(
+        F.lit(f"<graphml>{keys}<graph edgedefault='directed'>"), node("src"), node("dst"), edge, F.lit("</graph></graphml>")
+    )
+    edges.select(document.alias("value")).write.text(root)
+    graphs = logs.read_graphml(spark, root)
+    whole = graphs.select(F.explode("edges").alias("e"), F.map_from_entries("nodes").alias("at"))
+    attr = F.col("e.attrs")
+
+    def end(side, name):
+        return F.element_at(F.col("at"), F.col(f"e.{side}"))[name]
+
+    return whole.select(
+        F.concat(attr["session"], F.lit(".graphml")).alias("graph"),
+        end("src", "type").alias("src_type"),
+        F.decode(F.unbase64(end("src", "key")), "utf-8").alias("src_key"),
+        attr["rel"].alias("rel"),
+        end("dst", "type").alias("dst_type"),
+        F.decode(F.unbase64(end("dst", "key")), "utf-8").alias("dst_key"),
+        attr["count"].cast("long").alias("count"),
+        attr["first_seen"].cast("double").alias("first_seen"),
+    )
+
+
 @query(
     "s08_graph_file_facts",
     f"SELECT file, run_id AS run, session_id AS pid, CASE WHEN session_id % 3 = 0 THEN session_id % 5 END AS prefix, "
@@ -637,12 +686,22 @@ def a07(spark, d):
     return quality.field_types(_json_lines(_cap(spark, d).kernel))
 
 
+def _profile_sql(name: str, fields: str) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT '{f}' AS field, any_value(typeof(\"{f}\")) AS t, count(\"{f}\") AS n FROM {name}" for f in fields.split()
+    )
+    return f"SELECT field, t FROM ({rows}) WHERE n > 0"
+
+
+_KERNEL_FIELDS = "pid ppid uid timestamp comm syscall arg dest_ip dest_port"
+_AUDIT_FIELDS = "session_id session_start_time backend_pid timestamp event_type query database username client_addr client_port"
+
+
 @query(
     "a07_profile_diff",
-    "SELECT * FROM (VALUES ('backend_pid', 'extra'), ('client_addr', 'extra'), ('client_port', 'extra'), ('database', 'extra'), "
-    "('event_type', 'extra'), ('query', 'extra'), ('session_id', 'extra'), ('session_start_time', 'extra'), ('username', 'extra'), "
-    "('pid', 'missing'), ('ppid', 'missing'), ('uid', 'missing'), ('comm', 'missing'), ('syscall', 'missing'), ('arg', 'missing'), "
-    "('dest_ip', 'missing'), ('dest_port', 'missing'), ('timestamp', 'types')) t(field, problem) WHERE (SELECT count(*) FROM kernel) > 0",
+    "SELECT COALESCE(a.field, k.field) AS field, CASE WHEN a.field IS NULL THEN 'missing' WHEN k.field IS NULL THEN 'extra' ELSE 'types' END AS problem "
+    f"FROM ({_profile_sql('audit', _AUDIT_FIELDS)}) a FULL JOIN ({_profile_sql('kernel', _KERNEL_FIELDS)}) k ON k.field = a.field "
+    "WHERE a.field IS NULL OR k.field IS NULL OR a.t <> k.t",
 )
 def a07_diff(spark, d):
     """The audit log held against the kernel log: a capture of the wrong shape."""
@@ -653,6 +712,18 @@ def a07_diff(spark, d):
     return diff.select("field", "problem")
 
 
+@query(
+    "a07_log_starts",
+    "SELECT k.run_id, COALESCE(c.at < k.at, false) AS starts_with_marker, k.unknown FROM (SELECT run_id, min(pos) AS at, "
+    "count(*) FILTER (syscall NOT IN ('execve', 'openat', 'connect')) AS unknown FROM kernel GROUP BY 1) k "
+    "LEFT JOIN (SELECT run_id, min(pos) AS at FROM control GROUP BY 1) c ON c.run_id = k.run_id",
+)
+def a07_starts(spark, d):
+    """Whether each run's log starts with its start mark, and records of system calls not looked for."""
+    cap = _cap(spark, d)
+    return quality.log_starts(cap.kernel, cap.control, ["execve", "openat", "connect"])
+
+
 @query(
     "a07_subsecond_share",
     'SELECT run_id, count(*) AS records, count(*) FILTER ("timestamp" <> floor("timestamp")) AS subsecond FROM audit GROUP BY 1',

@@ -10,24 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_FOLDER: dict[str, str] = {}
 
 
+#: Settings the jobs count on where nothing else is set.
+DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
 def build_session(app: str = "spoorline", master: str | None = None, **conf) -> SparkSession:
-    """A session with the settings the jobs count on; the cluster's own settings win."""
+    """A session with ``conf``; `DEFAULTS` fill in what neither it nor the cluster sets."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    defaults = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        # statement parsing is work per row, so small shuffles keep all cores busy as well
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # call sites per column expression cost more than building the plans
-        "spark.python.sql.dataFrameDebugging.enabled": "false",
-    }
-    for key, value in {**defaults, **conf}.items():
+    for key, value in conf.items():
         b = b.config(key, value)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -16,6 +16,9 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            # small inputs: keep all cores busy, and call sites per expression cost more than plans
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
             "spark.driver.memory": "4g",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
