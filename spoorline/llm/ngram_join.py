@@ -2,17 +2,19 @@
 
 Documents and shingles form a sparse incidence matrix; the overlaps of documents are the product
 of the matrix with its transpose. It is computed in blocks, and only where a pair can reach
-the threshold: with n shingles, a document that links to another one shares at least one
-of its first n - ceil(t n) + 1 shingles, in any order of shingles common to all documents, and
-sizes must be within t of each other. The order puts frequent shingles last, so that passages of
-many documents hardly make candidates; it only affects speed.
+the threshold t: sizes must be within t of each other, and in any order of shingles common to all
+documents, two documents that link share many of their first ones. Here that is the first 35
+percent (for t = 0.75), of which a document must share a tenth of its size with another. The
+order puts frequent shingles last, so that passages of many documents hardly make candidates; it
+only affects speed.
 
 1. Documents with equal sets become one node.
-2. Nodes and their prefix shingles are sorted by shingle in blocks of the matrix; each node is
-   paired with its group's smallest node. Groups of frequent shingles are split by a salt,
-   and the smallest nodes of their parts are paired once more. Per node, the partner that shares
-   most is decided on the whole texts; the other pairs only count where they join different
-   components, and only if the overlap of their prefixes leaves room for the threshold.
+2. Nodes and their prefix shingles are sorted by shingle in blocks of the matrix. Overlap counts
+   are accumulated per node first: a node that shares fewer prefix shingles with others than its
+   size asks for is discarded, and groups of one are, in turn. In each group left, every node is
+   paired with the smallest. Per node, the partner that shares most is decided on the whole
+   texts; the other pairs only count where they join different components, and only if the
+   overlap of their prefixes leaves room for the threshold.
 3. Groups that still hold several components are multiplied out between components, with the
    same bound on the accumulated counts. Pairs within a component need no count.
 
@@ -43,6 +45,10 @@ from spoorline.session import materialize
 WORDS = 5
 #: Percent of the union that two sets must share.
 PERCENT = 75
+#: Percent of a set, after its prefix, that two sets may still share.
+AFTER = 65
+#: Rounds in which nodes with too few shared shingles are discarded.
+ROUNDS = 3
 #: Most frequent shingles that go last in the order of shingles.
 FREQUENT = 65_536
 KEEP_WORDS = 1_000_000
@@ -120,6 +126,11 @@ def frequent(docs: DataFrame, words: int, text: str = "text") -> np.ndarray:
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
+def prefix_size(n: int, percent: int) -> int:
+    """Shingles in a prefix: what ``AFTER`` leaves, at least what the threshold asks for."""
+    return max(n - n * AFTER // 100, n - (percent * n + 99) // 100 + 1) if n else 0
+
+
 def incidence(docs: DataFrame, last: np.ndarray, words: int, percent: int, key: str) -> DataFrame:
     """Per document: key, _sum, set size, set signature and the prefix of its shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(last)
@@ -131,7 +142,7 @@ def incidence(docs: DataFrame, last: np.ndarray, words: int, percent: int, key:
             out = {key: [], "_sum": [], "n": [], "sig1": [], "sig2": [], "prefix": [], "hot": []}
             for id_, body, number in rows:
                 s = shingle(body)
-                size = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
+                size = prefix_size(len(s), percent)
                 cold = s
                 if len(hot) and len(s):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
@@ -152,13 +163,12 @@ def incidence(docs: DataFrame, last: np.ndarray, words: int, percent: int, key:
     return map_rows(docs, make, schema, [key, "text", "_sum"])
 
 
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add to rows sorted by (shingle, salt, node) the first node of their group.
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (shingle, salt), shingle and node of those in groups of several rows.
 
-    A group of one node is left out, but for the parts of a split one (their salt is not negative).
+    The parts of a split group (their salt is not negative) stay whole, even of one row.
     """
-    group, hub, single = None, None, False
-    names = ["shingle", "salt", "node", "hub"]
+    group, held = None, None  # the last row's group, and that row if it is not written yet
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -166,18 +176,14 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         new = np.ones(len(node), bool)
         new[1:] = (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])
         new[0] = group != (shingle[0], salt[0])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
-        hubs = np.where(start >= 0, node[start], hub if hub is not None else 0)
-        follows = ~new
-        # the first node of a group is written once its second one is seen
-        leads = np.append(new[:-1] & follows[1:], False)
-        out = follows | leads | (salt >= 0)
-        columns = [c[out] for c in (shingle, salt, node, hubs)]
-        if follows[0] and single:
-            columns = [np.append(v, c) for v, c in zip((*group, hub, hub), columns, strict=True)]
-        group, hub = (shingle[-1], salt[-1]), hubs[-1]
-        single = bool(new[-1]) and salt[-1] < 0
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+        # the first row of a group is written once its second one is seen
+        out = ~new | np.append(new[:-1] & ~new[1:], False) | (salt >= 0)
+        columns = [shingle[out], node[out]]
+        if held is not None and not new[0]:
+            columns = [np.append(v, c) for v, c in zip(held, columns, strict=True)]
+        group = (shingle[-1], salt[-1])
+        held = None if out[-1] else (shingle[-1], node[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shingle", "node"])
 
 
 def _may_link(n1, n2, percent: int):
@@ -189,6 +195,11 @@ def _needed(n1, n2, percent: int):
     return F.ceil((n1 + n2) * percent / F.lit(100 + percent) - 1e-9)
 
 
+def _after(n):
+    """Shingles behind the prefix, at most."""
+    return F.floor(n * AFTER / 100)
+
+
 class JaccardJoin:
     """Near duplicates of a table; ``links``, ``roots`` and `members` are the whole result."""
 
@@ -216,16 +227,16 @@ class JaccardJoin:
         self.links, self.roots = self._join()
 
     def _join(self) -> tuple[DataFrame, DataFrame]:
-        shared = materialize(self._groups(), "shared")
-        parts = shared.where("node = hub").groupBy("shingle").agg(F.min("hub").alias("a"), F.max("hub").alias("b"))
-        split = parts.where("a < b").select("shingle", "a")
-        halves = shared.where("node = hub").join(split, "shingle").where("node <> a")
-        found = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        pairs = (
-            found.unionByName(halves.select("a", F.col("node").alias("b")))
-            .groupBy("a", "b")
-            .agg(F.count(F.lit(1)).alias("seen"))
-        )
+        shared = self._pruned(materialize(self._groups(), "shared"))
+        hubs = shared.groupBy("shingle").agg(F.min("node").alias("a"))
+        found = shared.join(materialize(hubs, "hubs"), "shingle").where("node <> a")
+        pairs = found.groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("seen"))
+        info = shared.select("node", "n", "s").distinct()
+        info = materialize(info, "info")
+        left = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("s_a"))
+        right = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("s_b"))
+        possible = self._possible(F.col("na"), F.col("nb"), F.least("s_a", "s_b"))
+        pairs = pairs.join(left, "a").join(right, "b").where(possible).select("a", "b", "seen")
         pairs = materialize(pairs, "pairs")
         # the partner that shares most decides most nodes; others are left where they still matter
         first = pairs.groupBy("b").agg(F.max_by("a", F.col("seen") * 2 - F.col("a") / F.lit(2.0**63)).alias("a"))
@@ -243,20 +254,49 @@ class JaccardJoin:
             roots = components(links)
         return links, roots
 
+    def _possible(self, na, nb, overlap):
+        """Whether sizes and at most so many shared prefix shingles leave room for a link."""
+        most = overlap + F.greatest(_after(na), _after(nb))
+        return _may_link(na, nb, self.percent) & (most >= _needed(na, nb, self.percent))
+
+    def _pruned(self, shared: DataFrame) -> DataFrame:
+        """shingle, node, n, s: groups without nodes that share too little to link with any other.
+
+        s counts the node's shingles that others have. A partner is at least t times and at most
+        1 / t times as large; what it asks for is least at one of the ends.
+        """
+        sizes = self.classes.select("node", "n")
+        rows = shared.select("shingle", "node")
+        t = self.percent / 100
+        for number in range(ROUNDS):
+            n = F.col("n").cast("double")
+            asked = [(n + m) * t / (1 + t) - F.greatest(n, m) * AFTER / 100 for m in (n * t, n / t)]
+            counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("s")).join(sizes, "node")
+            enough = materialize(counts.where(F.col("s") >= F.ceil(F.least(*asked) - 1e-6)), "enough")
+            groups = rows.join(enough.select("node"), "node").groupBy("shingle").agg(
+                F.min("node").alias("lo"), F.max("node").alias("hi")
+            )
+            several = materialize(groups.where("lo < hi").select("shingle"), "several")
+            rows = rows.join(enough, "node").join(several, "shingle")
+            rows = materialize(rows, "pruned")
+            if number + 1 < ROUNDS:
+                rows = rows.select("shingle", "node")
+        return rows
+
     def _nodes(self) -> DataFrame:
         """The first row of each class."""
         firsts = sized_broadcast(self.classes.select("node"))
         return self.rows.join(firsts, self.rows["row"] == firsts["node"]).drop("row")
 
     def _groups(self) -> DataFrame:
-        """shingle, salt, node, hub: every prefix shingle that several nodes have."""
+        """shingle, node: the prefix shingles that several nodes have, frequent ones in any case."""
         at = F.posexplode("prefix").alias("at", "shingle")
         entries = self._nodes().select("node", "hot", F.size("prefix").alias("size"), at)
         is_hot = F.col("at") >= F.col("size") - F.col("hot")
         salt = F.when(is_hot, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1).cast("bigint")
         dealt = entries.select("shingle", salt.alias("salt"), "node").repartition("shingle", "salt")
-        in_order = dealt.sortWithinPartitions("shingle", "salt", "node")
-        return in_order.mapInArrow(_first_of_each, "shingle bigint, salt bigint, node bigint, hub bigint")
+        in_order = dealt.sortWithinPartitions("shingle", "salt")
+        return in_order.mapInArrow(_several, "shingle bigint, node bigint")
 
     def _bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and prefix overlap leave room for the needed overlap."""
@@ -268,9 +308,8 @@ class JaccardJoin:
         right = rows.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
         both = pairs.join(right, "b").join(left, "a")
         na, nb = F.col("na"), F.col("nb")
-        most = F.size(F.array_intersect("pa", "pb")) + F.greatest(na - F.size("pa"), nb - F.size("pb"))
-        room = _may_link(na, nb, self.percent) & (most >= _needed(na, nb, self.percent))
-        return both.where(room).select("a", "b")
+        shares = F.size(F.array_intersect("pa", "pb"))
+        return both.where(self._possible(na, nb, shares)).select("a", "b")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that reach the threshold on whole texts, with their overlap."""
@@ -323,30 +362,28 @@ class JaccardJoin:
         A group that both are in holds two components, so no common shingle is left out and
         the counts are complete.
         """
-        rooted = self._with_root(shared.select("shingle", "node"), "node", roots, "root")
+        rooted = self._with_root(shared.select("shingle", "node", "n", "s"), "node", roots, "root")
         mixed = (
             rooted.groupBy("shingle")
             .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
-            .where("lo <> hi AND members > 2")
+            .where("lo <> hi AND members > 2")  # the pair of a group of two is decided
             .select("shingle")
         )
-        kept = rooted.join(materialize(mixed, "mixed"), "shingle")
-        sizes = self.classes.select("node", "n")
-        kept = materialize(kept.join(sizes, "node"), "kept")
-        x = kept.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        y = kept.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        na, nb = F.col("na"), F.col("nb")
-        crossed = x.join(y, "shingle").where(
-            (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(na, nb, self.percent)
-        )
-        counted = crossed.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("seen"))
+        kept = materialize(rooted.join(materialize(mixed, "mixed"), "shingle"), "kept")
 
-        def prefix(n):
-            return n - F.floor((n * self.percent + 99) / 100) + 1
+        def side(end):
+            return kept.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "s", "root")])
 
-        # groups of two nodes are not multiplied out: their pair is decided
-        most = F.col("seen") + F.greatest(na - prefix(na), nb - prefix(nb))
-        enough = counted.where(most >= _needed(na, nb, self.percent)).select("a", "b")
+        na, nb = F.col("n_a"), F.col("n_b")
+        crossed = side("a").join(side("b"), "shingle").where(
+            (F.col("node_a") < F.col("node_b"))
+            & (F.col("root_a") != F.col("root_b"))
+            & self._possible(na, nb, F.least("s_a", "s_b"))
+        )
+        counted = crossed.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(
+            F.count(F.lit(1)).alias("seen")
+        )
+        enough = counted.where(self._possible(na, nb, F.col("seen"))).select("a", "b")
         return enough.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
 
     def members(self) -> DataFrame:
