@@ -40,21 +40,28 @@ def split_lines(text: Column) -> Column:
     return F.split(text, _ENDS)
 
 
-def lines_of(text: Column) -> Column:
-    """line (from 0, blank ones counted), h and c (two hashes), words of each line not blank."""
+def word_count(text: Column) -> Column:
+    """Words of a text that is not blank."""
+    return F.size(F.split(F.btrim(text, F.lit(_SPACE)), _SPACES))
+
+
+def lines_of(text: Column, min_words: int) -> Column:
+    """line (from 0, blank ones counted), h and c (two hashes), long: each line that is not blank."""
 
     def trimmed(lines: Column) -> Column:
         return F.transform(
             lines, lambda x, i: F.struct(F.btrim(x, F.lit(_SPACE)).alias("t"), i.alias("line"))
         )
 
+    # a line with so many words has so many characters at least
+    enough = 2 * min_words - 1
     return F.transform(
         F.filter(trimmed(split_lines(text)), lambda s: s["t"] != ""),
         lambda s: F.struct(
             s["line"].alias("line"),
             F.xxhash64(s["t"]).alias("h"),
             F.hash(s["t"]).alias("c"),
-            F.size(F.split(s["t"], _SPACES)).alias("words"),
+            F.when(F.length(s["t"]) >= enough, word_count(s["t"]) >= min_words).otherwise(False).alias("long"),
         ),
     )
 
@@ -69,8 +76,6 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
             F.hash(x["c"], y["c"]).alias("check"),
             x["line"].alias("line"),
             y["line"].alias("next_line"),
-            x["words"].alias("words"),
-            y["words"].alias("next_words"),
         )
 
     def alone(x: Column) -> Column:
@@ -79,23 +84,21 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
             F.hash(x["c"]).alias("check"),
             x["line"].alias("line"),
             x["line"].alias("next_line"),
-            x["words"].alias("words"),
-            F.lit(0).alias("next_words"),
         )
 
     def windows(a: Column) -> Column:
         pairs = F.transform(
             F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, i: pair(x, F.get(a, i + 1))
         )
-        return F.concat(pairs, F.transform(F.filter(a, lambda x: x["words"] >= min_words), alone))
+        return F.concat(pairs, F.transform(F.filter(a, lambda x: x["long"]), alone))
 
     return docs.where(F.col("text").isNotNull()).select(
-        "_id", "_sum", F.inline(let(lines_of(F.col("text")), windows))
+        "_id", "_sum", F.inline(let(lines_of(F.col("text"), min_words), windows))
     )
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_id, _sum and ``ranges``: the first and last line of each run to delete."""
+    """_id, _sum and ``ranges``: the first and last line of each run that is a later repeat."""
     place = F.col("_id").cast("decimal(20,0)") * F.lit(1 << 32) + F.col("line")
     prints = fingerprints(docs, min_words).withColumn("place", place)
     earliest = (
@@ -106,7 +109,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     earliest = materialize(earliest, "earliest")
     later = prints.join(earliest, ["key", "check"]).where(F.col("place") > F.col("first"))
-    found = later.select("_id", "_sum", "line", "next_line", "words", "next_words").distinct()
+    found = materialize(later.select("_id", "_sum", "line", "next_line"), "later").distinct()
     # windows that go on where the one before ended are one run
     order = Window.partitionBy("_id", "_sum").orderBy("line")
     runs = (
@@ -114,12 +117,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .withColumn("new", F.coalesce(F.lag("next_line").over(order) != F.col("line"), F.lit(True)))
         .withColumn("run", F.sum(F.col("new").cast("int")).over(order))
         .groupBy("_id", "_sum", "run")
-        .agg(
-            F.min("line").alias("from"),
-            F.max("next_line").alias("to"),
-            (F.sum("words") + F.max_by("next_words", "line")).alias("words"),
-        )
-        .where(F.col("words") >= min_words)
+        .agg(F.min("line").alias("from"), F.max("next_line").alias("to"))
     )
     singles = found.where(F.col("next_line") == F.col("line"))
     gone = runs.select("_id", "_sum", "from", "to").unionByName(
@@ -128,27 +126,38 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.groupBy("_id", "_sum").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
 
 
-def without(text: Column, ranges: Column) -> Column:
-    """The text without the lines in these ranges."""
+def without(text: Column, ranges: Column, min_words: int) -> Column:
+    """kept: the text without the lines in the ranges of enough words; gone: how many they are."""
 
-    def kept(x: Column) -> Column:
-        gone = F.flatten(F.transform(x["ranges"], lambda r: F.sequence(r["from"], r["to"])))
+    def cut(x: Column) -> Column:
+        def enough(r: Column) -> Column:
+            run = F.slice(x["lines"], r["from"] + 1, r["to"] - r["from"] + 1)
+            return word_count(F.array_join(run, "")) >= min_words
+
+        gone = F.flatten(F.transform(F.filter(x["ranges"], enough), lambda r: F.sequence(r["from"], r["to"])))
         numbers = F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), gone)
-        return F.array_join(F.transform(numbers, lambda i: F.get(x["lines"], i)), "")
+        return F.struct(
+            F.array_join(F.transform(numbers, lambda i: F.get(x["lines"], i)), "").alias("kept"),
+            (F.size(x["lines"]) - F.size(numbers)).alias("gone"),
+        )
 
-    return let(F.struct(split_lines(text).alias("lines"), ranges.alias("ranges")), kept)
+    return let(F.struct(split_lines(text).alias("lines"), ranges.alias("ranges")), cut)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id") -> DataFrame:
-    """Each row as ``_doc``, with ``_kept``: what is left of its text."""
+    """Each row as ``_doc``, with ``_kept``, what is left of its text, and ``_gone``, lines deleted."""
     rows = docs.select(F.struct(*docs.columns).alias("_doc")).select(
         "_doc",
         F.coalesce(F.col(f"_doc.{key}").cast("bigint"), F.lit(_NULL_ID)).alias("_id"),
         F.crc32(F.coalesce(F.col("_doc.text"), F.lit("")).cast("binary")).alias("_sum"),
     )
-    gone = repeats(rows.select("_id", "_sum", F.col("_doc.text").alias("text")), min_words)
-    gone = materialize(gone, "repeats")
+    found = repeats(rows.select("_id", "_sum", F.col("_doc.text").alias("text")), min_words)
+    found = materialize(found, "repeats")
     text = F.col("_doc.text")
-    return rows.join(gone, ["_id", "_sum"], "left").select(
-        "_doc", F.when(F.col("ranges").isNull(), text).otherwise(without(text, F.col("ranges"))).alias("_kept")
+    whole = F.struct(text.alias("kept"), F.lit(0).alias("gone"))
+    left = F.when(F.col("ranges").isNull(), whole).otherwise(without(text, F.col("ranges"), min_words))
+    return (
+        rows.join(found, ["_id", "_sum"], "left")
+        .select("_doc", let(left, lambda x: x).alias("_left"))
+        .select("_doc", F.col("_left.kept").alias("_kept"), F.col("_left.gone").alias("_gone"))
     )

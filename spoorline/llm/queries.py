@@ -114,13 +114,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spoorline.llm.line_dedup import dedup_lines, lines_of
+    from spoorline.llm.line_dedup import dedup_lines
 
     kept = F.coalesce("_kept", F.lit(""))
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "_doc.doc_id",
-        F.size(lines_of(F.coalesce("_doc.text", F.lit("")))).cast("long").alias("n_lines"),
-        F.size(lines_of(kept)).cast("long").alias("n_kept"),
+        F.col("_gone").cast("long").alias("n_gone"),
         F.length(kept).cast("long").alias("kept_chars"),
         F.md5(kept.cast("binary")).alias("kept_md5"),
     )
@@ -173,8 +172,7 @@ WITH docs AS (
     UNION SELECT doc_id, line FROM singles
 )
 SELECT l.doc_id,
-    count(*) FILTER (t <> '') AS n_lines,
-    count(*) FILTER (t <> '' AND g.line IS NULL) AS n_kept,
+    count(g.line) AS n_gone,
     length(coalesce(string_agg(raw, '' ORDER BY l.line) FILTER (g.line IS NULL), '')) AS kept_chars,
     md5(coalesce(string_agg(raw, '' ORDER BY l.line) FILTER (g.line IS NULL), '')) AS kept_md5
 FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line
