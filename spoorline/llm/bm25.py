@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoorline.llm.common import map_rows, slices
-from spoorline.llm.ngram_join import KEEP_WORDS, _Hashes, words_of
+from spoorline.llm.ngram_join import _Hashes, words_of
 from spoorline.session import materialize
 
 K1, B = 1.2, 0.75
 #: Documents of a shard, documents of a block, terms kept dense, queries scored together.
-SHARD_ROWS, BLOCK, DENSE, BATCH = 8192, 1024, 1024, 256
+SHARD_ROWS, BLOCK, DENSE, BATCH = 6144, 1024, 1024, 256
+#: Words whose hashes a task keeps.
+KEEP_WORDS = 200_000
 #: Relative error that single-precision sums may have; scores this near are computed again.
 MARGIN = 5e-4
 
@@ -106,10 +108,15 @@ class Shard:
         lengths = np.array([len(t) for t in texts])
         doc = np.repeat(np.arange(n), lengths)
         every = np.concatenate(texts) if n else np.zeros(0, np.int64)
-        self.terms, term = np.unique(every, return_inverse=True)
+        texts.clear()  # large; the index holds what is needed
+        self.terms, pair = np.unique(every, return_inverse=True)
+        del every
         width = max(1, len(self.terms))
-        pair, tf = np.unique(doc * width + term, return_counts=True)
-        doc, term = pair // width, pair % width
+        pair += doc * width
+        del doc
+        pair, tf = np.unique(pair, return_counts=True)
+        doc, term = (pair // width).astype(np.int32), (pair % width).astype(np.int32)
+        del pair
         norm = K1 * (1 - B + B * lengths / mean_length)
         impact = tf * (K1 + 1) / (tf + norm[doc])
         # forward index, by document and term
@@ -125,6 +132,7 @@ class Shard:
         matrix[doc[frequent], column[term[frequent]]] = impact[frequent]
         self.order = self._similar(matrix)
         self.matrix = matrix[self.order]
+        del matrix
         place = np.empty(n, np.int64)
         place[self.order] = np.arange(n)
         self.blocks = -(-n // BLOCK)
@@ -135,7 +143,7 @@ class Shard:
         rare = np.flatnonzero(~frequent)
         rare = rare[np.lexsort((place[doc[rare]], term[rare]))]
         self.at, self.impact = place[doc[rare]], impact[rare]
-        entry = term[rare] * self.blocks + self.at // BLOCK
+        entry = term[rare].astype(np.int64) * self.blocks + self.at // BLOCK
         self.entry, start = np.unique(entry, return_index=True)
         self.start = start
         self.size = np.diff(np.append(start, len(rare)))
@@ -223,7 +231,7 @@ class Shard:
 FOUND = "query bigint, doc_id bigint, score double"
 
 
-def _search_task(mean_length: float, k: int):
+def _search_task(mean_length: float, count: int, k: int):
     """Rows of a partition by shard, documents first: build the index, then search in it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +256,7 @@ def _search_task(mean_length: float, k: int):
 
         for batch in batches:
             for part in slices(batch, BATCH):
-                *plain, own_terms, own_weights = part.columns
+                *plain, own_terms, own_ns, own_dfs = part.columns
                 for i, (number, query, id_, text) in enumerate(
                     zip(*(c.to_pylist() for c in plain), strict=True)
                 ):
@@ -260,8 +268,8 @@ def _search_task(mean_length: float, k: int):
                         ids.append(id_)
                         texts.append(terms(text))
                     else:
-                        arrays = (c[i].values.to_numpy() for c in (own_terms, own_weights))
-                        held.append((query, *arrays))
+                        asked, n, df = (c[i].values.to_numpy() for c in (own_terms, own_ns, own_dfs))
+                        held.append((query, asked, n * np.log1p((count - df + 0.5) / (df + 0.5))))
                         if len(held) == BATCH:
                             yield flush()
         if held:
@@ -280,13 +288,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     count = docs.count()
     words = df.where("term IS NULL").agg(F.sum("df")).first()[0] or 0
     shards = max(1, -(-count // SHARD_ROWS))
-    idf = F.log1p((F.lit(count) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = (
         query_terms(queries.select("query", "text"))
         .join(df.where("term IS NOT NULL"), "term")
         .groupBy("query")
-        .agg(F.array_sort(F.collect_list(F.struct("term", (idf * F.col("n")).alias("weight")))).alias("t"))
-        .select("query", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
+        .agg(F.array_sort(F.collect_list(F.struct("term", "n", "df"))).alias("t"))
+        .select("query", *[F.col(f"t.{c}").alias(f"{c}s") for c in ("term", "n", "df")])
     )
     weighted = materialize(weighted, "queries")
     nothing = F.lit(None)
@@ -295,8 +302,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         nothing.cast("bigint").alias("query"),
         "doc_id",
         "text",
-        nothing.cast("array<bigint>").alias("terms"),
-        nothing.cast("array<double>").alias("weights"),
+        *[nothing.cast("array<bigint>").alias(c) for c in ("terms", "ns", "dfs")],
     )
     asked = weighted.select(
         F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"),
@@ -304,12 +310,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         nothing.cast("bigint").alias("doc_id"),
         nothing.cast("string").alias("text"),
         "terms",
-        "weights",
+        "ns",
+        "dfs",
     )
     # documents have no query, so they come before the queries of their shard
     together = dealt.unionByName(asked).repartition(shards, "shard")
     together = together.sortWithinPartitions("shard", "query")
     mean_length = max(1.0, words / max(1, count))
-    found = together.mapInArrow(_search_task(mean_length, k), FOUND)
+    found = together.mapInArrow(_search_task(mean_length, count, k), FOUND)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
