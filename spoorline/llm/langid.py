@@ -39,6 +39,10 @@ SMOOTH = 0.1
 #: Words whose scores a task keeps; the table is emptied beyond that.
 KEEP_WORDS = 500_000
 UNDETERMINED = "und"
+#: In place of a piece id: a piece begins like this; none does; no entry of the table.
+BEGUN, NO_PIECE, EMPTY = -1, -2, -3
+#: Words of one length that are computed together.
+GROUP = 16_384
 
 words_of = re.compile(r"\S+").findall
 
@@ -56,54 +60,107 @@ def pieces_of_model(path: str) -> list[str]:
     ]
 
 
+class PieceTable:
+    """Ids of pieces by a 64-bit hash of their characters, for many strings at once."""
+
+    FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+    def __init__(self, ids: dict[str, int]):
+        bits = max(4, (4 * len(ids) - 1).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.ids = np.full(1 << bits, EMPTY, np.int64)
+        hashes = np.array([self.hash_of(piece) for piece in ids], np.uint64)
+        values = np.fromiter(ids.values(), np.int64, len(ids))
+        slots, left = self._slot(hashes), np.arange(len(ids))
+        while len(left):  # the first to come takes a free slot, the others go on to the next
+            _, first = np.unique(slots[left], return_index=True)
+            first = left[first]
+            first = first[self.ids[slots[first]] == EMPTY]
+            self.keys[slots[first]], self.ids[slots[first]] = hashes[first], values[first]
+            left = np.setdiff1d(left, first, assume_unique=True)
+            slots[left] = (slots[left] + 1) % len(self.ids)
+
+    @classmethod
+    def hash_of(cls, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(cls.FACTOR) + ord(c) + 1) % (1 << 64)
+        return h
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * self.SPREAD) >> self.shift).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The id of each hash, NO_PIECE where there is none."""
+        slots = self._slot(hashes)
+        out = self.ids[slots]
+        other = np.flatnonzero((out != EMPTY) & (self.keys[slots] != hashes))
+        while len(other):
+            slots[other] = (slots[other] + 1) % len(self.ids)
+            out[other] = self.ids[slots[other]]
+            other = other[(out[other] != EMPTY) & (self.keys[slots[other]] != hashes[other])]
+        out[out == EMPTY] = NO_PIECE
+        return out
+
+
 class Lattice:
-    """All piece edges of many words of one length, and sums over their segmentations."""
-
-    def __init__(self, words: list[str], ids: dict[str, int], unknown: int):
-        n, self.length = len(words), len(words[0])
-        self.edges: dict[tuple[int, int], np.ndarray] = {}
-        get = ids.get
-        for end in range(1, self.length + 1):
-            for start in range(max(0, end - MAX_PIECE), end):
-                found = np.fromiter((get(w[start:end], -1) for w in words), np.int32, n)
-                if end - start == 1:
-                    found[found < 0] = unknown
-                if (found >= 0).any():
-                    self.edges[start, end] = found
-
-    def weights(self, probs: np.ndarray, start: int, end: int) -> np.ndarray:
-        """Probabilities of an edge's piece by word and language; id -1 reads a row of zeros."""
-        return probs[self.edges[start, end]]
+    """All piece edges of many words of one length, and sums over their segmentations.
+
+    An edge holds the words that have it and their pieces. From each start, words drop out as
+    soon as no piece begins with what they have there.
+    """
+
+    def __init__(self, words: list[str], table: PieceTable, unknown: int):
+        self.n, self.length = len(words), len(words[0])
+        self.edges: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        codes = np.array(words, dtype=f"<U{self.length}").view(np.uint32)
+        codes = np.ascontiguousarray(codes.reshape(self.n, self.length).T).astype(np.uint64) + np.uint64(1)
+        everywhere = np.arange(self.n)
+        for start in range(self.length):
+            at, hashes = everywhere, np.zeros(self.n, np.uint64)
+            for end in range(start + 1, min(self.length, start + MAX_PIECE) + 1):
+                hashes = hashes * table.FACTOR + codes[end - 1][at]
+                pieces = table.find(hashes)
+                going_on = pieces != NO_PIECE
+                if end == start + 1:
+                    pieces[pieces < 0] = unknown
+                hit = pieces >= 0
+                if hit.any():
+                    self.edges.append((start, end, at[hit], pieces[hit]))
+                if not going_on.all():
+                    at, hashes = at[going_on], hashes[going_on]
+                    if not len(at):
+                        break
 
     def forward(self, probs: np.ndarray) -> np.ndarray:
-        n = len(next(iter(self.edges.values())))
-        sums = np.zeros((self.length + 1, n, probs.shape[1]))
+        sums = np.zeros((self.length + 1, self.n, probs.shape[1]))
         sums[0] = 1.0
-        for (start, end) in sorted(self.edges, key=lambda e: (e[1], e[0])):
-            sums[end] += sums[start] * self.weights(probs, start, end)
+        for start, end, words, pieces in self.edges:  # by start, so that sums[start] is whole
+            sums[end][words] += sums[start][words] * probs[pieces]
         return sums
 
     def expected(self, probs: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected piece counts by language for words that occur ``counts`` times in each."""
         ahead = self.forward(probs)
         behind = np.zeros_like(ahead)
-        behind[self.length] = 1.0
-        for (start, end) in sorted(self.edges, reverse=True):
-            behind[start] += behind[end] * self.weights(probs, start, end)
-        scale = counts / ahead[self.length]
+        behind[self.length] = counts / ahead[self.length]
         out = np.zeros_like(probs)
-        for (start, end), found in self.edges.items():
-            share = ahead[start] * behind[end] * self.weights(probs, start, end) * scale
-            for k in range(probs.shape[1]):
-                out[:, k] += np.bincount(found % len(out), weights=share[:, k], minlength=len(out))
+        for start, end, words, pieces in reversed(self.edges):
+            onward = behind[end][words] * probs[pieces]
+            behind[start][words] += onward
+            share = ahead[start][words] * onward
+            np.add.at(out, pieces, share)
         return out
 
 
 class PieceModel:
-    """Piece probabilities by language: row per piece, then one for unknown characters, then zeros."""
+    """Piece probabilities by language: a row per piece, then one for unknown characters."""
 
     def __init__(self, pieces: list[str], probs: np.ndarray):
-        self.ids = {p: i for i, p in enumerate(pieces)}
+        self.pieces = pieces
+        begun = {p[:k] for p in pieces for k in range(1, len(p))}
+        self.table = PieceTable(dict.fromkeys(begun, BEGUN) | {p: i for i, p in enumerate(pieces)})
         self.unknown = len(pieces)
         self.probs = probs
 
@@ -113,16 +170,16 @@ class PieceModel:
         smoothed = counts + SMOOTH
         probs = smoothed / smoothed.sum(axis=0)
         k = counts.shape[1]
-        return PieceModel(pieces, np.vstack([probs, np.full((1, k), UNKNOWN), np.zeros((1, k))]))
+        return PieceModel(pieces, np.vstack([probs, np.full((1, k), UNKNOWN)]))
 
     def by_length(self, words: list[str]):
         groups: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             groups[len(w)].append(i)
         for at in groups.values():
-            for j in range(0, len(at), 4096):
-                part = at[j : j + 4096]
-                yield part, Lattice([words[i] for i in part], self.ids, self.unknown)
+            for j in range(0, len(at), GROUP):
+                part = at[j : j + GROUP]
+                yield part, Lattice([words[i] for i in part], self.table, self.unknown)
 
     def log_probs(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), self.probs.shape[1]))
@@ -183,20 +240,21 @@ def train(docs: DataFrame, pieces: list[str], rounds: int = 2) -> tuple[list[str
 
         def expect(batches, shared=shared):
             names, probs = shared.value
-            inner = PieceModel(names, probs)
+            # one language at a time: the others have no counts in its words
+            singles = {}
             total = np.zeros((len(names), len(at)))
             for pdf in batches:
                 for name, part in pdf.groupby("lang"):
-                    weights = np.zeros((len(part), len(at)))
-                    weights[:, at[name]] = part["n"].to_numpy()
-                    blocks, rows = [], []
-                    for i, w in enumerate(part["word"]):
+                    k = at[name]
+                    if k not in singles:
+                        singles[k] = PieceModel(names, probs[:, [k]])
+                    blocks, counts = [], []
+                    for w, n in zip(part["word"], part["n"], strict=True):
                         for b in blocks_of(w):
                             blocks.append(b)
-                            rows.append(i)
-                    # one language at a time: the others have no counts in these words
-                    single = PieceModel(names, probs[:, [at[name]]])
-                    total[:, at[name]] += single.expected(blocks, weights[rows][:, [at[name]]])[:, 0]
+                            counts.append(n)
+                    found = singles[k].expected(blocks, np.array(counts, float)[:, None])
+                    total[:, k] += found[:, 0]
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "lang": lang, "n": total[piece, lang]})
 
@@ -222,7 +280,7 @@ def predict(
     """lang_pred and score of every text, by its key."""
     langs, model = trained or ([], None)
     shared = docs.sparkSession.sparkContext.broadcast(
-        model and (list(model.ids), model.probs)
+        model and (model.pieces, model.probs)
     )
 
     def make():
@@ -265,7 +323,8 @@ def predict(
 
         return work
 
-    return map_rows(docs, make, f"{key} bigint, lang_pred string, score double", [key, text])
+    schema = f"{key} bigint, lang_pred string, score double"
+    return map_rows(docs, make, schema, [key, text], rows=8192)
 
 
 def fold(key: str | Column, folds: int) -> Column:
