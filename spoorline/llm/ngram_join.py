@@ -15,8 +15,8 @@ only affects speed.
    paired with the smallest. Per node, the partner that shares most is decided on the whole
    texts; the other pairs only count where they join different components, and only if the
    overlap of their prefixes leaves room for the threshold.
-3. Groups that still hold several components are multiplied out between components, with the
-   same bound on the accumulated counts. Pairs within a component need no count.
+3. Groups that still hold several components are multiplied out between components, in blocks of
+   nodes, with the same bound on the accumulated counts. Pairs within a component need no count.
 
 So copies are never expanded into all pairs, and no link between components is lost. Keys of groups
 are cut to 48 bits: that can only add candidates, which are decided like all others.
@@ -33,6 +33,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -51,7 +52,9 @@ AFTER = 65
 ROUNDS = 3
 #: Most frequent shingles that go last in the order of shingles.
 FREQUENT = 65_536
-KEEP_WORDS = 1_000_000
+KEEP_WORDS = 250_000
+#: Nodes of a block of the residual product; a task holds two blocks at most.
+BLOCK_NODES = 3072
 #: Parts of the group of a frequent shingle; bits of a shingle's hash that make its group's key.
 SALTS = 16
 KEY_BITS = np.uint64((1 << 48) - 1)
@@ -195,6 +198,37 @@ def _needed(n1, n2, percent: int):
     return F.ceil((n1 + n2) * percent / F.lit(100 + percent) - 1e-9)
 
 
+def block_product(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of nodes of one block or of two whose shared shingles leave room for a link.
+
+    ``rows`` is a block of the incidence matrix (shingle, node, n, root, block, i, j). Its
+    product with its transpose counts shared shingles; pairs of one component are left out.
+    """
+    nodes = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
+    at = np.searchsorted(nodes["node"].to_numpy(), rows["node"].to_numpy())
+    order = np.argsort(rows["shingle"].to_numpy(), kind="stable")
+    ends = np.flatnonzero(np.diff(rows["shingle"].to_numpy()[order])) + 1
+    counts = np.zeros((len(nodes), len(nodes)), np.int32)
+    for group in np.split(at[order], ends):
+        if len(group) > 1:
+            group = np.unique(group)
+            counts[np.ix_(group, group)] += 1
+    n, root, block, found = (nodes[c].to_numpy() for c in ("n", "root", "block", "node"))
+    apart = rows["i"].iloc[0] != rows["j"].iloc[0]  # pairs within a block have a task of their own
+    out = []
+    for start in range(0, len(nodes), 256):
+        a, b = np.nonzero(counts[start : start + 256])
+        shares, a = counts[start : start + 256][a, b], a + start
+        low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        needed = np.ceil((low + high) * percent / (100 + percent) - 1e-9)
+        fits = (a < b) & (root[a] != root[b]) & (100 * low >= percent * high)
+        fits &= shares + high * AFTER // 100 >= needed
+        if apart:
+            fits &= block[a] != block[b]
+        out.append(pd.DataFrame({"a": found[a[fits]], "b": found[b[fits]]}))
+    return pd.concat(out)
+
+
 def _after(n):
     """Shingles behind the prefix, at most."""
     return F.floor(n * AFTER / 100)
@@ -359,6 +393,8 @@ class JaccardJoin:
     def _residual(self, shared: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs not decided yet, between components, with enough shared prefix shingles.
 
+        Counted by blocks of the matrix times their transposes; only pairs that pass are written.
+
         A group that both are in holds two components, so no common shingle is left out and
         the counts are complete.
         """
@@ -370,20 +406,26 @@ class JaccardJoin:
             .select("shingle")
         )
         kept = materialize(rooted.join(materialize(mixed, "mixed"), "shingle"), "kept")
-
-        def side(end):
-            return kept.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "s", "root")])
-
-        na, nb = F.col("n_a"), F.col("n_b")
-        crossed = side("a").join(side("b"), "shingle").where(
-            (F.col("node_a") < F.col("node_b"))
-            & (F.col("root_a") != F.col("root_b"))
-            & self._possible(na, nb, F.least("s_a", "s_b"))
-        )
-        counted = crossed.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(
-            F.count(F.lit(1)).alias("seen")
+        # nodes that groups connect are a family; its product is computed block by block
+        least = materialize(kept.groupBy("shingle").agg(F.min("node").alias("a")), "least")
+        tied = kept.join(least, "shingle").select("a", F.col("node").alias("b")).distinct()
+        family = components(tied).withColumnRenamed("root", "family")
+        sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("blocks"))
+        placed = kept.join(family.join(sizes, "family"), "node").withColumn(
+            "block", F.pmod(F.xxhash64("node"), F.col("blocks"))
         )
-        enough = counted.where(self._possible(na, nb, F.col("seen"))).select("a", "b")
+        columns = ["shingle", "node", "n", "root", "family", "block"]
+        whole = placed.where("blocks = 1").select(*columns, F.col("block").alias("i"), F.col("block").alias("j"))
+        other = F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")
+        cut = placed.where("blocks > 1").select("*", other)
+        cut = cut.select(*columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        percent = self.percent
+
+        def product(pdf: pd.DataFrame) -> pd.DataFrame:
+            return block_product(pdf, percent)
+
+        dealt = whole.unionByName(cut).groupBy("family", "i", "j")
+        enough = dealt.applyInPandas(product, "a bigint, b bigint").distinct()
         return enough.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
 
     def members(self) -> DataFrame:

@@ -58,8 +58,9 @@ def fixture(seed):
 
 
 def test_components_equal_all_pairs(spark, monkeypatch):
-    for seed, hot in ((1, J.FREQUENT), (2, 5)):
+    for seed, hot, block in ((1, J.FREQUENT, J.BLOCK_NODES), (2, 5, 4)):
         monkeypatch.setattr(J, "FREQUENT", hot)
+        monkeypatch.setattr(J, "BLOCK_NODES", block)
         rows = fixture(seed)
         df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, node string")
         got = sorted(map(tuple, J.near_duplicates(df).collect()), key=str)
