@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spoorline.llm.common import table
 from spoorline.llm.line_dedup import dedup_lines
 from spoorline.llm.ngram_join import near_duplicates
-from spoorline.llm.packing import pack, tiktoken_ids
+from spoorline.llm.packing import pack, tokenizer_ids
 from spoorline.llm.quality_rules import judge
 from spoorline.llm.secrets import redact
 from spoorline.session import materialize
@@ -62,8 +62,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pieces of all documents with their sequence and offset."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return pack(docs, tiktoken_ids(path, public_tokenizers.PATTERN))
+    path, ranks = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
+    return pack(docs, tokenizer_ids(path, ranks, public_tokenizers.PATTERN))
 
 
 STAGES = [

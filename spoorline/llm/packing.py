@@ -15,6 +15,7 @@ with equal ids are separate documents; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable
 
@@ -35,8 +36,11 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 NAMES = [column.split()[0] for column in PIECES.split(", ")]
 
 
-def tiktoken_ids(path: str, pattern: str) -> Callable:
-    """A factory of encoders by a rank file; texts that look like special tokens are ordinary."""
+def tiktoken_ids(path: str, pattern: str, special: dict[str, int] | None = None) -> Callable:
+    """A factory of encoders by a rank file; tokens of ``special`` have their ids wherever they stand.
+
+    Without ``special``, texts that look like special tokens are ordinary.
+    """
 
     def make():
         import base64
@@ -47,13 +51,35 @@ def tiktoken_ids(path: str, pattern: str) -> Callable:
             pairs = [line.split() for line in f if line.strip()]
         ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         encoding = tiktoken.Encoding(
-            "packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
+            "packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {}
         )
-        return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+        if not special:
+            return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+        return lambda texts: [encoding.encode(t, allowed_special="all") for t in texts]
 
     return make
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file, which cut a text before anything else does."""
+    with open(path, "rb") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t[flag] for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: only added tokens that match as they are can be split at")
+    contents = [t["content"] for t in tokens]
+    if any(a != b and a in b for a in contents for b in contents):
+        raise ValueError(f"{path}: an added token lies within another")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def tokenizer_ids(path: str, ranks_path: str, pattern: str) -> Callable:
+    """A factory of encoders to the ids of a tokenizer file at its defaults, added tokens included.
+
+    ``ranks_path`` is its vocabulary in the form that the faster library reads.
+    """
+    return tiktoken_ids(ranks_path, pattern, added_tokens(path))
+
+
 def cut_pieces(
     docs: DataFrame, encoder: Callable, size: int, end_id: int, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:

@@ -104,11 +104,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from spoorline.llm.packing import pack, tiktoken_ids
+    from spoorline.llm.packing import pack, tokenizer_ids
 
-    # the same vocabulary as byte_bpe_50k.json, in the form that the faster library reads
-    encoder = tiktoken_ids(
-        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoder = tokenizer_ids(
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
     )
     return pack(table(spark, sf_dir, "documents"), encoder)
 

@@ -77,3 +77,20 @@ def test_empty_table(spark):
     encoder = K.tiktoken_ids(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert K.pack(empty, encoder).count() == 0
+
+
+def test_query_has_the_ids_of_the_default_tokenizer(spark, tmp_path):
+    from spoorline.llm.queries import op9_best_fit_packing
+
+    rng = np.random.default_rng(6)
+    bits = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", " b", "don't", "é", "12", "<|im_start|>"]
+    texts = ["a b<|endoftext|>c", *("".join(rng.choice(bits, int(n))) for n in rng.integers(1, 12, 400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 275, 50256, 66]
+    out = op9_best_fit_packing(spark, str(tmp_path)).toPandas()
+    assert len(out) == len(texts)
+    for r in out.itertuples():
+        ids = np.array([*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 2], "<u4")
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
