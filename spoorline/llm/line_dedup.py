@@ -5,9 +5,12 @@ no part of a run. A window of two lines slides over the hashes of a text's lines
 hash is the fingerprint, kept with its neighbour in the window. Every window has one, so any run of
 two lines or more that occurs twice is found, wherever it starts; a line of ``min_words`` words
 is a fingerprint by itself. Fingerprints are joined on their hashes with the earliest position
-(by document id, then line) that has the same one. Matches that follow each other extend to
-runs both ways. A run of at least ``min_words`` words is deleted wherever it is a later
-repeat; its first occurrence stays, shorter runs stay everywhere.
+(by document id, then line) that has the same one. Those that occur twice and follow each other
+are candidates only, as each may have been repeated from another place. In them, the shortest runs
+of ``min_words`` words from each line, forward and backward, are hashed whole and joined with
+their own earliest position. Every longer repeat is made of such runs. A run of at least
+``min_words`` words is deleted wherever it is a later repeat; its first occurrence stays, shorter
+runs stay everywhere.
 
 Everything is DataFrame expressions: no Python runs in tasks. A frequent line is pre-aggregated
 to one row and joined back, where the adaptive join can split it; no pairs of occurrences are
@@ -47,33 +50,38 @@ def word_count(text: Column) -> Column:
     return F.size(F.split(F.btrim(text, F.lit(_SPACE)), _SPACES))
 
 
-def is_long(line: Column, min_words: int) -> Column:
-    """Whether a trimmed line has so many words; most are told by length and spaces alone."""
+def words_up_to(line: Column, most: int) -> Column:
+    """Words of a trimmed line that is not blank, ``most`` at most; spaces tell, if all stand alone."""
     spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    may_be = (spaces >= min_words - 1) | line.rlike(r"[\t\x0b\x0c\r]")
-    return (F.length(line) >= 2 * min_words - 1) & may_be & (word_count(line) >= min_words)
+    words = F.when(line.rlike(r"[\t\x0b\x0c\r]|  "), word_count(line)).otherwise(spaces + 1)
+    return F.least(words, F.lit(most))
 
 
 def lines_of(text: Column, min_words: int) -> Column:
-    """line (from 0, blank ones counted), h, and c, another hash, for long ones: lines not blank."""
+    """line (from 0, blank ones counted), h, w, its words, and c, another hash, for long ones."""
 
     def trimmed(lines: Column) -> Column:
         return F.transform(
             lines, lambda x, i: F.struct(F.btrim(x, F.lit(_SPACE)).alias("t"), i.alias("line"))
         )
 
-    return F.transform(
+    counted = F.transform(
         F.filter(trimmed(F.split(text, _BREAKS)), lambda s: s["t"] != ""),
+        lambda s: F.struct(s["t"].alias("t"), s["line"].alias("line"), words_up_to(s["t"], min_words).alias("w")),
+    )
+    return F.transform(
+        counted,
         lambda s: F.struct(
             s["line"].alias("line"),
             F.xxhash64(s["t"]).alias("h"),
-            F.when(is_long(s["t"], min_words), F.hash(s["t"])).alias("c"),
+            s["w"].alias("w"),
+            F.when(s["w"] >= min_words, F.hash(s["t"])).alias("c"),
         ),
     )
 
 
 def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row per window and per long line of texts (_id, _sum, text), with its place."""
+    """One row per window and per long line of texts (_id, _sum, text), with its place and words."""
 
     def pair(x: Column, y: Column) -> Column:
         side = F.when(x["h"] <= y["h"], 1).otherwise(-1)
@@ -82,6 +90,8 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
             F.hash(x["h"], y["h"]).alias("check"),
             x["line"].alias("line"),
             y["line"].alias("next_line"),
+            x["w"].alias("w"),
+            y["w"].alias("next_w"),
         )
 
     def alone(x: Column) -> Column:
@@ -90,6 +100,8 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
             x["c"].alias("check"),
             x["line"].alias("line"),
             x["line"].alias("next_line"),
+            x["w"].alias("w"),
+            x["w"].alias("next_w"),
         )
 
     def windows(a: Column) -> Column:
@@ -103,44 +115,106 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
     )
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_id, _sum and ``ranges``: the first and last line of each run that is a later repeat."""
-    place = F.col("_id").cast("decimal(20,0)") * F.lit(1 << 32) + F.col("line")
-    prints = materialize(fingerprints(docs, min_words), "prints").withColumn("place", place)
+def with_first(prints: DataFrame, tag: str) -> DataFrame:
+    """Fingerprints that occur at two places or more, with the earliest place."""
     earliest = (
         prints.groupBy("key", "check")
         .agg(F.min("place").alias("first"), F.max("place").alias("last"))
         .where("first < last")
         .select("key", "check", "first")
     )
-    earliest = materialize(earliest, "earliest")
-    later = prints.join(earliest, ["key", "check"]).where(F.col("place") > F.col("first"))
-    found = materialize(later.select("_id", "_sum", "line", "next_line"), "later").distinct()
-    # windows that go on where the one before ended are one run
+    return prints.join(materialize(earliest, tag), ["key", "check"])
+
+
+def shortest_runs(pairs: Column, min_words: int) -> Column:
+    """from, to, key and check of the shortest runs of enough words, from each line both ways.
+
+    ``pairs`` are windows of two lines that follow each other. A run has two lines at least, so
+    that blank ones between any two are within one, and ``most``, as every line has a word. Those
+    of one line are fingerprints by themselves already.
+    """
+    most = max(min_words, 2)
+    unit = 1 << 20  # words are counted in this unit, lines in ones
+
+    def enough(n: Column) -> Column:
+        return (n >= min_words * unit) & (n % unit >= 2)
+
+    def length(some: Column) -> Column:
+        total = F.aggregate(
+            some, F.lit(0).cast("bigint"), lambda n, w: F.when(enough(n), n).otherwise(n + w * unit + 1)
+        )
+        return F.when(enough(total), total % unit).otherwise(0).cast("int")
+
+    def runs(x: Column) -> Column:
+        def run(start: Column, size: Column) -> Column:
+            keys = F.slice(x["keys"], start + 1, size - 1)
+            return F.struct(
+                F.get(x["lines"], start).alias("from"),
+                F.get(x["lines"], start + size - 1).alias("to"),
+                F.xxhash64(keys).alias("key"),
+                F.hash(keys).alias("check"),
+            )
+
+        def forward(_: Column, i: Column) -> Column:
+            n = length(F.slice(x["words"], i + 1, most))
+            return F.struct(i.alias("start"), n.alias("n"))
+
+        def backward(_: Column, i: Column) -> Column:
+            start = F.greatest(i + 1 - most, F.lit(0))
+            n = length(F.reverse(F.slice(x["words"], start + 1, i + 1 - start)))
+            return F.struct((i + 1 - n).alias("start"), n.alias("n"))
+
+        found = F.array_distinct(
+            F.concat(F.transform(x["lines"], forward), F.transform(x["lines"], backward))
+        )
+        return F.transform(F.filter(found, lambda r: r["n"] > 0), lambda r: run(r["start"], r["n"]))
+
+    last = F.element_at(pairs, -1)
+    parts = F.struct(
+        F.concat(pairs["line"], F.array(last["next_line"])).alias("lines"),
+        F.concat(pairs["w"], F.array(last["next_w"])).alias("words"),
+        F.transform(pairs, lambda p: F.struct(p["key"], p["check"])).alias("keys"),
+    )
+    return let(parts, runs)
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """_id, _sum and ``ranges``: the first and last line of each run that is a later repeat."""
+
+    def place(line: str) -> Column:
+        return F.col("_id").cast("decimal(20,0)") * F.lit(1 << 32) + F.col(line)
+
+    prints = materialize(fingerprints(docs, min_words), "prints").withColumn("place", place("line"))
+    twice = with_first(prints, "earliest").withColumn("again", F.col("place") > F.col("first"))
+    twice = materialize(twice.drop("place", "first"), "twice").distinct()
+    # windows that go on where the one before ended may be one run
     order = Window.partitionBy("_id", "_sum").orderBy("line")
-    runs = (
-        found.where(F.col("next_line") > F.col("line"))
+    chains = (
+        twice.where(F.col("next_line") > F.col("line"))
         .withColumn("new", F.coalesce(F.lag("next_line").over(order) != F.col("line"), F.lit(True)))
-        .withColumn("run", F.sum(F.col("new").cast("int")).over(order))
-        .groupBy("_id", "_sum", "run")
-        .agg(F.min("line").alias("from"), F.max("next_line").alias("to"))
+        .withColumn("chain", F.sum(F.col("new").cast("int")).over(order))
+        .groupBy("_id", "_sum", "chain")
+        .agg(
+            (F.sum("w") + F.max_by("next_w", "line")).alias("words"),
+            F.array_sort(F.collect_list(F.struct("line", "next_line", "w", "next_w", "key", "check"))).alias("pairs"),
+        )
+        .where(F.col("words") >= min_words)
     )
-    singles = found.where(F.col("next_line") == F.col("line"))
-    gone = runs.select("_id", "_sum", "from", "to").unionByName(
+    runs = chains.select("_id", "_sum", F.inline(shortest_runs(F.col("pairs"), min_words)))
+    runs = materialize(runs, "runs").withColumn("place", place("from"))
+    later = with_first(runs, "earliest-runs").where(F.col("place") > F.col("first"))
+    singles = twice.where(F.col("again") & (F.col("next_line") == F.col("line")))
+    gone = later.select("_id", "_sum", "from", "to").unionByName(
         singles.select("_id", "_sum", F.col("line").alias("from"), F.col("next_line").alias("to"))
     )
     return gone.groupBy("_id", "_sum").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
 
 
-def without(text: Column, ranges: Column, min_words: int) -> Column:
-    """kept: the text without the lines in the ranges of enough words; gone: how many they are."""
+def without(text: Column, ranges: Column) -> Column:
+    """kept: the text without the lines in the ranges; gone: how many they are."""
 
     def cut(x: Column) -> Column:
-        def enough(r: Column) -> Column:
-            run = F.slice(x["lines"], r["from"] + 1, r["to"] - r["from"] + 1)
-            return word_count(F.array_join(run, "")) >= min_words
-
-        gone = F.flatten(F.transform(F.filter(x["ranges"], enough), lambda r: F.sequence(r["from"], r["to"])))
+        gone = F.flatten(F.transform(x["ranges"], lambda r: F.sequence(r["from"], r["to"])))
         numbers = F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), gone)
         return F.struct(
             F.array_join(F.transform(numbers, lambda i: F.get(x["lines"], i)), "").alias("kept"),
@@ -161,7 +235,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     found = materialize(found, "repeats")
     text = F.col("_doc.text")
     whole = F.struct(text.alias("kept"), F.lit(0).alias("gone"))
-    left = F.when(F.col("ranges").isNull(), whole).otherwise(without(text, F.col("ranges"), min_words))
+    left = F.when(F.col("ranges").isNull(), whole).otherwise(without(text, F.col("ranges")))
     return (
         rows.join(found, ["_id", "_sum"], "left")
         .select("_doc", let(left, lambda x: x).alias("_left"))

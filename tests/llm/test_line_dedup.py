@@ -72,3 +72,37 @@ def test_repeated_rows_keep_the_same_lines_and_empty_tables(spark):
     got = sorted((r.doc_id, r._kept) for r in D.dedup_lines(df).select("_doc.doc_id", D.F.col("_kept")).collect())
     assert got == [(1, long), (1, long), (2, "")]
     assert D.dedup_lines(df.limit(0)).count() == 0
+
+
+def every_run(rows, min_words=D.MIN_WORDS):
+    """Lines of all runs of enough words that occur as a whole at an earlier place."""
+    parsed = []
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        raw = ENDS.split(text)
+        parsed.append((i, raw, [(n, x.strip()) for n, x in enumerate(raw) if x.strip()]))
+    first, out = {}, {}
+    for i, raw, lines in parsed:
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = tuple(t for _, t in lines[a : b + 1])
+                if sum(len(t.split()) for t in run) >= min_words:
+                    if first.setdefault(run, (i, a)) < (i, a):
+                        gone.update(range(lines[a][0], lines[b][0] + 1))
+        out[i] = "".join(x for n, x in enumerate(raw) if n not in gone)
+    return out
+
+
+def test_only_runs_that_occurred_as_a_whole_go(spark):
+    x1, x2, x3, x4 = (" ".join(f"{c}{i}" for i in range(9)) + ". " for c in "abcd")
+    rows = [(1, x1 + x2), (2, x2 + x3), (3, x1 + x2 + x3)]  # 27 words, but never before
+    rows += [(4, x1 + x2 + x3), (5, "new. " + x1 + x2 + x3 + x4)]  # before in 3, behind other first places
+    random.seed(8)
+    vocab = [f"w{i}" for i in range(9)]
+    short = [" ".join(random.choice(vocab) for _ in range(n)) + ". " for n in (1, 2, 5, 8, 9, 24, 26)]
+    rows += [(10 + i, "".join(random.choice(short) + random.choice(["", "\n"]) for _ in range(random.randint(1, 12)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r._kept for r in D.dedup_lines(df).select("_doc.doc_id", D.F.col("_kept")).collect()}
+    want = every_run(rows)
+    assert want[3] == rows[2][1] and want[4] == "" and want[5] == "new. " + x4
+    assert got == want
