@@ -621,8 +621,7 @@ def d08(spark, d):
 )
 def d09(spark, d):
     sessions = quality.with_dimensions(quality.spec_sessions(_specs(spark, d)))
-    out = quality.dimension_tables(sessions)
-    return out.where("dimension <> 'sql_content'")
+    return quality.dimension_tables(sessions)
 
 
 @query(

@@ -36,3 +36,13 @@ def test_query_matches_sql(spark, name):
 
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
     assert got == sorted(tuple(plain(v) for v in r) for r in cur.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+def test_d09_has_every_dimension(spark):
+    from spoorline.plans.quality import DIMENSIONS
+
+    rows = all_queries()["d09_dimension_predicts_class"](spark, FOLDER).collect()
+    sessions = 2 * spark.read.parquet(f"{FOLDER}/orders.parquet").count()
+    for x in DIMENSIONS:
+        assert sum(r.benign + r.malicious for r in rows if r.dimension == x) == sessions, x
