@@ -39,7 +39,18 @@ _ACCESS_LONG = re.compile(r"AKIA[A-Z0-9]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}")
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{4}){8,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?")
 HEX_ANY = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----((?:[^-]|-(?!----))*+)-----END \1-----")
+# a line end as it is or escaped, and what joins string literals in sources
+_ESCAPED_END = re.compile(r"(?:\\+[rn])+")
+_LITERALS = re.compile(r"""["']\s*[+.]?\s*["']""")
+_HEADER = re.compile(r"[A-Za-z0-9-]+:")
+# base64 over one line or more, in either alphabet
+_WRAPPED = {
+    False: re.compile(r"[A-Za-z0-9+/]{16,}+={0,2}(?:(?:(?:\\+[rn])+|\r?\n[ \t]*)[A-Za-z0-9+/]++={0,2})*+"),
+    True: re.compile(r"[A-Za-z0-9_-]{16,}+={0,2}(?:(?:(?:\\+[rn])+|\r?\n[ \t]*)[A-Za-z0-9_-]++={0,2})*+"),
+}
+_PART = {False: re.compile(r"(?:\\+[rn])+|([A-Za-z0-9+/]+)(={0,2})"), True: re.compile(r"(?:\\+[rn])+|([A-Za-z0-9_-]+)(={0,2})")}
+_KEY_START = re.compile(r"M|AAAA(?=[BCE][23])|b3BlbnNzaC1rZXktdjEA")
 SSH_MAGIC = b"openssh-key-v1\x00"
 SSH_NAMES = (b"ssh-rsa", b"ssh-ed25519", b"ssh-dss", b"ecdsa-sha2-")
 
@@ -145,15 +156,97 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def is_pem_body(body: str) -> bool:
+    """Base64 of a key, line ends escaped or not, or an encrypted one behind its headers."""
+    lines = _LITERALS.sub("", _ESCAPED_END.sub("\n", body).replace("\\/", "/")).strip().split("\n")
+    head = []
+    while lines and (_HEADER.match(lines[0].strip()) or (head and lines[0][:1] in (" ", "\t") and lines[0].strip())):
+        head.append(lines.pop(0).strip())
+    data = unbase64("".join("".join(lines).split()))
+    if not data:
+        return False
+    if any(h.startswith("Proc-Type:") and "ENCRYPTED" in h for h in head):
+        return any(h.startswith("DEK-Info:") for h in head) and len(data) >= 24 and len(data) % 8 == 0
+    return is_der_key(data) or is_ssh_key(data)
+
+
+def der_size(data: bytes) -> int:
+    """Bytes of the DER sequence that begins with ``data``, as its header says; 0 if none does."""
+    if len(data) < 6 or data[0] != 0x30:
+        return 0
+    size = data[1] & 0x7F if data[1] & 0x80 else 0
+    if size > 4:
+        return 0
+    return 2 + size + (int.from_bytes(data[2 : 2 + size], "big") if size else data[1])
+
+
+def ssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH key at the start of ``data`` by its fields; 0 if none fits."""
+    if data.startswith(SSH_MAGIC):
+        at, fields = len(SSH_MAGIC), 3
+    else:  # as many numbers behind the name as its kind has
+        at, fields = 0, next((n for x, n in zip(SSH_NAMES, (3, 2, 5, 3), strict=True) if data[4:].startswith(x)), 0)
+    while fields:
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        fields -= 1
+        if not fields and data.startswith(SSH_MAGIC):
+            count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+            for _ in range(count + 1 if 0 < count < 1 << 16 else 0):
+                at += 4 + int.from_bytes(data[at : at + 4], "big")
+                if at > len(data):
+                    break
+        if at > len(data):
+            return 0
+    return at
+
+
+def wrapped_spans(text: str, url: bool) -> list[tuple[int, int, str]]:
+    """Keys in base64 that may begin within a run, be wrapped, or lack the padding."""
+    out = []
+    for m in _WRAPPED[url].finditer(text):
+        if not _KEY_START.search(m[0]):
+            continue
+        places: list[int] = []  # of each character in the text
+        ends: dict[int, int] = {}  # characters up to a line's end: the end in the text
+        for part in _PART[url].finditer(text, m.start(), m.end()):
+            if part[1]:
+                places += range(part.start(1), part.end(1))
+                ends[len(places)] = part.end()
+        chars = "".join(text[i] for i in places)
+        done = 0
+        for start in _KEY_START.finditer(chars):
+            at = start.start()
+            if at < done:
+                continue
+            if start[0] == "M":
+                size = der_size(unbase64(chars[at : at + 8], url) or b"")
+            else:
+                tail = chars[at : len(chars) - ((len(chars) - at) % 4 == 1)]
+                size = ssh_size(unbase64(tail, url) or b"")
+            stop = at + -(-size * 4 // 3)
+            data = unbase64(chars[at:stop], url) if size and stop in ends else None
+            if data and (is_der_key(data) or is_ssh_key(data)):
+                out.append((places[at], ends[stop], "der" if start[0] == "M" else "ssh"))
+                done = stop
+    return out
+
+
+def signed_tokens(text: str) -> list[tuple[int, int, str]]:
+    """Signed tokens; behind a candidate that is none, the next begins after its first dot."""
+    out, m = [], TOKEN.search(text)
+    while m:
+        good = is_signed_token(m[0])
+        if good:
+            out.append((m.start(), m.end(), "token"))
+        m = TOKEN.search(text, m.end() if good else text.index(".", m.start()) + 1)
+    return out
+
+
 def structured_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates whose decoded content has the structure of a key or a signed token."""
     out = []
     if ".ey" in text or "eyJ" in text or "." in text:
-        out += [
-            (m.start(), m.end(), "token")
-            for m in TOKEN.finditer(text)
-            if is_signed_token(m[0])
-        ]
+        out += signed_tokens(text)
     for m in BASE64.finditer(text):
         data = unbase64(m[0])
         if data and is_ssh_key(data):
@@ -166,10 +259,10 @@ def structured_spans(text: str) -> list[tuple[int, int, str]]:
             out.append((m.start(), m.end(), "der"))
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = unbase64("".join(m[2].split()))
-            if data and (is_der_key(data) or is_ssh_key(data)):
+            if is_pem_body(m[2]):
                 out.append((m.start(), m.end(), "pem"))
-    return out
+    known = set(out)
+    return out + sorted({*wrapped_spans(text, False), *wrapped_spans(text, True)} - known)
 
 
 def in_order(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:

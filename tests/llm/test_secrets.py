@@ -70,3 +70,35 @@ def test_table_with_nulls_ties_and_clashing_columns(spark):
     cleaned = {r.text for r in S.redact(df).collect()}
     assert cleaned == {None, "", 'é token = "<assign>"', "no"}
     assert S.find_secrets(df.limit(0)).count() == 0
+
+
+def der(n):
+    body = b"\x02\x01\x00\x04\x82" + n.to_bytes(2, "big") + bytes(i * 7 % 256 for i in range(n))
+    return b"\x30\x82" + len(body).to_bytes(2, "big") + body
+
+
+KEY = base64.b64encode(der(300)).decode()
+LINES = [KEY[i : i + 64] for i in range(0, len(KEY), 64)]
+SIGNED = token({"alg": "HS256"}, {"sub": "1"})
+URL = base64.urlsafe_b64encode(der(301)).decode().rstrip("=")
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "secret"),
+    [
+        ('{"private_key": "-----BEGIN PRIVATE KEY-----\\n' + "\\n".join(LINES) + '\\n-----END PRIVATE KEY-----\\n"}', "pem", KEY[64:128]),
+        ("-----BEGIN RSA PRIVATE KEY-----\nX-Note: 1\n\n" + "\n".join(LINES) + "\n-----END RSA PRIVATE KEY-----", "pem", KEY[64:128]),
+        ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+         + base64.b64encode(b"c" * 64).decode() + "\n-----END RSA PRIVATE KEY-----", "pem", "Y2NjY2Nj"),
+        ("key\n" + "\n".join(LINES) + "\nend of it", "der", KEY[64:128]),
+        ("key n" + "\\n".join(LINES) + " end", "der", KEY[64:128]),
+        ("key " + KEY.rstrip("=") + " end", "der", KEY[64:128]),
+        ("key " + base64.b64encode(der(301)).decode().rstrip("=") + " end", "der", "MIIB"),
+        ("key " + URL + " end", "der", URL[64:128]),
+        ("A" + base64.b64encode(SSH).decode().rstrip("=")[:40] + "\n" + base64.b64encode(SSH).decode().rstrip("=")[40:] + "\nmore words", "ssh", base64.b64encode(SSH).decode()[8:40]),
+        ("session1." + SIGNED + " end", "token", SIGNED),
+    ],
+)
+def test_keys_as_they_stand_in_files(text, kind, secret):
+    assert kind in {k for *_, k in S.structured_spans(text)}
+    assert secret not in S.redact_text(text)
