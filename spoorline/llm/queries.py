@@ -126,6 +126,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm.brown import score, train
+    from spoorline.llm.langid import fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 7) == 2
+    return score(docs, train(docs.where(~held_out)), held_out)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm.spelling import group_variants
+
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_votes": op2_quality_votes,
@@ -137,6 +158,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_class_lm": op11_class_lm,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 OP10_SQL = r"""
@@ -180,4 +204,47 @@ FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line
 GROUP BY l.doc_id
 """
 
-ORACLE: dict[str, str] = {"op10_line_dedup": OP10_SQL}
+OP13_SQL = r"""
+WITH base AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), texts AS (
+    SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM base
+), marks AS (
+    SELECT doc_id, bool_or(quality = 1) AS g, bool_or(toxic = 1) AS x FROM labels GROUP BY doc_id
+), masks AS (
+    SELECT part, coalesce(g, false) AS good, coalesce(x, false) AS toxic, [
+        len(ws) < 200,
+        100 * len(list_distinct(ws)) < 50 * len(ws),
+        100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+        regexp_matches(t, '[#$%&*|]'),
+        coalesce(doc_id > first_id, false)] AS fails, count(*) AS n
+    FROM texts LEFT JOIN marks USING (doc_id) GROUP BY ALL
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), places AS (
+    SELECT filter_order, unnest(range(1, 6))::INT AS step FROM orders
+), outcomes AS (
+    SELECT part, filter_order, step, substr(filter_order, step, 1) AS f, good, toxic, n,
+        fails[instr('ABCDE', substr(filter_order, step, 1))] AS failing,
+        len(list_filter(range(1, step), lambda s: fails[instr('ABCDE', substr(filter_order, s::INT, 1))])) > 0 AS gone,
+        len(list_filter(fails, lambda y: y)) AS n_fails
+    FROM masks, places
+), steps AS (
+    SELECT part, filter_order, step, f,
+        coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (failing AND NOT gone), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (failing AND gone), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (failing AND n_fails = 1), 0)::BIGINT AS unique_fails,
+        coalesce(sum(n) FILTER (failing AND NOT gone AND good), 0)::BIGINT AS good_lost,
+        coalesce(sum(n) FILTER (failing AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+    FROM outcomes GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM steps
+"""
+
+ORACLE: dict[str, str] = {"op10_line_dedup": OP10_SQL, "op13_filter_audit": OP13_SQL}
