@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("telemetry", "statements", "evaluation", "corpus", "streams")
+MODULES = ("telemetry", "statements", "evaluation", "corpus", "streams", "live")
 
 
 def _collect(name: str) -> dict:

@@ -215,6 +215,21 @@ def _all() -> dict[str, str]:
 
 def with_ctes(select: str, extra: str = "") -> str:
     """``select`` over the derived tables."""
-    chain = ",\n".join(f"{n} AS ({q})" for n, q in _all().items())
+    return chain_ctes(select, {}, extra)
+
+
+def chain_ctes(select: str, changed: dict[str, str], extra: str = "") -> str:
+    """``select`` over the derived tables, some of them ``changed``.
+
+    A changed table takes the place of its namesake; new ones stand before the next changed one.
+    """
+    chain, waiting = {}, dict(changed)
+    for name, q in _all().items():
+        if name in waiting:
+            while (first := next(iter(waiting))) != name:
+                chain[first] = waiting.pop(first)
+            q = waiting.pop(name)
+        chain[name] = q
+    text = ",\n".join(f"{n} AS ({q})" for n, q in chain.items())
     tail = f",\n{extra}" if extra else ""
-    return f"WITH RECURSIVE {oracle_ctes()},\n{chain}{tail}\n{select}"
+    return f"WITH RECURSIVE {oracle_ctes()},\n{text}{tail}\n{select}"

@@ -1,4 +1,4 @@
-"""Queries that run as streams to the end of their input."""
+"""Queries that run as streams to the end of their input, but for those of the live engine."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from spoorline.registry.oracle import with_ctes
 from spoorline.session import fresh_path
 from spoorline.sources import logs, tables
 from spoorline.streaming import windows
-from spoorline.streaming.engine import LiveEngine, raw_stream
+from spoorline.streaming.live import raw_stream
 
 QUERIES, ORACLE = {}, {}
 
@@ -25,59 +25,6 @@ def query(name, sql=None, plain=False):
     return add
 
 
-def _live(spark, d, theta: float = 0.55) -> LiveEngine:
-    """The derived logs followed as growing files, then drained."""
-    root = fresh_path(spark, "live")
-    logs.write_capture(tables.capture(spark, d), f"{root}/in")
-    engine = LiveEngine(spark, f"{root}/out", theta, idle_s=1e9)
-    stream = raw_stream(spark, f"{root}/in/kernel/*", f"{root}/in/audit/*")
-    run = engine.start(stream, f"{root}/checkpoint", availableNow=True)
-    run.awaitTermination()
-    if run.exception():
-        raise run.exception()
-    engine.finish(run.lastProgress["batchId"] + 1 if run.lastProgress else 1)
-    return engine
-
-
-_ANCHORED = "CAST(regexp_extract(run_id, '([0-9]+)', 1) AS BIGINT) % 7 <> 3"
-
-
-@query(
-    "r01_r05_stream_attribution",
-    f"SELECT run_id, session_key, source, count(*) AS events, round(max(timestamp_unix), 6) AS last_ts FROM slog "
-    f"WHERE {_ANCHORED} OR source = 'postgres' GROUP BY 1, 2, 3",
-)
-def r05(spark, d):
-    """Followed logs give the attribution of a full replay.
-
-    Runs without a start mark have no kernel clock while they run: their audit events count.
-    """
-    rows = _live(spark, d).table("attributed")
-    return rows.groupBy(*SESSION, "source").agg(
-        F.count(F.lit(1)).alias("events"), F.round(F.max("timestamp_unix"), 6).alias("last_ts")
-    )
-
-
-@query(
-    "r06_r12_final_scores",
-    "SELECT s.run_id, s.session_key, s.n_events, b.scenario, round(0.75::DOUBLE * COALESCE(b.rule_score, 0), 9) AS risk FROM "
-    f"(SELECT run_id, session_key, count(*) AS n_events FROM slog WHERE {_ANCHORED} GROUP BY 1, 2) s "
-    "LEFT JOIN best b ON b.run_id = s.run_id AND b.session_key = s.session_key",
-)
-def r12(spark, d):
-    """The final score of every session after the drain equals the batch score."""
-    scores = _live(spark, d).table("scores").where(_ANCHORED)
-    return scores.select(*SESSION, "n_events", "scenario", F.round("risk", 9).alias("risk"))
-
-
-@query("r11_s14_alerts")
-def r11(spark, d):
-    """Each session alerts once, at the first score that reaches the threshold."""
-    return _live(spark, d, 0.4).table("alerts").select(
-        *SESSION, F.round("risk", 6).alias("risk"), "scenario", "n_events", "message"
-    )
-
-
 @query(
     "r02_malformed_lines",
     "SELECT 'run_' || conv_id % 3 AS run_id, count(*) FILTER (role = 'user') AS malformed, count(*) FILTER (role <> 'user') AS events "
