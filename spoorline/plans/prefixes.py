@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoorline.functions.ordered import SEG_ROWS, Fold, running
+from spoorline.functions.ordered import SEG_ROWS, Fold, number_rows, running
+from spoorline.functions.sqlfacts import FACTS
 from spoorline.operators.attribution import SESSION
+from spoorline.operators.behaviors import RULES, match_behaviors
+from spoorline.operators.graph import ATTRS, EDGE, NODE, SessionGraphs
+from spoorline.session import materialize
 
 
 def statement_ordinal(log: DataFrame, bound: int | None = None, seg_rows: int = SEG_ROWS) -> DataFrame:
@@ -66,6 +72,136 @@ def prefix_corpus(
     )
 
 
-def prefix_events(numbered: DataFrame, cuts: DataFrame) -> DataFrame:
-    """The events of each prefix, for building its graph."""
-    return numbered.join(cuts.select(*SESSION, "k"), SESSION).where("stmt_no <= k")
+@dataclass(frozen=True)
+class PrefixGraphs:
+    """Tables of all prefixes of all sessions; ``k`` is null for the whole session."""
+
+    cuts: DataFrame  # session, k, statements, label, prefix_label
+    nodes: DataFrame
+    edges: DataFrame
+    behaviors: DataFrame
+
+
+def session_cuts(
+    log: DataFrame,
+    labels: DataFrame,
+    max_prefixes: int = 3,
+    padding: int = 2,
+    full: bool = True,
+    bound: int | None = None,
+    seg_rows: int = SEG_ROWS,
+) -> DataFrame:
+    """Per session: its cuts in order, as arrays ``ks`` and ``ends`` (first position outside).
+
+    At most ``max_prefixes`` cuts a session, and the whole session (k null) if ``full``.
+    """
+    begins = (F.col("source") == "postgres") & ~F.col("event_type").eqNullSafe("ExecutorEnd")
+    starts = statement_ordinal(log, bound, seg_rows).where(begins).select(*SESSION, "stmt_no", "seq")
+    total = log.groupBy(*SESSION).agg(F.count_if(begins).alias("statements")).join(labels, SESSION)
+    points = total.withColumn("ks", prefix_points(F.col("statements").cast("int"), max_prefixes, padding))
+    # the position of statement k + 1 ends prefix k
+    next_ = points.select(*SESSION, F.posexplode("ks").alias("at", "k")).withColumn("stmt_no", F.col("k") + 1)
+    ends = (
+        next_.join(starts, [*SESSION, "stmt_no"])
+        .groupBy(*SESSION)
+        .agg(F.array_sort(F.collect_list(F.struct("at", "seq"))).alias("_e"))
+    )
+    none = F.array().cast("array<bigint>")
+    out = points.join(ends, SESSION, "left").select(
+        *SESSION, "statements", "label", F.col("ks").cast("array<int>").alias("ks"),
+        F.coalesce(F.transform("_e", lambda e: e["seq"]), none).alias("ends"),
+    )
+    if full:
+        last = F.array(F.lit((1 << 63) - 1))
+        out = out.withColumns(
+            {"ks": F.concat("ks", F.array(F.lit(None).cast("int"))), "ends": F.concat("ends", last)}
+        )
+    return out.where(F.size("ks") > 0)
+
+
+def _versions(rows: DataFrame, key: list[str], cuts: DataFrame, first: dict, running_: dict) -> DataFrame:
+    """Per key and cut: ``first`` of the key's earliest cut, and the ``running_`` aggregates up to the cut.
+
+    ``rows`` have `seq`. They are aggregated per key and the first cut that holds them; a window
+    over these few rows runs on, and each stands for the cuts up to the next.
+    """
+    held = (
+        rows.join(cuts.select(*SESSION, "ends"), SESSION)
+        .withColumn("_at", F.size(F.filter("ends", lambda e: e <= F.col("seq"))))
+        .where(F.col("_at") < F.size("ends"))
+    )
+    kinds = {"sum": F.sum, "min": F.min, "max": F.max}
+    per = held.groupBy(*key, "_at", F.size("ends").alias("_n")).agg(
+        *[kinds[k](e).alias(n) for n, (k, e) in running_.items()], *[e.alias(n) for n, e in first.items()]
+    )
+    upto = Window.partitionBy(*key).orderBy("_at")
+    grown = per.select(
+        *key,
+        *[kinds[k](n).over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n, (k, _) in running_.items()],
+        *[F.first(n).over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in first],
+        "_at",
+        (F.coalesce(F.lead("_at").over(upto), F.col("_n")) - 1).alias("_last"),
+    )
+    grown = grown.withColumn("_cut", F.explode(F.sequence("_at", "_last"))).drop("_at", "_last")
+    return grown.join(cuts.select(*SESSION, "ks"), SESSION).withColumn("k", F.get("ks", F.col("_cut"))).drop("ks")
+
+
+def prefix_graphs(
+    graphs: SessionGraphs,
+    cuts: DataFrame,
+    rules=RULES,
+    padding: int = 2,
+    seg_rows: int = SEG_ROWS,
+) -> PrefixGraphs:
+    """Graphs and behaviors of all ``cuts`` (`session_cuts`) from one pass over the mentions.
+
+    What an event means depends on earlier events only, so it is the same in every prefix that
+    holds it. A node has the attributes of its first event in all of them, a repeat time and count
+    per cut; an edge exists from a cut on.
+    """
+    cuts = materialize(cuts, "prefix-cuts")
+    named = cuts.select(*SESSION, "statements", "label", F.explode("ks").alias("k"))
+    y = F.when(F.col("k") <= padding, F.lit("Benign")).otherwise(F.col("label"))
+    first_event = F.min("seq")
+    nodes = _versions(
+        graphs.mentions.select(*NODE, "seq", "timestamp_unix"),
+        NODE,
+        cuts,
+        {"first_seq": first_event},
+        {"last_ts": ("max", F.col("timestamp_unix")), "mentions": ("sum", F.lit(1))},
+    )
+    repeat = (F.col("mentions") > 1) & (F.col("node_type") != "Session")
+    attributes = graphs.events.select(*SESSION, F.col("seq").alias("first_seq"), "timestamp_unix", *ATTRS, *FACTS)
+    nodes = materialize(
+        nodes.withColumn("last_seen", F.when(repeat, F.col("last_ts")))
+        .drop("last_ts")
+        .join(attributes, [*SESSION, "first_seq"])
+        .drop("first_seq"),
+        "prefix-nodes",
+    )
+    edges = materialize(
+        _versions(
+            graphs.links,
+            EDGE,
+            cuts,
+            {},
+            {
+                "count": ("sum", F.lit(1)),
+                "first_seen": ("min", F.col("timestamp_unix")),
+                "last_seen": ("max", F.col("timestamp_unix")),
+            },
+        ),
+        "prefix-edges",
+    )
+    # texts and times of nodes never change: behaviors come from the edges of the widest cut once,
+    # and stand in every cut that has the edge
+    since = edges.groupBy(*EDGE).agg(F.min("_cut").alias("_since"))
+    found = match_behaviors(graphs.nodes, since, rules)
+    held = found.join(since, EDGE).join(cuts.select(*SESSION, "ks"), SESSION)
+    each = held.select("*", F.explode(F.sequence("_since", F.size("ks") - 1)).alias("_cut"))
+    each = each.withColumn("k", F.get("ks", F.col("_cut")))
+    order = ["timestamp_unix", "rule_order", "src_type", "src_key", "dst_key"]
+    ordered, _ = number_rows(each.drop("ks", "_since"), [*SESSION, "_cut"], order, "chain_no", seg_rows)
+    return PrefixGraphs(
+        named.withColumn("prefix_label", y), nodes.drop("_cut"), edges.drop("_cut"), ordered.drop("_cut")
+    )

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spoorline.functions.text import mask_literals
+from spoorline.operators import graph
 from spoorline.operators.attribution import SESSION
 from spoorline.plans import leakage, live, prefixes, quality, session_graphs, splits
-from spoorline.registry.oracle import with_ctes
+from spoorline.registry.oracle import CTES, chain_ctes, with_ctes
 from spoorline.registry.telemetry import _MASK, _PLACED, _graph_files, _prov, _statements, fingerprint_sql
 from spoorline.sources import logs, tables
 
@@ -412,13 +413,16 @@ def w03(spark, d):
     return prefixes.statement_ordinal(log, bound).select(*SESSION, "seq", "stmt_no")
 
 
-_CUTS = """ord AS (SELECT run_id, session_key, seq, sum(CASE WHEN source = 'postgres' AND event_type IS DISTINCT FROM 'ExecutorEnd' THEN 1 ELSE 0 END)
-  OVER (PARTITION BY run_id, session_key ORDER BY seq) AS stmt_no FROM slog),
-sizes AS (SELECT run_id, session_key, max(stmt_no)::BIGINT AS n FROM ord GROUP BY 1, 2),
-slots AS (SELECT *, greatest(n - 3, 0) AS rest, 5 - least(2, greatest(n - 1, 0)) AS room FROM sizes),
-cuts AS (SELECT run_id, session_key, n, unnest([1, 2]) AS k FROM slots
+_CUT_TABLES = {
+    "ord": """SELECT run_id, session_key, seq, sum(CASE WHEN source = 'postgres' AND event_type IS DISTINCT FROM 'ExecutorEnd' THEN 1 ELSE 0 END)
+  OVER (PARTITION BY run_id, session_key ORDER BY seq) AS stmt_no FROM slog""",
+    "sizes": "SELECT run_id, session_key, max(stmt_no)::BIGINT AS n FROM ord GROUP BY 1, 2",
+    "slots": "SELECT *, greatest(n - 3, 0) AS rest, 5 - least(2, greatest(n - 1, 0)) AS room FROM sizes",
+    "cuts": """SELECT run_id, session_key, n, unnest([1, 2]) AS k FROM slots
  UNION SELECT run_id, session_key, n, 3 + least(rest - 1, floor(i * (rest::DOUBLE / room) + (rest::DOUBLE / room) / 2)::BIGINT)
-  FROM slots, (SELECT unnest(range(5)) AS i) WHERE rest > 0 AND i < room)"""
+  FROM slots, (SELECT unnest(range(5)) AS i) WHERE rest > 0 AND i < room""",
+}
+_CUTS = ",\n".join(f"{n} AS ({q})" for n, q in _CUT_TABLES.items())
 
 
 @query(
@@ -437,6 +441,77 @@ def w04(spark, d):
     return out.select(*SESSION, "k", "statements", "events", "prefix_label")
 
 
+_PREFIX = {
+    "slog0": CTES["slog"],
+    **_CUT_TABLES,
+    "ord": _CUT_TABLES["ord"] + "0",
+    "wanted": """SELECT c.run_id, c.session_key, c.k FROM cuts c WHERE c.k < c.n UNION ALL SELECT run_id, session_key, NULL FROM sizes""",
+    "stops": """SELECT w.run_id, w.session_key, w.k, COALESCE(min(o.seq) FILTER (o.stmt_no > w.k), 9223372036854775807) AS stop FROM wanted w
+ JOIN labels_of_sessions l ON l.run_id = w.run_id AND l.session_id = w.session_key
+ LEFT JOIN ord o ON o.run_id = w.run_id AND o.session_key = w.session_key GROUP BY 1, 2, 3""",
+    "slog": """SELECT s.* REPLACE (s.run_id || '#' || COALESCE(t.k::VARCHAR, '') AS run_id) FROM slog0 s
+ JOIN stops t ON t.run_id = s.run_id AND t.session_key = s.session_key AND s.seq < t.stop""",
+}
+_AT_K = "split_part(run_id, '#', 1) AS run_id, session_key, COALESCE(try_cast(split_part(run_id, '#', 2) AS INT), 0) AS k"
+
+
+def _prefixes(spark, d) -> prefixes.PrefixGraphs:
+    prov = session_graphs.provenance(tables.capture(spark, d))
+    labels = tables.session_labels(spark, d).select(
+        "run_id", F.col("session_id").alias("session_key"), F.trim("label").alias("label")
+    )
+    cuts = prefixes.session_cuts(prov.log, labels, 5, 2, bound=prov.largest_session)
+    return prefixes.prefix_graphs(prov.graphs, cuts)
+
+
+def _cut():
+    """0 stands for the whole session."""
+    return F.coalesce("k", F.lit(0)).alias("k")
+
+
+def prefix_query(name, select):
+    def add(fn):
+        QUERIES[name] = fn
+        ORACLE[name] = chain_ctes(select, _PREFIX)
+        return fn
+
+    return add
+
+
+@prefix_query(
+    "w05_prefix_nodes",
+    f"SELECT {_AT_K}, node_type, node_key, round(timestamp_unix, 6) AS ts, round(last_seen, 6) AS last_seen, mentions, query, comm, arg FROM nodes",
+)
+def w05_nodes(spark, d):
+    """Nodes of every prefix of every labelled session, and of the whole (k = 0)."""
+    nodes = _prefixes(spark, d).nodes
+    return nodes.select(
+        *SESSION, _cut(), "node_type", "node_key", F.round("timestamp_unix", 6).alias("ts"),
+        F.round("last_seen", 6).alias("last_seen"), "mentions", "query", "comm", "arg",
+    )
+
+
+@prefix_query(
+    "w05_prefix_edges",
+    f"SELECT {_AT_K}, src_type, src_key, rel, dst_type, dst_key, \"count\" AS n, round(first_seen, 6) AS first_seen, round(last_seen, 6) AS last_seen FROM edges",
+)
+def w05_edges(spark, d):
+    """Edges of every prefix, with counts and times up to its cut."""
+    edges = _prefixes(spark, d).edges
+    times = [F.round(c, 6).alias(c) for c in ("first_seen", "last_seen")]
+    return edges.select(*SESSION, _cut(), *graph.EDGE[2:], F.col("count").alias("n"), *times)
+
+
+@prefix_query(
+    "w05_prefix_behaviors",
+    f"SELECT {_AT_K}, behavior, src_key, dst_key, chain_no, confidence, s_temp FROM found",
+)
+def w05_behaviors(spark, d):
+    """Behaviors of every prefix in their order."""
+    found = _prefixes(spark, d).behaviors
+    return found.select(*SESSION, _cut(), "behavior", "src_key", "dst_key", "chain_no", "confidence", "s_temp")
+
+
 # --- scenario specs, one per order; siblings of a pair are in one run
 
 _SPEC_BASE = """spec AS (SELECT o_orderkey AS k, o_custkey AS c, 'run_' || ((o_orderkey // 8) % 40) AS run_id, 'scn_' || o_orderkey AS scenario_id,
@@ -614,7 +689,9 @@ def d08(spark, d):
  UNION ALL SELECT 'process_tree_shape', COALESCE(comm || '<', ''), class, 1 FROM spec UNION ALL SELECT 'process_tree_shape', '', class, 1 FROM spec
  UNION ALL SELECT 'connects_to_destination', COALESCE(dest, ''), class, 1 FROM spec UNION ALL SELECT 'connects_to_destination', '', class, 1 FROM spec
  UNION ALL SELECT 'syscall_sequence', array_to_string(list_filter([CASE WHEN comm IS NOT NULL THEN 'execve' END, CASE WHEN dest IS NOT NULL THEN 'connect' END, CASE WHEN with_file THEN 'unlink' END], lambda x: x IS NOT NULL), ' '), class, 1 FROM spec
- UNION ALL SELECT 'syscall_sequence', '', class, 1 FROM spec)
+ UNION ALL SELECT 'syscall_sequence', '', class, 1 FROM spec
+ UNION ALL SELECT 'sql_content', concat(first_sql, chr(10), CASE WHEN comm IS NULL THEN 'SELECT 2' END, CASE WHEN dest IS NOT NULL THEN chr(10) END, CASE WHEN with_file THEN chr(10) END), class, 1 FROM spec
+ UNION ALL SELECT 'sql_content', 'SELECT 3', class, 1 FROM spec)
  SELECT dimension, "value", COALESCE(sum(n) FILTER (class = 'benign'), 0)::BIGINT AS benign, COALESCE(sum(n) FILTER (class = 'malicious'), 0)::BIGINT AS malicious,
  count(DISTINCT class) = 1 AS predicts FROM v GROUP BY 1, 2""",
     plain=True,
