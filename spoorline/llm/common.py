@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names hold."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     """Parts of at most ``rows`` rows and about ``SLICE_BYTES`` bytes."""
     for at in range(0, batch.num_rows, rows):
@@ -71,7 +77,5 @@ BROADCAST_ROWS = 1_000_000
 
 def sized_broadcast(ids: DataFrame) -> DataFrame:
     """``ids`` (a few numbers a row) with a broadcast hint if a count proves that it is small."""
-    from pyspark.sql import functions as F
-
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return F.broadcast(ids) if small else ids

@@ -17,7 +17,9 @@ to one row and joined back, where the adaptive join can split it; no pairs of oc
 made, and whole texts are shuffled once, to meet what is deleted from them.
 
 Null texts stay null, empty ones empty. Rows of equal id have equal positions, so repeated rows
-keep the same lines. A null id counts as the smallest. Other columns are kept as they are. An empty
+keep the same lines. Null ids count as the smallest, in the order of a sum of their texts. Lines are
+compared as a whole: a passage that begins or ends inside a sentence loses the sentences between
+only, and one without line breaks or sentence ends is found as a whole line or not at all. Other columns are kept as they are. An empty
 table gives an empty result.
 """
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spoorline.llm.common import whole_row
 from spoorline.llm.quality_rules import let
 from spoorline.session import materialize
 
@@ -226,10 +229,11 @@ def without(text: Column, ranges: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id") -> DataFrame:
     """Each row as ``_doc``, with ``_kept``, what is left of its text, and ``_gone``, lines deleted."""
-    rows = docs.select(F.struct(*docs.columns).alias("_doc")).select(
+    text_sum = F.crc32(F.coalesce(F.col("_doc.text"), F.lit("")).cast("binary"))
+    rows = docs.select(whole_row(docs).alias("_doc")).select(
         "_doc",
-        F.coalesce(F.col(f"_doc.{key}").cast("bigint"), F.lit(_NULL_ID)).alias("_id"),
-        F.crc32(F.coalesce(F.col("_doc.text"), F.lit("")).cast("binary")).alias("_sum"),
+        F.coalesce(F.col(f"_doc.{key}").cast("bigint"), F.lit(_NULL_ID) + text_sum).alias("_id"),
+        text_sum.alias("_sum"),
     )
     found = repeats(rows.select("_id", "_sum", F.col("_doc.text").alias("text")), min_words)
     found = materialize(found, "repeats")

@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoorline.llm.common import whole_row
+
 BUCKETS = 8192
 NGRAM = 2
 #: Added to the count of every bucket, as a share of the mean count.
@@ -169,7 +171,7 @@ def judge(
     weights = log_ratios(docs, trusted, n, size, key).select("_weights", F.lit(0).alias("_one"))
     text = F.col("_doc.text")
     # one row of weights meets each document by a constant key
-    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.lit(0).alias("_one"))
+    packed = docs.select(whole_row(docs).alias("_doc"), F.lit(0).alias("_one"))
     joined = packed.join(F.broadcast(weights), "_one")
     score = let(
         buckets(text, n, size),

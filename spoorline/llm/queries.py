@@ -165,43 +165,39 @@ QUERIES = {
 
 OP10_SQL = r"""
 WITH docs AS (
-    SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?] |\n)', '\1' || chr(1), 'g'), chr(1)) AS parts
+    SELECT doc_id, row_number() OVER () AS rid,
+        string_split(regexp_replace(coalesce(text, ''), '([.!?] |\n)', '\1' || chr(1), 'g'), chr(1)) AS parts
     FROM documents
 ), all_lines AS (
-    SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS line FROM docs
+    SELECT doc_id, rid, unnest(parts) AS raw, unnest(range(len(parts))) AS line FROM docs
 ), lines AS (
     SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM all_lines
-), full_lines AS (
-    SELECT doc_id, line, t, len(regexp_split_to_array(t, '[\x20\x09-\x0D]+')) AS words,
-        lead(t) OVER w AS next_t, lead(line) OVER w AS next_line
+), counted AS (
+    SELECT doc_id, rid, line, t, len(regexp_split_to_array(t, '[\x20\x09-\x0D]+')) AS words,
+        row_number() OVER (PARTITION BY rid ORDER BY line) AS n
     FROM lines WHERE t <> ''
-    WINDOW w AS (PARTITION BY doc_id ORDER BY line)
-), windows AS (
-    SELECT *, row_number() OVER (PARTITION BY t, next_t ORDER BY doc_id, line) > 1 AS again
-    FROM full_lines WHERE next_t IS NOT NULL
-), starts AS (
-    SELECT *, coalesce(lag(next_line) OVER (PARTITION BY doc_id ORDER BY line) <> line, true) AS new
-    FROM windows WHERE again
-), numbered AS (
-    SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY line) AS run FROM starts
-), ends AS (
-    SELECT doc_id, run, min(line) AS a, max(next_line) AS b FROM numbered GROUP BY ALL
+), full_lines AS (
+    SELECT *, sum(words) OVER (PARTITION BY rid ORDER BY line) AS upto FROM counted
+), near AS (
+    SELECT x.rid, x.n AS a, y.n AS b FROM full_lines x JOIN full_lines y
+    ON x.rid = y.rid AND y.n BETWEEN x.n AND x.n + 24 AND y.upto - x.upto + x.words >= 25
 ), runs AS (
-    SELECT e.doc_id, a, b FROM ends e JOIN full_lines l ON e.doc_id = l.doc_id AND l.line BETWEEN a AND b
-    GROUP BY ALL HAVING sum(l.words) >= 25
-), singles AS (
-    SELECT doc_id, line FROM full_lines WHERE words >= 25
-    QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, line) > 1
+    SELECT rid, a, min(b) AS b FROM near GROUP BY rid, a UNION SELECT rid, max(a), b FROM near GROUP BY rid, b
+), texts AS (
+    SELECT l.doc_id, r.rid, min(l.line) AS from_line, max(l.line) AS to_line, string_agg(l.t, chr(10) ORDER BY l.n) AS run
+    FROM runs r JOIN full_lines l ON l.rid = r.rid AND l.n BETWEEN r.a AND r.b GROUP BY l.doc_id, r.rid, r.a, r.b
+), later AS (
+    SELECT rid, from_line, to_line FROM texts
+    QUALIFY rank() OVER (PARTITION BY run ORDER BY doc_id, from_line) > 1
 ), gone AS (
-    SELECT l.doc_id, l.line FROM lines l JOIN runs r ON l.doc_id = r.doc_id AND l.line BETWEEN a AND b
-    UNION SELECT doc_id, line FROM singles
+    SELECT DISTINCT l.rid, l.line FROM lines l JOIN later g ON l.rid = g.rid AND l.line BETWEEN from_line AND to_line
 )
 SELECT l.doc_id,
     count(g.line) AS n_gone,
     length(coalesce(string_agg(raw, '' ORDER BY l.line) FILTER (g.line IS NULL), '')) AS kept_chars,
     md5(coalesce(string_agg(raw, '' ORDER BY l.line) FILTER (g.line IS NULL), '')) AS kept_md5
-FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line
-GROUP BY l.doc_id
+FROM lines l LEFT JOIN gone g ON l.rid = g.rid AND l.line = g.line
+GROUP BY l.doc_id, l.rid
 """
 
 OP13_SQL = r"""

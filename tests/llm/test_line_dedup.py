@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 from spoorline.llm import line_dedup as D
 
@@ -9,30 +10,30 @@ ENDS = re.compile(r"(?<=\n)|(?<=[.!?] )")
 
 
 def brute(rows, min_words=D.MIN_WORDS):
-    places, parsed = {}, []
+    """What is left of each text without the runs of enough words that stood as a whole at an earlier place."""
+    parsed, first = [], {}
     for i, text in rows:
         raw = ENDS.split(text) if text is not None else []
         full = [(n, x.strip(" \t\n\x0b\x0c\r")) for n, x in enumerate(raw)]
-        parsed.append((i, raw, [(n, t, len(re.split(r"[\x20\x09-\x0D]+", t))) for n, t in full if t]))
-    key = lambda i: (-1, 0) if i is None else (0, i)
-    for i, _, lines in parsed:
-        for (n, t, w), nxt in zip(lines, [*lines[1:], None], strict=False):
-            for k in ([(t, nxt[1])] if nxt else []) + ([(t,)] if w >= min_words else []):
-                places[k] = min(places.get(k, (key(i), n)), (key(i), n))
+        lines = [(n, t, len(re.split(r"[\x20\x09-\x0D]+", t))) for n, t in full if t]
+        # null ids come first, in the order of their texts' sums
+        id_ = (0, zlib.crc32((text or "").encode())) if i is None else (1, i)
+        runs = []
+        for a in range(len(lines)):
+            words, run = 0, []
+            for n, t, w in lines[a:]:
+                words, run = words + w, [*run, t]
+                if words >= min_words:
+                    runs.append((tuple(run), (id_, lines[a][0]), n))
+        for run, place, _ in runs:
+            first[run] = min(first.get(run, place), place)
+        parsed.append((raw, runs))
     out = []
-    for i, raw, lines in parsed:
-        again = [bool(b) and places[a[1], b[1]] < (key(i), a[0]) for a, b in zip(lines, [*lines[1:], None], strict=False)]
-        gone, k = set(), 0
-        while k < len(lines):
-            if again[k]:
-                end = k
-                while again[end]:
-                    end += 1
-                if sum(x[2] for x in lines[k : end + 1]) >= min_words:
-                    gone.update(range(lines[k][0], lines[end][0] + 1))
-                k = end
-            k += 1
-        gone |= {n for n, t, w in lines if w >= min_words and places[t,] < (key(i), n)}
+    for raw, runs in parsed:
+        gone = set()
+        for run, place, last in runs:
+            if first[run] < place:
+                gone.update(range(place[1], last + 1))
         out.append("".join(x for n, x in enumerate(raw) if n not in gone) if raw else None)
     return out
 
@@ -66,6 +67,19 @@ def test_equals_the_plain_computation(spark):
         assert want[501] == "before. " and want[502] == "after"  # the earliest, of a null id, stays
 
 
+def test_texts_without_ids_have_places_of_their_own(spark):
+    line = "w " * 30
+    rows = [(None, f"{line}\nfirst"), (None, f"{line}\nsecond"), (1, line)]
+    df = spark.createDataFrame(rows, "doc_id bigint, `text` string")
+    got = sorted(r._kept for r in D.dedup_lines(df).select("_kept").collect())
+    assert got == sorted(brute(rows)) and sum(line in t for t in got) == 1
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "a b", 3)], "doc_id bigint, text string, `a.b` int")
+    assert D.dedup_lines(df).select("_doc.*").columns == df.columns
+
+
 def test_repeated_rows_keep_the_same_lines_and_empty_tables(spark):
     long = "w " * 30
     df = spark.createDataFrame([(1, long), (1, long), (2, long)], "doc_id bigint, text string")
@@ -74,25 +88,6 @@ def test_repeated_rows_keep_the_same_lines_and_empty_tables(spark):
     assert D.dedup_lines(df.limit(0)).count() == 0
 
 
-def every_run(rows, min_words=D.MIN_WORDS):
-    """Lines of all runs of enough words that occur as a whole at an earlier place."""
-    parsed = []
-    for i, text in sorted(rows, key=lambda r: r[0]):
-        raw = ENDS.split(text)
-        parsed.append((i, raw, [(n, x.strip()) for n, x in enumerate(raw) if x.strip()]))
-    first, out = {}, {}
-    for i, raw, lines in parsed:
-        gone = set()
-        for a in range(len(lines)):
-            for b in range(a, len(lines)):
-                run = tuple(t for _, t in lines[a : b + 1])
-                if sum(len(t.split()) for t in run) >= min_words:
-                    if first.setdefault(run, (i, a)) < (i, a):
-                        gone.update(range(lines[a][0], lines[b][0] + 1))
-        out[i] = "".join(x for n, x in enumerate(raw) if n not in gone)
-    return out
-
-
 def test_only_runs_that_occurred_as_a_whole_go(spark):
     x1, x2, x3, x4 = (" ".join(f"{c}{i}" for i in range(9)) + ". " for c in "abcd")
     rows = [(1, x1 + x2), (2, x2 + x3), (3, x1 + x2 + x3)]  # 27 words, but never before
@@ -103,6 +98,6 @@ def test_only_runs_that_occurred_as_a_whole_go(spark):
     rows += [(10 + i, "".join(random.choice(short) + random.choice(["", "\n"]) for _ in range(random.randint(1, 12)))) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r._kept for r in D.dedup_lines(df).select("_doc.doc_id", D.F.col("_kept")).collect()}
-    want = every_run(rows)
+    want = dict(zip([i for i, _ in rows], brute(rows), strict=True))
     assert want[3] == rows[2][1] and want[4] == "" and want[5] == "new. " + x4
     assert got == want
