@@ -281,8 +281,10 @@ def _search_task(mean_length: float, count: int, k: int):
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query, doc_id, score, rank: the k documents with the highest scores for each query.
 
-    ``docs`` has doc_id and text, ``queries`` has query (not null, unique) and text.
+    ``docs`` has doc_id and text, ``queries`` has query (not null) and text. Rows of a query that is there
+    several times count once; if their texts differ, the smallest is asked.
     """
+    queries = queries.groupBy("query").agg(F.min("text").alias("text"))
     docs = docs.select("doc_id", "text")
     df = materialize(document_frequencies(docs), "frequencies")
     count = docs.count()

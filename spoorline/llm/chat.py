@@ -142,12 +142,14 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 def _digests(rows):
     previous, n = None, 0
-    for conv, _, formatted, start, end in rows:
+    for conv, number, formatted, start, end in rows:
         if (conv,) != previous:
             if previous is not None:
                 yield previous[0], n, whole.hexdigest(), chars, loss.hexdigest(), length
             previous, n, chars, length = (conv,), 0, 0, 0
             whole, loss = hashlib.sha256(), hashlib.sha256()
+        if number != n:
+            raise ValueError("the turns of a conversation have to follow each other")
         parsed = parse_turn(formatted)
         if parsed is None or parsed[4] != len(formatted):
             raise ValueError("formatted text is outside the grammar")
@@ -161,11 +163,14 @@ def _digests(rows):
         yield previous[0], n, whole.hexdigest(), chars, loss.hexdigest(), length
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, in_order: bool = False) -> DataFrame:
     """Digests of what the parser recovers from `format_turns`, per conversation.
 
-    Takes the rows as `format_turns` deals and sorts them, so no further shuffle is needed.
+    ``in_order`` takes the rows as `format_turns` deals and sorts them, within one plan, and saves
+    the shuffle. Stored turns come in any order. A missing turn is an error either way.
     """
+    if not in_order:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
     schema = (
         "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, "
         "loss_sha256 string, formatted_chars bigint"

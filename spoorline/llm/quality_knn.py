@@ -46,7 +46,7 @@ _RUNS = re.compile(r"(?P<A>[A-ZÀ-ÖØ-Þ]+)|(?P<a>[^\W\d_]+)|(?P<d>\d+)|(?P<s>(
 def shape_of(word: str) -> str:
     """Kinds of runs in a word: A, a, 0, and each symbol once for each run."""
     return "".join(
-        {"A": "A", "a": "a", "d": "0"}.get(m.lastgroup, m[0][:1]) for m in _RUNS.finditer(word[:64])
+        {"A": "A", "a": "a", "d": "0"}.get(m.lastgroup, m[0][:1]) for m in _RUNS.finditer(word)
     )
 
 
@@ -128,16 +128,20 @@ def fit(shares: np.ndarray, labels: np.ndarray) -> VoteModel | None:
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, per_label: int = PER_LABEL) -> DataFrame:
-    """At most ``per_label`` labelled texts of each label, in the order of a hash of the text."""
+    """The rows of at most ``per_label`` labelled texts of each label, in the order of a hash of the text.
+
+    A text counts once, however many rows have it; rows of one id and text are all there.
+    """
     known = labels.where(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).alias("_label"))
     keyed = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("_hash"))
-    marked = keyed.join(known, "doc_id")
+    texts = keyed.join(known, "doc_id").groupBy("_label", "_hash").agg(F.min("doc_id").alias("doc_id"))
     chosen = None
     for value in (0, 1):
-        part = marked.where(F.col("_label") == value).orderBy("_hash", "doc_id").limit(per_label)
+        part = texts.where(F.col("_label") == value).orderBy("_hash").limit(per_label)
         chosen = part if chosen is None else chosen.unionByName(part)
     # two limits bound this side, so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    return hashed.join(F.broadcast(chosen), ["doc_id", "_hash"])
 
 
 def train(
@@ -162,7 +166,8 @@ def train(
     chosen = sample(docs, labels, column, per_label)
     schema = "_hash bigint, _label int, at array<int>, share array<float>"
     got = map_rows(chosen.withColumn("_label", F.col("_label").cast("int")), make, schema, ["_hash", "_label", "text"])
-    rows = got.collect()
+    # one row a text: at most 2 * per_label
+    rows = got.groupBy("_hash", "_label").agg(F.first("at").alias("at"), F.first("share").alias("share")).collect()
     rows.sort(key=lambda r: (r[0], r[1]))
     shares = np.zeros((len(rows), DIMS), np.float32)
     for i, r in enumerate(rows):

@@ -71,7 +71,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoorline.llm.chat import format_turns, read_back, with_conflict
 
-    return read_back(format_turns(with_conflict(table(spark, sf_dir, "conversations"))))
+    return read_back(format_turns(with_conflict(table(spark, sf_dir, "conversations"))), in_order=True)
 
 
 def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -36,7 +37,8 @@ KINDS = ("assign", "access", "hex", "token", "ssh", "der", "pem")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 _ACCESS_LONG = re.compile(r"AKIA[A-Z0-9]{16,}")
 
-TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}")
+# possessive, and only at the start of a run: a long run without a dot is read once
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{16,}+")
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{4}){8,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?")
 HEX_ANY = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----((?:[^-]|-(?!----))*+)-----END \1-----")
@@ -182,14 +184,16 @@ def der_size(data: bytes) -> int:
 
 def ssh_size(data: bytes) -> int:
     """Bytes of the OpenSSH key at the start of ``data`` by its fields; 0 if none fits."""
-    if data.startswith(SSH_MAGIC):
+    head = data[:32]
+    private = head.startswith(SSH_MAGIC)
+    if private:
         at, fields = len(SSH_MAGIC), 3
     else:  # as many numbers behind the name as its kind has
-        at, fields = 0, next((n for x, n in zip(SSH_NAMES, (3, 2, 5, 3), strict=True) if data[4:].startswith(x)), 0)
+        at, fields = 0, next((n for x, n in zip(SSH_NAMES, (3, 2, 5, 3), strict=True) if head.startswith(x, 4)), 0)
     while fields:
         at += 4 + int.from_bytes(data[at : at + 4], "big")
         fields -= 1
-        if not fields and data.startswith(SSH_MAGIC):
+        if not fields and private:
             count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
             for _ in range(count + 1 if 0 < count < 1 << 16 else 0):
                 at += 4 + int.from_bytes(data[at : at + 4], "big")
@@ -200,19 +204,45 @@ def ssh_size(data: bytes) -> int:
     return at
 
 
+class _Decoded:
+    """Bytes of base64 characters from a place on, decoded only where they are asked for."""
+
+    def __init__(self, chars: str, at: int, url: bool):
+        self.chars, self.at, self.url = chars, at, url
+        self.size = (len(chars) - at) * 3 // 4
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        low, high = part.start or 0, self.size if part.stop is None else part.stop
+        high = min(high, low + 64)  # names and lengths; fields are skipped
+        if high <= low:
+            return b""
+        first = low // 3
+        chars = self.chars[self.at + 4 * first : self.at + 4 * -(-high // 3)]
+        return (unbase64(chars[: len(chars) - (len(chars) % 4 == 1)], self.url) or b"")[low - 3 * first : high - 3 * first]
+
+
 def wrapped_spans(text: str, url: bool) -> list[tuple[int, int, str]]:
     """Keys in base64 that may begin within a run, be wrapped, or lack the padding."""
     out = []
     for m in _WRAPPED[url].finditer(text):
         if not _KEY_START.search(m[0]):
             continue
-        places: list[int] = []  # of each character in the text
+        lines: list[str] = []
+        firsts: list[int] = []  # of each line: characters before it
+        begins: list[int] = []  # and its place in the text
         ends: dict[int, int] = {}  # characters up to a line's end: the end in the text
+        n = 0
         for part in _PART[url].finditer(text, m.start(), m.end()):
             if part[1]:
-                places += range(part.start(1), part.end(1))
-                ends[len(places)] = part.end()
-        chars = "".join(text[i] for i in places)
+                lines.append(part[1])
+                firsts.append(n)
+                begins.append(part.start(1))
+                n += len(part[1])
+                ends[n] = part.end()
+        chars = "".join(lines)
         done = 0
         for start in _KEY_START.finditer(chars):
             at = start.start()
@@ -221,12 +251,12 @@ def wrapped_spans(text: str, url: bool) -> list[tuple[int, int, str]]:
             if start[0] == "M":
                 size = der_size(unbase64(chars[at : at + 8], url) or b"")
             else:
-                tail = chars[at : len(chars) - ((len(chars) - at) % 4 == 1)]
-                size = ssh_size(unbase64(tail, url) or b"")
+                size = ssh_size(_Decoded(chars, at, url))
             stop = at + -(-size * 4 // 3)
             data = unbase64(chars[at:stop], url) if size and stop in ends else None
             if data and (is_der_key(data) or is_ssh_key(data)):
-                out.append((places[at], ends[stop], "der" if start[0] == "M" else "ssh"))
+                line = bisect_right(firsts, at) - 1
+                out.append((begins[line] + at - firsts[line], ends[stop], "der" if start[0] == "M" else "ssh"))
                 done = stop
     return out
 

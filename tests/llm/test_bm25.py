@@ -60,3 +60,10 @@ def test_empty_tables(spark):
     asked = spark.createDataFrame([(1, "a")], "query bigint, text string")
     assert S.search(none, asked).count() == 0
     assert S.search(none.union(spark.createDataFrame([(1, "a")], none.schema)), asked.limit(0)).count() == 0
+
+
+def test_repeated_queries_count_once(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 5} common") for i in range(40)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "w1 common")], "query bigint, text string")
+    once = sorted(tuple(r) for r in S.search(docs, asked).collect())
+    assert sorted(tuple(r) for r in S.search(docs, asked.union(asked)).collect()) == once

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import pytest
+
 from spoorline.llm import chat as C
 
 PARTS = ["[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<<ROLE:", "<</ROLE>>", C.JOINER, "[", "<", "/s>",
@@ -44,3 +46,15 @@ def test_digests(spark):
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert r.formatted_chars == sum(len(C.render_turn(*t)) for t in turns)
     assert C.format_turns(df.limit(0)).count() == 0
+
+
+def test_stored_turns_come_in_any_order(spark, tmp_path):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c} {t}") for c in range(5) for t in range(6)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    out = C.format_turns(df)
+    want = sorted(map(tuple, C.read_back(out, in_order=True).collect()))
+    out.repartition(7, "seq").write.parquet(f"{tmp_path}/turns")
+    stored = spark.read.parquet(f"{tmp_path}/turns")
+    assert sorted(map(tuple, C.read_back(stored).collect())) == want and len(want) == 5
+    with pytest.raises(Exception, match="follow each other"):
+        C.read_back(stored.where("seq <> 3")).collect()

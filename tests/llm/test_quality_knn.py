@@ -45,3 +45,11 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert Q.train(docs, labels.where("quality = 1")) is None
     assert {r.score for r in Q.score(docs, None).collect()} == {0.5}
     assert Q.score(docs.limit(0), model).count() == 0
+
+
+def test_repeated_rows_do_not_widen_the_sample(spark):
+    rows = [(1, "one text of it")] * 1000 + [(i, f"text number {i % 7}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    assert len(Q.train(docs, labels, per_label=5).labels) <= 10
+    assert Q.shape_of("a1" * 100) == "a0" * 100  # the whole word

@@ -102,3 +102,12 @@ URL = base64.urlsafe_b64encode(der(301)).decode().rstrip("=")
 def test_keys_as_they_stand_in_files(text, kind, secret):
     assert kind in {k for *_, k in S.structured_spans(text)}
     assert secret not in S.redact_text(text)
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    for text in ("a" * 1_000_000, "AAAAB3" * 170_000, "MIIE" * 250_000, ("x" * 8 + ".") * 100_000):
+        began = time.process_time()
+        S.structured_spans(text)
+        assert time.process_time() - began < 5
