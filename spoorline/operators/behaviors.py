@@ -138,9 +138,12 @@ def match_behaviors(
     nodes: DataFrame, edges: DataFrame, rules=RULES, min_confidence: float = 0.0
 ) -> DataFrame:
     """One row per rule and matching edge, with its scores."""
-    pairs = evidence_pairs(nodes, edges, rules).withColumn(
-        "_words", words(F.concat_ws(" ", "src_text", "dst_text"))
-    )
+    return match_pairs(evidence_pairs(nodes, edges, rules), rules, min_confidence)
+
+
+def match_pairs(pairs: DataFrame, rules=RULES, min_confidence: float = 0.0) -> DataFrame:
+    """The same over edges with text and time of both ends; other columns stay."""
+    pairs = pairs.withColumn("_words", words(F.concat_ws(" ", "src_text", "dst_text")))
     hits = []
     for order, r in enumerate(rules):
         sem = cosine(F.col("_words"), r.keywords)

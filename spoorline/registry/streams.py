@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spoorline.operators.attribution import SESSION
-from spoorline.plans import session_graphs
-from spoorline.registry.oracle import with_ctes
+from spoorline.plans import session_graphs, ticks
+from spoorline.registry.oracle import CTES, chain_ctes, with_ctes
 from spoorline.session import fresh_path
 from spoorline.sources import logs, tables
 from spoorline.streaming import windows
@@ -111,3 +111,32 @@ def r13(spark, d):
     events, _, log, *_ = session_graphs.session_log(tables.capture(spark, d))
     start = events.groupBy("run_id").agg(F.min("timestamp_unix").alias("start_ts"))
     return windows.tick_activity(log, SESSION, "timestamp_unix", 2.0, start)
+
+
+_TICKED = {
+    "slog0": CTES["slog"],
+    "shown": """SELECT s.run_id, s.session_key, s.seq, floor((m.timestamp_unix - t.t0) / 2.0::DOUBLE)::BIGINT + 1 AS tick FROM slog0 s
+ JOIN log m ON m.run_id = s.run_id AND m.event_id = s.resolved_at
+ JOIN (SELECT run_id, min(timestamp_unix) AS t0 FROM log GROUP BY 1) t ON t.run_id = s.run_id""",
+    "slog": """SELECT s.* REPLACE (s.run_id || '#' || k.tick AS run_id) FROM slog0 s
+ JOIN shown v ON v.run_id = s.run_id AND v.session_key = s.session_key AND v.seq = s.seq
+ JOIN (SELECT DISTINCT run_id, session_key, tick FROM shown) k ON k.run_id = s.run_id AND k.session_key = s.session_key AND v.tick <= k.tick""",
+}
+
+
+def r13_risks(spark, d):
+    """Risk of every session at each tick of a replay at which it has new events."""
+    prov = session_graphs.provenance(tables.capture(spark, d))
+    nothing = spark.createDataFrame([], "run_id string, session_key long, gat_score double")
+    out = ticks.tick_risks(prov, nothing, 2.0)
+    return out.select(*SESSION, "tick", "n_events", "scenario", F.round("risk", 9).alias("risk"))
+
+
+QUERIES["r07_r13_tick_risks"] = r13_risks
+ORACLE["r07_r13_tick_risks"] = chain_ctes(
+    "SELECT split_part(s.run_id, '#', 1) AS run_id, s.session_key, split_part(s.run_id, '#', 2)::BIGINT AS tick, s.n_events, b.scenario, "
+    "round(0.75::DOUBLE * COALESCE(b.rule_score, 0), 9) AS risk FROM "
+    "(SELECT run_id, session_key, count(*) AS n_events FROM slog GROUP BY 1, 2) s "
+    "LEFT JOIN best b ON b.run_id = s.run_id AND b.session_key = s.session_key",
+    _TICKED,
+)
