@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spoorline.operators.attribution import SESSION
+from spoorline.operators.risk import best_chain, chain_scores
 from spoorline.plans import evaluation as E
-from spoorline.plans import live, splits
+from spoorline.plans import live, session_graphs, splits, training
+from spoorline.registry.oracle import with_ctes
 from spoorline.session import fresh_path
-from spoorline.sources import logs
+from spoorline.sources import logs, tables
 from spoorline.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -481,3 +484,113 @@ def s16_report(spark, d):
     report = _rounded(E.confusion(_verdicts(spark, d), THETA, ["template"]), *E.METRICS)
     logs.write_report(report, root)
     return spark.read.schema(report.schema).json(root)
+
+
+# --- models per fold and seed over the sessions of the derived logs
+
+_SEEDS = (0, 1, 2)
+_X = ("x1", "x2")
+
+
+def _session_rows(spark, d):
+    """Labelled sessions with two features of their graph and the score of their best chain."""
+    prov = session_graphs.provenance(tables.capture(spark, d))
+    found = session_graphs.session_behaviors(prov)
+    nodes = prov.graphs.nodes.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("_n"))
+    shown = found.found.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("_b"))
+    best = best_chain(chain_scores(found.found, bound=found.largest))
+    labels = tables.session_labels(spark, d).select(
+        "run_id", F.col("session_id").alias("session_key"), "template", live.binary_label(F.col("label")).alias("y")
+    )
+    rows = labels.join(nodes, SESSION).join(shown, SESSION, "left").join(best, SESSION, "left")
+    return rows.select(
+        *SESSION, "template", "y", F.coalesce("rule_score", F.lit(0.0)).alias("rule_score"),
+        F.log1p("_n").alias("x1"), F.log1p(F.coalesce("_b", F.lit(0))).alias("x2"),
+    )
+
+
+def _trained(spark, d):
+    rows = _session_rows(spark, d)
+    folds = splits.rotated_folds(splits.template_classes(rows).select("template", "y"))
+    return training.fold_scores(rows, folds, _X, _SEEDS, F.expr("(session_key * 31 + seed * 7) % 4 <> 0"))
+
+
+def _newton(steps: int = 10) -> dict[str, str]:
+    out = {"w0": "SELECT fold, seed, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM train GROUP BY 1, 2 HAVING min(y) < max(y)"}
+    for k in range(steps):
+        out[f"s{k}"] = f"""SELECT fold, seed, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c,
+ avg(p - y) AS g0, avg((p - y) * x1) + {training.L2} * any_value(b) AS g1, avg((p - y) * x2) + {training.L2} * any_value(c) AS g2,
+ avg(v) AS h00, avg(v * x1) AS h01, avg(v * x2) AS h02, avg(v * x1 * x1) + {training.L2} AS h11, avg(v * x1 * x2) AS h12, avg(v * x2 * x2) + {training.L2} AS h22
+ FROM (SELECT *, p * (1 - p) AS v FROM (SELECT t.*, a, b, c, 1 / (1 + exp(-(a + b * x1 + c * x2))) AS p FROM train t JOIN w{k} USING (fold, seed))) GROUP BY 1, 2"""
+        out[f"w{k + 1}"] = f"""SELECT fold, seed, a - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det AS a,
+ b - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det AS b,
+ c - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det AS c
+ FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM s{k})"""
+    out["weights"] = f"SELECT * FROM w{steps}"
+    return out
+
+
+_ROWS = {
+    "tpl": "SELECT template, max(y) AS y FROM feat GROUP BY 1",
+    "placed": "SELECT *, row_number() OVER (PARTITION BY y ORDER BY template) - 1 AS at, count(*) OVER (PARTITION BY y) AS n FROM tpl",
+    "folds": """SELECT f.template AS fold, p.template, CASE WHEN p.at = f.at % p.n THEN 'test' WHEN p.at = (f.at + 1) % p.n THEN 'val' ELSE 'train' END AS part
+ FROM placed f, placed p WHERE f.y = 1""",
+    "every": """SELECT r.*, f.fold, f.part, s.seed FROM feat r JOIN folds f ON f.template = r.template, (SELECT unnest([0, 1, 2]) AS seed) s""",
+    "train": "SELECT * FROM every WHERE part = 'train' AND (session_key * 31 + seed * 7) % 4 <> 0",
+}
+_FEAT = """SELECT l.run_id, l.session_id AS session_key, l.template, CASE WHEN lower(trim(l.label)) IN ('attack', 'malicious') THEN 1 ELSE 0 END AS y,
+ COALESCE(b.rule_score, 0) AS rule_score, ln(1 + n.n) AS x1, ln(1 + COALESCE(f.n, 0)) AS x2 FROM labels_of_sessions l
+ JOIN (SELECT run_id, session_key, count(*) AS n FROM nodes GROUP BY 1, 2) n ON n.run_id = l.run_id AND n.session_key = l.session_id
+ LEFT JOIN (SELECT run_id, session_key, count(*) AS n FROM found GROUP BY 1, 2) f ON f.run_id = l.run_id AND f.session_key = l.session_id
+ LEFT JOIN best b ON b.run_id = l.run_id AND b.session_key = l.session_id"""
+_JUDGED = {
+    "judged": """SELECT e.*, 1 / (1 + exp(-(a + b * x1 + c * x2))) AS gat, 1 - (1 - 0.75::DOUBLE * rule_score) * (1 - 0.75::DOUBLE / (1 + exp(-(a + b * x1 + c * x2)))) AS risk
+ FROM every e JOIN weights w USING (fold, seed) WHERE part <> 'train'""",
+    "tuned": f"""SELECT fold, seed, thetas[(len(thetas) + 1) // 2] AS theta FROM (
+ SELECT fold, seed, list(theta ORDER BY theta) AS thetas FROM (SELECT *, max(f1) OVER (PARTITION BY fold, seed) AS best FROM (
+ SELECT fold, seed, theta, round(2 * p * r / greatest(1e-9, p + r), 12) AS f1 FROM (SELECT fold, seed, theta, tp / greatest(1, tp + fp) AS p, tp / greatest(1, pos) AS r FROM (
+ SELECT fold, seed, theta, count(*) FILTER (y = 1 AND risk >= theta) AS tp, count(*) FILTER (y = 0 AND risk >= theta) AS fp, count(*) FILTER (y = 1) AS pos
+ FROM judged, (SELECT unnest({_tune}) AS theta) WHERE part = 'val' GROUP BY 1, 2, 3)))) WHERE f1 = best GROUP BY 1, 2)""",
+    "reports": _with_rates(
+        _cm("fold, seed, theta", theta="theta", source="(SELECT j.*, t.theta FROM judged j JOIN tuned t USING (fold, seed) WHERE part = 'test')"),
+        "fold, seed, theta",
+    ).replace(", 6) AS", ", 15) AS"),
+}
+_RATES = ("recall", "fpr", "precision", "f1")
+
+
+def _trained_query(name, select):
+    def add(fn):
+        QUERIES[name] = fn
+        parts = {"feat": _FEAT, **_ROWS, **_newton(), **_JUDGED}
+        ORACLE[name] = with_ctes(select, ",\n".join(f"{n} AS MATERIALIZED ({q})" for n, q in parts.items()))
+        return fn
+
+    return add
+
+
+@_trained_query("b09_fold_models", "SELECT fold, seed, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM weights")
+def b09_folds(spark, d):
+    """Weights of all models, one per fold and seed."""
+    weights, _ = _trained(spark, d)
+    return weights.select("fold", "seed", *[F.round(F.get("w", F.lit(i)), 6).alias(n) for i, n in enumerate("abc")])
+
+
+@_trained_query(
+    "a14_a15_trained_reports",
+    "SELECT fold, seed, theta, n, n_malicious, tp, fp, fn, tn, round(recall, 6) AS recall, round(fpr, 6) AS fpr FROM reports",
+)
+def a15_reports(spark, d):
+    """Report of every fold and seed: trained scores, fused, at the θ tuned on its validation rows."""
+    out = training.fold_reports(_trained(spark, d)[1], THETAS)
+    out = out.select(*training.MODEL, "theta", "n", "n_malicious", "tp", "fp", "fn", "tn", "recall", "fpr")
+    return _rounded(out, "recall", "fpr")
+
+
+@_trained_query(
+    "a15_trained_summary",
+    f"SELECT fold, count(*) AS seeds, {', '.join(_ms.format(k) for k in _RATES)} FROM reports GROUP BY 1",
+)
+def a15_trained(spark, d):
+    """Mean and deviation over the seeds of each fold, on trained scores."""
+    return E.fold_summary(training.fold_reports(_trained(spark, d)[1], THETAS), _RATES)

@@ -10,7 +10,8 @@ from spoorline.sources.tables import TABLES
 FOLDER = os.environ.get("SPOORLINE_TABLES", "/root/testdata/sf0.001")
 CHECKED = [
     "e01_access_then_transfer", "p03_statement_facts", "a09_confusion", "a14_tuned_theta",
-    "d01_family_disjoint_split", "j18_first_statement_leakage", "r08_idle_sessions", "s04_label_csv",
+    "d01_family_disjoint_split", "d09_dimension_predicts_class", "j18_first_statement_leakage", "r08_idle_sessions",
+    "s04_label_csv", "w05_prefix_behaviors",
 ]
 
 
