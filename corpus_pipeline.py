@@ -43,14 +43,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; its copies go."""
-    stays = (
-        near_duplicates(docs)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("_stays"))
-        .distinct()
-    )
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_stays"]), "left_semi")
+    """One row of each group of near duplicates, that of the smallest id; its copies go.
+
+    Rows are told apart by id and text, so rows of equal or no id are judged each by its own text. Of
+    rows equal in both one stays.
+    """
+    key = F.xxhash64("doc_id", "text")
+    keyed = docs.select(key.alias("doc_id"), "text", F.col("doc_id").alias("_id"))
+    members = materialize(near_duplicates(keyed.select("doc_id", "text")), "near-duplicates")
+    ids = keyed.select("doc_id", "_id")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "doc_id"))
+    heads = members.join(ids, "doc_id").groupBy("component_id").agg(first.alias("_f")).select(F.col("_f.doc_id").alias("_near_key"))
+    twice = members.groupBy(F.col("doc_id").alias("_near_key")).count().where("count > 1").select("_near_key")
+    kept = docs.withColumn("_near_key", key).join(heads, "_near_key", "left_semi")
+    once = kept.join(twice, "_near_key", "left_anti")
+    repeated = kept.join(twice, "_near_key", "left_semi").dropDuplicates(["_near_key"])
+    return once.unionByName(repeated).drop("_near_key")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
