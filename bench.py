@@ -21,7 +21,8 @@ HEADLINE = {
     "ranking": "a13_ranking",
     "threshold_sweep": "a14_threshold_sweep",
     "family_split": "d01_family_disjoint_split",
-    "spec_scan": "s09_spec_scan",
+    "tick_risks": "r07_r13_tick_risks",
+    "prefix_behaviors": "w05_prefix_behaviors",
 }
 
 

@@ -43,6 +43,38 @@ def match_counts(test: DataFrame, pool: DataFrame, key: str) -> DataFrame:
     )
 
 
+def match_tables(
+    sessions: DataFrame, keys: Sequence[str], pools: Mapping[str, Sequence[str]], test: str = "test"
+) -> DataFrame:
+    """`match_counts` of the ``test`` split for every key and pool of splits, in one pass.
+
+    Keys become rows; the index has one row per key and value, with the classes seen in each pool.
+    """
+    shown = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys])
+    long = sessions.select("template", "y", "split", F.inline(shown))
+    known = {p: F.when(F.col("split").isin(list(parts)), F.col("y")) for p, parts in pools.items()}
+    index = long.groupBy("key", "value").agg(
+        *[f(y).alias(f"{n}_{p}") for p, y in known.items() for n, f in (("lo", F.min), ("hi", F.max))]
+    )
+    seen = F.array(*[F.struct(F.lit(p).alias("pool"), F.col(f"lo_{p}").alias("lo"), F.col(f"hi_{p}").alias("hi")) for p in pools])
+    hits = long.where(F.col("split") == test).join(index, ["key", "value"], "left")
+    matched = F.col("lo").isNotNull()
+    conflict = matched & ((F.col("lo") != F.col("y")) | (F.col("hi") != F.col("y")))
+    every = ["key", "pool", "template"]
+    return (
+        hits.select("key", "template", "y", F.inline(seen))
+        .groupingSets([every, every[:2]], *every)
+        .agg(
+            F.grouping("template").cast("int").alias("is_total"),
+            F.count(F.lit(1)).alias("sessions"),
+            F.count_if(matched).alias("matched"),
+            F.count_if(F.col("y") == 1).alias("malicious"),
+            F.count_if(matched & (F.col("y") == 1)).alias("malicious_matched"),
+            F.count_if(conflict).alias("label_conflicts"),
+        )
+    )
+
+
 def statement_coverage(held: DataFrame, kept: DataFrame) -> DataFrame:
     """Masked statements of the held-out sessions × kept templates that contain them.
 

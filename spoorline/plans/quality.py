@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spoorline.functions.ordered import SEG_ROWS, Fold, running
 from spoorline.functions.text import mask_literals
+from spoorline.session import materialize
 
 # The closed vocabularies of the spec format.
 DIMENSIONS = [
@@ -212,12 +213,13 @@ def relationship_coverage(sessions: DataFrame) -> DataFrame:
     )
 
 
-def event_schedule(specs: DataFrame, seg_rows: int = SEG_ROWS) -> DataFrame:
-    """Second of every event from the scenario's day start.
+def session_starts(specs: DataFrame, seg_rows: int = SEG_ROWS) -> DataFrame:
+    """Every session with the second at which it starts (`start_s`), or why it has none (`error`).
 
-    A session starts its delay after the previous session's last event; gaps
-    repeat if they are fewer than the events need. Sessions run in listed order;
-    one that names another in `concurrent_with` starts in the middle of that one.
+    A session starts its delay after the previous session's last event, in listed order; one that
+    names another in `concurrent_with` starts in the middle of that one, and so on along a
+    chain of such names. A name that no session of the scenario has counts as none; of several with
+    one name the first is meant. A ring of names has no start.
     """
     s = spec_sessions(specs).withColumn("_n", F.size("events"))
     m = F.size("gaps")
@@ -241,21 +243,54 @@ def event_schedule(specs: DataFrame, seg_rows: int = SEG_ROWS) -> DataFrame:
         "_start",
         minutes_of_day(F.col("time_of_day")) * 60 + F.col("_delays") + F.col("_lengths"),
     )
-    host = placed.select(
-        *keys,
-        F.col("session_label").alias("concurrent_with"),
-        (F.col("_start") + F.col("_length") / 2).alias("_within"),
-    )
-    placed = placed.join(host, [*keys, "concurrent_with"], "left")
-    offset = F.floor(F.col("step_no") / m) * cycle + F.aggregate(
-        F.slice("gaps", F.lit(1), F.col("step_no") % m), F.lit(0.0), lambda a, g: a + g
+    host = F.min_by(F.struct(F.col("session_no").alias("_host"), (F.col("_length") / 2).alias("_half")), "session_no")
+    hosts = placed.groupBy(*keys, F.col("session_label").alias("concurrent_with")).agg(host.alias("_h"))
+    hosts = hosts.select(*keys, "concurrent_with", "_h.*")
+    placed = materialize(placed.join(hosts, [*keys, "concurrent_with"], "left"), "schedule")
+    # how far a session looks along its chain doubles each time, so its sessions' number bounds the times
+    names = placed.where("_host IS NOT NULL")
+    longest = names.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    far = names.select(*keys, "session_no", "_host", "_half")
+    for _ in range(longest.bit_length()):
+        up = far.select(*keys, F.col("session_no").alias("_host"), F.col("_host").alias("_next"), F.col("_half").alias("_more"))
+        looked = far.join(up, [*keys, "_host"], "left")
+        far = materialize(
+            looked.select(
+                *keys, "session_no", F.coalesce("_next", "_host").alias("_host"),
+                (F.col("_half") + F.coalesce("_more", F.lit(0.0))).alias("_half"),
+            ),
+            "schedule-far",
+        )
+    # what has not come to a session without a name by then goes round
+    ends = placed.select(*keys, F.col("session_no").alias("_host"), F.col("_start").alias("_end"), F.col("_host").isNull().alias("_free"))
+    found = far.join(ends, [*keys, "_host"]).select(*keys, "session_no", "_end", "_half", "_free")
+    out = placed.drop("_host", "_half").join(found, [*keys, "session_no"], "left")
+    ring = F.coalesce(~F.col("_free"), F.lit(False))
+    return out.withColumns(
+        {
+            "start_s": F.when(~ring, F.coalesce(F.col("_end") + F.col("_half"), F.col("_start"))),
+            "error": F.when(ring, F.lit("concurrent_with leads back to itself")),
+            "_cycle": cycle,
+            "_m": m,
+        }
+    ).drop("_end", "_half", "_free", "_start", "_delays", "_lengths", "_delay")
+
+
+def event_schedule(specs: DataFrame, seg_rows: int = SEG_ROWS) -> DataFrame:
+    """Second of every event from the scenario's day start; gaps repeat if they are fewer than the events need.
+
+    Sessions in a ring of `concurrent_with` have no events here (`session_starts` names them).
+    """
+    placed = session_starts(specs, seg_rows).where("error IS NULL")
+    offset = F.floor(F.col("step_no") / F.col("_m")) * F.col("_cycle") + F.aggregate(
+        F.slice("gaps", F.lit(1), F.col("step_no") % F.col("_m")), F.lit(0.0), lambda a, g: a + g
     )
-    start = F.coalesce("_within", "_start")
     return placed.select("*", F.posexplode("events").alias("step_no", "event")).select(
-        *keys,
+        "run_id",
+        "scenario_id",
         "session_no",
         "step_no",
-        (start + F.when(m > 0, offset).otherwise(F.lit(0.0))).alias("at_s"),
+        (F.col("start_s") + F.when(F.col("_m") > 0, offset).otherwise(F.lit(0.0))).alias("at_s"),
         "event",
     )
 

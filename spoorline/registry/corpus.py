@@ -86,14 +86,7 @@ _KEYS, _POOLS = ("sql", "sql_norm"), {"train": ["train"], "train_val": ["train",
 )
 def j18(spark, d):
     """Test sessions whose whole statement sequence occurs in training, or in training or validation."""
-    fps = _fingerprints(spark, d)
-    test, out = fps.where("split = 'test'"), None
-    for key in _KEYS:
-        for name, parts in _POOLS.items():
-            found = leakage.match_counts(test, fps.where(F.col("split").isin(parts)), key)
-            found = found.select(F.lit(key).alias("key"), F.lit(name).alias("pool"), *found.columns)
-            out = found if out is None else out.unionByName(found)
-    return out
+    return leakage.match_tables(_fingerprints(spark, d), _KEYS, _POOLS)
 
 
 @query(
@@ -719,6 +712,44 @@ def d09_rel(spark, d):
     return quality.relationship_coverage(quality.spec_sessions(_specs(spark, d)))
 
 
+@query(
+    "d10_concurrent_chains",
+    """WITH o AS (SELECT o_orderkey AS k, 'run_' || (o_orderkey % 5) AS run_id, 'scn_' || o_orderkey AS scenario_id, 2.0 + o_custkey % 3 AS gap,
+   o_orderkey % 9 = 0 AS round_trip FROM orders),
+ s AS (SELECT *, unnest(range(6)) AS no FROM o),
+ t AS (SELECT *, CASE no WHEN 0 THEN 0.0 WHEN 1 THEN 10 * gap / 2 WHEN 2 THEN 10 * gap / 2 + 2 * gap / 2 WHEN 3 THEN 10 * gap / 2 + 2 * gap / 2 + 4 * gap / 2
+   WHEN 4 THEN 10 * gap + 5 END AS since FROM s)
+ SELECT run_id, scenario_id, no::INT AS session_no, round(CASE WHEN no = 5 THEN CASE WHEN NOT round_trip THEN 10 * gap + 5 + 5 ELSE NULL END
+   WHEN no = 4 AND round_trip THEN NULL ELSE since END + 36000, 6) AS at_s,
+  CASE WHEN no >= 4 AND round_trip THEN 'concurrent_with leads back to itself' END AS error FROM t""",
+    plain=True,
+)
+def d10_chains(spark, d):
+    """First event of sessions that run beside sessions that run beside others, and of rings of them."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    gap = F.lit(2.0) + c % 3
+
+    def session(label, n, beside, delay):
+        events = F.array(*[F.struct(F.lit(f"{label}{i}").alias("step_id"), F.lit("SELECT 1").alias("sql")) for i in range(n)])
+        timing = F.struct(F.lit("steady").alias("tempo"), F.array(gap).alias("step_gaps_seconds"))
+        return F.struct(
+            F.lit(label).alias("session_label"), beside.cast("string").alias("concurrent_with"),
+            F.lit(delay).alias("delay_after_previous_seconds"), timing.alias("timing"), events.alias("events"),
+        )
+
+    nobody, ring = F.lit(None), k % 9 == 0
+    sessions = F.array(
+        session("a", 11, nobody, 0.0), session("b", 3, F.lit("a"), 1.0), session("c", 5, F.lit("b"), 1.0),
+        session("d", 2, F.lit("c"), 1.0), session("e", 1, F.when(ring, "f"), 5.0), session("f", 1, F.when(ring, "e"), 5.0),
+    )
+    spec = F.struct(F.concat(F.lit("scn_"), k.cast("string")).alias("scenario_id"), F.lit("10:00").alias("time_of_day"), sessions.alias("sessions"))
+    texts = tables.table(spark, d, "orders").select(
+        F.concat(F.lit("run_"), (k % 5).cast("string")).alias("run_id"), F.to_json(spec).alias("text")
+    )
+    starts = quality.session_starts(logs.json_specs(texts))
+    return starts.select("run_id", "scenario_id", "session_no", F.round("start_s", 6).alias("at_s"), "error")
+
+
 @query(
     "d10_event_schedule",
     f"""WITH {_SPEC_BASE}, t AS (SELECT *, hour * 3600 + 1800.0::DOUBLE AS t0, 2 + (dest IS NOT NULL)::INT + with_file::INT AS n FROM spec),
