@@ -28,7 +28,8 @@ STATEMENT_WORDS = (
 
 NAME = r'("[^"]+"|\w+)'
 
-# Lexical pieces of a statement: E-strings, strings, quoted names, comments (one level nested),
+# Lexical pieces of a statement: E-strings, strings, quoted names, comments (one level nested;
+# `without_nested` has taken out deeper ones),
 # dollar strings, words, and any other character.
 _COMMENT = r"(?:[^*/]|\*(?!/)|/(?!\*)"
 TOKENS = (
@@ -36,6 +37,10 @@ TOKENS = (
     rf"|/\*{_COMMENT}|/\*{_COMMENT})*+\*/)*+\*/"
     r"|\$((?:[A-Za-z_]\w*)?)\$.*?\$\1\$|\w[\w$]*|."
 )
+#: What opens, closes or escapes something; everything between is one token.
+MARKS = r"""(?s)/\*|\*/|--|\$(?:[A-Za-z_]\w*)?\$|''|\b[eE]'|['"\\\n]|\w[\w$]*|[^\w'"\\\n$/*-]+|."""
+#: Only texts with a comment inside a comment are folded for them.
+NESTED = r"(?s)/\*.*/\*"
 #: Only texts with one of these have anything to make plain.
 UNCOMMON = r"""--|/\*|\$|"|[eE]'"""
 # characters of quoted names that would be taken for quotes, ends or parentheses, and their stand-ins
@@ -44,7 +49,7 @@ _BACKSLASH = "\uE005"
 #: Objects whose names a DROP lists as plain names.
 DROPPED = (
     r"(?:TABLE|VIEW|INDEX|SEQUENCE|MATERIALIZED\s+VIEW|FOREIGN\s+TABLE|COLLATION|CONVERSION|STATISTICS"
-    r"|TEXT\s+SEARCH\s+(?:PARSER|DICTIONARY|TEMPLATE|CONFIGURATION))"
+    r"|TEXT\s+SEARCH\s+(?:PARSER|DICTIONARY|TEMPLATE|CONFIGURATION)|TRIGGER|RULE|POLICY)"
 )
 QUALIFIED = rf'(?:(?:"[^"]+"|\w+)\.)*{NAME}'
 
@@ -70,8 +75,45 @@ def _plain_token(token: Column) -> Column:
     )
 
 
+def without_nested(text: Column) -> Column:
+    """The text with a space for each block comment, however deep others are nested in it.
+
+    A fold over the marks: ``mode`` is what the text is inside of (the mark that opened it), ``depth``
+    counts open comments, ``held`` is set behind a backslash in an E-string.
+    """
+
+    def step(at: Column, token: Column) -> Column:
+        mode, held, string = at["mode"], at["held"], token == "'"
+        opens = token.isin("'", '"', "--", "/*") | token.rlike(r"^(?:[eE]'|\$\w*\$)$")
+        depth = at["depth"] + F.when(token == "/*", 1).when(token == "*/", -1).otherwise(0)
+        in_comment = mode == "/*"
+        escaped = F.lower(mode) == "e'"
+        closes = (
+            F.when(mode == "'", string)
+            .when(escaped & held, token == "''")
+            .when(escaped, string)
+            .when(mode == "--", token == "\n")
+            .otherwise(token == mode)
+        )
+        ended = F.when(in_comment, depth == 0).otherwise(closes)
+        after = F.when(mode == "", F.when(opens, token).otherwise("")).otherwise(F.when(ended, "").otherwise(mode))
+        shown = F.when(in_comment, F.when(depth == 0, " ").otherwise("")).when((mode == "") & (token == "/*"), "").otherwise(token)
+        return F.struct(
+            after.alias("mode"),
+            F.when(in_comment, depth).when((mode == "") & (token == "/*"), 1).otherwise(0).alias("depth"),
+            (escaped & ~held & (token == "\\")).alias("held"),
+            F.concat(at["text"], shown).alias("text"),
+        )
+
+    none = F.struct(F.lit("").alias("mode"), F.lit(0).alias("depth"), F.lit(False).alias("held"), F.lit("").alias("text"))
+    # an open comment at the end is an error, which its opening tells
+    last = lambda at: F.when(at["mode"] == "/*", F.concat(at["text"], F.lit("'"))).otherwise(at["text"])
+    return F.aggregate(F.regexp_extract_all(text, F.lit(MARKS), F.lit(0)), none, step, last)
+
+
 def plain_text(text: Column) -> Column:
     """The text without comments; dollar strings and E-strings become plain literals."""
+    text = F.when(text.rlike(NESTED), without_nested(text)).otherwise(text)
     tokens = F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
     plain = F.array_join(F.transform(tokens, _plain_token), "")
     return F.when(text.rlike(UNCOMMON), plain).otherwise(text)
@@ -164,6 +206,8 @@ def _parse_error(cut: Column, bare: Column) -> Column:
 
 
 def _select_table(flat: Column) -> Column:
+    # in a comparison FROM is no clause
+    flat = F.regexp_replace(flat, r"(?is)\bIS\s+(?:NOT\s+)?DISTINCT\s+FROM\b", " = ")
     common = _extract(flat, rf"{FOLDED}\s*(?:INSERT\s+INTO|UPDATE(?:\s+ONLY)?|DELETE\s+FROM(?:\s+ONLY)?)\s+{QUALIFIED}")
     name = _extract(flat, rf"\bFROM\s+(?:ONLY\s+)?{QUALIFIED}")
     items = _extract(flat, r"\bFROM\s+(.*)$")
@@ -188,6 +232,7 @@ def with_statement_facts(df: DataFrame, text: str = "query") -> DataFrame:
     known = F.col("parse_error").isNull()
     df = df.withColumn("_kind", F.when(known, _kind(F.col("_bare"))))
     unwrapped = F.regexp_replace(F.col("_bare"), r"^[\s(]+", "")
+    unwrapped = F.regexp_replace(unwrapped, r'(?i)\bONLY\s*\(\s*((?:(?:"[^"]+"|\w+)\.)*(?:"[^"]+"|\w+))\s*\)', "ONLY $1")
     df = df.withColumn("_flat", F.when(F.col("_kind").isin("select", "table"), _folded(unwrapped)))
     cut, bare, kind = F.col("_cut"), F.col("_bare"), F.col("_kind")
 

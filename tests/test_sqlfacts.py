@@ -3,6 +3,18 @@ import pytest
 from spoorline.functions.sqlfacts import FACTS, with_statement_facts
 
 CASES = {
+    "/* a /* b /* c */ ' */ \" */ SELECT * FROM t1": {"table_name": "t1"},
+    "SELECT '/* /* ', \"/*\" FROM t2 /* x /* y /* z */ */ */ -- /* '": {"table_name": "t2"},
+    "SELECT E'\\' /* ', $q$ /* ' $q$ FROM t3 /*/**//*/**/*/*/": {"table_name": "t3"},
+    "SELECT 'a''/*' FROM t4 -- it's /* not open\n /* /* /* */ */ */": {"table_name": "t4"},
+    "SELECT 1 /* /* */": {"parse_error": 'syntax error at or near "select"'},
+    "SELECT a IS DISTINCT FROM b FROM t": {"table_name": "t"},
+    "SELECT a IS NOT DISTINCT FROM b FROM t WHERE c IS DISTINCT FROM d": {"table_name": "t"},
+    "SELECT a IS DISTINCT FROM b": {},
+    "SELECT * FROM ONLY (public.t)": {"table_name": "t"},
+    "DROP TRIGGER IF EXISTS trg ON public.t CASCADE": {"table_name": "trg", "is_drop": True},
+    'DROP RULE "R1" ON t': {"table_name": "R1", "is_drop": True},
+    "DROP POLICY p ON t": {"table_name": "p", "is_drop": True},
     "COPY (SELECT 'it''s', id FROM c) TO PROGRAM 'curl -H ''a: b'' -d @-'":
         {"is_program": True, "shell_cmd": "curl -H 'a: b' -d @-"},
     "COPY (SELECT 'TO PROGRAM ''x''' FROM c) TO STDOUT": {"is_program": False},
