@@ -113,11 +113,12 @@ def early_alarms(verdicts: DataFrame, alerts: DataFrame, theta: float) -> DataFr
 
 
 def twin_agreement(live: DataFrame, synthetic: DataFrame, theta: float) -> DataFrame:
-    """Live sessions next to the same session of the synthetic corpus, per family."""
+    """Live sessions next to the same session of the synthetic corpus, per family and in all (``ALL``)."""
     twin = synthetic.select("dataset", "run", "synthetic_backend_pid", F.col("risk").alias("twin_risk"))
     delta = F.col("risk") - F.col("twin_risk")
     same = (F.col("risk") >= theta) == (F.col("twin_risk") >= theta)
     pairs = live.join(twin, ["dataset", "run", "synthetic_backend_pid"])
+    pairs = pairs.withColumn("family", F.explode(F.array("family", F.lit("ALL"))))
     out = pairs.groupBy("family").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(same).alias("same_verdict"),

@@ -130,13 +130,11 @@ def undersample(rows: DataFrame, key: str, keep: float = 0.2, seed: int = 42) ->
     return rows.where((F.col("y") == 1) | (draw < int(keep * (1 << 32))))
 
 
-def sample_per_run(
-    rows: DataFrame, run: str, key: str, n: int, seed: int = 42, seg_rows: int = SEG_ROWS
-) -> DataFrame:
-    """At most n rows of each run, the first in seeded order."""
+def sample_per_run(rows: DataFrame, run: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """At most n rows of each run, the first in seeded order; each task keeps n of a run before any shuffle."""
+    first = Window.partitionBy(run).orderBy("_h", key)
     hashed = rows.withColumn("_h", seeded(F.col(key).cast("string"), seed=seed))
-    placed, _ = number_rows(hashed, [run], ["_h", key], "_at", seg_rows)
-    return placed.where(F.col("_at") < n).drop("_at", "_h")
+    return hashed.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= n).drop("_at", "_h")
 
 
 def with_family(labels: DataFrame, families: DataFrame, keys: Sequence[str]) -> DataFrame:

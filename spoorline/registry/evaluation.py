@@ -413,10 +413,11 @@ def j16(spark, d):
 
 @query(
     "j17_twin_agreement",
-    f"SELECT family, count(*) AS n, count(*) FILTER ((v.risk >= 0.5) = (t.risk >= 0.5)) AS same_verdict, round(avg(v.risk - t.risk), 6) AS mean_delta, "
-    f"round(avg(abs(v.risk - t.risk)), 6) AS mean_abs_delta, count(*) FILTER ((v.risk >= 0.5) <> (t.risk >= 0.5)) AS flips, "
-    f"round(median(t.risk), 6) AS twin_median, round(median(v.risk), 6) AS live_median FROM ({_LIVE_ROWS}) v "
-    "JOIN twins t ON t.dataset = v.dataset AND t.run = v.run AND t.synthetic_backend_pid = v.synthetic_backend_pid GROUP BY 1",
+    "SELECT family, count(*) AS n, count(*) FILTER ((risk >= 0.5) = (twin >= 0.5)) AS same_verdict, round(avg(risk - twin), 6) AS mean_delta, "
+    "round(avg(abs(risk - twin)), 6) AS mean_abs_delta, count(*) FILTER ((risk >= 0.5) <> (twin >= 0.5)) AS flips, "
+    "round(median(twin), 6) AS twin_median, round(median(risk), 6) AS live_median FROM "
+    f"(SELECT unnest([family, 'ALL']) AS family, v.risk, t.risk AS twin FROM ({_LIVE_ROWS}) v "
+    "JOIN twins t ON t.dataset = v.dataset AND t.run = v.run AND t.synthetic_backend_pid = v.synthetic_backend_pid) GROUP BY 1",
 )
 def j17(spark, d):
     out = live.twin_agreement(_live(spark, d), _read(spark, d, TWINS), 0.5)

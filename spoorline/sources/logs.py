@@ -90,12 +90,25 @@ def read_capture(spark: SparkSession, root: str) -> Capture:
     )
 
 
+#: Columns of a label file that are read.
+LABEL_COLUMNS = 32
+
+
 def read_label_csv(spark: SparkSession, path) -> DataFrame:
-    """Label files with a header; rows without a session id are dropped, a leading BOM is ignored."""
-    raw = spark.read.option("header", True).csv(path)
-    names = {c: c.lstrip("﻿").strip() for c in raw.columns}
-    named = raw.select(folder_of_file().alias("run_id"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    return clean_labels(named)
+    """Label files, each with a header of its own order; rows without a session id are dropped.
+
+    A leading BOM is ignored. A column that a file lacks is null in its rows.
+    """
+    names = [f"_c{i}" for i in range(LABEL_COLUMNS)]
+    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path)
+    raw = raw.select(F.array(*names).alias("_cells"), F.col("_metadata.file_path").alias("_file"), folder_of_file().alias("run_id"))
+    trimmed = F.transform("_cells", lambda c: F.trim(F.regexp_replace(c, "^\uFEFF", "")))
+    is_header = F.coalesce(F.array_contains(trimmed, "session_id"), F.lit(False))
+    headers = raw.where(is_header).groupBy("_file").agg(F.first(trimmed).alias("_header"))
+    columns = headers.select(F.explode("_header").alias("name")).where("name <> ''").distinct().collect()
+    rows = raw.where(~is_header).join(headers, "_file")
+    named = [F.get("_cells", F.array_position("_header", r.name) - 1).alias(r.name) for r in sorted(columns)]
+    return clean_labels(rows.select("run_id", *named))
 
 
 def clean_labels(rows: DataFrame) -> DataFrame:

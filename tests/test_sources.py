@@ -43,6 +43,11 @@ def test_labels(spark, tmp_path):
     (tmp_path / "run_9" / "labels.csv").write_text("﻿session_id,label\n1, Attack\n,Benign\n2,Benign\n", encoding="utf-8")
     got = {(r.run_id, r.session_id): (r.label, r.y) for r in logs.read_label_csv(spark, f"{tmp_path}/*/labels.csv").collect()}
     assert got == {("run_9", 1): ("Attack", 1), ("run_9", 2): ("Benign", 0)}
+    # another file has another order, and a column of its own
+    (tmp_path / "run_8").mkdir()
+    (tmp_path / "run_8" / "labels.csv").write_text("role,label,session_id\nx,malicious,5\ny,Benign,\n")
+    both = {(r.run_id, r.session_id): (r.label, r.y, r.role) for r in logs.read_label_csv(spark, f"{tmp_path}/*/labels.csv").collect()}
+    assert both == {("run_9", 1): ("Attack", 1, None), ("run_9", 2): ("Benign", 0, None), ("run_8", 5): ("malicious", 1, "x")}
 
 
 def test_manifest_problems(spark, tmp_path):
