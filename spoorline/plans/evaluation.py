@@ -330,3 +330,35 @@ def timing_summary(timings: DataFrame, columns: Sequence[str], group: Sequence[s
         F.max("ms").alias("max_ms"),
     )
     return out.join(medians(long, keys, "ms", "median_ms"), keys)
+
+
+#: Size of a quantile sketch, and the error of the ranks it gives (0.7 % with 99 % confidence).
+SKETCH_K, SKETCH_ERROR = 400, 0.01
+
+
+def timing_sketches(times: DataFrame, group: Sequence[str], value: str = "ms") -> DataFrame:
+    """Per group: number, sum, maximum and a quantile sketch of ``value``, which merge."""
+    return times.where(F.col(value).isNotNull()).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(value).alias("total_ms"),
+        F.max(value).alias("max_ms"),
+        F.kll_sketch_agg_double(value, SKETCH_K).alias("sketch"),
+    )
+
+
+def merge_sketches(parts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """`timing_sketches` of many batches as one."""
+    return parts.groupBy(*group).agg(
+        F.sum("n").alias("n"),
+        F.sum("total_ms").alias("total_ms"),
+        F.max("max_ms").alias("max_ms"),
+        F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"),
+    )
+
+
+def sketch_summary(merged: DataFrame, ranks: dict[str, float] | None = None) -> DataFrame:
+    """Mean, maximum and quantiles; a quantile's rank is right up to `SKETCH_ERROR`."""
+    ranks = ranks or {"median_ms": 0.5, "p95_ms": 0.95}
+    quantiles = [F.kll_sketch_get_quantile_double("sketch", F.lit(r)).alias(n) for n, r in ranks.items()]
+    kept = [c for c in merged.columns if c not in ("total_ms", "sketch")]
+    return merged.select(*kept, (F.col("total_ms") / F.col("n")).alias("mean_ms"), *quantiles)

@@ -269,6 +269,29 @@ def a20(spark, d):
     return _rounded(out, "mean_ms", "median_ms")
 
 
+@query(
+    "a20_timing_sketches",
+    "SELECT event_type, stage, count(*) AS n, round(avg(ms), 6) AS mean_ms, max(ms) AS max_ms, true AS median_right, true AS p95_right FROM ("
+    + " UNION ALL ".join(f"SELECT event_type, '{s}' AS stage, {s} AS ms FROM timings" for s in _STAGES)
+    + ") WHERE ms IS NOT NULL GROUP BY 1, 2",
+)
+def a20_sketches(spark, d):
+    """The same from sketches of ten batches, merged; whether the ranks of the quantiles are within the stated error."""
+    rows = _read(spark, d, TIMINGS).withColumn("batch", F.floor(F.col("alg4_ms") / 10))
+    long = rows.unpivot(["event_type", "batch"], list(_STAGES), "stage", "ms").where(F.col("ms").isNotNull())
+    keys = ["event_type", "stage"]
+    summary = E.sketch_summary(E.merge_sketches(E.timing_sketches(long, [*keys, "batch"]), keys))
+    ranks = {"median": 0.5, "p95": 0.95}
+    below = [F.count_if(F.col("ms") < F.col(f"{q}_ms")).alias(f"_{q}_lo") for q in ranks]
+    upto = [F.count_if(F.col("ms") <= F.col(f"{q}_ms")).alias(f"_{q}_hi") for q in ranks]
+    placed = long.join(summary, keys).groupBy(*keys, "n", "mean_ms", "max_ms").agg(*below, *upto)
+    right = [
+        ((F.col(f"_{q}_lo") / F.col("n") - E.SKETCH_ERROR <= r) & (F.col(f"_{q}_hi") / F.col("n") + E.SKETCH_ERROR >= r)).alias(f"{q}_right")
+        for q, r in ranks.items()
+    ]
+    return _rounded(placed.select(*keys, "n", "mean_ms", "max_ms", *right), "mean_ms")
+
+
 @query(
     "b06_noisy_or",
     "SELECT session_id, round(1 - (1 - 0.85::DOUBLE * rule_score) * (1 - 0.75::DOUBLE * gat), 9) AS fused FROM verdicts",

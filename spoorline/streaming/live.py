@@ -32,6 +32,7 @@ from spoorline.functions.sqlfacts import FACTS
 from spoorline.operators import behaviors as B
 from spoorline.operators import graph, risk
 from spoorline.operators.attribution import SESSION
+from spoorline.plans.evaluation import merge_sketches, sketch_summary, timing_sketches
 from spoorline.sources.logs import folder_of_file
 from spoorline.streaming.lineage import Rules, follow
 
@@ -281,11 +282,14 @@ class LiveEngine:
         nodes, edges, activity = self._increments(events, closing, clock, batch)
         spent["graphs"], began = time.time() - began, time.time()
         dirty = events.select(*SESSION).unionByName(closing.where("reason <> 'forgotten'").select(*SESSION))
-        self._score(dirty.distinct(), closing, nodes, edges, activity, batch)
+        scored = self._score(dirty.distinct(), closing, nodes, edges, activity, batch)
         spent["scores"] = time.time() - began
         self._compact(batch)
         rows = [(stage, s * 1e3) for stage, s in spent.items()]
-        self._save(self.spark.createDataFrame(rows, "stage string, ms double"), "timings", batch)
+        latency = (F.col("detection_latency_s") * 1e3).alias("ms")
+        alerts = scored.where("alert").select(F.lit("detection_latency").alias("stage"), latency)
+        times = self.spark.createDataFrame(rows, "stage string, ms double").unionByName(alerts)
+        self._save(timing_sketches(times, ["stage"]), "timings", batch)
         if batch > 1:
             self._forget(*[self._path(n, batch - 2) for n in ("prepared", "state/tail", "state/clock")])
 
@@ -327,7 +331,7 @@ class LiveEngine:
             nodes, edges, activity = list(done)[1:4]
         return nodes, edges.drop("event_ids"), activity
 
-    def _score(self, dirty, closing, nodes, edges, activity, batch: int) -> None:
+    def _score(self, dirty, closing, nodes, edges, activity, batch: int) -> DataFrame:
         """Verdicts of the sessions that changed or closed, from merged increments."""
 
         def whole(name: str, now: DataFrame) -> DataFrame:
@@ -368,7 +372,11 @@ class LiveEngine:
             .withColumn("detection_latency_s", F.when(F.col("alert"), F.col("scored_at") - F.col("last_event_ts")))
             .drop("_closed", "_before")
         )
-        self._save(scored, "scored", batch)
+        return self._save(scored, "scored", batch)
+
+    def timing_summary(self) -> DataFrame:
+        """Mean, median, 95th percentile and maximum of each stage and of the alert latency."""
+        return sketch_summary(merge_sketches(self.table("timings"), ["stage"]))
 
     def _compact(self, batch: int) -> None:
         """Merge all increments into a base, closed sessions left out."""

@@ -151,7 +151,10 @@ def test_final_scores_and_alerts(host):
     alerts = host.rows("alerts", "one", "session_key", "opened")
     assert alerts == [(50, 3)]  # once, though it was scored again
     assert host.engine.table("alerts").where("detection_latency_s IS NULL").count() == 0
-    assert {r.stage for r in host.engine.table("timings").collect()} == {"attribution", "graphs", "scores"}
+    times = {r.stage: r for r in host.engine.timing_summary().collect()}
+    assert set(times) == {"attribution", "graphs", "scores", "detection_latency"}
+    assert times["graphs"].n == SLICES + 1 and 0 < times["graphs"].median_ms <= times["graphs"].max_ms
+    assert times["detection_latency"].n == host.engine.table("alerts").count()
 
 
 def test_late_events_are_reported(host):
