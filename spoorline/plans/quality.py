@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.functions.ordered import SEG_ROWS, Fold, running
 from spoorline.functions.text import mask_literals
-from spoorline.session import materialize
 
 # The closed vocabularies of the spec format.
 DIMENSIONS = [
@@ -29,8 +27,8 @@ def minutes_of_day(text: Column) -> Column:
     ).cast("int")
 
 
-def spec_sessions(specs: DataFrame) -> DataFrame:
-    """One row per session of a spec, with the scenario's fields."""
+def spec_sessions(specs: DataFrame, *more: str) -> DataFrame:
+    """One row per session of a spec, with the scenario's fields and ``more`` fields of the session."""
     return specs.select(
         "run_id",
         "scenario_id",
@@ -52,6 +50,7 @@ def spec_sessions(specs: DataFrame) -> DataFrame:
         F.col("s.timing.tempo").alias("tempo"),
         F.col("s.timing.step_gaps_seconds").alias("gaps"),
         "s.events",
+        *[f"s.{name}" for name in more],
     ).drop("s")
 
 
@@ -213,75 +212,121 @@ def relationship_coverage(sessions: DataFrame) -> DataFrame:
     )
 
 
-def session_starts(specs: DataFrame, seg_rows: int = SEG_ROWS) -> DataFrame:
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, not at each use."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _session_places(sessions: Column, day_s: Column) -> Column:
+    """`start_s` and `error` of all sessions of one spec, in listed order (`session_starts`)."""
+
+    def plan(x: Column, i: Column, labels: Column) -> Column:
+        gaps = x["timing"]["step_gaps_seconds"]
+        m, steps = F.size(gaps), F.greatest(F.size(x["events"]) - 1, F.lit(0))
+        cycle = F.aggregate(gaps, F.lit(0.0), lambda a, g: a + g)
+        part = F.aggregate(F.slice(gaps, F.lit(1), steps % m), F.lit(0.0), lambda a, g: a + g)
+        length = F.when(m > 0, F.floor(steps / m) * cycle + part).otherwise(F.lit(0.0))
+        delay = F.when(i == 0, F.lit(0.0)).otherwise(F.coalesce(x["delay_after_previous_seconds"], F.lit(0.0)))
+        at = F.nullif(F.array_position(labels, x["concurrent_with"]), F.lit(0).cast("long")) - 1
+        return F.struct(
+            x["concurrent_with"].isNull().alias("serial"), delay.alias("delay"), length.alias("length"),
+            at.cast("int").alias("host"),
+        )
+
+    def listed(plans: Column) -> Column:
+        """Starts of sessions one after another."""
+
+        def add(acc: Column, x: Column) -> Column:
+            delays = acc["delays"] + F.when(x["serial"], x["delay"]).otherwise(F.lit(0.0))
+            lengths = acc["lengths"] + F.when(x["serial"], F.coalesce(x["length"], F.lit(0.0))).otherwise(F.lit(0.0))
+            starts = F.concat(acc["starts"], F.array(acc["day"] + delays + acc["lengths"]))
+            return F.struct(
+                acc["day"].alias("day"), delays.alias("delays"), lengths.alias("lengths"), starts.alias("starts")
+            )
+
+        none = F.array().cast("array<double>")
+        zero = F.struct(
+            day_s.cast("double").alias("day"), F.lit(0.0).alias("delays"), F.lit(0.0).alias("lengths"), none.alias("starts")
+        )
+        return F.aggregate(plans, zero, add, lambda acc: acc["starts"])
+
+    def chains(plans: Column) -> Column:
+        """Where the chain of a session's names leads; how far it looks doubles each time."""
+
+        def look(far: Column, _: Column) -> Column:
+            return F.transform(
+                far,
+                lambda x: _let(
+                    F.get(far, x["host"]),
+                    lambda up: F.when(
+                        x.isNotNull(),
+                        F.struct(
+                            F.coalesce(up["host"], x["host"]).alias("host"),
+                            (x["half"] + F.coalesce(up["half"], F.lit(0.0))).alias("half"),
+                        ),
+                    ),
+                ),
+            )
+
+        near = F.transform(
+            plans,
+            lambda x: F.when(
+                x["host"].isNotNull(),
+                F.struct(x["host"].alias("host"), (F.get(plans, x["host"])["length"] / 2).alias("half")),
+            ),
+        )
+        named = F.size(F.filter(plans, lambda x: x["host"].isNotNull()))
+        return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(named))), near, look)
+
+    def places(plans: Column, starts: Column, far: Column) -> Column:
+        def place(x: Column, i: Column) -> Column:
+            # what has not come to a session without a name by then goes round
+            ring = F.get(plans, x["host"])["host"].isNotNull()
+            start = F.coalesce(F.get(starts, x["host"]) + x["half"], F.get(starts, i))
+            return F.struct(
+                F.when(~ring, start).alias("start_s"),
+                F.when(ring, F.lit("concurrent_with leads back to itself")).alias("error"),
+            )
+
+        return F.transform(far, place)
+
+    labels = F.transform(sessions, lambda x: x["session_label"])
+    plans = _let(labels, lambda names: F.transform(sessions, lambda x, i: plan(x, i, names)))
+    return _let(
+        plans, lambda p: _let(listed(p), lambda starts: _let(chains(p), lambda far: places(p, starts, far)))
+    )
+
+
+def session_starts(specs: DataFrame) -> DataFrame:
     """Every session with the second at which it starts (`start_s`), or why it has none (`error`).
 
     A session starts its delay after the previous session's last event, in listed order; one that
     names another in `concurrent_with` starts in the middle of that one, and so on along a
     chain of such names. A name that no session of the scenario has counts as none; of several with
     one name the first is meant. A ring of names has no start.
+
+    A spec is one document with its sessions in it, so all this is computed inside its row.
     """
-    s = spec_sessions(specs).withColumn("_n", F.size("events"))
-    m = F.size("gaps")
+    day_s = minutes_of_day(F.col("time_of_day")) * 60
+
+    def with_places(sessions: Column) -> Column:
+        return F.zip_with(
+            sessions,
+            _session_places(sessions, day_s),
+            lambda s, p: s.withField("start_s", p["start_s"]).withField("error", p["error"]),
+        )
+
+    placed = specs.withColumn("sessions", _let(F.col("sessions"), with_places))
     cycle = F.aggregate("gaps", F.lit(0.0), lambda a, g: a + g)
-    part = F.aggregate(
-        F.slice("gaps", F.lit(1), F.when(m > 0, (F.col("_n") - 1) % m).otherwise(0)),
-        F.lit(0.0),
-        lambda a, g: a + g,
-    )
-    length = F.when(m > 0, F.floor((F.col("_n") - 1) / m) * cycle + part).otherwise(F.lit(0.0))
-    s = s.withColumn("_length", length).withColumn(
-        "_delay", F.when(F.col("session_no") == 0, F.lit(0.0)).otherwise(F.col("delay_s"))
-    )
-    keys = ["run_id", "scenario_id"]
-    serial = F.col("concurrent_with").isNull()
-    folds = {
-        "_delays": Fold("sum", F.when(serial, F.col("_delay")).otherwise(0.0), inclusive=True),
-        "_lengths": Fold("sum", F.when(serial, F.col("_length")).otherwise(0.0)),
-    }
-    placed = running(s, keys, "session_no", folds, None, seg_rows).withColumn(
-        "_start",
-        minutes_of_day(F.col("time_of_day")) * 60 + F.col("_delays") + F.col("_lengths"),
-    )
-    host = F.min_by(F.struct(F.col("session_no").alias("_host"), (F.col("_length") / 2).alias("_half")), "session_no")
-    hosts = placed.groupBy(*keys, F.col("session_label").alias("concurrent_with")).agg(host.alias("_h"))
-    hosts = hosts.select(*keys, "concurrent_with", "_h.*")
-    placed = materialize(placed.join(hosts, [*keys, "concurrent_with"], "left"), "schedule")
-    # how far a session looks along its chain doubles each time, so its sessions' number bounds the times
-    names = placed.where("_host IS NOT NULL")
-    longest = names.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    far = names.select(*keys, "session_no", "_host", "_half")
-    for _ in range(longest.bit_length()):
-        up = far.select(*keys, F.col("session_no").alias("_host"), F.col("_host").alias("_next"), F.col("_half").alias("_more"))
-        looked = far.join(up, [*keys, "_host"], "left")
-        far = materialize(
-            looked.select(
-                *keys, "session_no", F.coalesce("_next", "_host").alias("_host"),
-                (F.col("_half") + F.coalesce("_more", F.lit(0.0))).alias("_half"),
-            ),
-            "schedule-far",
-        )
-    # what has not come to a session without a name by then goes round
-    ends = placed.select(*keys, F.col("session_no").alias("_host"), F.col("_start").alias("_end"), F.col("_host").isNull().alias("_free"))
-    found = far.join(ends, [*keys, "_host"]).select(*keys, "session_no", "_end", "_half", "_free")
-    out = placed.drop("_host", "_half").join(found, [*keys, "session_no"], "left")
-    ring = F.coalesce(~F.col("_free"), F.lit(False))
-    return out.withColumns(
-        {
-            "start_s": F.when(~ring, F.coalesce(F.col("_end") + F.col("_half"), F.col("_start"))),
-            "error": F.when(ring, F.lit("concurrent_with leads back to itself")),
-            "_cycle": cycle,
-            "_m": m,
-        }
-    ).drop("_end", "_half", "_free", "_start", "_delays", "_lengths", "_delay")
+    return spec_sessions(placed, "start_s", "error").withColumns({"_cycle": cycle, "_m": F.size("gaps")})
 
 
-def event_schedule(specs: DataFrame, seg_rows: int = SEG_ROWS) -> DataFrame:
+def event_schedule(specs: DataFrame) -> DataFrame:
     """Second of every event from the scenario's day start; gaps repeat if they are fewer than the events need.
 
     Sessions in a ring of `concurrent_with` have no events here (`session_starts` names them).
     """
-    placed = session_starts(specs, seg_rows).where("error IS NULL")
+    placed = session_starts(specs).where("error IS NULL")
     offset = F.floor(F.col("step_no") / F.col("_m")) * F.col("_cycle") + F.aggregate(
         F.slice("gaps", F.lit(1), F.col("step_no") % F.col("_m")), F.lit(0.0), lambda a, g: a + g
     )

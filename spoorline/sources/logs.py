@@ -317,9 +317,11 @@ def json_specs(texts: DataFrame) -> DataFrame:
 
 
 def _typed_specs(parsed: DataFrame) -> DataFrame:
-    typed = parsed.select("run_id", F.from_json("_json", schemas.SPEC).alias("_s"), "error")
-    no_spec = F.when(F.col("_s.scenario_id").isNull(), F.lit("no scenario_id"))
-    return typed.select("run_id", "_s.*", F.coalesce("error", no_spec).alias("error"))
+    # as rows of a generator: fields of one plain column would parse their text again, each for itself
+    spec = F.inline(F.array(F.from_json("_json", schemas.SPEC)))
+    typed = parsed.select("run_id", F.col("error").alias("_error"), spec)
+    no_spec = F.when(F.col("scenario_id").isNull(), F.lit("no scenario_id"))
+    return typed.withColumn("error", F.coalesce("_error", no_spec)).drop("_error")
 
 
 def write_tables(tables: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
