@@ -81,22 +81,34 @@ def live(spark, d: str) -> LiveEngine:
         fs = spark.sparkContext._jvm.org.apache.hadoop.fs
         conf = spark.sparkContext._jsc.hadoopConfiguration()
 
-        def move(source: str, target: str) -> None:
+        def move(source: str, target: str) -> bool:
             source, target = fs.Path(source), fs.Path(target)
             system = source.getFileSystem(conf)
-            if system.exists(source):
-                system.mkdirs(target.getParent())
-                system.rename(source, target)
+            if not system.exists(source):
+                return False
+            system.mkdirs(target.getParent())
+            return system.rename(source, target)
 
         logs = [f"{root}/in/{name}" for name in ("kernel", "audit")]
         for log in logs:
             spark.createDataFrame([], "pid long").write.json(f"{log}/none/run=none")
         paths = [f"{log}/*/*" for log in logs]
-        for i in range(SLICES):
-            for name in ("kernel", "audit"):
-                move(f"{root}/cut/{name}/slice={i}", f"{root}/in/{name}/slice={i}")
-            engine.take(*paths)
-        engine.finish(*paths)
+        left = iter(range(SLICES + 1))
+
+        def bring(_: int) -> None:
+            """The next slice that has rows, and the drain after the last: one stream, a batch for each."""
+            for i in left:
+                if i == SLICES:
+                    engine.ask_drain()
+                elif any([move(f"{root}/cut/{n}/slice={i}", f"{root}/in/{n}/slice={i}") for n in ("kernel", "audit")]):
+                    return
+
+        bring(-1)
+        run = engine.start(*paths, after=bring, processingTime="0 seconds")
+        try:
+            run.processAllAvailable()
+        finally:
+            run.stop()
         _RAN[at] = engine
     return _RAN[at]
 

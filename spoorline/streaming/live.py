@@ -185,23 +185,41 @@ class LiveEngine:
     rules: Rules = field(default_factory=Rules)
     compact: int = 16
     model_scores: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None
+    #: Partitions of the state, by default one per core: each costs a store and a worker in every batch.
+    state_partitions: int | None = None
 
     # -- the stream
 
-    def start(self, kernel_path: str, audit_path: str, arrival: Column | None = None, **trigger) -> StreamingQuery:
-        """Follow both logs, e.g. with ``processingTime="2 seconds"`` or ``availableNow=True``."""
+    def start(
+        self, kernel_path: str, audit_path: str, arrival: Column | None = None,
+        after: Callable[[int], None] | None = None, **trigger,
+    ) -> StreamingQuery:
+        """Follow both logs, e.g. with ``processingTime="2 seconds"`` or ``availableNow=True``.
+
+        ``after`` is called at the end of every batch, before the next one looks for files.
+        """
         control = f"{self.root}/control"
         nobody = self.spark.createDataFrame([], "marker string")
         nobody.write.mode("append").json(f"{control}/none")
         moves = follow(raw_stream(self.spark, kernel_path, audit_path, f"{control}/*"), self.rules, arrival)
         # a silent stream has no batches: timers wait for the next rows of any run, or the drain
-        needed = {STORE: ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+        needed = {
+            STORE: ROCKS,
+            "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+            "spark.sql.shuffle.partitions": str(self._partitions()),
+        }
+
+        def batch(rows: DataFrame, number: int) -> None:
+            self.process(rows, number)
+            if after:
+                after(number)
+
         before = {k: self.spark.conf.get(k) for k in needed}
         for k, v in needed.items():
             self.spark.conf.set(k, v)
         try:
             return (
-                moves.writeStream.foreachBatch(self.process)
+                moves.writeStream.foreachBatch(batch)
                 .outputMode("append")
                 .option("checkpointLocation", f"{self.root}/checkpoint")
                 .trigger(**trigger)
@@ -211,6 +229,10 @@ class LiveEngine:
             for k, v in before.items():
                 self.spark.conf.set(k, v)
 
+    def _partitions(self) -> int:
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self.state_partitions or min(most, max(1, self.spark.sparkContext.defaultParallelism))
+
     def take(self, kernel_path: str, audit_path: str, arrival: Column | None = None) -> None:
         """Process what there is and stop."""
         run = self.start(kernel_path, audit_path, arrival, availableNow=True)
@@ -220,10 +242,14 @@ class LiveEngine:
 
     def finish(self, kernel_path: str, audit_path: str, arrival: Column | None = None) -> None:
         """Drain: take what is held back and give every open session its final score."""
+        self.ask_drain()
+        self.take(kernel_path, audit_path, arrival)
+
+    def ask_drain(self) -> None:
+        """Drain rows for every run; the next batch takes them."""
         runs = self.table("clock").select("run_id").distinct()
         rows = runs.select(F.col("run_id").alias("run"), F.lit("DRAIN").alias("marker"))
-        rows.write.mode("append").partitionBy("run").json(f"{self.root}/control")
-        self.take(kernel_path, audit_path, arrival)
+        rows.coalesce(1).write.mode("append").partitionBy("run").json(f"{self.root}/control")
 
     # -- tables per batch
 
@@ -396,10 +422,14 @@ class LiveEngine:
             return self._grown(name, batch, own).unionByName(own)
 
         gone = upto("gone").distinct()
-        for name, fn in merge.items():
+
+        def base(name: str) -> None:
             rows = upto(name)
-            kept = fn(rows.join(gone, SESSION, "left_anti"))
+            kept = merge[name](rows.join(gone, SESSION, "left_anti"))
             self._save(kept.select(*rows.columns), f"base/{name}", batch)
+
+        with ThreadPoolExecutor(len(merge)) as pool:  # small jobs side by side
+            list(pool.map(base, merge))
         old = range(max(0, batch - 2 * self.compact), batch - self.compact + 1)
         names = ["nodes", "activity", "memory", *[f"base/{n}" for n in GROWN]]
         self._forget(*[self._path(n, b) for n in names for b in old if b < batch - self.compact or not n.startswith("base/")])
