@@ -172,6 +172,7 @@ def s04(spark, d):
     )
     (
         raw.select(F.col("run_id").alias("run"), F.col("session_id").alias("﻿session_id"), "label")
+        .hint("rebalance", "run")  # else every task writes a file for every run
         .write.partitionBy("run").option("header", True).csv(root)
     )
     return logs.read_label_csv(spark, f"{root}/*").select("run_id", "session_id", "label", "y")
