@@ -213,6 +213,7 @@ def s06(spark, d):
     (
         _manifest_rows(spark, d)
         .withColumnRenamed("run_id", "run")
+        .hint("rebalance", "run")  # one file per run, however many tasks
         .write.partitionBy("run").json(root)
     )
     raw = spark.read.schema(logs.schemas.MANIFEST).json(f"{root}/*")
