@@ -8,7 +8,9 @@ score so far, as WAND with block maxima does. Frequent terms are bounded and sco
 products in single precision, rare ones by their postings; whatever comes within the error margin
 of the k-th score is scored again in double precision, term by term. Document frequencies,
 document count and mean length are those of the whole table, so the shards' results merge
-exactly.
+exactly. As many tasks as there are cores go through their shards one after another and hand on
+the k best of each query only, so what is merged grows with the queries alone; the k-th score of
+the shards before bounds the blocks of the next one from the start.
 
 A query is the whole text of its row: each distinct word counts as often as it occurs. Words
 are runs of anything but white space, A-Z in lower case, compared by 64-bit hashes. Ties go to
@@ -20,6 +22,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ K1, B = 1.2, 0.75
 SHARD_ROWS, BLOCK, DENSE, BATCH = 6144, 1024, 1024, 256
 #: Words whose hashes a task keeps.
 KEEP_WORDS = 200_000
+#: Queries whose k best a task keeps; with more, it hands them on and begins anew.
+KEEP_QUERIES = 1 << 18
 #: Relative error that single-precision sums may have; scores this near are computed again.
 MARGIN = 5e-4
 
@@ -160,8 +165,11 @@ class Shard:
         turned = np.abs(matrix @ basis[:, 1:]) if basis.shape[1] > 1 else matrix @ basis
         return np.lexsort((turned.max(axis=1), turned.argmax(axis=1)))
 
-    def search(self, queries: list[tuple], k: int) -> Iterator[tuple]:
-        """(query, document id, score) of the k best of each query; queries: id, terms, weights."""
+    def search(self, queries: list[tuple], k: int, least: np.ndarray | None = None) -> Iterator[tuple]:
+        """(query, document id, score) of the k best of each query; queries: id, terms, weights.
+
+        ``least``: scores, by query, below which nothing is wanted.
+        """
         n = len(self.ids)
         if not n or not len(self.terms):
             return
@@ -184,13 +192,14 @@ class Shard:
         bound += weight @ self.largest
         bound *= 1 + MARGIN
         scores = np.zeros((len(queries), n))
+        asked = np.zeros(len(queries)) if least is None else least * (1 - MARGIN)
         todo = np.zeros(bound.shape, bool)
-        todo[np.arange(len(queries)), bound.argmax(axis=1)] = True
+        todo[np.arange(len(queries)), bound.argmax(axis=1)] = bound.max(axis=1) >= asked
         self._score(todo, weight, rare, scores)
-        floor = self._floor(scores, k)
+        floor = np.maximum(self._floor(scores, k), asked)
         more = (bound >= floor[:, None]) & (bound > 0) & ~todo
         self._score(more, weight, rare, scores)
-        floor = self._floor(scores, k)
+        floor = np.maximum(self._floor(scores, k), asked)
         for i, (id_, *_) in enumerate(queries):
             near = np.flatnonzero((scores[i] >= floor[i]) & (scores[i] > 0))
             for d in near.tolist():
@@ -231,28 +240,73 @@ class Shard:
 FOUND = "query bigint, doc_id bigint, score double"
 
 
+class Best:
+    """The k best documents of each query so far."""
+
+    def __init__(self, k: int):
+        self.k, self.slot = k, {}
+        self.n = np.zeros(0, np.int64)
+        self.score, self.id, self.named = np.zeros((0, k)), np.zeros((0, k), np.int64), np.zeros((0, k), bool)
+
+    def least(self, queries: list[int]) -> np.ndarray:
+        """The k-th score of each query, 0 while there are fewer."""
+        for q in queries:
+            self.slot.setdefault(q, len(self.slot))
+        if len(self.slot) > len(self.n):
+            more = max(BATCH, len(self.slot))  # doubles
+            self.n = np.pad(self.n, (0, more))
+            self.score, self.id, self.named = (
+                np.pad(a, ((0, more), (0, 0))) for a in (self.score, self.id, self.named)
+            )
+        at = [self.slot[q] for q in queries]
+        return np.where(self.n[at] == self.k, self.score[at, -1], 0.0)
+
+    def add(self, found: list[tuple]) -> None:
+        """Rows of queries that `least` was asked for; those of a query stand together."""
+        for query, rows in groupby(found, lambda r: r[0]):
+            _, ids, scores = zip(*rows, strict=True)
+            s = self.slot[query]
+            n = self.n[s]
+            score = np.append(self.score[s, :n], scores)
+            id_ = np.append(self.id[s, :n], [0 if i is None else i for i in ids])
+            named = np.append(self.named[s, :n], [i is not None for i in ids])
+            first = np.lexsort((id_, named, -score))[: self.k]
+            self.n[s] = n = len(first)
+            self.score[s, :n], self.id[s, :n], self.named[s, :n] = score[first], id_[first], named[first]
+
+    def batches(self, rows: int = 8192) -> Iterator[pa.RecordBatch]:
+        """query, doc_id, score of all; then nothing is kept."""
+        queries = np.fromiter(self.slot, np.int64, len(self.slot))
+        for at in range(0, len(queries), rows):
+            part = slice(at, min(at + rows, len(queries)))
+            held = np.arange(self.k) < self.n[part, None]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(queries[part], self.n[part])),
+                    pa.array(self.id[part][held], mask=~self.named[part][held]),
+                    pa.array(self.score[part][held]),
+                ],
+                names=["query", "doc_id", "score"],
+            )
+        self.__init__(self.k)
+
+
 def _search_task(mean_length: float, count: int, k: int):
-    """Rows of a partition by shard, documents first: build the index, then search in it."""
+    """Rows of a partition by shard, documents first: build each index, then search in it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, shard, current = Terms(), None, object()
+        terms, shard, current, best = Terms(), None, object(), Best(k)
         ids, texts, held = [], [], []
 
         def flush():
             nonlocal shard, held
             if shard is None:
                 shard = Shard(ids, texts, mean_length)
-            found = list(shard.search(held, k))
+            least = best.least([q for q, *_ in held])
+            best.add(list(shard.search(held, k, least)))
             held = []
-            # the margin lets a few more than k through
-            kept, seen = [], {}
-            for row in sorted(found, key=lambda r: (r[0], -r[2], r[1] is not None, r[1] or 0)):
-                seen[row[0]] = seen.get(row[0], 0) + 1
-                if seen[row[0]] <= k:
-                    kept.append(row)
-            types = {"query": pa.int64(), "doc_id": pa.int64(), "score": pa.float64()}
-            columns = [pa.array([r[j] for r in kept], t) for j, t in enumerate(types.values())]
-            return pa.RecordBatch.from_arrays(columns, names=list(types))
+            if len(best.slot) > KEEP_QUERIES:
+                yield from best.batches()
 
         for batch in batches:
             for part in slices(batch, BATCH):
@@ -262,7 +316,7 @@ def _search_task(mean_length: float, count: int, k: int):
                 ):
                     if number != current:
                         if held:
-                            yield flush()
+                            yield from flush()
                         current, shard, ids, texts = number, None, [], []
                     if query is None:
                         ids.append(id_)
@@ -271,9 +325,10 @@ def _search_task(mean_length: float, count: int, k: int):
                         asked, n, df = (c[i].values.to_numpy() for c in (own_terms, own_ns, own_dfs))
                         held.append((query, asked, n * np.log1p((count - df + 0.5) / (df + 0.5))))
                         if len(held) == BATCH:
-                            yield flush()
+                            yield from flush()
         if held:
-            yield flush()
+            yield from flush()
+        yield from best.batches()
 
     return task
 
@@ -316,7 +371,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         "dfs",
     )
     # documents have no query, so they come before the queries of their shard
-    together = dealt.unionByName(asked).repartition(shards, "shard")
+    tasks = min(shards, max(1, docs.sparkSession.sparkContext.defaultParallelism))
+    together = dealt.unionByName(asked).repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))
     together = together.sortWithinPartitions("shard", "query")
     mean_length = max(1.0, words / max(1, count))
     found = together.mapInArrow(_search_task(mean_length, count, k), FOUND)

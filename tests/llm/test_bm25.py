@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from spoorline.llm import bm25 as S
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -67,3 +69,21 @@ def test_repeated_queries_count_once(spark):
     asked = spark.createDataFrame([(1, "w1 common")], "query bigint, text string")
     once = sorted(tuple(r) for r in S.search(docs, asked).collect())
     assert sorted(tuple(r) for r in S.search(docs, asked.union(asked)).collect()) == once
+
+
+def test_a_task_hands_on_k_rows_a_query_whatever_its_shards():
+    rows = []
+    known = S.Terms()
+    for shard in range(5):
+        rows += [(shard, None, 100 * shard + i, "w1 " * (i + 1) + f"x{i} y", None, None, None) for i in range(20)]
+        asked = known("w1 y").tolist()
+        rows += [(shard, q, None, None, asked, [1, 1], [90, 90]) for q in (1, 2)]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int64())] * 3]
+    names = ["shard", "query", "doc_id", "text", "terms", "ns", "dfs"]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    got = [r for b in S._search_task(12.0, 100, 3)(iter([whole])) for r in b.to_pylist()]
+    assert len(got) == 2 * 3
+    every = [r for i in range(5) for b in S._search_task(12.0, 100, 3)(iter([whole.slice(22 * i, 22)])) for r in b.to_pylist()]
+    best = sorted((r["query"], -r["score"], r["doc_id"]) for r in every)
+    want = [r for q in (1, 2) for r in [b for b in best if b[0] == q][:3]]
+    assert sorted((r["query"], -r["score"], r["doc_id"]) for r in got) == want
