@@ -40,7 +40,7 @@ def query(name: str, sql: str, by_slice: bool = False):
 
 
 def write_slices(spark, d: str, root: str) -> int:
-    """The logs as files under root/<number>/kernel/run=… and audit/run=…; how many slices."""
+    """The logs as files under root/kernel/slice=… and audit/slice=…, of many runs each; how many slices."""
     steps = tables.steps(spark, d)
     kernel = steps.where(tables.KERNEL_WHERE).where("run_no % 7 <> 3")
     half = f"CASE WHEN t_us >= {HALF_US} THEN 1 ELSE 0 END"
@@ -63,8 +63,8 @@ def write_slices(spark, d: str, root: str) -> int:
     for name, df in (("kernel", log), ("audit", audit)):
         cut = df.withColumn("slice", F.least(F.expr(f"at_us div {SLICE_US}"), F.lit(SLICES - 1)))
         order = ["slice", "run_id", "at_us", "pos"]
-        cut = cut.repartitionByRange(*order).sortWithinPartitions(*order).withColumnRenamed("run_id", "run")
-        cut.drop("at_us", "pos").write.partitionBy("slice", "run").json(f"{root}/{name}")
+        cut = cut.repartitionByRange(*order).sortWithinPartitions(*order)
+        cut.drop("at_us", "pos").write.partitionBy("slice").json(f"{root}/{name}")
     return SLICES
 
 
@@ -91,8 +91,8 @@ def live(spark, d: str) -> LiveEngine:
 
         logs = [f"{root}/in/{name}" for name in ("kernel", "audit")]
         for log in logs:
-            spark.createDataFrame([], "pid long").write.json(f"{log}/none/run=none")
-        paths = [f"{log}/*/*" for log in logs]
+            spark.createDataFrame([], "pid long").write.json(f"{log}/none")
+        paths = [f"{log}/*" for log in logs]
         left = iter(range(SLICES + 1))
 
         def bring(_: int) -> None:

@@ -67,17 +67,20 @@ MEMORY = [*SESSION, "role", "key"]
 def raw_stream(
     spark: SparkSession, kernel_path: str, audit_path: str, control_path: str | None = None, **options
 ) -> DataFrame:
-    """Both logs, and control rows, as one stream of raw rows; malformed lines keep their text."""
+    """Both logs, and control rows, as one stream of raw rows; malformed lines keep their text.
+
+    A row may name its run (``run_id``), as in files that hold many hosts; else that is its folder.
+    """
 
     def side(path, schema, source):
         reader = (
-            spark.readStream.schema(schema)
+            spark.readStream.schema(f"{schema.toDDL()}, run_id string")
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record")
             .options(**options)
         )
         return reader.json(path).select(
-            folder_of_file().alias("run_id"),
+            F.coalesce("run_id", folder_of_file()).alias("run_id"),
             F.lit(source).alias("source"),
             F.col("_metadata.file_name").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -317,7 +320,7 @@ class LiveEngine:
         times = self.spark.createDataFrame(rows, "stage string, ms double").unionByName(alerts)
         self._save(timing_sketches(times, ["stage"]), "timings", batch)
         if batch > 1:
-            self._forget(*[self._path(n, batch - 2) for n in ("prepared", "state/tail", "state/clock")])
+            self._forget(*[self._path(n, batch - 2) for n in ("prepared", "matched", "state/tail", "state/clock")])
 
     def _increments(self, opened: DataFrame, closing: DataFrame, clock: DataFrame, batch: int):
         """Folds what no event can precede any more; gives the increments of this batch's sessions."""
@@ -328,7 +331,9 @@ class LiveEngine:
         known = merged_memory(self._grown("memory", batch, like).join(active, SESSION, "left_semi"))
         known = known.select("event.*").dropDuplicates([*SESSION, "event_id"])
         both = known.withColumn("known", F.lit(True)).unionByName(open_events.withColumn("known", F.lit(False)))
-        log, largest = number_rows(both, SESSION, ORDER, "seq")
+        # counts of written rows prove a bound that saves counting groups over all joins
+        bound = open_events.count() + self._grown("memory", batch, like).count()
+        log, largest = number_rows(both, SESSION, ORDER, "seq", bound=bound)
         behind = self.rules.retry_s + self.rules.reorder_s
         settled_at = clock.select(F.col("run_id").alias("_run"), (F.col("now_ts") - behind).alias("_at"))
         prepared = (
@@ -367,13 +372,14 @@ class LiveEngine:
         merged = nodes_of(merged_nodes(whole("nodes", nodes)))
         linked = merged_edges(whole("edges", edges))
         counts = merged_activity(whole("activity", activity))
-        found = B.behaviors(merged, linked)
-        rules = risk.best_chain(risk.chain_scores(found.found, bound=found.largest))
+        # written once: their order takes a count first
+        found, largest = B.order_behaviors(self._save(B.match_behaviors(merged, linked), "matched", batch))
+        rules = risk.best_chain(risk.chain_scores(found, bound=largest))
         if self.model_scores:
-            model = self.model_scores(merged, linked, found.found)
+            model = self.model_scores(merged, linked, found)
         else:
             model = counts.select(*SESSION, F.lit(0.0).alias("gat_score"))
-        kinds = found.found.groupBy(*SESSION).agg(
+        kinds = found.groupBy(*SESSION).agg(
             F.array_sort(F.collect_set("behavior")).alias("behaviors")  # at most one per rule
         )
         sizes = merged.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("n_nodes"))

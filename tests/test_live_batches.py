@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from spoorline.streaming.live import LiveEngine
+from spoorline.streaming.live import LiveEngine, raw_stream
 
 
 class Counting(LiveEngine):
@@ -45,3 +45,22 @@ def test_slices_follow_each_other_in_one_stream(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen == [0, 1, 1]  # a slice's last row waits for the reorder delay
     assert set(parts) == {spark.sparkContext.defaultParallelism}
+
+
+def test_a_row_may_name_its_run(spark, tmp_path):
+    """One file of many hosts; rows without a name belong to their folder."""
+    row = {"session_id": 7, "backend_pid": 7, "timestamp": 100.0, "event_type": "ExecutorStart", "query": "SELECT 1"}
+    (tmp_path / "kernel" / "run=x").mkdir(parents=True)
+    (tmp_path / "audit" / "run=c").mkdir(parents=True)
+    lines = [{**row, "run_id": "a"}, {**row, "run_id": "b"}, row]
+    (tmp_path / "audit" / "run=c" / "log.json").write_text("".join(json.dumps(r) + "\n" for r in lines))
+    found = []
+    stream = raw_stream(spark, f"{tmp_path}/kernel/*", f"{tmp_path}/audit/*")
+    run = (
+        stream.writeStream.foreachBatch(lambda df, _: found.extend(r.run_id for r in df.collect()))
+        .option("checkpointLocation", f"{tmp_path}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    assert sorted(found) == ["a", "b", "c"]
