@@ -49,20 +49,21 @@ def _split(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words inside three-word windows that occur at least twice in the text.
 
-    Windows are compared by 64-bit hashes. They are sorted with their places, so that equal ones
-    stand side by side; the places of those that do are spread over their three words.
+    Windows are compared by 64-bit hashes. In most texts all differ, and a hash set shows that. In
+    others they are sorted with their places, so that equal ones stand side by side; the places of
+    those that do are spread over their three words.
     """
 
     def windows(w: Column) -> Column:
         return F.when(
             F.size(w) >= 3,
             F.transform(
-                F.slice(w, 1, F.size(w) - 2),
-                lambda x, i: F.struct(
-                    F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")
-                ),
+                F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))
             ),
-        ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+        ).otherwise(F.array().cast("array<bigint>"))
+
+    def placed(h: Column) -> Column:
+        return F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
     def covered(s: Column) -> Column:
         same = F.filter(
@@ -72,7 +73,10 @@ def repeated_words(words: Column) -> Column:
         spread = F.transform(same, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
         return F.size(F.array_distinct(F.flatten(spread)))
 
-    return let(words, lambda w: let(F.sort_array(windows(w)), covered))
+    def repeats(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(placed(h), covered))
+
+    return let(words, lambda w: let(windows(w), repeats))
 
 
 def counts(text: Column) -> dict[str, Column]:
