@@ -8,6 +8,7 @@ middle, so that the pid goes on as another session.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from spoorline.operators.attribution import SESSION
 from spoorline.registry.oracle import chain_ctes
-from spoorline.session import fresh_path
+from spoorline.session import fresh_path, materialize
 from spoorline.sources import tables
 from spoorline.streaming.lineage import Rules
 from spoorline.streaming.live import LiveEngine
@@ -41,7 +42,7 @@ def query(name: str, sql: str, by_slice: bool = False):
 
 def write_slices(spark, d: str, root: str) -> int:
     """The logs as files under root/kernel/slice=… and audit/slice=…, of many runs each; how many slices."""
-    steps = tables.steps(spark, d)
+    steps = materialize(tables.steps(spark, d), "live-steps")
     kernel = steps.where(tables.KERNEL_WHERE).where("run_no % 7 <> 3")
     half = f"CASE WHEN t_us >= {HALF_US} THEN 1 ELSE 0 END"
     ns = f"CAST({tables.KERNEL['timestamp']} - {half} * 100000000000 AS STRING)"
@@ -60,11 +61,15 @@ def write_slices(spark, d: str, root: str) -> int:
     )
     log = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows, starts, ends])
     audit = steps.where(tables.AUDIT_WHERE).selectExpr(*tables._cols(tables.AUDIT), "t_us AS at_us")
-    for name, df in (("kernel", log), ("audit", audit)):
+
+    def write(name: str, df: DataFrame) -> None:
         cut = df.withColumn("slice", F.least(F.expr(f"at_us div {SLICE_US}"), F.lit(SLICES - 1)))
         order = ["slice", "run_id", "at_us", "pos"]
         cut = cut.repartitionByRange(*order).sortWithinPartitions(*order)
         cut.drop("at_us", "pos").write.partitionBy("slice").json(f"{root}/{name}")
+
+    with ThreadPoolExecutor(2) as pool:  # side by side
+        list(pool.map(write, ("kernel", "audit"), (log, audit)))
     return SLICES
 
 

@@ -266,7 +266,7 @@ class LiveEngine:
 
     def _before(self, name: str, batch: int, like: DataFrame) -> DataFrame:
         if batch <= 0:
-            return self.spark.createDataFrame([], like.schema)
+            return like.limit(0)  # the plan drops it; an empty list would be a task per core in every job
         return self.spark.read.schema(like.schema).parquet(self._path(name, batch - 1))
 
     def table(self, name: str) -> DataFrame:
@@ -280,14 +280,14 @@ class LiveEngine:
         """All increments of earlier batches: the latest base and what came since."""
         folder, rows = GROWN[name]
         base = max(0, (batch - 1) // self.compact * self.compact)
-        parts = [self.spark.createDataFrame([], like.schema)]
+        parts = []
         if base > 0:
             parts.append(self.spark.read.schema(like.schema).parquet(self._path(f"base/{name}", base)))
         paths = [self._path(folder, b) for b in range(base + (base > 0), batch)]
         if paths:
             delta = self.spark.read.parquet(*paths).where(rows)
             parts.append((session_of_moves(delta) if folder == "moves" else delta).select(*like.columns))
-        return reduce(DataFrame.unionByName, parts)
+        return reduce(DataFrame.unionByName, parts) if parts else like.limit(0)
 
     def _forget(self, *paths: str) -> None:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -320,7 +320,7 @@ class LiveEngine:
         times = self.spark.createDataFrame(rows, "stage string, ms double").unionByName(alerts)
         self._save(timing_sketches(times, ["stage"]), "timings", batch)
         if batch > 1:
-            self._forget(*[self._path(n, batch - 2) for n in ("prepared", "matched", "state/tail", "state/clock")])
+            self._forget(*[self._path(n, batch - 2) for n in ("numbered", "prepared", "matched", "state/tail", "state/clock")])
 
     def _increments(self, opened: DataFrame, closing: DataFrame, clock: DataFrame, batch: int):
         """Folds what no event can precede any more; gives the increments of this batch's sessions."""
@@ -334,6 +334,8 @@ class LiveEngine:
         # counts of written rows prove a bound that saves counting groups over all joins
         bound = open_events.count() + self._grown("memory", batch, like).count()
         log, largest = number_rows(both, SESSION, ORDER, "seq", bound=bound)
+        # written once: the events are prepared from four readings of it; facts are read on all cores
+        log = self._save(log, "numbered", batch).repartition(self._partitions(), *SESSION)
         behind = self.rules.retry_s + self.rules.reorder_s
         settled_at = clock.select(F.col("run_id").alias("_run"), (F.col("now_ts") - behind).alias("_at"))
         prepared = (
@@ -343,7 +345,7 @@ class LiveEngine:
             .withColumn("settled", F.col("timestamp_unix") < F.col("_at"))
             .drop("_run", "_at")
         )
-        prepared = self._save(prepared, "prepared", batch)
+        prepared = self._save(prepared.hint("rebalance"), "prepared", batch)  # no files of few rows
         fresh = prepared.where("NOT known")
         gone = closing.where("reason IN ('end', 'forgotten')")
         tail = fresh.where("NOT settled").select(*opened.columns).join(gone, SESSION, "left_anti")

@@ -64,3 +64,12 @@ def test_a_row_may_name_its_run(spark, tmp_path):
     )
     run.awaitTermination()
     assert sorted(found) == ["a", "b", "c"]
+
+
+def test_a_table_without_rows_adds_no_tasks(spark, tmp_path):
+    engine = LiveEngine(spark, str(tmp_path))
+    like = spark.range(5).selectExpr("id AS n_events", "CAST(id AS STRING) AS run_id")
+    for nothing in (engine._before("state/tail", 0, like), engine._grown("activity", 0, like)):
+        assert nothing.schema == like.schema and nothing.count() == 0
+        plan = nothing.unionByName(like)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RDD" not in plan and "Union" not in plan
