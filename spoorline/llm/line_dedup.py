@@ -25,6 +25,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,24 +134,34 @@ def with_first(prints: DataFrame, tag: str) -> DataFrame:
 def shortest_runs(pairs: Column, min_words: int) -> Column:
     """from, to, key and check of the shortest runs of enough words, from each line both ways.
 
-    ``pairs`` are windows of two lines that follow each other. A run has two lines at least, so
-    that blank ones between any two are within one, and ``most``, as every line has a word. Those
-    of one line are fingerprints by themselves already.
+    ``pairs`` are windows of two lines that follow each other; ``upto`` counts the words of their
+    first lines so far. A run has two lines at least, so that blank ones between any two are within
+    one, and ``most``, as every line has a word. Those of one line are fingerprints by themselves
+    already.
     """
     most = max(min_words, 2)
-    unit = 1 << 20  # words are counted in this unit, lines in ones
+    unit = 1 << 20  # more than a run's lines
 
-    def enough(n: Column) -> Column:
-        return (n >= min_words * unit) & (n % unit >= 2)
+    def runs(x: Column) -> Column:
+        def words(start: Column, end: Column) -> Column:
+            return F.get(x["upto"], end) - F.get(x["upto"], start)
 
-    def length(some: Column) -> Column:
-        total = F.aggregate(
-            some, F.lit(0).cast("bigint"), lambda n, w: F.when(enough(n), n).otherwise(n + w * unit + 1)
-        )
-        return F.when(enough(total), total % unit).otherwise(0).cast("int")
+        def shortest(start: Callable[[int], Column]) -> Column:
+            """A run as one number, start and length: a set of numbers is hashed, one of structs is not."""
+            out = F
+            for n in range(2, most + 1):
+                at = start(n)
+                out = out.when(words(at, at + n) >= min_words, at.cast("bigint") * unit + n)
+            return out
 
-    def runs(x: Column) -> Column:
-        def run(start: Column, size: Column) -> Column:
+        def forward(_: Column, i: Column) -> Column:
+            return shortest(lambda n: i)
+
+        def backward(_: Column, i: Column) -> Column:
+            return shortest(lambda n: i + (1 - n))
+
+        def run(p: Column) -> Column:
+            start, size = F.shiftright(p, 20).cast("int"), (p % unit).cast("int")
             keys = F.slice(x["keys"], start + 1, size - 1)
             return F.struct(
                 F.get(x["lines"], start).alias("from"),
@@ -158,24 +170,18 @@ def shortest_runs(pairs: Column, min_words: int) -> Column:
                 F.hash(keys).alias("check"),
             )
 
-        def forward(_: Column, i: Column) -> Column:
-            n = length(F.slice(x["words"], i + 1, most))
-            return F.struct(i.alias("start"), n.alias("n"))
-
-        def backward(_: Column, i: Column) -> Column:
-            start = F.greatest(i + 1 - most, F.lit(0))
-            n = length(F.reverse(F.slice(x["words"], start + 1, i + 1 - start)))
-            return F.struct((i + 1 - n).alias("start"), n.alias("n"))
-
         found = F.array_distinct(
             F.concat(F.transform(x["lines"], forward), F.transform(x["lines"], backward))
         )
-        return F.transform(F.filter(found, lambda r: r["n"] > 0), lambda r: run(r["start"], r["n"]))
+        return F.transform(F.filter(found, lambda p: p.isNotNull()), run)
 
     last = F.element_at(pairs, -1)
     parts = F.struct(
         F.concat(pairs["line"], F.array(last["next_line"])).alias("lines"),
-        F.concat(pairs["w"], F.array(last["next_w"])).alias("words"),
+        # words before each line, and before the end: those between two places are a difference
+        F.concat(
+            F.transform(pairs, lambda p: p["upto"] - p["w"]), F.array(last["upto"], last["upto"] + last["next_w"])
+        ).alias("upto"),
         F.transform(pairs, lambda p: F.struct(p["key"], p["check"])).alias("keys"),
     )
     return let(parts, runs)
@@ -196,10 +202,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         twice.where(F.col("next_line") > F.col("line"))
         .withColumn("new", F.coalesce(F.lag("next_line").over(order) != F.col("line"), F.lit(True)))
         .withColumn("chain", F.sum(F.col("new").cast("int")).over(order))
+        .withColumn("upto", F.sum("w").over(order))
         .groupBy("_id", "_sum", "chain")
         .agg(
             (F.sum("w") + F.max_by("next_w", "line")).alias("words"),
-            F.array_sort(F.collect_list(F.struct("line", "next_line", "w", "next_w", "key", "check"))).alias("pairs"),
+            F.sort_array(F.collect_list(F.struct("line", "next_line", "upto", "w", "next_w", "key", "check"))).alias("pairs"),
         )
         .where(F.col("words") >= min_words)
     )

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 from spoorline.llm import line_dedup as D
@@ -101,3 +102,18 @@ def test_only_runs_that_occurred_as_a_whole_go(spark):
     want = dict(zip([i for i, _ in rows], brute(rows), strict=True))
     assert want[3] == rows[2][1] and want[4] == "" and want[5] == "new. " + x4
     assert got == want
+
+
+def test_one_long_chain_costs_no_more_than_many_short_ones(spark):
+    pair = "struct(i AS line, i + 1 AS next_line, 9L * i + 9 AS upto, 9 AS w, 9 AS next_w, xxhash64(i) AS key, hash(i) AS check)"
+
+    def seconds(chains, lines):
+        one = spark.range(chains, numPartitions=1).selectExpr(f"transform(sequence(0, {lines - 2}), i -> {pair}) AS pairs")
+        runs = one.select(D.F.inline(D.shortest_runs(D.F.col("pairs"), 25)))
+        assert runs.count() == chains * (lines - 2)  # three lines each; both ways find the same ones
+        began = time.time()
+        runs.write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    many, one = seconds(60, 200), seconds(1, 12_000)
+    assert one < 4 * many + 1
