@@ -59,7 +59,7 @@ def _labels(spark, d):
 def s01(spark: SparkSession, d: str) -> DataFrame:
     root = fresh_path(spark, "logs")
     logs.write_capture(_cap(spark, d), root)
-    raw = logs.read_kernel_log(spark, f"{root}/kernel/*")
+    raw = logs.read_kernel_log(spark, f"{root}/kernel")
     return logs.kernel_events(raw).drop("pos").withColumnRenamed("timestamp", "ns")
 
 
@@ -71,7 +71,7 @@ def s01(spark: SparkSession, d: str) -> DataFrame:
 def s02(spark, d):
     root = fresh_path(spark, "logs")
     logs.write_capture(_cap(spark, d), root)
-    raw = logs.read_audit_log(spark, f"{root}/audit/*")
+    raw = logs.read_audit_log(spark, f"{root}/audit")
     return logs.audit_events(raw).drop("pos").withColumnRenamed("timestamp", "ts")
 
 
@@ -79,7 +79,7 @@ def s02(spark, d):
 def s03(spark, d):
     root = fresh_path(spark, "logs")
     logs.write_capture(_cap(spark, d), root)
-    raw = logs.read_kernel_log(spark, f"{root}/kernel/*")
+    raw = logs.read_kernel_log(spark, f"{root}/kernel")
     return logs.control_rows(raw).select("run_id", "marker", F.col("timestamp").alias("ts"))
 
 
