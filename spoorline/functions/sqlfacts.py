@@ -311,3 +311,14 @@ def with_statement_facts(df: DataFrame, text: str = "query") -> DataFrame:
         "is_system_config": F.when(on("alter_system"), yes),
     }
     return df.withColumns(facts).drop("_plain", "_cut", "_text", "_bare", "_kind", "_flat")
+
+
+def join_statement_facts(df: DataFrame, text: str = "query") -> DataFrame:
+    """The same columns, read once per distinct text and joined to its rows; a null text states nothing.
+
+    Logs repeat few texts. The side of the texts has one row a key, so a frequent one is split by the
+    adaptive join.
+    """
+    once = with_statement_facts(df.select(text).where(F.col(text).isNotNull()).distinct(), text)
+    joined = df.join(once.withColumnRenamed(text, "_text"), F.col(text) == F.col("_text"), "left")
+    return joined.drop("_text")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions.ordered import SEG_ROWS, Fold, running
-from spoorline.functions.sqlfacts import FACTS, with_statement_facts
+from spoorline.functions.sqlfacts import FACTS, join_statement_facts
 from spoorline.operators.attribution import SESSION
 from spoorline.session import materialize
 
@@ -82,7 +82,7 @@ def prepared_events(
     `parent_pid` is set if the parent was seen earlier in the session,
     `spawn_query` if instead a program query ran less than ``spawn_window`` before.
     """
-    audit = with_statement_facts(pair_statements(log, bound, seg_rows))
+    audit = join_statement_facts(pair_statements(log, bound, seg_rows))
     kernel = log.where(~_audit())
     both = audit.unionByName(kernel, allowMissingColumns=True)
     program = F.when(

@@ -41,15 +41,20 @@ def provenance(
     cap, spawn_window: float = SPAWN_WINDOW_S, seg_rows: int = SEG_ROWS
 ) -> Provenance:
     events, pairs, log, run_rows, rows = session_log(cap, seg_rows)
+    log = materialize(log, "session_log")  # its statements, processes and cuts are read apart
     graphs = build_graphs(log, spawn_window, rows, seg_rows)
     return Provenance(events, pairs, log, graphs, run_rows, rows)
 
 
+def most_behaviors(prov: Provenance, rules=RULES) -> int:
+    """An event touches at most two edges, and a rule matches an edge at most once."""
+    return 2 * len(rules) * prov.largest_session
+
+
 def session_behaviors(
     prov: Provenance, rules=RULES, min_confidence: float = 0.0, seg_rows: int = SEG_ROWS
 ) -> Behaviors:
-    """An event touches at most two edges, and a rule matches an edge at most once."""
-    bound = 2 * len(rules) * prov.largest_session
+    bound = most_behaviors(prov, rules)
     return behaviors(prov.graphs.nodes, prov.graphs.edges, rules, min_confidence, bound, seg_rows)
 
 

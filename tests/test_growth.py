@@ -4,6 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
+from spoorline.functions.sqlfacts import FACTS, join_statement_facts, with_statement_facts
 from spoorline.sources import logs
 from spoorline.sources.tables import Capture
 
@@ -48,3 +49,12 @@ def test_table_files_follow_rows_and_not_runs(spark, tmp_path):
     assert len(glob.glob(f"{root}/nodes/**/*.parquet", recursive=True)) < RUNS / 2
     back = spark.read.parquet(f"{root}/nodes").select("run_id", "pid")
     assert sorted(back.collect()) == sorted(nodes.collect())
+
+
+def test_facts_are_read_once_per_text(spark):
+    texts = ["COPY t TO PROGRAM 'sh'", "", None, "SELEKT 1", "DROP TABLE public.x", "COPY t TO PROGRAM 'sh'"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, query string")
+    got = join_statement_facts(df)
+    want = with_statement_facts(df)
+    columns = ["i", "query", *FACTS]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
