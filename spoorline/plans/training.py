@@ -103,7 +103,8 @@ def fold_scores(
 
     ``rows`` have template, y, rule_score and the features; ``in_sample`` may use their columns and ``seed``.
     """
-    every = fold_rows(materialize(rows, "fold-rows"), folds)
+    # every step of the fit reads both again
+    every = fold_rows(materialize(rows, "fold-rows"), materialize(folds, "folds"))
     seed = F.explode(F.array(*[F.lit(s) for s in seeds]))
     every = every.withColumn("seed", seed)
     weights = train_models(every.where("part = 'train'").where(in_sample), features, l2)

@@ -9,7 +9,7 @@ from spoorline.operators.risk import best_chain, chain_scores
 from spoorline.plans import evaluation as E
 from spoorline.plans import live, session_graphs, splits, training
 from spoorline.registry.oracle import with_ctes
-from spoorline.session import fresh_path
+from spoorline.session import fresh_path, materialize
 from spoorline.sources import logs, tables
 from spoorline.sources.tables import table
 
@@ -534,7 +534,7 @@ def _session_rows(spark, d):
 
 
 def _trained(spark, d):
-    rows = _session_rows(spark, d)
+    rows = materialize(_session_rows(spark, d), "session-rows")
     folds = splits.rotated_folds(splits.template_classes(rows).select("template", "y"))
     return training.fold_scores(rows, folds, _X, _SEEDS, F.expr("(session_key * 31 + seed * 7) % 4 <> 0"))
 
