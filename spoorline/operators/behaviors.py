@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spoorline.functions.ordered import SEG_ROWS, Fold, number_rows, running
 from spoorline.operators.attribution import SESSION
 from spoorline.operators.graph import EDGE, NODE
+from spoorline.session import materialize
 
 DECAY_S = 60.0
 STRUCT_WEIGHT = 0.4
@@ -107,8 +108,8 @@ def cosine(found: Column, keywords: tuple[str, ...]) -> Column:
     )
 
 
-def evidence_pairs(nodes: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
-    """Edges that some rule may match, with text and time of both ends."""
+def evidence_pairs(nodes: DataFrame, edges: DataFrame, rules=RULES, keep=()) -> DataFrame:
+    """Edges that some rule may match, with text and time of both ends, and the columns ``keep``."""
     wanted = None
     for r in rules:
         hit = (
@@ -128,7 +129,7 @@ def evidence_pairs(nodes: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame
             F.col("ts").alias(f"{side}_ts"),
         )
 
-    picked = edges.where(wanted).select(*EDGE)
+    picked = edges.where(wanted).select(*EDGE, *keep)
     for side in ("src", "dst"):
         picked = picked.join(end(side), [*SESSION, f"{side}_type", f"{side}_key"])
     return picked
@@ -242,4 +243,5 @@ def behaviors(
     found, largest = order_behaviors(
         match_behaviors(nodes, edges, rules, min_confidence), bound, seg_rows
     )
+    found = materialize(found, "behaviors")  # rules, evidence and chain read it apart
     return Behaviors(found, chain_edges(found, largest, seg_rows), largest)

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoorline.functions.ordered import SEG_ROWS, Fold, number_rows, running
 from spoorline.functions.sqlfacts import FACTS
 from spoorline.operators.attribution import SESSION
-from spoorline.operators.behaviors import RULES, match_behaviors
+from spoorline.operators.behaviors import RULES, evidence_pairs, match_pairs
 from spoorline.operators.graph import ATTRS, EDGE, NODE, SessionGraphs
-from spoorline.session import materialize
 
 
 def statement_ordinal(log: DataFrame, bound: int | None = None, seg_rows: int = SEG_ROWS) -> DataFrame:
@@ -72,16 +69,6 @@ def prefix_corpus(
     )
 
 
-@dataclass(frozen=True)
-class PrefixGraphs:
-    """Tables of all prefixes of all sessions; ``k`` is null for the whole session."""
-
-    cuts: DataFrame  # session, k, statements, label, prefix_label
-    nodes: DataFrame
-    edges: DataFrame
-    behaviors: DataFrame
-
-
 def session_cuts(
     log: DataFrame,
     labels: DataFrame,
@@ -146,62 +133,63 @@ def _versions(rows: DataFrame, key: list[str], cuts: DataFrame, first: dict, run
     return grown.join(cuts.select(*SESSION, "ks"), SESSION).withColumn("k", F.get("ks", F.col("_cut"))).drop("ks")
 
 
-def prefix_graphs(
-    graphs: SessionGraphs,
-    cuts: DataFrame,
-    rules=RULES,
-    padding: int = 2,
-    seg_rows: int = SEG_ROWS,
-) -> PrefixGraphs:
-    """Graphs and behaviors of all ``cuts`` (`session_cuts`) from one pass over the mentions.
+def prefix_labels(cuts: DataFrame, padding: int = 2) -> DataFrame:
+    """One row per session and cut: k (null for the whole session), statements, label, prefix_label."""
+    named = cuts.select(*SESSION, "statements", "label", F.explode("ks").alias("k"))
+    y = F.when(F.col("k") <= padding, F.lit("Benign")).otherwise(F.col("label"))
+    return named.withColumn("prefix_label", y)
+
+
+def prefix_nodes(graphs: SessionGraphs, cuts: DataFrame) -> DataFrame:
+    """Nodes of the graphs of all ``cuts`` (`session_cuts`, written) from one pass over the mentions.
 
     What an event means depends on earlier events only, so it is the same in every prefix that
     holds it. A node has the attributes of its first event in all of them, a repeat time and count
-    per cut; an edge exists from a cut on.
+    per cut.
     """
-    cuts = materialize(cuts, "prefix-cuts")
-    named = cuts.select(*SESSION, "statements", "label", F.explode("ks").alias("k"))
-    y = F.when(F.col("k") <= padding, F.lit("Benign")).otherwise(F.col("label"))
-    first_event = F.min("seq")
     nodes = _versions(
         graphs.mentions.select(*NODE, "seq", "timestamp_unix"),
         NODE,
         cuts,
-        {"first_seq": first_event},
+        {"first_seq": F.min("seq")},
         {"last_ts": ("max", F.col("timestamp_unix")), "mentions": ("sum", F.lit(1))},
     )
     repeat = (F.col("mentions") > 1) & (F.col("node_type") != "Session")
     attributes = graphs.events.select(*SESSION, F.col("seq").alias("first_seq"), "timestamp_unix", *ATTRS, *FACTS)
-    nodes = materialize(
+    return (
         nodes.withColumn("last_seen", F.when(repeat, F.col("last_ts")))
-        .drop("last_ts")
         .join(attributes, [*SESSION, "first_seq"])
-        .drop("first_seq"),
-        "prefix-nodes",
+        .drop("last_ts", "first_seq", "_cut")
     )
-    edges = materialize(
-        _versions(
-            graphs.links,
-            EDGE,
-            cuts,
-            {},
-            {
-                "count": ("sum", F.lit(1)),
-                "first_seen": ("min", F.col("timestamp_unix")),
-                "last_seen": ("max", F.col("timestamp_unix")),
-            },
-        ),
-        "prefix-edges",
+
+
+def prefix_edges(graphs: SessionGraphs, cuts: DataFrame) -> DataFrame:
+    """Edges of the graphs of all ``cuts``, with count and times up to the cut."""
+    totals = {
+        "count": ("sum", F.lit(1)),
+        "first_seen": ("min", F.col("timestamp_unix")),
+        "last_seen": ("max", F.col("timestamp_unix")),
+    }
+    return _versions(graphs.links, EDGE, cuts, {}, totals).drop("_cut")
+
+
+def prefix_behaviors(
+    graphs: SessionGraphs, cuts: DataFrame, rules=RULES, bound: int | None = None, seg_rows: int = SEG_ROWS
+) -> DataFrame:
+    """Behaviors of all ``cuts`` in their order; ``bound`` is a proven limit of a session's behaviors.
+
+    Texts and times of nodes never change: behaviors come from the edges of the whole session once, and
+    stand in every cut that has the edge.
+    """
+    first = graphs.links.groupBy(*EDGE).agg(F.min("seq").alias("_first"))
+    since = (
+        first.join(cuts.select(*SESSION, "ks", "ends"), SESSION)
+        .withColumn("_since", F.size(F.filter("ends", lambda e: e <= F.col("_first"))))
+        .where(F.col("_since") < F.size("ends"))
     )
-    # texts and times of nodes never change: behaviors come from the edges of the widest cut once,
-    # and stand in every cut that has the edge
-    since = edges.groupBy(*EDGE).agg(F.min("_cut").alias("_since"))
-    found = match_behaviors(graphs.nodes, since, rules)
-    held = found.join(since, EDGE).join(cuts.select(*SESSION, "ks"), SESSION)
+    held = match_pairs(evidence_pairs(graphs.nodes, since, rules, ["ks", "_since"]), rules)
     each = held.select("*", F.explode(F.sequence("_since", F.size("ks") - 1)).alias("_cut"))
-    each = each.withColumn("k", F.get("ks", F.col("_cut")))
+    each = each.withColumn("k", F.get("ks", F.col("_cut"))).drop("ks", "_since")
     order = ["timestamp_unix", "rule_order", "src_type", "src_key", "dst_key"]
-    ordered, _ = number_rows(each.drop("ks", "_since"), [*SESSION, "_cut"], order, "chain_no", seg_rows)
-    return PrefixGraphs(
-        named.withColumn("prefix_label", y), nodes.drop("_cut"), edges.drop("_cut"), ordered.drop("_cut")
-    )
+    ordered, _ = number_rows(each, [*SESSION, "_cut"], order, "chain_no", seg_rows, bound)
+    return ordered.drop("_cut")
