@@ -118,16 +118,16 @@ def neighbour_round(features: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pool(features: DataFrame) -> DataFrame:
-    """Mean feature per node type, one row per session."""
-    types = [*NODE_TYPES, "Behavior"]
+    """Mean feature per node type, one row per session: means of one type each, then laid side by side."""
+    per = features.groupBy(*SESSION, "node_type").agg(*[F.avg(f).alias(f) for f in FEATURES])
+    means = F.collect_list(F.struct("node_type", F.array(*FEATURES)))  # one entry per node type
+    held = per.groupBy(*SESSION).agg(F.map_from_entries(means).alias("_of"))
     cols = [
-        F.coalesce(F.avg(F.when(F.col("node_type") == t, F.col(f))), F.lit(0.0)).alias(
-            f"{t.lower()}_{f}"
-        )
-        for t in types
-        for f in FEATURES
+        F.coalesce(F.get(F.try_element_at("_of", F.lit(t)), F.lit(i)), F.lit(0.0)).alias(f"{t.lower()}_{f}")
+        for t in [*NODE_TYPES, "Behavior"]
+        for i, f in enumerate(FEATURES)
     ]
-    return features.groupBy(*SESSION).agg(*cols)
+    return held.select(*SESSION, *cols)
 
 
 def pooled_columns() -> list[str]:

@@ -12,7 +12,7 @@ from spoorline.operators import clock, features, graph, risk
 from spoorline.operators.attribution import SESSION, attribution_report, parent_links
 from spoorline.plans import leakage, live, quality, session_graphs, splits
 from spoorline.registry.oracle import with_ctes
-from spoorline.session import fresh_path
+from spoorline.session import fresh_path, materialize
 from spoorline.sources import logs, tables
 
 QUERIES, ORACLE = {}, {}
@@ -884,17 +884,15 @@ def _feature_tables(spark, d):
     g, found = prov.graphs, session_graphs.session_behaviors(prov)
     nodes = features.all_nodes(g.nodes, found.found)
     edges = features.all_edges(g.edges, B.evidence_edges(found.found), found.chain)
-    return nodes, edges
+    return nodes, materialize(edges, "feature-edges")
 
 
 @query("b09_session_scorer")
 def b09(spark, d):
     """Scores of a classifier trained on the labelled sessions of four runs in five."""
     nodes, edges = _feature_tables(spark, d)
-    nf = features.node_features(nodes, edges)
+    nf = materialize(features.node_features(nodes, edges), "node-features")
     pooled = features.pool(features.neighbour_round(nf, edges))
-    from spoorline.session import materialize
-
     pooled = materialize(pooled, "pooled")
     labels = _labels(spark, d).select(
         "run_id", F.col("session_id").alias("session_key"), F.col("y").cast("double").alias("y")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spoorline.functions.sqlfacts import FACTS, join_statement_facts, with_statement_facts
 from spoorline.operators import behaviors as B
+from spoorline.operators import features
 from spoorline.operators.attribution import attribute, attributed_events
 from spoorline.operators.graph import build_graphs
 from spoorline.plans import prefixes, training
@@ -108,3 +109,16 @@ def test_prefix_behaviors_alone(spark):
     first = {(r.behavior, r.src_key, r.dst_key) for r in found if r.k == 1}
     assert first and first < {w[:3] for w in whole}
     assert {r.k for r in prefixes.prefix_nodes(g, cuts).collect()} == {r.k for r in found}
+
+
+def test_pooling_takes_one_mean_per_feature(spark):
+    rows = [("r", s, kind, float(s + i)) for s in (1, 2) for i, kind in enumerate(["Query", "Query", "Behavior"]) if s + i < 4]
+    df = spark.createDataFrame(rows, "run_id string, session_key long, node_type string, v double")
+    nodes = df.select("run_id", "session_key", "node_type", *[F.col("v").alias(f) for f in features.FEATURES])
+    out = features.pool(nodes)
+    assert out.columns == ["run_id", "session_key", *features.pooled_columns()]
+    got = {r.session_key: (r.query_h0, r.behavior_in_degree, r.file_h1) for r in out.collect()}
+    assert got == {1: (1.5, 3.0, 0.0), 2: (2.5, 0.0, 0.0)}
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    assert _reads(out, "avg(") == len(features.FEATURES)
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
