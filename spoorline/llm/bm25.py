@@ -10,7 +10,10 @@ of the k-th score is scored again in double precision, term by term. Document fr
 document count and mean length are those of the whole table, so the shards' results merge
 exactly. As many tasks as there are cores go through their shards one after another and hand on
 the k best of each query only, so what is merged grows with the queries alone; the k-th score of
-the shards before bounds the blocks of the next one from the start.
+the shards before bounds the blocks of the next one from the start. A task is sent each query once, not
+once a shard, and keeps it while its shards go by. Queries of more than `KEEP_TERMS` terms are dealt to
+groups, and each group gets tasks of its own that read all documents: memory stays bounded, and what
+is shuffled grows with queries x cores and documents x groups, not with queries x shards.
 
 A query is the whole text of its row: each distinct word counts as often as it occurs. Words
 are runs of anything but white space, A-Z in lower case, compared by 64-bit hashes. Ties go to
@@ -38,8 +41,10 @@ K1, B = 1.2, 0.75
 SHARD_ROWS, BLOCK, DENSE, BATCH = 6144, 1024, 1024, 256
 #: Words whose hashes a task keeps.
 KEEP_WORDS = 200_000
-#: Queries whose k best a task keeps; with more, it hands them on and begins anew.
-KEEP_QUERIES = 1 << 18
+#: Terms of all queries that a task keeps, 16 bytes each; with more, the queries are dealt to groups.
+KEEP_TERMS = 1 << 24
+#: What a query itself takes, in terms; each of its k best takes one more.
+QUERY_TERMS = 20
 #: Relative error that single-precision sums may have; scores this near are computed again.
 MARGIN = 5e-4
 
@@ -292,21 +297,21 @@ class Best:
 
 
 def _search_task(mean_length: float, count: int, k: int):
-    """Rows of a partition by shard, documents first: build each index, then search in it."""
+    """Rows of a partition by shard: build the index of its documents, then search in it.
+
+    A query is kept: it is asked of the shard it came in, and of all that follow.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, shard, current, best = Terms(), None, object(), Best(k)
-        ids, texts, held = [], [], []
-
-        def flush():
-            nonlocal shard, held
-            if shard is None:
-                shard = Shard(ids, texts, mean_length)
-            least = best.least([q for q, *_ in held])
-            best.add(list(shard.search(held, k, least)))
-            held = []
-            if len(best.slot) > KEEP_QUERIES:
-                yield from best.batches()
+        terms, current, best = Terms(), object(), Best(k)
+        ids, texts, held = [], [], {}
+
+        def ask():
+            shard = Shard(ids, texts, mean_length)
+            queries = list(held.values())
+            for at in range(0, len(queries), BATCH):
+                part = queries[at : at + BATCH]
+                best.add(list(shard.search(part, k, best.least([q for q, *_ in part]))))
 
         for batch in batches:
             for part in slices(batch, BATCH):
@@ -315,19 +320,18 @@ def _search_task(mean_length: float, count: int, k: int):
                     zip(*(c.to_pylist() for c in plain), strict=True)
                 ):
                     if number != current:
-                        if held:
-                            yield from flush()
-                        current, shard, ids, texts = number, None, [], []
+                        if ids:
+                            ask()
+                        current, ids, texts = number, [], []
                     if query is None:
                         ids.append(id_)
                         texts.append(terms(text))
-                    else:
+                    elif query not in held:
                         asked, n, df = (c[i].values.to_numpy() for c in (own_terms, own_ns, own_dfs))
-                        held.append((query, asked, n * np.log1p((count - df + 0.5) / (df + 0.5))))
-                        if len(held) == BATCH:
-                            yield from flush()
-        if held:
-            yield from flush()
+                        # a copy, as a view would keep the whole batch
+                        held[query] = query, asked.copy(), n * np.log1p((count - df + 0.5) / (df + 0.5))
+        if ids:
+            ask()
         yield from best.batches()
 
     return task
@@ -353,27 +357,33 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         .select("query", *[F.col(f"t.{c}").alias(f"{c}s") for c in ("term", "n", "df")])
     )
     weighted = materialize(weighted, "queries")
+    kept = weighted.agg(F.sum(F.size("terms") + QUERY_TERMS + k)).first()[0] or 0
+    groups = max(1, -(-kept // KEEP_TERMS))
+    tasks = min(shards, max(1, docs.sparkSession.sparkContext.defaultParallelism))
     nothing = F.lit(None)
     dealt = docs.select(
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"),
         nothing.cast("bigint").alias("query"),
         "doc_id",
         "text",
         *[nothing.cast("array<bigint>").alias(c) for c in ("terms", "ns", "dfs")],
-    )
+    ).withColumn("task", F.pmod("shard", F.lit(tasks)).cast("int"))
     asked = weighted.select(
-        F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"),
+        F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int").alias("group"),
+        nothing.cast("bigint").alias("shard"),
         "query",
         nothing.cast("bigint").alias("doc_id"),
         nothing.cast("string").alias("text"),
         "terms",
         "ns",
         "dfs",
+        F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"),
     )
-    # documents have no query, so they come before the queries of their shard
-    tasks = min(shards, max(1, docs.sparkSession.sparkContext.defaultParallelism))
-    together = dealt.unionByName(asked).repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))
-    together = together.sortWithinPartitions("shard", "query")
+    # queries have no shard, so they come before all documents
+    part = F.col("group") * tasks + F.col("task")
+    together = dealt.unionByName(asked).repartitionById(tasks * groups, part)
+    together = together.sortWithinPartitions("shard").drop("group", "task")
     mean_length = max(1.0, words / max(1, count))
     found = together.mapInArrow(_search_task(mean_length, count, k), FOUND)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")

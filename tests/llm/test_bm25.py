@@ -71,6 +71,39 @@ def test_repeated_queries_count_once(spark):
     assert sorted(tuple(r) for r in S.search(docs, asked.union(asked)).collect()) == once
 
 
+def test_a_query_is_sent_once_a_task_whatever_the_shards(spark, monkeypatch):
+    """What is shuffled must not grow with queries x shards; groups of queries change no result."""
+    rows = [(i, f"w{i % 7} x{i} common") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    asked = docs.where("doc_id % 10 = 0").selectExpr("doc_id AS query", "text")
+    want = sorted((r["query"], r["rank"], r.doc_id) for r in S.search(docs, asked).collect())
+    monkeypatch.setattr(S, "SHARD_ROWS", 10)
+    sent = []
+    task = S._search_task
+
+    def counting(*args):
+        inner, rows_in = task(*args), spark.sparkContext.accumulator(0)
+        sent.append(rows_in)
+
+        def counted(batches):
+            def each():
+                for b in batches:
+                    rows_in.add(b.num_rows - b.column("query").null_count)
+                    yield b
+
+            return inner(each())
+
+        return counted
+
+    monkeypatch.setattr(S, "_search_task", counting)
+    tasks = spark.sparkContext.defaultParallelism
+    for keep in (1 << 24, 500):
+        monkeypatch.setattr(S, "KEEP_TERMS", keep)
+        got = sorted((r["query"], r["rank"], r.doc_id) for r in S.search(docs, asked).collect())
+        assert got == want
+        assert sent.pop().value == 40 * tasks  # 40 shards
+
+
 def test_a_task_hands_on_k_rows_a_query_whatever_its_shards():
     rows = []
     known = S.Terms()
