@@ -76,13 +76,16 @@ def write_slices(spark, d: str, root: str) -> int:
 _RAN: dict[tuple[str, str], LiveEngine] = {}
 
 
-def live(spark, d: str) -> LiveEngine:
-    """The engine after all slices and the drain; one run serves all queries of a session."""
+def live(spark, d: str, scored: bool = False) -> LiveEngine:
+    """The engine after all slices and the drain; one run serves all queries of a session.
+
+    Graphs are built and scored if a query asks for ``scored`` tables; events and closes need none.
+    """
     at = (spark.sparkContext.applicationId, d)
     if at not in _RAN:
         root = fresh_path(spark, "live")
         write_slices(spark, d, f"{root}/cut")
-        engine = LiveEngine(spark, f"{root}/out", THETA, Rules(idle_s=IDLE_S), compact=3)
+        engine = LiveEngine(spark, f"{root}/out", THETA, Rules(idle_s=IDLE_S), compact=3, scoring=scored)
         fs = spark.sparkContext._jvm.org.apache.hadoop.fs
         conf = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -115,6 +118,8 @@ def live(spark, d: str) -> LiveEngine:
         finally:
             run.stop()
         _RAN[at] = engine
+    if scored:
+        _RAN[at].catch_up()
     return _RAN[at]
 
 
@@ -220,7 +225,7 @@ _BEST = "LEFT JOIN best b ON b.run_id = s.run_id AND b.session_key = s.session_k
 )
 def r12(spark, d) -> DataFrame:
     """The last final score of every session of every run, drained ones included, equals the batch score."""
-    scores = live(spark, d).table("scores")
+    scores = live(spark, d, True).table("scores")
     last = F.max_by(F.struct("n_events", "scenario", F.round("risk", 9).alias("risk")), "n_events")
     return scores.groupBy(*SESSION, "opened").agg(last.alias("_l")).select(*SESSION, "opened", "_l.*")
 
@@ -232,7 +237,7 @@ _AS_OF = f"""SELECT s.host AS run_id, s.session_key, s.opened, s.slice, s.n_even
 @query("r07_rescores", f"SELECT DISTINCT run_id, session_key, opened, n_events, scenario, risk FROM ({_AS_OF})", True)
 def r07(spark, d) -> DataFrame:
     """Every score on the way: after each slice, of the sessions it changed."""
-    engine = live(spark, d)
+    engine = live(spark, d, True)
     every = engine.table("rescores").unionByName(engine.table("scores"))
     return every.select(*SESSION, "opened", "n_events", "scenario", F.round("risk", 9).alias("risk")).distinct()
 
@@ -246,7 +251,7 @@ def r07(spark, d) -> DataFrame:
 )
 def r11(spark, d) -> DataFrame:
     """Each session alerts once, after the slice at which its risk reaches the threshold."""
-    return live(spark, d).table("alerts").select(
+    return live(spark, d, True).table("alerts").select(
         *SESSION, "opened", "n_events", "scenario", F.round("risk", 9).alias("risk"), "message"
     )
 

@@ -19,12 +19,15 @@ micro-batches:
   by the arrival times of all runs; then all that waits is taken and its idle sessions close.
 * A DRAIN row (`drain_rows`) takes all that waits and closes every session.
 
-State: parents and sessions are maps, held and waiting events are lists, which no run has
-for longer than the reorder delay and the retry window. Parents are read as they are needed.
+State: parents and sessions are maps in pages of neighbouring keys, as a call for one key costs as much
+as a page; held and waiting events are lists, which no run has for longer than the reorder delay and
+the retry window. Pages of parents are read as they are needed. In Python a row costs by its columns, so
+one text holds what the rules read (`READ`), and another passes through with the event (`BODY`).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +43,9 @@ from spoorline.schemas import AUDIT_FIELDS, AUDIT_RAW, KERNEL_FIELDS, KERNEL_RAW
 
 PAYLOAD = [f for f in KERNEL_FIELDS + AUDIT_FIELDS if f not in ("pid", "backend_pid")]
 _TYPES = {f.name: f.dataType for f in [*AUDIT_RAW.fields, *KERNEL_RAW.fields]}
+#: What the rules read of a row, and the fields of its event; each a JSON text.
+READ = ["source", "file", "block", "line", "marker", "timestamp", "pid", "backend_pid", "ppid", "session_id"]
+BODY = T.StructType([T.StructField(f, _TYPES[f]) for f in ["pid", "backend_pid", *PAYLOAD]])
 
 #: A row on the wall clock; ``rank`` puts kernel rows before audit rows, and marks before both.
 EVENT = T.StructType(
@@ -48,14 +54,11 @@ EVENT = T.StructType(
         T.StructField("rank", T.IntegerType()),
         T.StructField("no", T.LongType()),
         T.StructField("id", T.LongType()),
-        T.StructField("pid", T.LongType()),
-        T.StructField("backend_pid", T.LongType()),
-        *[T.StructField(f, _TYPES[f]) for f in PAYLOAD],
+        *[T.StructField(f, T.LongType()) for f in ("pid", "backend_pid", "ppid", "session_id")],
+        T.StructField("body", T.StringType()),
     ]
 )
-TS, RANK, NO, ID, PID, BACKEND = range(6)
-PPID = 6 + PAYLOAD.index("ppid")
-SID = 6 + PAYLOAD.index("session_id")
+TS, RANK, NO, ID, PID, BACKEND, PPID, SID, TEXT = range(len(EVENT))
 MARK, KERNEL, AUDIT = -1, 0, 1
 
 #: What the stream gives: events of sessions, and what becomes of sessions.
@@ -71,9 +74,12 @@ MOVES = T.StructType(
         T.StructField("timestamp_unix", T.DoubleType()),
         T.StructField("reason", T.StringType()),  # of a close: end, idle, drain, forgotten
         T.StructField("n_events", T.LongType()),
-        *EVENT.fields[PID:],
+        T.StructField("body", T.StringType()),
     ]
 )
+_MOVE = Row(*MOVES.names)
+#: Neighbouring keys of a map state that are read and written together, as a power of two.
+PAGE_BITS = 8
 
 
 @dataclass(frozen=True)
@@ -89,36 +95,50 @@ class Rules:
     d_max: int = D_MAX
 
 
-class _Map:
-    """A map state, read key by key as needed and written once at the end of a call."""
+class _Pages:
+    """A map state in pages: read page by page as needed, or all at once, and written at the end of a call."""
 
-    def __init__(self, state):
-        self.state, self.known, self.changed = state, {}, set()
+    def __init__(self, state, whole: bool = False):
+        self.state, self.whole, self.pages, self.changed = state, whole, {}, set()
+        if whole:
+            for (no,), page in state.iterator():
+                self.pages[no] = self._rows(page)
+
+    @staticmethod
+    def _rows(page) -> dict:
+        keys, *columns = page
+        return dict(zip(keys, zip(*columns, strict=True), strict=True))
+
+    def _page(self, no):
+        page = self.pages.get(no)
+        if page is None:
+            stored = None if self.whole else self.state.getValue((no,))
+            page = self.pages[no] = self._rows(stored) if stored else {}
+        return page
 
     def get(self, key):
-        if key not in self.known:
-            self.known[key] = self.state.getValue((key,))
-        return self.known[key]
+        return self._page(key and key >> PAGE_BITS).get(key)
 
     def set(self, key, value):
-        if self.get(key) != value:
-            self.known[key] = value
-            self.changed.add(key)
-
-    def load(self):
-        for k, v in self.state.iterator():
-            self.known.setdefault(k[0], tuple(v))
-        return self
+        no = key and key >> PAGE_BITS
+        page = self._page(no)
+        if page.get(key) != value:
+            if value is None:
+                del page[key]
+            else:
+                page[key] = value
+            self.changed.add(no)
 
     def items(self):
-        return [(k, v) for k, v in self.known.items() if v is not None]
+        return [item for page in self.pages.values() for item in page.items()]
 
     def flush(self):
-        for k in self.changed:
-            if self.known[k] is None:
-                self.state.removeKey((k,))
+        for no in self.changed:
+            page = self.pages[no]
+            if page:
+                self.state.updateValue((no,), (list(page), *map(list, zip(*page.values(), strict=True))))
             else:
-                self.state.updateValue((k,), self.known[k])
+                self.state.removeKey((no,))
 
 
 class Lineage(StatefulProcessor):
@@ -132,28 +152,34 @@ class Lineage(StatefulProcessor):
         self.clock = handle.getValueState(
             "clock", "offset double, start double, newest double, now double, next_id long, next_no long, timer long"
         )
-        self.parents = handle.getMapState("parents", "pid long", "ppid long")
+        self.parents = handle.getMapState("parents", "page long", "pids array<long>, ppids array<long>")
         # of each open session: first event, time of its newest one, events, whether it closed as idle
         self.sessions = handle.getMapState(
-            "sessions", "session_key long", "opened long, last_ts double, n_events long, idle boolean"
+            "sessions",
+            "page long",
+            "session_keys array<long>, opened array<long>, last_ts array<double>, n_events array<long>, idle array<boolean>",
         )
         # ends that settle, and ends of closed sessions while an event may still be late
-        self.ends = handle.getMapState("ends", "session_key long", "end_ts double, closed boolean")
+        self.ends = handle.getMapState(
+            "ends", "page long", "session_keys array<long>, end_ts array<double>, closed array<boolean>"
+        )
         self.held = handle.getListState("held", EVENT)
         self.waiting = handle.getListState("waiting", EVENT)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         call = _Call(self, key[0])
-        arrived = 0
-        for r in sorted(rows, key=lambda r: (r.file, r.block, r.line)):
-            arrived = max(arrived, int(r.arrival.timestamp() * 1000))
-            call.receive(r)
+        arrived, taken = None, []
+        for r in rows:
+            arrived = r.arrival if arrived is None else max(arrived, r.arrival)
+            taken.append((json.loads(r.text), r.body))
+        for fields, body in sorted(taken, key=lambda t: (t[0]["file"], t[0]["block"], t[0]["line"])):
+            call.receive(fields, body)
         yield from call.release(call.newest - self.rules.reorder_s)
         if call.draining:
             yield from call.drain()
         if call.timer:
             self.handle.deleteTimer(call.timer)
-        call.timer = arrived + int(self.rules.quiet_s * 1000)
+        call.timer = int(arrived.timestamp() * 1000) + int(self.rules.quiet_s * 1000)
         self.handle.registerTimer(call.timer)
         yield from call.save()
 
@@ -173,43 +199,43 @@ class _Call:
 
     def __init__(self, of: Lineage, run: str):
         self.of, self.rules, self.run = of, of.rules, run
-        clock = of.clock.get() if of.clock.exists() else None
+        clock = of.clock.get()  # none: null or nothing, without a call to ask first
         low = float("-inf")
         self.offset, self.start, self.newest, self.now, self.next_id, self.next_no, self.timer = (
             tuple(clock) if clock else (None, None, low, low, 0, 0, 0)
         )
-        self.parents = _Map(of.parents)
-        self.sessions, self.ends = _Map(of.sessions).load(), _Map(of.ends).load()
-        self.held = [tuple(e) for e in of.held.get()] if of.held.exists() else []
-        self.waiting = [tuple(e) for e in of.waiting.get()] if of.waiting.exists() else []
+        self.parents = _Pages(of.parents)
+        self.sessions, self.ends = _Pages(of.sessions, whole=True), _Pages(of.ends, whole=True)
+        self.held, self.waiting = ([tuple(e) for e in state.get()] for state in (of.held, of.waiting))
         self.had = bool(self.held), bool(self.waiting)
         self.draining = False
         self.due = low
 
     # -- rows as they arrive
 
-    def receive(self, r: Row) -> None:
+    def receive(self, r: dict, body: str) -> None:
+        """A row as its `READ` fields, nulls left out, and the text of its event."""
         no, self.next_no = self.next_no, self.next_no + 1
-        kernel = r.source == "kernel"
-        if r.marker is not None:
-            if r.marker == "DRAIN":
+        kernel = r["source"] == "kernel"
+        marker, backend = r.get("marker"), r.get("backend_pid")
+        if marker is not None:
+            if marker == "DRAIN":
                 self.draining = True
-            elif kernel and r.marker == "LOGGING_START":
-                self.start = float(r.timestamp)
-            elif kernel and r.marker == "SESSION_END":
-                blank = (None,) * len(PAYLOAD)
-                self._hold((float(r.timestamp), MARK, no, -1, None, r.backend_pid, *blank))
+            elif kernel and marker == "LOGGING_START":
+                self.start = float(r["timestamp"])
+            elif kernel and marker == "SESSION_END":
+                self._hold((float(r["timestamp"]), MARK, no, -1, None, backend, None, None, None))
             return
         if kernel:
-            seconds = int(r.timestamp) / 1e9
+            seconds = int(r["timestamp"]) / 1e9
             if self.start is not None:
                 self.offset, self.start = self.start - seconds, None
             if self.offset is None:
                 return  # cannot be placed in time
-            ts, rank, pid = seconds + self.offset, KERNEL, r.pid
+            ts, rank, pid = seconds + self.offset, KERNEL, r.get("pid")
         else:
-            ts, rank, pid = float(r.timestamp), AUDIT, r.backend_pid
-        self._hold((ts, rank, no, -1, pid, r.backend_pid, *[r[f] for f in PAYLOAD]))
+            ts, rank, pid = float(r["timestamp"]), AUDIT, backend
+        self._hold((ts, rank, no, -1, pid, backend, r.get("ppid"), r.get("session_id"), body))
 
     def _hold(self, event: tuple) -> None:
         self.held.append(event)
@@ -329,8 +355,7 @@ class _Call:
     # -- results
 
     def row(self, kind, key, opened, event_id, at, ts, reason, n, source=None, e=None) -> Row:
-        rest = e[PID:] if e else (None,) * (len(EVENT) - PID)
-        return Row(*MOVES.names)(kind, self.run, key, opened, event_id, at, source, ts, reason, n, *rest)
+        return _MOVE(kind, self.run, key, opened, event_id, at, source, ts, reason, n, e and e[TEXT])
 
     def save(self) -> Iterator[Row]:
         for m in (self.parents, self.sessions, self.ends):
@@ -360,15 +385,23 @@ def numbered_lines(stream: DataFrame) -> DataFrame:
 
 
 def follow(stream: DataFrame, rules: Rules = Rules(), arrival: F.Column | None = None) -> DataFrame:
-    """`MOVES` of a stream of raw rows (`sources.live.raw_stream`); appends, needs RocksDB state.
+    """Moves of a stream of raw rows (`streaming.live.raw_stream`); appends, needs RocksDB state.
 
-    ``arrival`` is the time at which a row came, by default that of its micro-batch. It never runs
-    behind, so no row is too late for it; it only serves the timers of silent runs.
+    They are `MOVES` with the fields of `BODY` in place of the text. ``arrival`` is the time at which a
+    row came, by default that of its micro-batch. It never runs behind, so no row is too late for it; it
+    only serves the timers of silent runs.
     """
-    rows = numbered_lines(stream.where("_corrupt_record IS NULL").drop("_corrupt_record"))
-    arrived = rows.withColumn("arrival", F.current_timestamp() if arrival is None else arrival)
-    return (
+    body = F.to_json(F.struct(*BODY.names)).alias("body")
+    read = [c for c in READ if c != "line"]
+    lines = numbered_lines(stream.where("_corrupt_record IS NULL").select("run_id", *read, body))
+    arrival = F.current_timestamp() if arrival is None else arrival
+    arrived = lines.select("run_id", F.to_json(F.struct(*READ)).alias("text"), "body", arrival.alias("arrival"))
+    moves = (
         arrived.withWatermark("arrival", "0 seconds")
         .groupBy("run_id")
         .transformWithState(Lineage(rules), MOVES, "Append", "EventTime")
     )
+    # as rows of a generator: fields of one plain column would parse the text again, each for itself
+    fields = F.inline(F.array(F.from_json("body", BODY)))
+    pid = F.when(F.col("source") == "postgres", F.col("backend_pid")).otherwise(F.col("pid")).alias("pid")
+    return moves.select("*", fields).select(*MOVES.names[:-1], pid, "backend_pid", *PAYLOAD)

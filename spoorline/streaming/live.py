@@ -12,11 +12,15 @@ So the work of a batch goes with its events and the tail, and a score merges one
 edge of the sessions that changed. Increments are appended per batch and merged into a base
 every ``compact`` batches; closed sessions go then. Everything is written per batch number, so a
 repeated batch overwrites its own results.
+
+Events and closes are written before graphs are looked at. With ``scoring`` off that is all a batch does,
+and `catch_up` scores what was written since, batch after batch, with the same results.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -190,6 +194,9 @@ class LiveEngine:
     model_scores: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None
     #: Partitions of the state, by default one per core: each costs a store and a worker in every batch.
     state_partitions: int | None = None
+    scoring: bool = True
+    #: Moves of batches that are not scored yet, and the seconds it took to write them.
+    behind: dict[int, tuple[DataFrame, float]] = field(default_factory=dict)
 
     # -- the stream
 
@@ -249,10 +256,10 @@ class LiveEngine:
         self.take(kernel_path, audit_path, arrival)
 
     def ask_drain(self) -> None:
-        """Drain rows for every run; the next batch takes them."""
+        """Drain rows for every run, which they name; the next batch takes them."""
         runs = self.table("clock").select("run_id").distinct()
-        rows = runs.select(F.col("run_id").alias("run"), F.lit("DRAIN").alias("marker"))
-        rows.coalesce(1).write.mode("append").partitionBy("run").json(f"{self.root}/control")
+        rows = runs.select("run_id", F.lit("DRAIN").alias("marker"))
+        rows.coalesce(1).write.json(f"{self.root}/control/drain-{uuid.uuid4().hex}")
 
     # -- tables per batch
 
@@ -298,9 +305,20 @@ class LiveEngine:
     # -- one batch
 
     def process(self, moves: DataFrame, batch: int) -> None:
-        spent, began = {}, time.time()
-        moves = self._save(moves, "moves", batch)
-        spent["attribution"], began = time.time() - began, time.time()
+        began = time.time()
+        written = self._save(moves, "moves", batch)
+        self.behind[batch] = written, time.time() - began
+        if self.scoring:
+            self.catch_up()
+
+    def catch_up(self) -> None:
+        """Score the batches that only have their moves."""
+        for batch in sorted(self.behind):
+            self._grade(*self.behind[batch], batch)
+            del self.behind[batch]
+
+    def _grade(self, moves: DataFrame, seconds: float, batch: int) -> None:
+        spent, began = {"attribution": seconds}, time.time()
         ticks = moves.where("kind = 'clock'").select("run_id", F.col("timestamp_unix").alias("now_ts"))
         clock = self._before("state/clock", batch, ticks).unionByName(ticks)
         clock = self._save(clock.groupBy("run_id").agg(F.max("now_ts").alias("now_ts")), "state/clock", batch)

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from spoorline.streaming import lineage
 from spoorline.streaming.live import LiveEngine, raw_stream
 
 
@@ -73,3 +74,76 @@ def test_a_table_without_rows_adds_no_tasks(spark, tmp_path):
         assert nothing.schema == like.schema and nothing.count() == 0
         plan = nothing.unionByName(like)._jdf.queryExecution().optimizedPlan().toString()
         assert "RDD" not in plan and "Union" not in plan
+
+
+class Calls:
+    """A map state that counts what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.rows[key]
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+
+def test_neighbouring_keys_share_a_state_call():
+    state = Calls()
+    pages = lineage._Pages(state)
+    for pid in range(1000, 1500):
+        pages.set(pid, (pid - 1,))
+    pages.flush()
+    assert state.calls <= 6  # three pages, read and written
+    again = lineage._Pages(state)
+    assert [again.get(p) for p in (999, 1000, 1499, 1500)] == [None, (999,), (1498,), None]
+    for pid in range(1000, 1500):
+        again.set(pid, None)
+    again.flush()
+    assert state.rows == {}
+    whole = lineage._Pages(state, whole=True)
+    state.calls = 0
+    assert whole.get(7) is None and whole.items() == [] and state.calls == 0
+
+
+def test_drain_rows_do_not_cost_a_file_per_run(spark, tmp_path):
+    engine = LiveEngine(spark, str(tmp_path))
+    clocks = spark.range(50).selectExpr("'clock' AS kind", "concat('run_', id) AS run_id")
+    engine._save(clocks, "moves", 0)
+    engine.ask_drain()
+    written = [p for p in (tmp_path / "control").rglob("*.json") if p.stat().st_size]
+    assert len(written) == 1
+    rows = [json.loads(line) for line in written[0].read_text().splitlines()]
+    assert sorted(r["run_id"] for r in rows) == sorted(f"run_{i}" for i in range(50))
+    assert {r["marker"] for r in rows} == {"DRAIN"}
+
+
+def test_scores_wait_until_they_are_asked_for(spark, tmp_path):
+    """Events and closes are written without scores; catching up gives those of an engine that scores at once."""
+    row = {"run_id": "a", "session_id": 7, "backend_pid": 7, "event_type": "ExecutorStart", "query": "SELECT * FROM customers"}
+    for log in ("kernel", "audit"):
+        (tmp_path / log / "none").mkdir(parents=True)
+    got = {}
+    engines = {s: LiveEngine(spark, str(tmp_path / f"out_{s}"), scoring=s) for s in (True, False)}
+    for i in range(2):
+        (tmp_path / "audit" / "none" / f"{i}.json").write_text(json.dumps({**row, "timestamp": 100.0 + 30 * i}) + "\n")
+        for engine in engines.values():
+            engine.take(f"{tmp_path}/kernel/*", f"{tmp_path}/audit/*")
+    for scoring, engine in engines.items():
+        engine.finish(f"{tmp_path}/kernel/*", f"{tmp_path}/audit/*")
+        assert engine.table("closes").count() == 1
+        assert (tmp_path / f"out_{scoring}" / "scored").exists() == scoring
+        engine.catch_up()
+        both = engine.table("scores").unionByName(engine.table("rescores"))
+        got[scoring] = sorted(tuple(r) for r in both.select("session_key", "opened", "n_events", "risk", "behaviors", "final").collect())
+    assert got[True] == got[False] and len(got[True]) == 2
