@@ -7,6 +7,7 @@ log (`seq` is the position in the session).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -141,8 +142,8 @@ def node_mentions(events: DataFrame) -> DataFrame:
     return events.select("*", F.explode(nodes).alias("_n")).select("*", "_n.*").drop("_n")
 
 
-def edge_mentions(events: DataFrame) -> DataFrame:
-    """The edges an event touches, as (src, rel, dst) rows."""
+def edge_mentions(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The edges an event touches, as (src, rel, dst) rows, with the columns ``keep`` of the event."""
     call, query, pid = F.col("syscall"), _text("query_id"), _text("pid")
 
     def edge(src, src_key, rel, dst, dst_key):
@@ -189,8 +190,9 @@ def edge_mentions(events: DataFrame) -> DataFrame:
         "seq",
         "timestamp_unix",
         F.coalesce("query_id", "event_id").alias("event_id"),
+        *keep,
         F.explode(edges).alias("_e"),
-    ).select(*SESSION, "_e.*", "seq", "timestamp_unix", "event_id")
+    ).select(*SESSION, "_e.*", "seq", "timestamp_unix", "event_id", *keep)
 
 
 def merge_nodes(mentions: DataFrame, events: DataFrame) -> DataFrame:

@@ -79,13 +79,14 @@ _RAN: dict[tuple[str, str], LiveEngine] = {}
 def live(spark, d: str, scored: bool = False) -> LiveEngine:
     """The engine after all slices and the drain; one run serves all queries of a session.
 
-    Graphs are built and scored if a query asks for ``scored`` tables; events and closes need none.
+    Graphs are built and scored if a query asks for ``scored`` tables, while the next slice is attributed;
+    events and closes need none.
     """
     at = (spark.sparkContext.applicationId, d)
     if at not in _RAN:
         root = fresh_path(spark, "live")
         write_slices(spark, d, f"{root}/cut")
-        engine = LiveEngine(spark, f"{root}/out", THETA, Rules(idle_s=IDLE_S), compact=3, scoring=scored)
+        engine = LiveEngine(spark, f"{root}/out", THETA, Rules(idle_s=IDLE_S), compact=3, scoring=False)
         fs = spark.sparkContext._jvm.org.apache.hadoop.fs
         conf = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -103,8 +104,12 @@ def live(spark, d: str, scored: bool = False) -> LiveEngine:
         paths = [f"{log}/*" for log in logs]
         left = iter(range(SLICES + 1))
 
+        scorer, scores = ThreadPoolExecutor(1), []
+
         def bring(_: int) -> None:
             """The next slice that has rows, and the drain after the last: one stream, a batch for each."""
+            if scored:
+                scores.append(scorer.submit(engine.catch_up))
             for i in left:
                 if i == SLICES:
                     engine.ask_drain()
@@ -117,6 +122,9 @@ def live(spark, d: str, scored: bool = False) -> LiveEngine:
             run.processAllAvailable()
         finally:
             run.stop()
+            scorer.shutdown()
+        for score in scores:
+            score.result()
         _RAN[at] = engine
     if scored:
         _RAN[at].catch_up()

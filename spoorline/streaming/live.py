@@ -66,6 +66,8 @@ VIEWS = {
     "timings": ("timings", "true"),
 }
 MEMORY = [*SESSION, "role", "key"]
+#: Attributes of nodes that behaviors are matched on.
+MATCHED = ["timestamp_unix", "query", "comm", "arg", "dest_ip"]
 
 
 def raw_stream(
@@ -112,23 +114,25 @@ def _order() -> Column:
 
 
 def node_increments(events: DataFrame) -> DataFrame:
-    """Per node: attributes of its first event, and what later ones add."""
-    attrs = F.struct("timestamp_unix", *graph.ATTRS, *FACTS)
-    return (
+    """Per node: attributes of its first event, and what later ones add.
+
+    Only keys and numbers are aggregated; the attributes are fetched once per node from its first event.
+    """
+    numbers = (
         graph.node_mentions(events)
         .groupBy(*graph.NODE, "settled")
-        .agg(
-            F.min(_order()).alias("first"),
-            F.min_by(attrs, _order()).alias("attrs"),
-            F.max("timestamp_unix").alias("last_ts"),
-            F.count(F.lit(1)).alias("mentions"),
-        )
+        .agg(F.min("seq").alias("seq"), F.max("timestamp_unix").alias("last_ts"), F.count(F.lit(1)).alias("mentions"))
+    )
+    attrs = F.struct("timestamp_unix", *graph.ATTRS, *FACTS).alias("attrs")
+    firsts = events.select(*SESSION, "seq", _order().alias("first"), attrs)
+    return numbers.join(firsts, [*SESSION, "seq"]).select(
+        *graph.NODE, "settled", "first", "attrs", "last_ts", "mentions"
     )
 
 
 def edge_increments(events: DataFrame) -> DataFrame:
     """Per edge: events, first and last time, and the ids of its events in order as one page."""
-    links = graph.edge_mentions(events).join(events.select(*SESSION, "seq", "settled"), [*SESSION, "seq"])
+    links = graph.edge_mentions(events, ["settled"])
     ids = F.array_sort(F.collect_list(F.struct("seq", "event_id")))  # of one batch
     return links.groupBy(*graph.EDGE, "settled").agg(
         F.count(F.lit(1)).alias("count"),
@@ -174,6 +178,11 @@ def _first() -> Column:
     return F.struct(*[F.col(f"event.{c}").alias(c) for c in ORDER])
 
 
+def lean(nodes: DataFrame) -> DataFrame:
+    """Node increments with no more attributes than behaviors are matched on."""
+    return nodes.withColumn("attrs", F.struct(*[F.col(f"attrs.{c}").alias(c) for c in MATCHED]))
+
+
 def nodes_of(merged: DataFrame) -> DataFrame:
     """Merged increments as the node table of `operators.graph`."""
     repeat = (F.col("mentions") > 1) & (F.col("node_type") != "Session")
@@ -389,7 +398,8 @@ class LiveEngine:
             now = now.drop("settled")
             return self._grown(name, batch, now).unionByName(now).join(dirty, SESSION, "left_semi")
 
-        merged = nodes_of(merged_nodes(whole("nodes", nodes)))
+        parts = whole("nodes", nodes)
+        merged = nodes_of(merged_nodes(parts if self.model_scores else lean(parts)))
         linked = merged_edges(whole("edges", edges))
         counts = merged_activity(whole("activity", activity))
         # written once: their order takes a count first

@@ -4,7 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from spoorline.streaming import lineage
+from spoorline.functions.sqlfacts import FACTS
+from spoorline.operators import graph
+from spoorline.streaming import lineage, live
 from spoorline.streaming.live import LiveEngine, raw_stream
 
 
@@ -147,3 +149,36 @@ def test_scores_wait_until_they_are_asked_for(spark, tmp_path):
         both = engine.table("scores").unionByName(engine.table("rescores"))
         got[scoring] = sorted(tuple(r) for r in both.select("session_key", "opened", "n_events", "risk", "behaviors", "final").collect())
     assert got[True] == got[False] and len(got[True]) == 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_increments_move_attributes_once_and_edges_join_nothing(spark):
+    text = {c: "CAST(NULL AS STRING)" for c in [*graph.ATTRS, *FACTS]}
+    text |= {
+        "source": "'kernel'", "event_id": "id", "pid": "id % 3 + 1", "ppid": "0L", "syscall": "'openat'",
+        "arg": "concat('/tmp/', id % 5)", "dest_port": "0L", "comm": "concat('c', id)",
+    }
+    more = {
+        "run_id": "concat('r', id % 2)", "session_key": "7L", "seq": "id", "timestamp_unix": "double(id div 2)",
+        "resolved_at": "id", "waited": "false", "settled": "id < 20", "query_id": "CAST(NULL AS BIGINT)",
+        "parent_pid": "CAST(NULL AS BIGINT)", "spawn_query": "CAST(NULL AS BIGINT)",
+    }
+    events = spark.range(40).selectExpr(*[f"{e} AS {n}" for n, e in (text | more).items()])
+    nodes, edges = live.node_increments(events), live.edge_increments(events)
+    assert "SortAggregate" not in _plan(nodes)  # no attributes among what is aggregated
+    assert "Join" not in _plan(edges)
+    got = {(r.run_id, r.node_type, r.node_key, r.settled): (r.first.event_id, r.attrs.comm, r.mentions, r.last_ts) for r in nodes.collect()}
+    want = {}
+    for i in range(40):
+        for kind, key in (("Process", str(i % 3 + 1)), ("File", f"/tmp/{i % 5}")):
+            at = (f"r{i % 2}", kind, key, i < 20)
+            first, comm, n, _ = want.get(at, (i, f"c{i}", 0, 0.0))
+            want[at] = (first, comm, n + 1, float(i // 2))
+    assert got == want
+    ids = sorted(i for r in edges.collect() for i in r.event_ids)
+    assert ids == list(range(40)) and {r.settled for r in edges.collect()} == {True, False}
+    kept = live.lean(nodes).schema["attrs"].dataType.names
+    assert kept == live.MATCHED
